@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+from .jaccard import op5_jaccard_rtree
+from .langid import op3_byte_gru
 from .lm_score import op1_lattice_lm
+from .media import op9_wav_fingerprints
+from .sharding import op4_differencing_shards
+from .token_output import op6_arrow_sequences
+from .toxicity import op7_boosted_toxicity
 
-QUERIES = {"op1_lattice_lm": op1_lattice_lm}
+QUERIES = {
+    "op1_lattice_lm": op1_lattice_lm,
+    "op3_byte_gru": op3_byte_gru,
+    "op4_differencing_shards": op4_differencing_shards,
+    "op5_jaccard_rtree": op5_jaccard_rtree,
+    "op6_arrow_sequences": op6_arrow_sequences,
+    "op7_boosted_toxicity": op7_boosted_toxicity,
+    "op9_wav_fingerprints": op9_wav_fingerprints,
+}
 
 SQL: dict[str, str] = {}

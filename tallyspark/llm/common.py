@@ -90,11 +90,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
         new = stash(small.where("u <> v").distinct(), "edges")
         # settled: every node points at one root, and no root points on
-        roots = new.select("v").distinct().join(new.select(F.col("u").alias("w")), F.col("v") == F.col("w"), "left_semi").limit(1).count()
-        several = new.groupBy("u").count().where("count > 1").limit(1).count()
+        ends = new.select(F.col("u").alias("k"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(new.select(F.col("v").alias("k"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+        open_ = ends.groupBy("k").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)").limit(1).count()
         drop_stash(now)
         now = new
-        if not roots and not several:
+        if not open_:
             break
     else:
         raise RuntimeError("components did not settle")

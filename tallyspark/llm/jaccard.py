@@ -24,6 +24,8 @@ are ignored.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import components, stash, tokens
 
 WORDS = 5
-SLOTS = 1 << 18
+SLOTS = 1 << 22
 GROUPS = 128
 LEAF = 32
 PART = 4000
@@ -76,8 +78,9 @@ def shingles(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.nda
     n = len(h) - k + 1
     out = np.full(n, k, np.uint64)
     for i in range(k):
-        out = _scramble(out * _MIX + h[i : n + i])
-    return np.unique(out)
+        out *= _MIX
+        out += h[i : n + i]
+    return np.unique(_scramble(out))
 
 
 def slots_of(x: np.ndarray) -> np.ndarray:
@@ -90,33 +93,35 @@ def prefix_length(n: int, percent: int) -> int:
 
 def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
     """Uses of each slot over all documents (a document uses a shingle once). SLOTS numbers, whatever the input."""
-    slices = 32
+    slices = 64
     size = SLOTS // slices
 
     def count(batches):
-        import zlib
-
-        hashes, loads = WordHashes(), np.zeros(SLOTS, np.int64)
+        hashes, loads, held, n = WordHashes(), np.zeros(SLOTS, np.int64), [], 0
         for b in batches:
             for x in b.column(0).to_pylist():
-                loads += 0 if x is None else np.bincount(slots_of(shingles(x, hashes, words)), minlength=SLOTS)
+                held.append(slots_of(shingles(x, hashes, words)))
+                n += len(held[-1])
+                if n > SLOTS:
+                    loads += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    held, n = [], 0
+        if held:
+            loads += np.bincount(np.concatenate(held), minlength=SLOTS)
         parts = [zlib.compress(loads[i * size : (i + 1) * size].tobytes(), 1) for i in range(slices)]
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "loads"])
 
     def add(batches):
-        import zlib
-
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = np.frombuffer(zlib.decompress(x), np.int64)
                 total[k] = total[k] + got if k in total else got
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slice", "loads"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["slice", "loads"])
 
     rows = docs.select("text").mapInArrow(count, "slice int, loads binary").repartition(slices, "slice").mapInArrow(add, "slice int, loads binary").collect()
-    loads = np.zeros(SLOTS, np.int64)
+    loads = np.zeros(SLOTS, np.uint32)
     for r in rows:
-        loads[r.slice * size : (r.slice + 1) * size] = np.frombuffer(r.loads, np.int64)
+        loads[r.slice * size : (r.slice + 1) * size] = np.minimum(np.frombuffer(zlib.decompress(r.loads), np.int64), 2**32 - 1)
     return loads
 
 
@@ -286,6 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sizes = parts.groupBy("root").count()
     large = sizes.where(F.col("count") > part)
     some_large = large.limit(1).count()
+    found = stash(found, "sets") if some_large else found
     small = found.join(large, "root", "left_anti") if some_large else found
     joined = join_parts(small, ["root"], percent)
     if some_large:

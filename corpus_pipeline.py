@@ -1,11 +1,74 @@
-"""A training-data pipeline: language, toxicity, near duplicates, benchmark passages, packing."""
+"""A training-data pipeline: language, toxicity, near duplicates, benchmark passages, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the
+columns of documents; the last returns one row per token sequence. Stages hold no state besides their input, so a stage
+can be run again from the Parquet that the one before it left.
+
+What goes: texts that are null or have no letter (language), texts scored toxic (toxicity), all but the smallest doc_id
+of each group of near duplicates (and all but one of rows that share a doc_id), texts that hold a benchmark item.
+Rows with a null doc_id are in no group and stay there.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tallyspark.llm.common import new_folder, remainder
+from tallyspark.llm.decontam import without_items
+from tallyspark.llm.jaccard import near_duplicates
+from tallyspark.llm.langid import fit_language, identify
+from tallyspark.llm.packing import pack
+from tallyspark.llm.toxicity import fit_toxicity, score_toxicity
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in one of the learnt languages stay."""
+    model, classes = fit_language(docs.withColumn("_learn", ~remainder("doc_id", 5, 0)), "_learn")
+    labelled = identify(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text")), model, classes, "_text")
+    return labelled.where("lang_pred <> 'und'").select("row.*")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that are not scored toxic stay."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~remainder("doc_id", 5, 0))
+    model = fit_toxicity(docs, labels)
+    scored = score_toxicity(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text")), model, "_text")
+    return scored.where("predicted = 0").select("row.*")
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays."""
+    first = near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi")
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        one = Window.partitionBy("doc_id").orderBy("text")
+        kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a benchmark item stay."""
+    return without_items(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences in length buckets and token-budget batches."""
+    return pack(docs)
+
+
+STAGES = [("language ID", language), ("toxicity", toxicity), ("n-gram Jaccard join", near_duplicate), ("benchmark decontamination", decontamination), ("packing", packing)]
+
+#: Two stages learn models and one finds components: SQL can't express them; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each is written to the shared folder and read again as the next one's input."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    folder = new_folder(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{folder}/{k}")
+        docs = spark.read.schema(made.schema).parquet(f"{folder}/{k}")
     return docs

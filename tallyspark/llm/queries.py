@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from .decontam import op10_blockmax_wand
 from .jaccard import op5_jaccard_rtree
 from .langid import op3_byte_gru
 from .lm_score import op1_lattice_lm
 from .media import op9_wav_fingerprints
+from .packing import op2_length_buckets
 from .sharding import op4_differencing_shards
+from .token_counts import op8_edit_counts
 from .token_output import op6_arrow_sequences
 from .toxicity import op7_boosted_toxicity
 
 QUERIES = {
     "op1_lattice_lm": op1_lattice_lm,
+    "op2_length_buckets": op2_length_buckets,
     "op3_byte_gru": op3_byte_gru,
     "op4_differencing_shards": op4_differencing_shards,
     "op5_jaccard_rtree": op5_jaccard_rtree,
     "op6_arrow_sequences": op6_arrow_sequences,
     "op7_boosted_toxicity": op7_boosted_toxicity,
+    "op8_edit_counts": op8_edit_counts,
     "op9_wav_fingerprints": op9_wav_fingerprints,
+    "op10_blockmax_wand": op10_blockmax_wand,
 }
 
 SQL: dict[str, str] = {}

@@ -3,7 +3,7 @@
 A text is cut into windows of WINDOW bytes (all of it, none left out). In each window one recurrent layer runs forwards
 and one backwards; every position gets a distribution over the languages from both states; a document's distribution is
 the mean over all its positions. Training is backpropagation through time with Adam on a bounded sample: the FIT_DOCS
-labelled documents that come first by a hash of their id, and up to FIT_WINDOWS windows of each. The sample and the
+labelled documents that come first by a hash of their row, and up to FIT_WINDOWS windows of each. The sample and the
 weights are of fixed size; labelling is one pass over the corpus without a shuffle.
 
 Cases: a null text or one without a letter is `und` with score 0; fewer than two learnt languages give that language
@@ -194,8 +194,10 @@ def label_texts(model: ByteGRU | None, classes: list[str], texts: list[str | Non
 
 
 def fit_language(docs: DataFrame, learn: str, id_col: str = "doc_id", text: str = "text", label: str = "lang", fit_docs: int = FIT_DOCS) -> tuple[ByteGRU | None, list[str]]:
-    """Train on the first `fit_docs` labelled rows by hash of id, among those where `learn` is true."""
-    rows = docs.where(F.col(learn) & F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(F.col(id_col)).alias("h")).orderBy("h", "l", "t").limit(fit_docs).collect()
+    """Train on the first `fit_docs` distinct labelled rows by hash, among those where `learn` is true."""
+    able = docs.where(F.col(learn) & F.col(label).isNotNull() & (F.length(text) > 0)).select(F.xxhash64(id_col, text, label).alias("h"), F.col(text).alias("t"), F.col(label).alias("l"))
+    first = able.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("same")).orderBy("h").limit(fit_docs).select("h")  # hashes only: no texts
+    rows = sorted(able.join(F.broadcast(first), "h").groupBy("h").agg(F.min("t").alias("t"), F.min("l").alias("l")).collect())
     classes = sorted({r.l for r in rows})
     if len(classes) < 2:
         return None, classes

@@ -250,8 +250,9 @@ class ToxicityModel:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Fit on the first `fit_rows` labelled rows by hash of id."""
-    sample = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).withColumn("h", F.xxhash64("i")).orderBy("h", "i", "y").limit(fit_rows)
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(sample), "i").orderBy("h", "y", "t").collect()
+    sample = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).distinct().orderBy(F.xxhash64("i"), "i", "y").limit(fit_rows)
+    found = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(sample), "i")
+    rows = sorted(found.groupBy(F.xxhash64("i", "t", "y").alias("h")).agg(F.min("t").alias("t"), F.min("y").alias("y")).orderBy("h").limit(2 * fit_rows).collect(), key=lambda r: r.h)
     return ToxicityModel([r.t for r in rows], np.array([r.y for r in rows], float))
 
 

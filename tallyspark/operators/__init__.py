@@ -1 +1 @@
-
+"""Operators: DataFrame to DataFrame, key columns as parameters."""

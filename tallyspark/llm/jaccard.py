@@ -220,37 +220,40 @@ def join_part(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]
     return [least[root(i)] for i in range(n)]
 
 
-def join_parts(rows: DataFrame, key: list[str], percent: int) -> DataFrame:
-    """Rows (key..., id, set binary), a key in one task: rows (id, root) with the least id of its component in the key."""
+def join_parts(rows: DataFrame, key: list[str], percent: int, words: int) -> DataFrame:
+    """Rows (key..., id, text), a key in one task: rows (id, root) with the least id of its component in the key.
+
+    Texts travel, not sets: they are smaller, and Spark compresses them.
+    """
     many = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.select(F.struct(*key).alias("key"), "id", "set").repartition(many, "key").sortWithinPartitions("key", "id")
+    dealt = rows.select(F.struct(*key).alias("key"), "id", "text").repartition(many, "key").sortWithinPartitions("key", "id")
 
     def run(batches):
+        hashes = WordHashes()
         now, ids, sets = None, [], []
 
         def done():
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(join_part(ids, sets, percent), pa.int64())], ["id", "root"])
 
         for b in batches:
-            for k, i, s in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            for k, i, x in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 if k != now:
                     if ids:
                         yield done()
                     now, ids, sets = k, [], []
                 ids.append(i)
-                sets.append(np.frombuffer(s, np.uint64))
+                sets.append(shingles(x, hashes, words))
         if ids:
             yield done()
 
     return dealt.mapInArrow(run, "id long, root long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(id, set binary) of the wanted documents (id, f1, f2), and of a few others, which a join drops.
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the wanted ids, and of a few others, which a join drops.
 
-    A bit filter of fixed size, sent to all workers, spares most other texts from being cut into shingles.
+    A bit filter of fixed size, sent to all workers, spares most other texts the shuffle.
     """
-    slot = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     marks = wanted.select(F.expr(f"cast(pmod(xxhash64(id), {FILTER_BITS}) >> 6 as int)").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).collect()
     bits = np.zeros(FILTER_BITS >> 6, np.int64)
     for r in marks:
@@ -258,16 +261,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
-        hashes, marked = WordHashes(), sent.value
+        marked = sent.value
         for b in batches:
             at = np.array(b.column(2), np.int64)
-            some = np.flatnonzero((marked[at >> 6] >> (at & 63)) & 1)
-            for k in range(0, len(some), 512):
-                part = b.take(pa.array(some[k : k + 512]))
-                out = [shingles(x, hashes, words).tobytes() for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.binary())], ["id", "set"])
+            yield b.select([0, 1]).filter(pa.array(((marked[at >> 6] >> (at & 63)) & 1).astype(bool)))
 
-    return docs.where("doc_id IS NOT NULL").select(F.col("doc_id").alias("id"), "text", slot.alias("slot")).where("text IS NOT NULL").mapInArrow(run, "id long, set binary")
+    source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
+    return source.mapInArrow(run, "id long, text string")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, words: int = WORDS, part: int = PART) -> DataFrame:
@@ -285,22 +285,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ties = uses.withColumn("cut", cut).withColumn("first", first).where("first <> id").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
     parts = stash(components(ties), "parts")
     wanted = parts.select("id")
-    # An id may stand on several rows with different texts; the set that belongs to a node is told by its fingerprints.
-    found = sets_of(docs, wanted, words).join(parts, "id")
-    found = found.dropDuplicates(["id", "set"]) if _repeats(sketch) else found
+    repeats = _repeats(sketch)
+    found = texts_of(docs, wanted).join(parts, "id")
+    found = found.dropDuplicates(["id", "text"]) if repeats else found
     sizes = parts.groupBy("root").count()
     large = sizes.where(F.col("count") > part)
     some_large = large.limit(1).count()
-    found = stash(found, "sets") if some_large else found
+    found = stash(found, "texts") if some_large else found
     small = found.join(large, "root", "left_anti") if some_large else found
-    joined = join_parts(small, ["root"], percent)
+    joined = join_parts(small, ["root"], percent, words)
     if some_large:
-        joined = joined.unionByName(_join_large(found.join(large, "root"), percent, part))
+        joined = joined.unionByName(_join_large(found.join(large, "root"), sketch, percent, part, words))
     joined = stash(joined, "joined").groupBy("id").agg(F.min("root").alias("root"))
     named = nodes.select(*same, "id").join(joined, "id", "left").select(*same, F.coalesce("root", "id").alias("component"))
     out = sketch.select("doc_id", *same).join(named, same, "left")
     whole = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return _settled(out.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id")), sketch)
+    return _settled(out.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id")), repeats)
 
 
 def _repeats(sketch: DataFrame) -> bool:
@@ -308,9 +308,9 @@ def _repeats(sketch: DataFrame) -> bool:
     return bool(sketch.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())
 
 
-def _settled(out: DataFrame, sketch: DataFrame) -> DataFrame:
+def _settled(out: DataFrame, repeats: bool) -> DataFrame:
     """Rows that share an id belong together, whatever their texts."""
-    if not _repeats(sketch):
+    if not repeats:
         return out
     kept = stash(out, "settled")
     ties = kept.where("component_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
@@ -318,10 +318,11 @@ def _settled(out: DataFrame, sketch: DataFrame) -> DataFrame:
     return kept.join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("component_id").isNotNull(), F.coalesce("root", "component_id")).alias("component_id"))
 
 
-def _join_large(rows: DataFrame, percent: int, part: int) -> DataFrame:
+def _join_large(rows: DataFrame, sketch: DataFrame, percent: int, part: int, words: int) -> DataFrame:
     """Parts of more than `part` nodes: pairs of tiles, each in one task; then the components of the links found."""
     width = float(np.log(100 / percent)) * 1.0000001
-    banded = rows.select("root", "id", "set", F.floor(F.log(F.length("set") / 8) / F.lit(width)).cast("int").alias("band"))
+    size = sketch.where("n > 0").select(F.col("doc_id").alias("id"), "n").distinct()
+    banded = rows.join(size, "id").select("root", "id", "text", F.floor(F.log("n") / F.lit(width)).cast("int").alias("band"))
     tiles = banded.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, part // 2))).cast("int").alias("tiles"))
     lower = tiles.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
     upper = tiles.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
@@ -332,8 +333,8 @@ def _join_large(rows: DataFrame, percent: int, part: int) -> DataFrame:
     kind = "array<struct<band:int,step:int,a:int,b:int>>"
     none = F.array().cast(kind)
     tasks = F.concat(own.cast(kind), F.coalesce(up.cast(kind), none), F.coalesce(down.cast(kind), none))
-    dealt = known.select("root", "id", "set", F.explode(tasks).alias("task")).select("root", "task", "id", "set")
-    found = stash(join_parts(dealt, ["root", "task"], percent), "tiles")
+    dealt = known.select("root", "id", "text", F.explode(tasks).alias("task")).select("root", "task", "id", "text")
+    found = stash(join_parts(dealt, ["root", "task"], percent, words), "tiles")
     met = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
     return found.select("id").distinct().join(met, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 

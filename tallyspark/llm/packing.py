@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import gapless, stash
-from .segments import SegmentEncoder, tokenizer_file
+from .segments import encoder_for, tokenizer_file
 
 MAX_LENGTH = 2048
 BUCKETS = 8
@@ -55,10 +55,9 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> l
 def token_lengths(docs: DataFrame, text: str, out: str, tokenizer: str | None = None) -> DataFrame:
     """Adds the number of tokens of each whole text, its end included."""
     path = tokenizer or tokenizer_file("byte_bpe_50k.json")
-    kept: dict[str, SegmentEncoder] = {}
 
     def run(texts: pd.Series) -> pd.Series:
-        encoder = kept.setdefault(path, SegmentEncoder(path, counts=True))
+        encoder = encoder_for(path, counts=True)
         return pd.Series(encoder.count(["" if pd.isna(x) else x for x in texts]), dtype="int64") + 1
 
     return docs.withColumn(out, F.pandas_udf(run, "long")(F.col(text)))

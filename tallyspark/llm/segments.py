@@ -15,7 +15,7 @@ from array import array
 CUT = re.compile(r"(?<!^)(?= [^\s\x1c-\x1f\x85])")
 ODD = re.compile(r" (?=[\s\x1c-\x1f\x85])| $")
 #: Characters that a worker's cache may hold.
-CACHE_CHARS = 6_000_000
+CACHE_CHARS = 9_000_000
 
 _loaded: dict[str, object] = {}
 
@@ -47,35 +47,66 @@ def segments(text: str) -> list[str]:
 
 
 class SegmentEncoder:
-    """Ids (little-endian unsigned 32-bit) of segments, cached up to CACHE_CHARS characters."""
+    """Ids (little-endian unsigned 32-bit) or numbers of ids of segments, cached up to CACHE_CHARS characters.
+
+    `whole` is keyed by segments, `spaced` by words that stand for the segment with one space in front.
+    """
 
     def __init__(self, path: str, counts: bool = False):
-        self.path, self.counts, self.cache, self.chars = path, counts, {}, 0
+        self.path, self.counts, self.chars = path, counts, 0
+        self.whole: dict = {}
+        self.spaced: dict = {}
 
-    def learn(self, found: set[str]) -> None:
-        """Put the segments that the cache lacks into it."""
-        missing = list(found - self.cache.keys())
-        if self.chars > CACHE_CHARS:
-            self.cache, self.chars, missing = {}, 0, list(found)
+    def _read(self, into: dict, missing: list[str], lead: str) -> None:
         for k in range(0, len(missing), 4096):
             part = missing[k : k + 4096]
-            for text, got in zip(part, load_tokenizer(self.path).encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[text] = len(got) if self.counts else array("I", got.ids).tobytes()
-                self.chars += len(text)
+            got = load_tokenizer(self.path).encode_batch_fast([lead + x for x in part] if lead else part, add_special_tokens=False)
+            into.update(zip(part, map(len, got) if self.counts else [array("I", e.ids).tobytes() for e in got], strict=True))
+            self.chars += sum(map(len, part))
+
+    def learn(self, whole: set[str], spaced: set[str] = frozenset()) -> None:
+        """Put what the caches lack into them; they are emptied first if they hold too much."""
+        if self.chars > CACHE_CHARS:
+            self.whole, self.spaced, self.chars = {}, {}, 0
+        self._read(self.whole, list(whole - self.whole.keys()), "")
+        self._read(self.spaced, list(spaced - self.spaced.keys()), " ")
+
+    def _batches(self, texts: list[str]):
+        """For 256 texts at a time: lists of (segments looked up whole, words looked up spaced)."""
+        for k in range(0, len(texts), 256):
+            cut = []
+            for x in texts[k : k + 256]:
+                if not x:
+                    cut.append(((), ()))
+                elif ODD.search(x):
+                    cut.append((segments(x), ()))
+                else:
+                    parts = x.split(" ")
+                    cut.append(((parts[0],) if parts[0] else (), parts[1:]))
+            self.learn(set().union(*(c[0] for c in cut)), set().union(*(c[1] for c in cut)))
+            yield cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
         out = []
-        for k in range(0, len(texts), 256):
-            cut = [segments(x) for x in texts[k : k + 256]]
-            self.learn(set().union(*cut))
-            out += [b"".join(map(self.cache.__getitem__, x)) for x in cut]
+        for cut in self._batches(texts):
+            whole, spaced = self.whole.__getitem__, self.spaced.__getitem__
+            out += [b"".join(map(whole, a)) + b"".join(map(spaced, b)) for a, b in cut]
         return out
 
     def count(self, texts: list[str]) -> list[int]:
         out = []
-        for k in range(0, len(texts), 256):
-            cut = [segments(x) for x in texts[k : k + 256]]
-            self.learn(set().union(*cut))
-            out += [sum(map(self.cache.__getitem__, x)) for x in cut]
+        for cut in self._batches(texts):
+            whole, spaced = self.whole.__getitem__, self.spaced.__getitem__
+            out += [sum(map(whole, a)) + sum(map(spaced, b)) for a, b in cut]
         return out
+
+
+_encoders: dict[tuple[str, bool], SegmentEncoder] = {}
+
+
+def encoder_for(path: str, counts: bool = False) -> SegmentEncoder:
+    """The encoder of this worker process: its cache serves one task after the other."""
+    if (path, counts) not in _encoders:
+        _encoders[path, counts] = SegmentEncoder(path, counts)
+    return _encoders[path, counts]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .segments import SegmentEncoder, segments, tokenizer_file
+from .segments import SegmentEncoder, encoder_for, segments, tokenizer_file
 
 LEAF = 32
 
@@ -29,7 +29,7 @@ class CountTree:
     def __init__(self, parts: list[str], encoder: SegmentEncoder):
         self.encoder = encoder
         self.encoded = 0
-        self._build(parts, [encoder.cache[x] for x in parts])
+        self._build(parts, [encoder.whole[x] for x in parts])
 
     def _build(self, parts: list[str], counts: list[int]) -> None:
         self.parts = [parts[k : k + LEAF] for k in range(0, len(parts), LEAF)] or [[]]
@@ -98,7 +98,7 @@ class CountTree:
         new = segments(whole[:before] + insert + whole[before + remove :])
         self.encoder.learn(set(new))
         self.encoded += len(new)
-        counts = [self.encoder.cache[x] for x in new]
+        counts = [self.encoder.whole[x] for x in new]
         tail, tail_counts = self.parts[lb][kb + 1 :], self.counts[lb][kb + 1 :]
         self.parts[la] = self.parts[la][:ka] + new
         self.counts[la] = self.counts[la][:ka] + counts
@@ -125,11 +125,10 @@ class CountTree:
 def recount(docs: DataFrame, edits: str = "edits", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Apply `edits` (array of struct start, remove, insert, in order) to each text; adds n_before, n_after, n_segments, n_encoded."""
     path = tokenizer or tokenizer_file("byte_bpe_50k.json")
-    kept: dict[str, SegmentEncoder] = {}
     kind = StructType().add("n_before", LongType()).add("n_after", LongType()).add("n_segments", IntegerType()).add("n_encoded", IntegerType())
 
     def run(texts: pd.Series, changes: pd.Series) -> pd.DataFrame:
-        encoder = kept.setdefault(path, SegmentEncoder(path, counts=True))
+        encoder = encoder_for(path, counts=True)
         rows = []
         for k in range(0, len(texts), 128):
             cut = [segments("" if pd.isna(x) else x) for x in texts[k : k + 128]]

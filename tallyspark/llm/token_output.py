@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import new_folder
-from .segments import SegmentEncoder, load_tokenizer, tokenizer_file
+from .segments import encoder_for, load_tokenizer, tokenizer_file
 
 SEQUENCE = 2048
 BATCH = 64
@@ -92,7 +92,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, id_c
         from pyspark import TaskContext
 
         part, mark = TaskContext.get().partitionId(), uuid.uuid4().hex
-        encoder = SegmentEncoder(path)
+        encoder = encoder_for(path)
         width = np.dtype(np.uint16 if load_tokenizer(path).get_vocab_size() <= 65_536 else np.uint32)
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)

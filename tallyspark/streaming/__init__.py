@@ -1 +1 @@
-
+"""Streaming forms of the incremental operators. The batch forms are in `operators`."""

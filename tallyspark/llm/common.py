@@ -20,6 +20,13 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
 
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Hand rows with whole texts to Python a few at a time, so that a worker's memory does not grow with their length."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, str(rows))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`; one of our own only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, stash, tokens
+from .common import components, small_batches, stash, tokens
 
 WORDS = 5
 SLOTS = 1 << 22
@@ -55,7 +55,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words, kept for up to `most` words."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         super().__init__()
         self.most = most
 
@@ -272,6 +272,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, words: int = WORDS, part: int = PART) -> DataFrame:
     """One row per row of the input: doc_id, n_shingles, component_id (smallest id reachable by links)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     loads = shingle_loads(docs, words)
     sketch = stash(sketches(docs, loads, words, percent), "sketch")

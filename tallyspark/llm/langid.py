@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder
+from .common import remainder, small_batches
 
 WINDOW = 64
 HIDDEN = 8
@@ -215,6 +215,7 @@ def fit_language(docs: DataFrame, learn: str, id_col: str = "doc_id", text: str
 
 def identify(docs: DataFrame, model: ByteGRU | None, classes: list[str], text: str = "text") -> DataFrame:
     """Adds lang_pred and score to all columns of docs."""
+    small_batches(docs.sparkSession)
     from pyspark.sql.types import StructType
 
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, stash, tokens
+from .common import remainder, small_batches, stash, tokens
 from .segments import tokenizer_file
 
 MAX_PIECE = 16
@@ -226,6 +226,7 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text: s
     Returns id, train, n_tokens, n_known, train_tokens, base_score (add-one word unigram), score.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     path = vocabulary or tokenizer_file("piece_bpe_32k.model")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(train).alias("train"))
     words = stash(count_words(docs, "text", "train"), "words")

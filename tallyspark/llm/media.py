@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small_batches, stash
 
 BLOCK = 64
 RATE = 8000
@@ -89,6 +89,7 @@ def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media binary): the WAVs of all rows, written to the shared folder and read back."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         for b in batches:

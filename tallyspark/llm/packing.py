@@ -17,8 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, stash
-from .segments import encoder_for, tokenizer_file
+from .common import gapless, small_batches, stash
+from .segments import load_ranks, tokenizer_file
 
 MAX_LENGTH = 2048
 BUCKETS = 8
@@ -54,11 +54,12 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> l
 
 def token_lengths(docs: DataFrame, text: str, out: str, tokenizer: str | None = None) -> DataFrame:
     """Adds the number of tokens of each whole text, its end included."""
-    path = tokenizer or tokenizer_file("byte_bpe_50k.json")
+    small_batches(docs.sparkSession)
+    path = tokenizer or tokenizer_file("byte_bpe_50k.tiktoken")
 
     def run(texts: pd.Series) -> pd.Series:
-        encoder = encoder_for(path, counts=True)
-        return pd.Series(encoder.count(["" if pd.isna(x) else x for x in texts]), dtype="int64") + 1
+        read = load_ranks(path).encode_ordinary
+        return pd.Series([0 if pd.isna(x) else len(read(x)) for x in texts], dtype="int64") + 1
 
     return docs.withColumn(out, F.pandas_udf(run, "long")(F.col(text)))
 

@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructType
 
-from .segments import SegmentEncoder, encoder_for, segments, tokenizer_file
+from .common import small_batches
+from .segments import SegmentCounts, counts_for, segments, tokenizer_file
 
 LEAF = 32
 
@@ -26,10 +27,10 @@ LEAF = 32
 class CountTree:
     """Token and character sums over the segments of one text."""
 
-    def __init__(self, parts: list[str], encoder: SegmentEncoder):
-        self.encoder = encoder
+    def __init__(self, parts: list[str], known: SegmentCounts):
+        self.known = known
         self.encoded = 0
-        self._build(parts, [encoder.whole[x] for x in parts])
+        self._build(parts, list(map(known.__getitem__, parts)))
 
     def _build(self, parts: list[str], counts: list[int]) -> None:
         self.parts = [parts[k : k + LEAF] for k in range(0, len(parts), LEAF)] or [[]]
@@ -96,9 +97,8 @@ class CountTree:
         old = [x for leaf in range(la, lb + 1) for x in self.parts[leaf][ka if leaf == la else 0 : kb + 1 if leaf == lb else None]]
         whole = "".join(old)
         new = segments(whole[:before] + insert + whole[before + remove :])
-        self.encoder.learn(set(new))
         self.encoded += len(new)
-        counts = [self.encoder.whole[x] for x in new]
+        counts = list(map(self.known.__getitem__, new))
         tail, tail_counts = self.parts[lb][kb + 1 :], self.counts[lb][kb + 1 :]
         self.parts[la] = self.parts[la][:ka] + new
         self.counts[la] = self.counts[la][:ka] + counts
@@ -124,21 +124,20 @@ class CountTree:
 
 def recount(docs: DataFrame, edits: str = "edits", text: str = "text", tokenizer: str | None = None) -> DataFrame:
     """Apply `edits` (array of struct start, remove, insert, in order) to each text; adds n_before, n_after, n_segments, n_encoded."""
-    path = tokenizer or tokenizer_file("byte_bpe_50k.json")
+    small_batches(docs.sparkSession)
+    path = tokenizer or tokenizer_file("byte_bpe_50k.tiktoken")
     kind = StructType().add("n_before", LongType()).add("n_after", LongType()).add("n_segments", IntegerType()).add("n_encoded", IntegerType())
 
     def run(texts: pd.Series, changes: pd.Series) -> pd.DataFrame:
-        encoder = encoder_for(path, counts=True)
+        known = counts_for(path)
         rows = []
-        for k in range(0, len(texts), 128):
-            cut = [segments("" if pd.isna(x) else x) for x in texts[k : k + 128]]
-            for parts, todo in zip(cut, changes[k : k + 128], strict=True):
-                encoder.learn(set(parts))
-                tree = CountTree(parts, encoder)
-                before, n = tree.total, len(parts)
-                for e in [] if todo is None else todo:
-                    tree.edit(int(e["start"] or 0), int(e["remove"] or 0), e["insert"] or "")
-                rows.append((before, tree.total, n, tree.encoded))
+        for x, todo in zip(texts, changes, strict=True):
+            parts = segments("" if pd.isna(x) else x)
+            tree = CountTree(parts, known)
+            before = tree.total
+            for e in [] if todo is None else todo:
+                tree.edit(int(e["start"] or 0), int(e["remove"] or 0), e["insert"] or "")
+            rows.append((before, tree.total, len(parts), tree.encoded))
         return pd.DataFrame(rows, columns=[f.name for f in kind])
 
     out = docs.drop(*[f.name for f in kind if f.name in docs.columns]).withColumn("_count", F.pandas_udf(run, kind)(F.col(text), F.col(edits)))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import new_folder, small_batches
 from .segments import encoder_for, load_tokenizer, tokenizer_file
 
 SEQUENCE = 2048
@@ -83,6 +83,7 @@ class SequenceWriter:
 def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, sequence: int = SEQUENCE, files: int | None = None) -> DataFrame:
     """Encode whole texts and write the files; one row a file (FILE_FIELDS and `before`: ids in the files before it)."""
     spark = docs.sparkSession
+    small_batches(spark)
     path = tokenizer or tokenizer_file("byte_bpe_50k.json")
     files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")

@@ -196,11 +196,15 @@ def parse_replies(replies: DataFrame, schema: str, labels: Column, label: str =
     ids = F.array_sort(F.transform("_i", lambda x: x[label]))
     bad_enum = F.lit(False)
     for field, known in (enums or {}).items():
-        bad_enum = bad_enum | F.exists("_i", lambda x, f=field, k=known: ~F.coalesce(x[f].isin(*k), F.lit(False)))
+        bad_enum = bad_enum | F.coalesce(F.exists("_i", _outside(field, known)), F.lit(False))
     error = F.when(F.col("_i").isNull(), "no list of items").when(F.size(F.array_distinct(ids)) != F.size(ids), "an item twice").when(~F.coalesce(ids == F.array_sort(labels), F.lit(False)), "items differ from what was asked").when(bad_enum, "a value that is not listed")
     return out.withColumn("error", error).withColumn(items, F.when(F.col("error").isNull(), F.col("_i"))).drop("_r", "_i")
 
 
+def _outside(field: str, known: tuple):
+    return lambda x: ~F.coalesce(x[field].isin(*known), F.lit(False))
+
+
 def same_inputs(stored: str, now: str) -> str | None:
     """Why an analysis is not of the present inputs; None if it is."""
     return None if stored == now else f"inputs changed since the analysis: {stored[:12]} then, {now[:12]} now"

@@ -443,3 +443,17 @@ def without_accounts(raw: Column, keys: tuple[str, ...] = ("email", "account_id"
     for k in keys:
         out = F.regexp_replace(out, rf'"{k}"\s*:\s*("(?:[^"\\]|\\.)*"|[^,}}\]]+)\s*,?', "")
     return F.regexp_replace(out, r",\s*}", "}")
+
+
+def probe_reading(logs: DataFrame, observed: Column) -> DataFrame:
+    """The plan reading of a probe's log (run_id as account): its window without account identifiers, when it was seen."""
+    return stream_window(stream_events(logs)).select(F.col("run_id").alias("account"), observed.alias("observed_at"), F.col("plan_window").alias("reading"))
+
+
+def metered_signs(window: Column, limit: float = 100.0) -> Column:
+    """Signs that a run was billed beyond its plan: overage in use, a limit reached, credits drawn, a window used up."""
+    c = window["credits"]
+    drawn = c["balance_first"].try_cast("double") > c["balance_min"].try_cast("double")
+    full = F.exists(window_percents(window), lambda x: x["percent"] >= limit)
+    signs = ((window["is_using_overage"], "overage in use"), (window["rate_limit_reached_seen"].isNotNull(), "limit reached"), (drawn, "credits drawn"), (window["rejected_seen"], "rejected"), (full, "window used up"))
+    return F.array_compact(F.array(*[F.when(F.coalesce(s, F.lit(False)), F.lit(n)) for s, n in signs]))

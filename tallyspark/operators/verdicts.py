@@ -157,3 +157,29 @@ def unknown_audits(audits: DataFrame, facts: DataFrame) -> DataFrame:
 def audit_table(queue: DataFrame, records: DataFrame, questions: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Queue rows with the run, the question, the fact and both verdicts beside them."""
     return queue.join(records.select("run_id", "question_id", "agent"), "run_id").join(questions.select(F.col("id").alias("question_id"), "question"), "question_id").join(facts.select("question_id", "fact_id", "statement", "value", "unit"), ["question_id", "fact_id"]).join(pairs, ["run_id", "fact_id"], "left")
+
+
+def judge_replies(extraction: DataFrame) -> DataFrame:
+    """Judge call logs, extracted like any log, as replies: text, usage, and why a reply may not be used.
+
+    A judge may call no tool and load no server; a log without an answer or with a reason of its own is no reply.
+    """
+    tools = F.when(F.size("tool_calls") > 0, F.concat(F.lit("tools used: "), F.array_join(F.array_sort(F.map_keys("tool_calls")), ", ")))
+    servers = F.when(F.size("mcp_servers") > 0, F.concat(F.lit("servers loaded: "), F.array_join(F.array_sort(F.map_keys("mcp_servers")), ", ")))
+    none = F.when(F.trim("answer") == "", F.lit("no answer"))
+    return extraction.select("run_id", F.col("answer").alias("reply"), "usage", F.coalesce("infra_reason", tools, servers, "incomplete_reason", none).alias("error"))
+
+
+def checked_rows(sample: DataFrame, checks: DataFrame) -> DataFrame:
+    """Sampled claims with their check results; a row without one has a null status."""
+    return sample.join(checks.select("row_id", "status", "bin", "subtype", "merit", "restatement"), "row_id", "left")
+
+
+def contamination_summary(rows: DataFrame, arm: str = "arm", question: str = "question_id") -> DataFrame:
+    """Per arm: trap adoption, accuracy and tokens as means of question means, filing share of what was read, runs.
+
+    Rows: one a run with adoption, accuracy, total_tokens, filings and sources (both counts).
+    """
+    share = F.col("filings") / F.nullif(F.col("sources"), F.lit(0))
+    per = rows.withColumn("share", share).groupBy(arm, question).agg(*[F.avg(c).alias(c) for c in ("adoption", "accuracy", "total_tokens", "share")], F.count(F.lit(1)).alias("n"))
+    return per.groupBy(arm).agg(*[F.avg(c).alias(c) for c in ("adoption", "accuracy", "total_tokens", "share")], F.sum("n").alias("runs"))

@@ -285,6 +285,23 @@ def audit_precedence(spark, sf_dir):
     return verdicts.audit_precedence(rows).select("run_id", "fact_id", "source", "superseded")
 
 
+@query("""WITH r AS (SELECT event_type AS arm, user_id AS question_id, CAST(event_id % 2 AS DOUBLE) AS adoption, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 4 AS DOUBLE) / 4 END AS accuracy, value AS total_tokens, (event_id % 5) * 1.0 / nullif(event_id % 7, 0) AS share FROM events),
+ q AS (SELECT arm, question_id, avg(adoption) a, avg(accuracy) c, avg(total_tokens) t, avg(share) s, count(*) n FROM r GROUP BY ALL) SELECT arm, round(avg(a), 6) AS adoption, round(avg(c), 6) AS accuracy, round(avg(t), 6) AS total_tokens, round(avg(s), 6) AS share, CAST(sum(n) AS BIGINT) AS runs FROM q GROUP BY ALL""")
+def contamination_summary(spark, sf_dir):
+    i = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), F.col("user_id").alias("question_id"), (i % 2).cast("double").alias("adoption"), F.when(i % 3 != 0, (i % 4).cast("double") / 4).alias("accuracy"), F.col("value").alias("total_tokens"), (i % 5).alias("filings"), (i % 7).alias("sources"))
+    out = verdicts.contamination_summary(rows)
+    return out.withColumns({c: r6(c) for c in ("adoption", "accuracy", "total_tokens", "share")})
+
+
+@query("""SELECT l_orderkey AS run_id, l_linenumber % 2 = 0 AS restated, count(*) AS rows, count(*) FILTER (WHERE o_orderkey IS NULL) AS unchecked FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus = 'F') ON l_orderkey = o_orderkey GROUP BY ALL""")
+def checked_rows(spark, sf_dir):
+    sample = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row_id"), "l_linenumber")
+    done = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("row_id"), F.lit("ok").alias("status"), F.lit("confirmed").alias("bin"), *[F.lit(None).cast("string").alias(c) for c in ("subtype", "merit", "restatement")])
+    rows = verdicts.checked_rows(sample, done)
+    return rows.groupBy(F.col("row_id").alias("run_id"), (F.col("l_linenumber") % 2 == 0).alias("restated")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status").isNull()).alias("unchecked"))
+
+
 # --- rates over grouping sets -----------------------------------------------------------------------
 
 

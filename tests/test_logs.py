@@ -184,3 +184,23 @@ def test_fingerprint_ignores_order(spark):
     rows = [("a", bytearray(b"1")), ("b", None)]
     kind = "label string, content binary"
     assert sinks.fingerprint(spark.createDataFrame(rows, kind)) == sinks.fingerprint(spark.createDataFrame(rows[::-1], kind))
+
+
+def test_judge_replies_and_signs(spark):
+    from tallyspark.operators import verdicts
+
+    rows = verdicts.judge_replies(extraction.stream_extraction(logs(spark, stream()))).first()
+    assert rows.reply == "ok" and rows.error == "tools used: WebSearch"
+    r = extraction.rollout_extraction(logs(spark, ROLLOUT))
+    from tallyspark.sources.readers import PLAN_WINDOW
+
+    whole = r.select(F.from_json(F.to_json("plan_window"), PLAN_WINDOW).alias("w"))
+    assert whole.select(extraction.metered_signs(F.col("w")).alias("s")).first().s == ["limit reached", "credits drawn"]
+
+
+def test_claims_of_runs(spark):
+    runs = spark.createDataFrame([("a",), ("b",), ("c",)], "run_id string")
+    claims = spark.createDataFrame([("a", "ok", [("fact", "x")]), ("b", "error", None)], "run_id string, status string, claims array<struct<type:string,text:string>>")
+    sources = spark.createDataFrame([("a",), ("b",)], "run_id string")
+    ok, missing, failed = provenance.claims_of_runs(runs, claims, sources)
+    assert [(r.run_id, r.claim_index) for r in ok.collect()] == [("a", 1)] and [r.run_id for r in missing.collect()] == ["c"] and [r.run_id for r in failed.collect()] == ["b"]

@@ -38,6 +38,8 @@ SLOTS = 1 << 22
 GROUPS = 128
 LEAF = 32
 PART = 4000
+#: At most so many sets can be held by so large a share of the rows that they are joined by broadcast.
+COMMON = 1024
 #: Bits of the filter that keeps texts without a tie from being cut into shingles again.
 FILTER_BITS = 1 << 23
 
@@ -298,10 +300,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     if some_large:
         joined = joined.unionByName(_join_large(found.join(large, "root"), sketch, percent, part, words))
     joined = stash(joined, "joined").groupBy("id").agg(F.min("root").alias("root"))
-    named = nodes.select(*same, "id").join(joined, "id", "left").select(*same, F.coalesce("root", "id").alias("component"))
-    out = sketch.select("doc_id", *same).join(named, same, "left")
-    whole = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return _settled(out.select("doc_id", F.col("n").alias("n_shingles"), whole.alias("component_id")), repeats)
+    named = stash(nodes.select(*same, "id").join(joined, "id", "left").select(*same, F.coalesce("root", "id").alias("component")), "named")
+    keys = ["doc_id", *same]
+    out = _by_set(real.select(*keys), named, same)
+    rest = sketch.where("n = 0 OR doc_id IS NULL").select(*keys, F.when(F.col("n") == 0, F.col("doc_id")).alias("component"))
+    out = out.unionByName(rest)
+    return _settled(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), repeats)
+
+
+def _by_set(rows: DataFrame, named: DataFrame, same: list[str]) -> DataFrame:
+    """Rows with the component of their set. Sets with at least 1/COMMON of all rows, so COMMON of them at most, are sent
+    to the rows; the others are met by a shuffle, in which no key is large then."""
+    least = max(2, -(-rows.count() // COMMON))
+    common = rows.groupBy(*same).count().where(F.col("count") >= least).select(*same)
+    sent = F.broadcast(named.join(F.broadcast(common), same))
+    hot = rows.join(sent, same)
+    return hot.unionByName(rows.join(F.broadcast(common), same, "left_anti").join(named, same).select(hot.columns))
 
 
 def _repeats(sketch: DataFrame) -> bool:

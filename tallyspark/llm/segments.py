@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from itertools import filterfalse
 
 import numpy as np
 
@@ -104,8 +105,8 @@ class SegmentEncoder:
         """Put what the caches lack into them; they are emptied first if they hold too much."""
         if self.chars > CACHE_CHARS:
             self.whole, self.spaced, self.chars = {}, {}, 0
-        self._read(self.whole, list(whole - self.whole.keys()), "")
-        self._read(self.spaced, list(spaced - self.spaced.keys()), " ")
+        self._read(self.whole, list(filterfalse(self.whole.__contains__, whole)), "")
+        self._read(self.spaced, list(filterfalse(self.spaced.__contains__, spaced)), " ")
 
     def _batches(self, texts: list[str]):
         """For 256 texts at a time: lists of (segments looked up whole, words looked up spaced)."""

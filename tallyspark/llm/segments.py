@@ -21,7 +21,7 @@ SPACE = re.compile(r"\s")
 #: Segments that are encoded as one text.
 PACKED = 256
 #: Characters that a worker's cache may hold.
-CACHE_CHARS = 16_000_000
+CACHE_CHARS = 20_000_000
 
 _loaded: dict[str, object] = {}
 

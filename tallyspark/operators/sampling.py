@@ -128,10 +128,17 @@ def text_sample(pool: DataFrame, size: int = 1500, floor: int = 60, seed: int =
     return stratified_sample(pool, ["category", "stratum"], "text_id", size, seed, floor)
 
 
-def dedupe(rows: DataFrame, key: Column, order: list[str], out: str = "key") -> DataFrame:
-    """The first row of each key and how often the key occurs. One shuffle: counts and the first row in one aggregate."""
+def dedupe(rows: DataFrame, key: Column, order: list[str], out: str = "key", keep: list[str] | None = None) -> DataFrame:
+    """The first row of each key and how often the key occurs. One shuffle: counts and the first row in one aggregate.
+
+    `keep` names the columns to carry (all, unless given); if they are the one order column, the aggregate is a plain
+    minimum, which needs no sort.
+    """
+    keep = keep or rows.columns
     keyed = rows.withColumn(out, key)
-    got = keyed.groupBy(out).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("x"), F.count(F.lit(1)).alias("occurrences"))
+    if keep == order and len(order) == 1:
+        return keyed.groupBy(out).agg(F.min(order[0]).alias(order[0]), F.count(F.lit(1)).alias("occurrences"))
+    got = keyed.groupBy(out).agg(F.min_by(F.struct(*keep), F.struct(*order)).alias("x"), F.count(F.lit(1)).alias("occurrences"))
     return got.select(out, "x.*", "occurrences")
 
 

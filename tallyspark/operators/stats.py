@@ -32,6 +32,19 @@ def paired(means: DataFrame, arm: str, baseline: str, cell: list[str] | None = N
     return both.where("a IS NOT NULL AND b IS NOT NULL").withColumns({"arm": F.lit(arm), "baseline": F.lit(baseline)})
 
 
+def paired_all(rows: DataFrame, value: str, pairs: tuple = PAIRS, cell: list[str] | None = None, question: str = "question_id") -> DataFrame:
+    """`paired` for several (arm, baseline) pairs from run rows, in one shuffle and one scan.
+
+    The mean of each arm's repetitions is a conditional average per question, so both phases share one exchange.
+    """
+    cell = cell or CELL
+    arms = sorted({x for p in pairs for x in p})
+    v = F.col(value).cast("double")
+    per = rows.where(F.col(value).isNotNull() & F.col("arm").isin(*arms)).groupBy(*cell, question).agg(*[F.avg(F.when(F.col("arm") == x, v)).alias(f"_m_{x}") for x in arms])
+    both = F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.lit(base).alias("baseline"), F.col(f"_m_{base}").alias("a"), F.col(f"_m_{arm}").alias("b")) for arm, base in pairs])).alias("p")
+    return per.select(*cell, question, both).select(*cell, question, "p.*").where("a IS NOT NULL AND b IS NOT NULL")
+
+
 def dropped(rows: DataFrame, pairs: DataFrame, cell: list[str] | None = None, question: str = "question_id") -> DataFrame:
     """Questions seen in a cell (any value, null too) that the pairs lack, as a sorted list per cell and pair."""
     cell = cell or CELL
@@ -141,11 +154,7 @@ def comparison_grid(rows: DataFrame, pairs: tuple = PAIRS, metrics: dict | None
     metrics = metrics or METRICS
     long = rows.select(*CELL, "arm", "question_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(v).cast("double") for v, _ in metrics.values()]))).alias("metric", "value"))
     cell = [*CELL, "metric"]
-    means = question_means(long, "value", [*cell, "arm"])
-    both = None
-    for arm, base in pairs:
-        p = paired(means, arm, base, cell)
-        both = p if both is None else both.unionByName(p)
+    both = paired_all(long, "value", pairs, cell)
     keys = [*cell, "arm", "baseline"]
     out = None
     for kind in sorted({k for _, k in metrics.values()}):

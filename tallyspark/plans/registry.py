@@ -57,12 +57,7 @@ def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(rows: DataFrame, value: str) -> DataFrame:
-    means = stats.question_means(rows, value)
-    out = None
-    for arm, base in stats.PAIRS:
-        p = stats.paired(means, arm, base)
-        out = p if out is None else out.unionByName(p)
-    return out
+    return stats.paired_all(rows, value)
 
 
 PAIRED = RUNS + """, means AS (SELECT agent, stratum, arm, question_id, avg(total_tokens) AS mean FROM runs WHERE total_tokens IS NOT NULL GROUP BY ALL),
@@ -414,7 +409,7 @@ def text_windows(spark, sf_dir):
 @query(r"""WITH k AS (SELECT doc_id, md5(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS key FROM documents) SELECT key, min(doc_id) AS doc_id, count(*) AS occurrences FROM k GROUP BY ALL""")
 def text_dedup(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5(text.collapse(F.col("text")).cast("binary")).alias("h"))
-    return sampling.dedupe(d, F.col("h"), ["doc_id"]).select("key", "doc_id", "occurrences")
+    return sampling.dedupe(d, F.col("h"), ["doc_id"], keep=["doc_id"]).select("key", "doc_id", "occurrences")
 
 
 @query()

@@ -83,8 +83,8 @@ def judgement_passes(docs: DataFrame) -> DataFrame:
 def question_set(spark: SparkSession, path: str) -> DataFrame:
     """One row a question, facts nested. Fails on a document without a list of questions."""
     docs = documents(spark, path, QUESTION_SET)
-    checked = docs.withColumn("_ok", F.assert_true(F.col("questions").isNotNull(), F.lit("a question set needs a list of questions")))
-    return checked.where(F.col("_ok").isNull()).select(F.col("set"), F.posexplode("questions").alias("q_ord", "q")).select("set", "q_ord", "q.*")
+    listed = F.coalesce("questions", F.raise_error(F.lit("a question set needs a list of questions")))
+    return docs.select(F.col("set"), F.posexplode(listed).alias("q_ord", "q")).select("set", "q_ord", "q.*")
 
 
 def facts(questions: DataFrame) -> DataFrame:

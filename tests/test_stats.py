@@ -47,6 +47,14 @@ def test_pairing_and_dropped(spark):
     assert pairs.agg(stats.token_ratio().alias("r")).first().r == pytest.approx(310 / 130)
 
 
+def test_all_pairs_equal_single_pairs(spark):
+    rows = frame(spark)
+    means = stats.question_means(rows, "total_tokens")
+    for arm, base in stats.PAIRS:
+        one = {(r.question_id, r.a, r.b) for r in stats.paired(means, arm, base).collect()}
+        assert one == {(r.question_id, r.a, r.b) for r in stats.paired_all(rows, "total_tokens").where((F.col("arm") == arm) & (F.col("baseline") == base)).collect()}
+
+
 def test_ratio_over_nothing_is_infinite(spark):
     rows = spark.createDataFrame([(1.0, 0.0)], "a double, b double")
     assert rows.agg(stats.token_ratio().alias("r")).first().r == float("inf")

@@ -38,6 +38,8 @@ SLOTS = 1 << 22
 GROUPS = 128
 LEAF = 32
 PART = 4000
+#: Sets that a task remembers having told.
+TOLD = 200_000
 #: At most so many sets can be held by so large a share of the rows that they are joined by broadcast.
 COMMON = 1024
 #: Bits of the filter that keeps texts without a tie from being cut into shingles again.
@@ -94,7 +96,10 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
-    """Uses of each slot over all documents (a document uses a shingle once). SLOTS numbers, whatever the input."""
+    """Uses of each slot over all documents (a document uses a shingle once). SLOTS numbers, whatever the input.
+
+    A task tells at most 65,535 of a slot: the numbers only order shingles, and any order that all share is exact.
+    """
     slices = 64
     size = SLOTS // slices
 
@@ -109,14 +114,14 @@ def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
                     held, n = [], 0
         if held:
             loads += np.bincount(np.concatenate(held), minlength=SLOTS)
-        parts = [zlib.compress(loads[i * size : (i + 1) * size].tobytes(), 1) for i in range(slices)]
+        parts = [zlib.compress(np.minimum(loads[i * size : (i + 1) * size], 65_535).astype(np.uint16).tobytes(), 1) for i in range(slices)]
         yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "loads"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(zlib.decompress(x), np.int64)
+                got = np.frombuffer(zlib.decompress(x), np.uint16).astype(np.int64)
                 total[k] = total[k] + got if k in total else got
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["slice", "loads"])
 
@@ -128,21 +133,30 @@ def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, loads: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix): set size, two fingerprints of the set, and the prefix shingles in the common order."""
+    """(doc_id, n, f1, f2, prefix): set size, two fingerprints of the set, and the prefix shingles in the common order.
+
+    A task gives the prefix of a set once, so that a group of copies makes a row a task, not a row a copy.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(loads)
 
     def run(batches):
-        hashes, order = WordHashes(), sent.value
+        hashes, order, told = WordHashes(), sent.value, set()
         for b in batches:
             sizes, f1, f2, prefixes = [], [], [], []
-            for x in b.column(1).to_pylist():
+            for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(x, hashes, words)
                 sizes.append(len(s))
                 f1.append(int(_scramble(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 f2.append(int(_scramble(s * _MIX ^ _MIX3).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                p = prefix_length(len(s), percent) if len(s) else 0
+                mark = (f1[-1], f2[-1])
+                if key is None or not len(s) or mark in told:
+                    prefixes.append(np.zeros(0, np.int64))
+                    continue
+                if len(told) < TOLD:
+                    told.add(mark)
+                p = prefix_length(len(s), percent)
                 load = order[slots_of(s)]
-                if 0 < p < len(s):
+                if p < len(s):
                     last = np.partition(load, p - 1)[p - 1]
                     take = np.flatnonzero(load < last)
                     take = np.concatenate([take, np.flatnonzero(load == last)[: p - len(take)]])
@@ -280,17 +294,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     sketch = stash(sketches(docs, loads, words, percent), "sketch")
     real = sketch.where("n > 0 AND doc_id IS NOT NULL")
     same = ["n", "f1", "f2"]
-    nodes = real.groupBy(*same).agg(F.min_by(F.struct("doc_id", "prefix"), "doc_id").alias("x")).select(*same, F.col("x.doc_id").alias("id"), F.col("x.prefix").alias("prefix"))
-    uses = nodes.select("n", "id", F.explode("prefix").alias("shingle"))
-    walk = Window.partitionBy("shingle").orderBy("n", "id")
+    nodes = real.groupBy(*same).agg(F.min("doc_id").alias("id"))
+    # ties are between first fingerprints: should two sets share one, they are tied too, which only makes a part larger
+    uses = real.select("n", "f1", F.explode("prefix").alias("shingle"))
+    walk = Window.partitionBy("shingle").orderBy("n", "f1")
     cut = F.lag("n").over(walk).isNull() | (100 * F.lag("n").over(walk) < percent * F.col("n"))
-    first = F.last(F.when(F.col("cut"), F.col("id")), ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, 0))
-    ties = uses.withColumn("cut", cut).withColumn("first", first).where("first <> id").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct()
-    parts = stash(components(ties), "parts")
-    wanted = parts.select("id")
+    first = F.last(F.when(F.col("cut"), F.col("f1")), ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, 0))
+    ties = uses.withColumn("cut", cut).withColumn("first", first).where("first <> f1").select(F.col("f1").alias("a"), F.col("first").alias("b")).distinct()
+    tied = components(ties).select(F.col("id").alias("f1"), "root")
+    parts = stash(nodes.select("f1", "id").join(tied, "f1").select("id", "root").distinct(), "parts")
+    wanted = parts.select("id").distinct()
     repeats = _repeats(sketch)
     found = texts_of(docs, wanted).join(parts, "id")
-    found = found.dropDuplicates(["id", "text"]) if repeats else found
+    found = found.dropDuplicates(["id", "text", "root"]) if repeats else found
     sizes = parts.groupBy("root").count()
     large = sizes.where(F.col("count") > part)
     some_large = large.limit(1).count()

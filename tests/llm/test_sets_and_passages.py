@@ -154,3 +154,10 @@ def test_decontamination_odd_rows(spark, odd, empty):
     assert kept.count() == odd.count() and kept.columns == odd.columns
     assert decontam.contaminated(empty, items).count() == 0
     assert decontam.contaminated(odd, items.where("item_id = -1")).count() == 0
+
+
+def test_one_id_in_two_parts_joins_them(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(5, a), (5, b), (7, a + " x"), (8, b + " y"), (9, b + " y")]
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {5: 5, 7: 5, 8: 5, 9: 5}

@@ -22,33 +22,28 @@ def hash_top_k(rows: DataFrame, group: str, id_col: str, k: int, seed: int = 810
 def allocate(sizes: dict, total: int, floor: int) -> dict:
     """Shares of `total` in proportion to the sizes of a few cells, at least `floor` each (all of a smaller cell).
 
-    Cells below their floor are set to it and the rest is shared again until none falls below; fractions go by largest
-    remainder. If the floors alone are too many, there are none.
+    If the floors alone are too many, there are none.
     """
-    cells = {k: n for k, n in sizes.items() if n > 0}
-    if sum(cells.values()) <= total:
-        return cells
-    least = {k: min(floor, n) for k, n in cells.items()}
-    if sum(least.values()) > total:
-        least = dict.fromkeys(cells, 0)
-    fixed: dict = {}
-    while True:
-        free = {k: n for k, n in cells.items() if k not in fixed}
-        left, mass = total - sum(fixed.values()), sum(free.values())
-        low = {k: least[k] for k, n in free.items() if left * n / mass < least[k]} if mass else {}
-        if not low:
-            break
-        fixed |= low
-    share = {k: left * n / mass for k, n in free.items()}
-    out = {k: min(int(v), free[k]) for k, v in share.items()}
-    spare = left - sum(out.values())
-    order = sorted(share, key=lambda k: (int(share[k]) - share[k], k))
-    while spare > 0 and any(out[k] < free[k] for k in order):
-        for k in order:
-            if spare > 0 and out[k] < free[k]:
-                out[k] += 1
-                spare -= 1
-    return fixed | out
+    sizes = {k: n for k, n in sizes.items() if n > 0}
+    if total >= sum(sizes.values()):
+        return sizes
+    fits = sum(min(floor, n) for n in sizes.values()) <= total
+    return _proportional(sizes, total, floor if fits else 0)
+
+
+def _proportional(sizes: dict, total: int, floor: int) -> dict:
+    """Cells below their floor get it and the others share the rest anew; fractions go by largest remainder.
+
+    A share never exceeds its cell, so rounding one up never does either.
+    """
+    mass = sum(sizes.values())
+    short = {k: min(floor, n) for k, n in sizes.items() if total * n < min(floor, n) * mass}
+    if short:
+        others = {k: n for k, n in sizes.items() if k not in short}
+        return short | (_proportional(others, total - sum(short.values()), floor) if others else {})
+    exact = {k: divmod(total * n, mass) for k, n in sizes.items()}
+    up = sorted(exact, key=lambda k: (-exact[k][1], k))[: total - sum(q for q, _ in exact.values())]
+    return {k: q + (k in up) for k, (q, _) in exact.items()}
 
 
 def cell_sizes(rows: DataFrame, cell: list[str]) -> dict:

@@ -575,3 +575,6 @@ def billing_warnings(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("ts").alias("at"), F.col("event_id").alias("run_id"), "event_type", "value")
     first = e.where("event_type = 'error'").withColumn("reasons", F.array(F.lit("a"), F.lit("b")))
     return runs.billing_warnings({"first": first, "second": e.where("value > 480").withColumn("reasons", F.array(F.lit("c")))})
+
+
+from . import more  # noqa: E402, F401

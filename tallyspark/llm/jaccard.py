@@ -13,8 +13,9 @@
    Pairs that already hang together need no verification, as only the components are asked for.
 4. A part of more than PART nodes is dealt out exactly: size bands (a link never skips one), each cut into tiles of
    about PART / 2 nodes by hash, and each pair of tiles is joined by an R-tree of its own, giving a spanning set of
-   links; their components are the result. So a task never holds more than about PART sets. The pairs of tiles grow with
-   the square of such a part's size within a band: that is the price of exactness there.
+   links; their components are the result. So a task never holds more than about PART sets, and a family of many near
+   copies is many tasks. The pairs of tiles grow with the square of such a part's size within a band: that is the price
+   of exactness there.
 
 Shingles are 64-bit hashes; sets are told apart by 128 bits more. Cases: a text with fewer than five words is one
 shingle of all its words; without words or text a document has no shingle and links with nothing; repeated rows and
@@ -37,7 +38,7 @@ WORDS = 5
 SLOTS = 1 << 22
 GROUPS = 128
 LEAF = 32
-PART = 4000
+PART = 1000
 #: Sets that a task remembers having told.
 TOLD = 200_000
 #: At most so many sets can be held by so large a share of the rows that they are joined by broadcast.
@@ -302,20 +303,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     first = F.last(F.when(F.col("cut"), F.col("f1")), ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, 0))
     ties = uses.withColumn("cut", cut).withColumn("first", first).where("first <> f1").select(F.col("f1").alias("a"), F.col("first").alias("b")).distinct()
     tied = components(ties).select(F.col("id").alias("f1"), "root")
-    parts = stash(nodes.select("f1", "id").join(tied, "f1").select("id", "root").distinct(), "parts")
-    wanted = parts.select("id").distinct()
+    parts = stash(nodes.select("f1", "id", "n").join(tied, "f1").select("id", "root", "n").distinct(), "parts")
     repeats = _repeats(sketch)
-    found = texts_of(docs, wanted).join(parts, "id")
-    found = found.dropDuplicates(["id", "text", "root"]) if repeats else found
-    sizes = parts.groupBy("root").count()
-    large = sizes.where(F.col("count") > part)
-    some_large = large.limit(1).count()
-    found = stash(found, "texts") if some_large else found
-    small = found.join(large, "root", "left_anti") if some_large else found
-    joined = join_parts(small, ["root"], percent, words)
-    if some_large:
-        joined = joined.unionByName(_join_large(found.join(large, "root"), sketch, percent, part, words))
-    joined = stash(joined, "joined").groupBy("id").agg(F.min("root").alias("root"))
+    tasks, split = _tasks(parts, percent, part)
+    found = texts_of(docs, parts.select("id").distinct()).join(tasks, "id")
+    found = found.dropDuplicates(["id", "text", "root", "task"]) if repeats else found
+    met = stash(join_parts(found, ["root", "task"], percent, words), "joined")
+    joined = met.groupBy("id").agg(F.min("root").alias("root"))
+    if split is not None:
+        links = met.join(split, "id", "left_semi").where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+        wide = components(links).select("id", F.col("root").alias("wide"))
+        joined = joined.join(wide, "id", "left").select("id", F.coalesce("wide", "root").alias("root"))
     named = stash(nodes.select(*same, "id").join(joined, "id", "left").select(*same, F.coalesce("root", "id").alias("component")), "named")
     keys = ["doc_id", *same]
     out = _by_set(real.select(*keys), named, same)
@@ -349,25 +347,33 @@ def _settled(out: DataFrame, repeats: bool) -> DataFrame:
     return kept.join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("component_id").isNotNull(), F.coalesce("root", "component_id")).alias("component_id"))
 
 
-def _join_large(rows: DataFrame, sketch: DataFrame, percent: int, part: int, words: int) -> DataFrame:
-    """Parts of more than `part` nodes: pairs of tiles, each in one task; then the components of the links found."""
+TASK = "struct<band:int,step:int,a:int,b:int>"
+
+
+def _tasks(parts: DataFrame, percent: int, part: int) -> tuple[DataFrame, DataFrame | None]:
+    """(id, root, task): where each set is joined, and the ids whose part is split (None if there is none).
+
+    A small part is one task (null). A larger one is cut into size bands, which a link never skips, and each band into
+    tiles by hash; every pair of tiles of one band or of neighbours is a task. No text is touched here.
+    """
+    whole = parts.select("id", "root", F.lit(None).cast(TASK).alias("task"))
+    large = parts.groupBy("root").count().where(F.col("count") > part).select("root")
+    if not large.limit(1).count():
+        return whole, None
     width = float(np.log(100 / percent)) * 1.0000001
-    size = sketch.where("n > 0").select(F.col("doc_id").alias("id"), "n").distinct()
-    banded = rows.join(size, "id").select("root", "id", "text", F.floor(F.log("n") / F.lit(width)).cast("int").alias("band"))
+    banded = parts.join(large, "root").select("root", "id", F.floor(F.log("n") / F.lit(width)).cast("int").alias("band"))
     tiles = banded.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, part // 2))).cast("int").alias("tiles"))
     lower = tiles.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
     upper = tiles.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
     known = banded.join(tiles, ["root", "band"]).join(lower, ["root", "band"], "left").join(upper, ["root", "band"], "left").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    own = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: F.struct(F.col("band").alias("band"), F.lit(0).alias("step"), F.least(t, F.col("tile")).alias("a"), F.greatest(t, F.col("tile")).alias("b")))
-    up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda t: F.struct(F.col("band").alias("band"), F.lit(1).alias("step"), F.col("tile").alias("a"), t.alias("b"))))
-    down = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda t: F.struct((F.col("band") - 1).alias("band"), F.lit(1).alias("step"), t.alias("a"), F.col("tile").alias("b"))))
-    kind = "array<struct<band:int,step:int,a:int,b:int>>"
-    none = F.array().cast(kind)
-    tasks = F.concat(own.cast(kind), F.coalesce(up.cast(kind), none), F.coalesce(down.cast(kind), none))
-    dealt = known.select("root", "id", "text", F.explode(tasks).alias("task")).select("root", "task", "id", "text")
-    found = stash(join_parts(dealt, ["root", "task"], percent, words), "tiles")
-    met = components(found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")))
-    return found.select("id").distinct().join(met, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    pair = lambda band, step, a, b: F.struct(band.alias("band"), F.lit(step).alias("step"), a.alias("a"), b.alias("b"))
+    band, tile, none = F.col("band"), F.col("tile"), F.array().cast(f"array<{TASK}>")
+    own = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: pair(band, 0, F.least(t, tile), F.greatest(t, tile)))
+    up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda t: pair(band, 1, tile, t)))
+    down = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda t: pair(band - 1, 1, t, tile)))
+    tasks = F.concat(own.cast(f"array<{TASK}>"), *[F.coalesce(x.cast(f"array<{TASK}>"), none) for x in (up, down)])
+    split = stash(known.select("id", "root", F.explode(tasks).alias("task")).distinct(), "tasks")
+    return whole.join(large, "root", "left_anti").select("id", "root", "task").unionByName(split), split.select("id").distinct()
 
 
 def op5_jaccard_rtree(spark, sf_dir: str) -> DataFrame:

@@ -166,9 +166,9 @@ def quote_checks(spark, sf_dir):
 # --- work lists -----------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT c_custkey AS item FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS batches, bool_or(o_orderstatus = 'F') AS ok FROM orders GROUP BY ALL) ON o_custkey = c_custkey WHERE batches IS NULL OR (NOT ok AND batches < 2)""")
+@query("""SELECT c_custkey AS item FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS batches, bool_or(o_orderstatus = 'F') AS ok FROM orders WHERE o_orderkey % 9 = 0 GROUP BY ALL) ON o_custkey = c_custkey WHERE batches IS NULL OR (NOT ok AND batches < 2)""")
 def needs_work(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("item")).agg(F.count(F.lit(1)).alias("batches"), F.when(F.bool_or(F.col("o_orderstatus") == "F"), "ok").otherwise("error").alias("status"))
+    done = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 9 == 0).groupBy(F.col("o_custkey").alias("item")).agg(F.count(F.lit(1)).alias("batches"), F.when(F.bool_or(F.col("o_orderstatus") == "F"), "ok").otherwise("error").alias("status"))
     return runs.needs_work(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item")), done, "item")
 
 

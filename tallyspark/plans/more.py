@@ -106,11 +106,11 @@ def comparison_rows(spark, sf_dir):
     return runs.comparison_rows(c, ["tokens", "accuracy"]).where("estimate IS NOT NULL")
 
 
-@query("""WITH f AS (SELECT l_orderkey % 200 AS question_id, count(DISTINCT l_partkey) AS filings FROM lineitem GROUP BY ALL), r AS (SELECT event_id % 200 AS question_id, event_type AS arm, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS t FROM events WHERE event_id % 3 = 0)
+@query("""WITH f AS (SELECT l_orderkey % 200 AS question_id, count(DISTINCT l_partkey) AS filings FROM lineitem GROUP BY ALL), r AS (SELECT event_id % 200 AS question_id, event_type AS arm, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS t FROM events)
  SELECT question_id, arm, coalesce(filings, 0) AS distinct_key_filings, count(*) AS runs, count(t) AS completed_reps, round(avg(t), 6) AS mean_total_tokens FROM r LEFT JOIN f USING (question_id) GROUP BY ALL""")
 def multi_period(spark, sf_dir):
     i = F.col("event_id")
-    rows = table(spark, sf_dir, "events").where(i % 3 == 0).select((i % 200).alias("question_id"), F.col("event_type").alias("arm"), F.lit("x").alias("agent"), F.lit("multi_period").alias("stratum"), F.when(i % 5 != 0, F.col("value")).alias("total_tokens"), F.lit(1.0).alias("accuracy"))
+    rows = table(spark, sf_dir, "events").select((i % 200).alias("question_id"), F.col("event_type").alias("arm"), F.lit("x").alias("agent"), F.lit("multi_period").alias("stratum"), F.when(i % 5 != 0, F.col("value")).alias("total_tokens"), F.lit(1.0).alias("accuracy"))
     facts = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 200).alias("question_id"), F.struct(F.col("l_partkey").cast("string").alias("filing_uuid")).alias("source"))
     return runs.multi_period(rows, facts).select("question_id", "arm", "distinct_key_filings", "runs", "completed_reps", r6("mean_total_tokens").alias("mean_total_tokens"))
 
@@ -166,9 +166,9 @@ def quote_checks(spark, sf_dir):
 # --- work lists -----------------------------------------------------------------------------------------------------
 
 
-@query("""SELECT c_custkey AS item FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS batches, bool_or(o_orderstatus = 'F') AS ok FROM orders WHERE o_orderkey % 9 = 0 GROUP BY ALL) ON o_custkey = c_custkey WHERE batches IS NULL OR (NOT ok AND batches < 2)""")
+@query("""SELECT c_custkey AS item FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS batches, bool_or(o_orderstatus = 'F') AS ok FROM orders WHERE o_totalprice > 400000 GROUP BY ALL) ON o_custkey = c_custkey WHERE batches IS NULL OR (NOT ok AND batches < 2)""")
 def needs_work(spark, sf_dir):
-    done = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 9 == 0).groupBy(F.col("o_custkey").alias("item")).agg(F.count(F.lit(1)).alias("batches"), F.when(F.bool_or(F.col("o_orderstatus") == "F"), "ok").otherwise("error").alias("status"))
+    done = table(spark, sf_dir, "orders").where("o_totalprice > 400000").groupBy(F.col("o_custkey").alias("item")).agg(F.count(F.lit(1)).alias("batches"), F.when(F.bool_or(F.col("o_orderstatus") == "F"), "ok").otherwise("error").alias("status"))
     return runs.needs_work(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item")), done, "item")
 
 

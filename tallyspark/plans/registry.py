@@ -177,10 +177,11 @@ def resume_plan(spark, sf_dir):
     return runs.resume_plan(specs, recs, rerun_invalid=True).select("run_key", "state", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("start_attempt", "attempts_left")])
 
 
-@query("""SELECT coalesce(r.event_id, e.event_id) AS run_id, CASE WHEN r.event_id IS NOT NULL THEN r.value * 2 ELSE e.value END AS value FROM events e LEFT JOIN (SELECT * FROM events WHERE event_id % 3 = 0) r ON e.event_id = r.event_id""")
+@query("""SELECT coalesce(r.event_id, e.event_id) AS run_id, CASE WHEN r.event_id IS NOT NULL THEN r.value * 2 ELSE e.value END AS value FROM events e LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') r ON e.event_id = r.event_id""")
 def latest_record_merge(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), "value")
-    return runs.latest_records(e, e.where("run_id % 3 = 0").withColumn("value", F.col("value") * 2))
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("run_id"), "value", "event_type")
+    newer = e.where("event_type = 'error'").withColumn("value", F.col("value") * 2)
+    return runs.latest_records(e, newer).select("run_id", "value")
 
 
 @query(f"WITH {RUNS}, p AS (SELECT * FROM runs UNION ALL SELECT * REPLACE ('all_scored' AS stratum) FROM runs WHERE stratum <> 'control') SELECT agent, stratum, arm, count(*) AS runs, round(avg(total_tokens), 6) AS mean_tokens FROM p GROUP BY ALL")

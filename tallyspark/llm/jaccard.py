@@ -240,7 +240,7 @@ def join_part(ids: list[int], sets: list[np.ndarray], percent: int) -> list[int]
 def join_parts(rows: DataFrame, key: list[str], percent: int, words: int) -> DataFrame:
     """Rows (key..., id, text), a key in one task: rows (id, root) with the least id of its component in the key.
 
-    Texts travel, not sets: they are smaller, and Spark compresses them.
+    Texts travel, not sets, and packed: they are much smaller.
     """
     many = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.select(F.struct(*key).alias("key"), "id", "text").repartition(many, "key").sortWithinPartitions("key", "id")
@@ -259,7 +259,7 @@ def join_parts(rows: DataFrame, key: list[str], percent: int, words: int) -> Dat
                         yield done()
                     now, ids, sets = k, [], []
                 ids.append(i)
-                sets.append(shingles(x, hashes, words))
+                sets.append(shingles(zlib.decompress(x).decode("utf-8"), hashes, words))
         if ids:
             yield done()
 
@@ -267,7 +267,7 @@ def join_parts(rows: DataFrame, key: list[str], percent: int, words: int) -> Dat
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, text) of the wanted ids, and of a few others, which a join drops.
+    """(id, text binary, zlib) of the wanted ids, and of a few others, which a join drops.
 
     A bit filter of fixed size, sent to all workers, spares most other texts the shuffle.
     """
@@ -281,10 +281,12 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         marked = sent.value
         for b in batches:
             at = np.array(b.column(2), np.int64)
-            yield b.select([0, 1]).filter(pa.array(((marked[at >> 6] >> (at & 63)) & 1).astype(bool)))
+            part = b.filter(pa.array(((marked[at >> 6] >> (at & 63)) & 1).astype(bool)))
+            packed = [zlib.compress(x.encode("utf-8", "replace"), 1) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "text"])
 
     source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
-    return source.mapInArrow(run, "id long, text string")
+    return source.mapInArrow(run, "id long, text binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, words: int = WORDS, part: int = PART) -> DataFrame:
@@ -306,7 +308,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     parts = stash(nodes.select("f1", "id", "n").join(tied, "f1").select("id", "root", "n").distinct(), "parts")
     repeats = _repeats(sketch)
     tasks, split = _tasks(parts, percent, part)
-    found = texts_of(docs, parts.select("id").distinct()).join(tasks, "id")
+    # both sides grow with the corpus: a shuffle at every size
+    found = texts_of(docs, parts.select("id").distinct()).hint("merge").join(tasks.hint("merge"), "id")
     found = found.dropDuplicates(["id", "text", "root", "task"]) if repeats else found
     met = stash(join_parts(found, ["root", "task"], percent, words), "joined")
     joined = met.groupBy("id").agg(F.min("root").alias("root"))

@@ -161,6 +161,19 @@ def grouped(words: list[bytes], most: int = BATCH):
         k = end
 
 
+def in_bulk(batches, rows: int = 2 * BATCH):
+    """Small rows (words), several Arrow batches at a time."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def count_words(docs: DataFrame, text: str, train: str, most: int = 300_000) -> DataFrame:
     """(word binary, c long): uses in training rows; words only seen elsewhere have 0. END is the end of a document."""
 
@@ -205,7 +218,7 @@ def fit_pieces(words: DataFrame, path: str, rounds: int = 2, weight: float = 200
 
         def expect(batches, logs=logs):
             total = np.zeros(size)
-            for b in batches:
+            for b in in_bulk(batches):
                 found, counts = b.column(0).to_pylist(), np.array(b.column(1), dtype=float)
                 for part in grouped(found):
                     lattice([found[i] for i in part], pieces(path), logs, np.minimum(counts[part], 1.0), total)
@@ -223,7 +236,7 @@ def fit_pieces(words: DataFrame, path: str, rounds: int = 2, weight: float = 200
 def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, rounds: int = 2) -> DataFrame:
     """Log10 likelihood of every whole text under the lattice model learnt from the rows where `train` is true.
 
-    Returns id, train, n_tokens, n_known, train_tokens, base_score (add-one word unigram), score.
+    Returns id, train, n_tokens, n_known, train_tokens, base_score (add-one word unigram), score, spelled_score.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -239,7 +252,7 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text: s
     unknown = cut * v / n if n else 1.0
 
     def price(batches):
-        for b in batches:
+        for b in in_bulk(batches):
             found = b.column(0).to_pylist()
             out = np.full(len(found), log_end)
             real = [i for i, w in enumerate(found) if w]

@@ -25,21 +25,30 @@ def keep_latest(stream: DataFrame, table: str, checkpoint: str, key: str = "run_
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
+        known = versions(spark, table)
+        if any(r.batch == n for r in known):  # the batch was merged, but its end was not noted
+            return
         now = current(spark, table)
         rows = latest_records(now, batch, key=key) if now is not None else latest_records(batch, key=key)
-        rows.write.mode("overwrite").parquet(f"{table}/v{n}")
-        spark.createDataFrame([(n,)], "version long").coalesce(1).write.mode("append").parquet(f"{table}/versions")
+        version = max((r.version for r in known), default=-1) + 1
+        rows.write.mode("overwrite").parquet(f"{table}/v{version}")
+        spark.createDataFrame([(version, n)], "version long, batch long").coalesce(1).write.mode("append").parquet(f"{table}/versions")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def current(spark: SparkSession, table: str) -> DataFrame | None:
-    """The latest version of a table that `keep_latest` fills."""
+def versions(spark: SparkSession, table: str) -> list:
+    """(version, batch) of a table that `keep_latest` fills: one row a batch, few as they are written."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/versions")
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return None
-    n = spark.read.parquet(f"{table}/versions").agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{table}/v{n}")
+        return []
+    return spark.read.schema("version long, batch long").parquet(f"{table}/versions").collect()
+
+
+def current(spark: SparkSession, table: str) -> DataFrame | None:
+    """The latest version of a table that `keep_latest` fills."""
+    known = versions(spark, table)
+    return spark.read.parquet(f"{table}/v{max(r.version for r in known)}") if known else None
 
 
 def latch(events: DataFrame, key: str = "batch") -> DataFrame:

@@ -89,25 +89,43 @@ def draws_seeded(spark: SparkSession, sizes: list[int], resamples: int = RESAMPL
 
 def draw_index(seed: int, draw: Column, at: Column, n: Column) -> Column:
     """The index that a hash draws: the same number in any SQL engine that has md5."""
-    h = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), at.cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return (h % n).cast("int")
+    return (_hash(seed, draw, at) % n).cast("int")
+
+
+def _hash(seed: int, draw: Column, at: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), at.cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
+def _hashed(placed: DataFrame, cell: list[str], made: Column, resamples: int, seed: int) -> DataFrame:
+    """cell, _draw, _v of hashed draws. The draws are dealt out to the tasks and the cells sent to each.
+
+    A hash of (draw, place) serves all cells, and a task sums its own draws, so only one row a cell and draw is shuffled.
+    """
+    spark = placed.sparkSession
+    cells = placed.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("_pos", *[c for c in placed.columns if c not in (*cell, "_pos")]))).alias("_all"))
+    cells = cells.withColumns({"_id": F.row_number().over(Window.orderBy(*cell)), "_n": F.size("_all")})  # few rows
+    tasks = min(resamples, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    hashes = F.transform(F.sequence(F.lit(0), F.col("_most") - 1), lambda k: _hash(seed, F.col("_draw"), k))
+    spine = spark.range(0, resamples, 1, tasks).select(F.col("id").alias("_draw")).crossJoin(F.broadcast(cells.agg(F.max("_n").alias("_most")))).where("_most IS NOT NULL")
+    rows = spine.select("_draw", F.posexplode(hashes).alias("_at", "_h")).crossJoin(F.broadcast(cells.select("_id", "_n", "_all"))).where("_at < _n")
+    sums = rows.select("_id", "_draw", F.element_at("_all", (F.col("_h") % F.col("_n")).cast("int") + 1).alias("_x")).select("_id", "_draw", "_x.*").groupBy("_id", "_draw").agg(made.alias("_v"))
+    return sums.join(F.broadcast(cells.select("_id", *cell)), "_id").drop("_id")
 
 
 def bootstrap(pairs: DataFrame, cell: list[str], statistic: str | Column, order: str = "question_id", resamples: int = RESAMPLES, seed: int = SEED, draws: DataFrame | None = None) -> DataFrame:
     """Percentile 95 % interval of a statistic over (a, b) per cell: estimate, ci_low, ci_high, n_questions, resamples, seed.
 
-    All cells and draws in one job: positions are drawn as rows, met with the values by an equi-join on cell and
-    position, and summed by cell and draw. `draws` gives seeded index lists instead of hashed ones.
+    All cells and draws in one job, summed by cell and draw. `draws` gives seeded index lists instead of hashed ones;
+    they are met with the values by an equi-join on cell and position.
     """
     made = STATISTICS[statistic]() if isinstance(statistic, str) else statistic
     placed = pairs.withColumn("_pos", F.row_number().over(Window.partitionBy(*cell).orderBy(order)) - 1)
     sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).cast("int").alias("_n"))
     if draws is None:
-        rows = sizes.select(*cell, "_n", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("_draw")).select(*cell, "_n", "_draw", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_at"))
-        rows = rows.select(*cell, "_draw", draw_index(seed, F.col("_draw"), F.col("_at"), F.col("_n")).alias("_pos"))
+        drawn = _hashed(placed, cell, made, resamples, seed)
     else:
         rows = sizes.join(draws, F.col("_n") == F.col("n")).select(*cell, F.col("draw").alias("_draw"), F.explode("idx").alias("_pos"))
-    drawn = rows.join(placed, [*cell, "_pos"]).groupBy(*cell, "_draw").agg(made.alias("_v"))
+        drawn = rows.join(placed, [*cell, "_pos"]).groupBy(*cell, "_draw").agg(made.alias("_v"))
     ends = drawn.groupBy(*cell).agg(F.percentile("_v", F.lit(0.025)).alias("ci_low"), F.percentile("_v", F.lit(0.975)).alias("ci_high"))
     whole = placed.groupBy(*cell).agg(made.alias("estimate"), F.count(F.lit(1)).alias("n_questions"))
     return whole.join(ends, cell).withColumns({"resamples": F.lit(resamples), "seed": F.lit(seed)}).where("estimate IS NOT NULL")

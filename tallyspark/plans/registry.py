@@ -88,6 +88,7 @@ def dropped_questions(spark, sf_dir):
     return stats.dropped(rows, _pairs(rows, "total_tokens").where("a < 1.05 * b")).select(*KEYS, F.array_join("dropped_questions", ",").alias("dropped"))
 
 
+#: Draws of the queries whose SQL is given; those named `_whole` make stats.RESAMPLES.
 DRAWS = 200
 
 
@@ -107,29 +108,54 @@ def _interval(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, r6("estimate").alias("estimate"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_questions")
 
 
+def _all_draws(name: str) -> str:
+    """SQL of a query of DRAWS draws, with the operator's own number."""
+    return SQL[name].replace(f"range({DRAWS}) t(draw)", f"range({stats.RESAMPLES}) t(draw)")
+
+
 @query(f"WITH {PAIRED}, " + _draws("pairs", "agent, stratum, arm, baseline", "sum(a) / sum(b)"))
-def token_ratio_interval(spark, sf_dir):
-    return _interval(stats.bootstrap(_pairs(event_runs(spark, sf_dir), "total_tokens"), KEYS, "ratio", resamples=DRAWS), KEYS)
+def token_ratio_interval(spark, sf_dir, resamples=DRAWS):
+    return _interval(stats.bootstrap(_pairs(event_runs(spark, sf_dir), "total_tokens"), KEYS, "ratio", resamples=resamples), KEYS)
 
 
 @query(f"WITH {RUNS}, q AS (SELECT agent, arm, question_id, avg(accuracy) AS a FROM runs WHERE accuracy IS NOT NULL GROUP BY ALL), " + _draws("q", "agent, arm", "avg(p.a)").replace("avg(p.a) AS estimate", "avg(a) AS estimate"))
-def accuracy_interval(spark, sf_dir):
+def accuracy_interval(spark, sf_dir, resamples=DRAWS):
     rows = event_runs(spark, sf_dir).where("accuracy IS NOT NULL").groupBy("agent", "arm", "question_id").agg(F.avg("accuracy").alias("a"))
-    return _interval(stats.mean_interval(rows, ["agent", "arm"], resamples=DRAWS), ["agent", "arm"])
+    return _interval(stats.mean_interval(rows, ["agent", "arm"], resamples=resamples), ["agent", "arm"])
 
 
 @query(f"WITH {RUNS}, q AS (SELECT agent, arm, question_id, CAST(count(*) FILTER (WHERE status = 'timeout') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE status IN ('timeout', 'turn_limit')) AS DOUBLE) AS b FROM runs GROUP BY ALL), " + _draws("q", "agent, arm", "sum(a) / nullif(sum(b), 0)"))
-def timeout_share_interval(spark, sf_dir):
+def timeout_share_interval(spark, sf_dir, resamples=DRAWS):
     s = F.col("status")
     rows = event_runs(spark, sf_dir).groupBy("agent", "arm", "question_id").agg(F.count_if(s == "timeout").cast("double").alias("a"), F.count_if(s.isin("timeout", "turn_limit")).cast("double").alias("b"))
-    return _interval(stats.ratio_interval(rows, ["agent", "arm"], resamples=DRAWS), ["agent", "arm"])
+    return _interval(stats.ratio_interval(rows, ["agent", "arm"], resamples=resamples), ["agent", "arm"])
 
 
 @query(f"""WITH {RUNS}, q AS (SELECT agent, question_id, sum(accuracy) FILTER (WHERE arm = 'web') AS x0, sum(total_tokens) FILTER (WHERE arm = 'web') AS y0, count(*) FILTER (WHERE arm = 'web') AS n0, sum(accuracy) FILTER (WHERE arm = 'archive') AS x1, sum(total_tokens) FILTER (WHERE arm = 'archive') AS y1, count(*) FILTER (WHERE arm = 'archive') AS n1
  FROM runs WHERE accuracy IS NOT NULL AND total_tokens IS NOT NULL GROUP BY ALL HAVING n0 > 0 AND n1 > 0), """ + _draws("q", "agent", "sum(x0) / sum(n0) - sum(x1) / sum(n1) - (sum(y0) / sum(n0) - sum(y1) / sum(n1))"))
-def family_interaction(spark, sf_dir):
+def family_interaction(spark, sf_dir, resamples=DRAWS):
     rows = event_runs(spark, sf_dir).where("accuracy IS NOT NULL AND total_tokens IS NOT NULL").withColumns({"x": F.col("accuracy"), "y": F.col("total_tokens")})
-    return _interval(stats.family_interaction(rows, "web", "archive", ["agent"], "arm", resamples=DRAWS), ["agent"])
+    return _interval(stats.family_interaction(rows, "web", "archive", ["agent"], "arm", resamples=resamples), ["agent"])
+
+
+@query(_all_draws("token_ratio_interval"))
+def token_ratio_interval_whole(spark, sf_dir):
+    return token_ratio_interval(spark, sf_dir, stats.RESAMPLES)
+
+
+@query(_all_draws("accuracy_interval"))
+def accuracy_interval_whole(spark, sf_dir):
+    return accuracy_interval(spark, sf_dir, stats.RESAMPLES)
+
+
+@query(_all_draws("timeout_share_interval"))
+def timeout_share_interval_whole(spark, sf_dir):
+    return timeout_share_interval(spark, sf_dir, stats.RESAMPLES)
+
+
+@query(_all_draws("family_interaction"))
+def family_interaction_whole(spark, sf_dir):
+    return family_interaction(spark, sf_dir, stats.RESAMPLES)
 
 
 @query(f"""WITH {RUNS} SELECT agent, stratum, arm, count(*) AS runs, count(*) FILTER (WHERE completion IS NULL) AS unjudged, round(avg(completion), 6) AS completion_rate, count(*) FILTER (WHERE status = 'timeout') AS timeouts, count(*) FILTER (WHERE status = 'turn_limit') AS turn_limits,

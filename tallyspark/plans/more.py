@@ -95,6 +95,22 @@ def single_judge_grid(spark, sf_dir):
     return grid.where("estimate IS NOT NULL").select("agent", "judge", r6("estimate").alias("estimate"), "n_questions")
 
 
+def _grid(grid: DataFrame, *keys: str) -> DataFrame:
+    return grid.select(*keys, *[r6(c).alias(c) for c in ("estimate", "ci_low", "ci_high")], "n_questions", F.array_join("dropped_questions", ",").alias("dropped"))
+
+
+@query()
+def comparison_grid_whole(spark, sf_dir):
+    rows = event_runs(spark, sf_dir).withColumn("question_id", F.col("question_id").cast("string"))
+    return _grid(stats.comparison_grid(rows), "agent", "stratum", "metric", "arm", "baseline")
+
+
+@query()
+def single_judge_grid_whole(spark, sf_dir):
+    rows = event_runs(spark, sf_dir).withColumn("question_id", F.col("question_id").cast("string"))
+    return _grid(stats.single_judge_grid(rows, {"A": ("accuracy", "completion"), "B": ("completion", "accuracy")}), "agent", "judge", "stratum", "metric", "arm", "baseline")
+
+
 @query("SELECT n_nationkey AS q_ord, arm, repetition FROM nation, (VALUES ('web'), ('archive'), ('both')) a(arm), (VALUES (1), (2), (3)) r(repetition)")
 def planned_cells(spark, sf_dir):
     return runs.plan_cells(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("q_ord")), ["web", "archive", "both"], 3).select("q_ord", "arm", "repetition")

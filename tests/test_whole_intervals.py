@@ -57,3 +57,40 @@ def test_whole_query_makes_the_operators_draws(spark, sf_dir, name, monkeypatch)
     monkeypatch.setattr(stats, "bootstrap", lambda *a, **k: (lambda d: asked.extend(d.select("resamples").distinct().collect()) or d)(real(*a, **k)))
     QUERIES[f"{name}_whole"](spark, sf_dir)
     assert [r.resamples for r in asked] == [stats.RESAMPLES]
+
+
+@pytest.fixture(scope="module")
+def few_events(spark, sf_dir, tmp_path_factory):
+    """Events of 24 users, with one user's purchases left out."""
+    folder = str(tmp_path_factory.mktemp("events"))
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    e = e.withColumn("user_id", e.user_id % 24).where("NOT (user_id = 7 AND event_type = 'purchase')")
+    e.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return folder
+
+
+def grid(rows, columns, judge=()):
+    out = {}
+    text = lambda r: str(r["question_id"])
+    for metric, (value, statistic) in stats.METRICS.items():
+        found = question_pairs(rows, columns.get(value, value), text)
+        for agent, stratum in {(r["agent"], r["stratum"]) for r in rows}:
+            seen = {text(r) for r in rows if (r["agent"], r["stratum"]) == (agent, stratum)}
+            for arm, base in stats.PAIRS:
+                have = found.get((agent, stratum, arm, base), {})
+                ends = interval([v for _, v in sorted(have.items())], statistic) if have else [None] * 3
+                out[agent, *judge, stratum, metric, arm, base] = (ends, len(have) or None, ",".join(sorted(seen - set(have))) or None)
+    return out
+
+
+@pytest.mark.parametrize("name", ["comparison_grid_whole", "single_judge_grid_whole"])
+def test_whole_grids_equal_brute_force(spark, few_events, name):
+    rows = event_runs(spark, few_events).collect()
+    one = name == "comparison_grid_whole"
+    want = grid(rows, {}) if one else grid(rows, {}, ("A",)) | grid(rows, {"accuracy": "completion", "completion": "accuracy"}, ("B",))
+    keys = ["agent", *([] if one else ["judge"]), "stratum", "metric", "arm", "baseline"]
+    got = {tuple(r[k] for k in keys): ([r.estimate, r.ci_low, r.ci_high], r.n_questions, r.dropped) for r in QUERIES[name](spark, few_events).collect()}
+    want = {k: v for k, v in want.items() if v[1] or v[2]}
+    assert set(got) == set(want) and any(v[2] for v in want.values())
+    for k, (ends, n, dropped) in want.items():
+        assert got[k][0] == pytest.approx(ends, abs=2e-6) and got[k][1:] == (n, dropped), k

@@ -8,8 +8,9 @@ reach the threshold: the greatest impact of each word over all items; the greate
 BLOCK items; then the posting cursors of the blocks left, moved to pivots.
 
 A retrieved pair is kept if the passage holds the item's question (all sentences but the last: share of its word
-5-shingles) and its answer (the last sentence: share of its words). Words are compared without case and without
-punctuation at their ends.
+5-shingles, or the question but for one word) and its answer (the last sentence: share of its words), or the whole item
+but for one word. "But for one word" is a stretch with one word replaced, left out or put in, and is asked of questions
+and items of SHINGLE words or more. Words are compared without case and without punctuation at their ends.
 
 Items are sent to every worker, CHUNK_BYTES of them at a time; a larger benchmark takes as many passes as it needs.
 Cases: null and empty texts match nothing; items without words are ignored; equal items are found each; one row per
@@ -69,6 +70,21 @@ def grams(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if k else set()
 
 
+def nearly(words: list[str], passage: list[str]) -> bool:
+    """Whether a stretch of the passage is `words` with at most one word replaced, left out or put in."""
+    m = len(words)
+    if m < SHINGLE or len(set(words).difference(passage)) > 1:
+        return False
+    for s in range(len(passage) - m + 2):
+        p = 0
+        while p < m and s + p < len(passage) and passage[s + p] == words[p]:
+            p += 1
+        rest = words[p + 1 :]
+        if p == m or passage[s + p + 1 : s + m] == rest or passage[s + p : s + m - 1] == rest or passage[s + p + 1 : s + m + 1] == words[p:]:
+            return True
+    return False
+
+
 class ItemIndex:
     """Inverted index of items: impacts by word and item, greatest impacts by word and by word and block."""
 
@@ -76,10 +92,11 @@ class ItemIndex:
         read = [(i, forms(t or ""), t) for i, t in items]
         read = [x for x in read if x[1]]
         self.ids = [x[0] for x in read]
-        self.parts = []
+        self.parts, self.words = [], []
         for _, _, t in read:
             q, a = split_item(t)
             self.parts.append((q, grams(q), set(a)))
+            self.words.append(forms(t))
         n = len(read)
         self.longest = max((len(x[1]) for x in read), default=1)
         mean = sum(len(x[1]) for x in read) / max(1, n)
@@ -172,6 +189,12 @@ class ItemIndex:
             cursors = [c for c in cursors if c[0] != -1]
         return out
 
+    def holds(self, item: int, passage: list[str], got: tuple[float, float], question: float, answer: float) -> bool:
+        """Whether the shares `got` or a copy but for one word make the passage hold the item."""
+        if got[1] >= answer and (got[0] >= question or nearly(self.parts[item][0], passage)):
+            return True
+        return nearly(self.words[item], passage)
+
     def verify(self, item: int, passage: list[str]) -> tuple[float, float]:
         """Shares of the question's shingles and of the answer's words that the passage holds."""
         _, asked, answer = self.parts[item]
@@ -233,8 +256,9 @@ def find_items(index: ItemIndex, texts: list[str | None], lookup: Lookup, least:
     for k, block in index.survivors(window, term, windows, least - 1e-9).tolist():
         for item, score in index.search(term[ends[k] : ends[k + 1]], block, least - 1e-9):
             d, s = doc_of[k], start_of[k]
-            got = index.verify(item, [form(v) for v in words[d][s : s + 2 * step]])
-            if got[0] >= question and got[1] >= answer:
+            passage = [form(v) for v in words[d][s : s + 2 * step]]
+            got = index.verify(item, passage)
+            if index.holds(item, passage, got, question, answer):
                 best[d, item] = max(best.get((d, item), (0.0, 0.0, 0.0)), (score, *got))
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 

@@ -161,3 +161,18 @@ def test_one_id_in_two_parts_joins_them(spark):
     rows = [(5, a), (5, b), (7, a + " x"), (8, b + " y"), (9, b + " y")]
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == {5: 5, 7: 5, 8: 5, 9: 5}
+
+
+def test_copies_edited_in_one_word_are_found():
+    index = decontam.ItemIndex(ITEMS[:2])
+    lookup = decontam.Lookup(index.terms)
+    edits = []
+    for _, t in ITEMS[:2]:
+        w = t.split()
+        for k in range(len(w)):
+            end = "." if w[k][-1] in ".?" else ""
+            edits += [[*w[:k], "zebra" + end, *w[k + 1 :]], [*w[:k], *w[k + 1 :]], [*w[:k], "zebra", *w[k:]]]
+    texts = [filler(1, 40) + " " + " ".join(e) + " " + filler(2, 30) for e in edits]
+    assert {x[0] for x in decontam.find_items(index, texts, lookup)} == set(range(len(texts)))
+    clean = [filler(3, 200), " ".join(ITEMS[0][1].split()[:8]), " ".join(reversed(ITEMS[0][1].split()))]
+    assert decontam.find_items(index, clean, lookup) == []

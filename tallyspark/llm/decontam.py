@@ -12,7 +12,9 @@ A retrieved pair is kept if the passage holds the item's question (all sentences
 but for one word. "But for one word" is a stretch with one word replaced, left out or put in, and is asked of questions
 and items of SHINGLE words or more. Words are compared without case and without punctuation at their ends.
 
-Items are sent to every worker, CHUNK_BYTES of them at a time; a larger benchmark takes as many passes as it needs.
+Items are sent to every worker, CHUNK_BYTES of them at a time; a larger benchmark takes as many passes as it needs. Item
+count, document frequencies and mean length are those of all items (counted on the driver), so scores are the same at
+any number of passes.
 Cases: null and empty texts match nothing; items without words are ignored; equal items are found each; one row per
 document row and item at most (repeated rows give repeated results); null ids are kept; other columns are ignored.
 """
@@ -20,6 +22,7 @@ document row and item at most (repeated rows give repeated results); null ids ar
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -88,7 +91,8 @@ def nearly(words: list[str], passage: list[str]) -> bool:
 class ItemIndex:
     """Inverted index of items: impacts by word and item, greatest impacts by word and by word and block."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, dict[str, int]] | None = None):
+        """`whole` is (count, mean length, items by word) of all items, where these are a part of them."""
         read = [(i, forms(t or ""), t) for i, t in items]
         read = [x for x in read if x[1]]
         self.ids = [x[0] for x in read]
@@ -99,7 +103,7 @@ class ItemIndex:
             self.words.append(forms(t))
         n = len(read)
         self.longest = max((len(x[1]) for x in read), default=1)
-        mean = sum(len(x[1]) for x in read) / max(1, n)
+        count, mean, holders = whole or (n, sum(len(x[1]) for x in read) / max(1, n), {})
         where: dict[str, dict[int, int]] = {}
         for i, (_, words, _) in enumerate(read):
             for w in words:
@@ -110,7 +114,8 @@ class ItemIndex:
         own = np.zeros(max(1, n))
         for w in sorted(where):
             found = sorted(where[w].items())
-            idf = np.log(1 + (n - len(found) + 0.5) / (len(found) + 0.5))
+            df = holders.get(w, len(found))
+            idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
             for i, tf in found:
                 v = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(read[i][1]) / mean))
                 items_.append(i)
@@ -268,9 +273,23 @@ def item_indexes(items: DataFrame, item_id: str = "item_id", item_text: str = "t
     rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
     total = int(rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0])
     passes = 1 if total <= CHUNK_BYTES else -(-total * 3 // (2 * CHUNK_BYTES))
-    for k in range(passes):
-        part = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k)
-        yield ItemIndex(sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])))
+    parts = [rows if passes == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) for k in range(passes)]
+    whole = None if passes == 1 else whole_counts(parts)
+    for part in parts:
+        yield ItemIndex(sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])), whole)
+
+
+def whole_counts(parts: list[DataFrame]) -> tuple[int, float, dict[str, int]]:
+    """Number of items with words, their mean length and the number of them that hold each word, one part at a time."""
+    count = length = 0
+    holders: Counter[str] = Counter()
+    for part in parts:
+        for r in part.collect():
+            words = forms(r.t)
+            count += bool(words)
+            length += len(words)
+            holders.update(set(words))
+    return count, length / max(1, count), holders
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = THRESHOLD) -> DataFrame:

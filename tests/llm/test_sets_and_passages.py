@@ -176,3 +176,12 @@ def test_copies_edited_in_one_word_are_found():
     assert {x[0] for x in decontam.find_items(index, texts, lookup)} == set(range(len(texts)))
     clean = [filler(3, 200), " ".join(ITEMS[0][1].split()[:8]), " ".join(reversed(ITEMS[0][1].split()))]
     assert decontam.find_items(index, clean, lookup) == []
+
+
+def test_scores_do_not_depend_on_the_passes(spark, monkeypatch):
+    items = spark.createDataFrame([*ITEMS, *[(10 + k, filler(k, 12) + f". Answer word{k} here.") for k in range(20)]], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, ITEMS[0][1]), (2, ITEMS[1][1].replace("Cairo", "Kairo")), (3, filler(7, 12) + ". Answer word7 here.")], "doc_id bigint, text string")
+    rows = lambda: {(r.doc_id, r.item_id): round(r.score, 12) for r in decontam.contaminated(docs, items).collect()}
+    want = rows()
+    monkeypatch.setattr(decontam, "CHUNK_BYTES", 2000)
+    assert {1, 2, 3} == {d for d, _ in want} and rows() == want

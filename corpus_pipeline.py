@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 columns of documents; the last returns one row per token sequence. Stages hold no state besides their input, so a stage
 can be run again from the Parquet that the one before it left.
 
-What goes: texts that are null or have no letter (language), texts scored toxic (toxicity), all but the smallest doc_id
+What goes: texts that are null or have no letter (language; the network's choice among languages removes nothing), texts scored toxic (toxicity), all but the smallest doc_id
 of each group of near duplicates (and all but one of rows that share a doc_id), texts that hold a benchmark item.
 Rows with a null doc_id are in no group and stay there.
 """
@@ -23,8 +23,10 @@ from tallyspark.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in one of the learnt languages stay."""
+    """Texts with a letter stay. Only `und` is rejected: no prediction or score removes a text in any language."""
     model, classes = fit_language(docs.withColumn("_learn", ~remainder("doc_id", 5, 0)), "_learn")
+    if not classes:  # no language to learn: all texts would be `und`
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     labelled = identify(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text")), model, classes, "_text")
     return labelled.where("lang_pred <> 'und'").select("row.*")
 

@@ -46,9 +46,14 @@ def _proportional(sizes: dict, total: int, floor: int) -> dict:
     return {k: q + (k in up) for k, (q, _) in exact.items()}
 
 
+def cell_key(c: str) -> Column:
+    """The text of a cell value; a null is a value of its own."""
+    return F.coalesce(F.col(c).cast("string"), F.lit("\0null"))
+
+
 def cell_sizes(rows: DataFrame, cell: list[str]) -> dict:
     """Sizes of the cells, which are few: categories by strata."""
-    return {tuple(str(x) for x in r[:-1]): r[-1] for r in rows.groupBy(*cell).count().collect()}
+    return {tuple(r[:-1]): r[-1] for r in rows.groupBy(*[cell_key(c).alias(f"_c{i}") for i, c in enumerate(cell)]).count().collect()}
 
 
 def stratified_sample(rows: DataFrame, cell: list[str], id_col: str, size: int, seed: int = 8105, floor: int = 10, prefix: str = "X", parity: bool = False) -> DataFrame:
@@ -60,7 +65,7 @@ def stratified_sample(rows: DataFrame, cell: list[str], id_col: str, size: int,
     sizes = cell_sizes(rows, cell)
     want = allocate(sizes, size, floor)
     spark = rows.sparkSession
-    keyed = rows.withColumns({f"_c{i}": F.col(c).cast("string") for i, c in enumerate(cell)})
+    keyed = rows.withColumns({f"_c{i}": cell_key(c) for i, c in enumerate(cell)})
     keys = [f"_c{i}" for i in range(len(cell))]
     if parity:
         rng = random.Random(seed)

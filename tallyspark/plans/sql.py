@@ -10,7 +10,6 @@ from tallyspark.sources import readers
 FUNCTIONS = {
     "fold": text.fold,
     "json_strings": text.json_strings,
-    "tokenize_links": text.tokenize_links,
     "numbers_in": numbers.numbers_in,
     "parse_value": numbers.parse_value,
     "number_mantissa": numbers.mantissa,

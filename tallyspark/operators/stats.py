@@ -1,15 +1,20 @@
 """Question-paired statistics: two-phase means, paired comparisons, seeded bootstrap and Wilson intervals.
 
-All cells of a grid go through one job: a draw is a row key, not a loop. Means of repetitions (phase one) and
+All cells of a grid go through one job: cells and blocks of draws are keys, not loops. Means of repetitions (phase one) and
 statistics over questions (phase two) are two aggregations on purpose, as a mean of question means is not a mean of runs.
 """
 
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 RESAMPLES, SEED = 10_000, 8105
 Z = 1.959964
@@ -54,25 +59,44 @@ def dropped(rows: DataFrame, pairs: DataFrame, cell: list[str] | None = None, qu
     return gone.groupBy(*cell, "arm", "baseline").agg(F.array_sort(F.collect_set(question)).alias("dropped_questions"))
 
 
-def token_ratio(a: str = "a", b: str = "b") -> Column:
-    """Aggregate: sum of a over sum of b; infinite over nothing."""
-    return F.when(F.sum(b) == 0, F.lit(float("inf"))).otherwise(F.sum(a) / F.nullif(F.sum(b), F.lit(0.0)))
+#: A statistic of (a, b) over questions: a function of `total`, which gives the sum of a column, and of the number of rows.
+Statistic = Callable[[Callable[[str], Column], Column], Column]
+
+
+def _ratio(total, n):
+    return F.when(total("b") == 0, F.lit(float("inf"))).otherwise(total("a") / F.nullif(total("b"), F.lit(0.0)))
+
+
+def _difference(total, n):
+    return (total("b") - total("a")) / F.nullif(n, F.lit(0))
 
 
-def mean_difference(a: str = "a", b: str = "b") -> Column:
-    return F.avg(F.col(b) - F.col(a))
+def _share(total, n):
+    return total("a") / F.nullif(total("b"), F.lit(0.0))
 
 
-def share(a: str = "a", b: str = "b") -> Column:
-    """Aggregate: sum over sum, null over nothing (such draws are skipped)."""
-    return F.sum(a) / F.nullif(F.sum(b), F.lit(0.0))
+def _mean(total, n):
+    return total("a") / F.nullif(n, F.lit(0))
 
 
-def mean(a: str = "a", b: str = "b") -> Column:
-    return F.avg(a)
+#: ratio: sum of a over sum of b, infinite over nothing. mean_difference: mean of b - a. share: sum over sum, null over
+#: nothing (such draws are skipped). mean: mean of a.
+STATISTICS: dict[str, Statistic] = {"ratio": _ratio, "mean_difference": _difference, "share": _share, "mean": _mean}
+
+
+def aggregate(statistic: str | Statistic) -> Column:
+    """A statistic as an aggregate over rows."""
+    made = STATISTICS[statistic] if isinstance(statistic, str) else statistic
+    return made(lambda c: F.sum(c), F.count(F.lit(1)))
+
+
+def token_ratio() -> Column:
+    """Aggregate: sum of a over sum of b; infinite over nothing."""
+    return aggregate("ratio")
 
 
-STATISTICS = {"ratio": token_ratio, "mean_difference": mean_difference, "share": share, "mean": mean}
+def mean_difference() -> Column:
+    return aggregate("mean_difference")
 
 
 def draws_seeded(spark: SparkSession, sizes: list[int], resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
@@ -87,43 +111,108 @@ def draws_seeded(spark: SparkSession, sizes: list[int], resamples: int = RESAMPL
     return spark.createDataFrame(rows, "n int, draw int, idx array<int>")
 
 
-def draw_index(seed: int, draw: Column, at: Column, n: Column) -> Column:
-    """The index that a hash draws: the same number in any SQL engine that has md5."""
-    return (_hash(seed, draw, at) % n).cast("int")
+# The finaliser of MurmurHash3 and the golden ratio, in 32 bits.
+_C1, _C2, _STEP = 0x85EBCA6B, 0xC2B2AE35, 0x9E3779B9
+#: Draws of one task, places of one task, and numbers that a task draws at a time.
+DRAW_BLOCK, PLACE_BLOCK, AT_A_TIME = 1000, 1 << 21, 1 << 21
 
 
-def _hash(seed: int, draw: Column, at: Column) -> Column:
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), draw.cast("string"), at.cast("string")).cast("binary")), 1, 8), 16, 10).cast("bigint")
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 32-bit hash of 32-bit numbers that any engine with whole numbers can repeat."""
+    x = x.astype(np.uint32)
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(_C1)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(_C2)
+    x ^= x >> np.uint32(16)
+    return x
 
 
-def _hashed(placed: DataFrame, cell: list[str], made: Column, resamples: int, seed: int) -> DataFrame:
-    """cell, _draw, _v of hashed draws. The draws are dealt out to the tasks and the cells sent to each.
+def drawn_places(seed: int, draws: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Place in 0..n-1 that each draw takes at each of its steps `at`: (draws, steps)."""
+    start = _mixed((np.uint64(seed * _STEP % 2**32) + draws.astype(np.uint64)) & np.uint64(0xFFFFFFFF))
+    steps = (at.astype(np.uint64) * np.uint64(_STEP) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return _mixed(start[:, None] + steps) % np.uint32(n)
 
-    A hash of (draw, place) serves all cells, and a task sums its own draws, so only one row a cell and draw is shuffled.
-    """
-    spark = placed.sparkSession
-    cells = placed.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("_pos", *[c for c in placed.columns if c not in (*cell, "_pos")]))).alias("_all"))
-    cells = cells.withColumns({"_id": F.row_number().over(Window.orderBy(*cell)), "_n": F.size("_all")})  # few rows
-    tasks = min(resamples, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    hashes = F.transform(F.sequence(F.lit(0), F.col("_most") - 1), lambda k: _hash(seed, F.col("_draw"), k))
-    spine = spark.range(0, resamples, 1, tasks).select(F.col("id").alias("_draw")).crossJoin(F.broadcast(cells.agg(F.max("_n").alias("_most")))).where("_most IS NOT NULL")
-    rows = spine.select("_draw", F.posexplode(hashes).alias("_at", "_h")).crossJoin(F.broadcast(cells.select("_id", "_n", "_all"))).where("_at < _n")
-    sums = rows.select("_id", "_draw", F.element_at("_all", (F.col("_h") % F.col("_n")).cast("int") + 1).alias("_x")).select("_id", "_draw", "_x.*").groupBy("_id", "_draw").agg(made.alias("_v"))
-    return sums.join(F.broadcast(cells.select("_id", *cell)), "_id").drop("_id")
+
+def draws_hashed(spark: SparkSession, sizes: list[int], resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
+    """(n, draw, idx array): the places that `bootstrap` draws, for a few sizes of questions."""
+    kinds = sorted(set(sizes))
+
+    def run(batches):
+        for b in batches:
+            draws = b.column(0).to_numpy()
+            for n in kinds:
+                for k in range(0, len(draws), max(1, AT_A_TIME // n)):
+                    part = draws[k : k + max(1, AT_A_TIME // n)]
+                    flat = drawn_places(seed, part, np.arange(n), n).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, n, dtype=np.int32)), pa.array(flat.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(part), pa.int32()), pa.array(part.astype(np.int32)), lists], ["n", "draw", "idx"])
+
+    return spark.range(0, resamples).mapInArrow(run, "n int, draw int, idx array<int>")
 
 
-def bootstrap(pairs: DataFrame, cell: list[str], statistic: str | Column, order: str = "question_id", resamples: int = RESAMPLES, seed: int = SEED, draws: DataFrame | None = None) -> DataFrame:
-    """Percentile 95 % interval of a statistic over (a, b) per cell: estimate, ci_low, ci_high, n_questions, resamples, seed.
+def _summed(placed: DataFrame, cell: list[str], values: list[str], resamples: int, seed: int) -> DataFrame:
+    """cell, _draw, sums of the values over each draw and _n, the number of places drawn.
 
-    All cells and draws in one job, summed by cell and draw. `draws` gives seeded index lists instead of hashed ones;
-    they are met with the values by an equi-join on cell and position.
+    A task has one cell, one block of draws and one block of places: the numbers drawn are made where they are summed,
+    so what is shuffled is the values once for each block of draws, and one row a cell, draw and block of places.
     """
-    made = STATISTICS[statistic]() if isinstance(statistic, str) else statistic
-    placed = pairs.withColumn("_pos", F.row_number().over(Window.partitionBy(*cell).orderBy(order)) - 1)
-    sizes = placed.groupBy(*cell).agg(F.count(F.lit(1)).cast("int").alias("_n"))
-    if draws is None:
-        drawn = _hashed(placed, cell, made, resamples, seed)
+    spark = placed.sparkSession
+    tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    key = [*cell, "_d", "_p"]
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // DRAW_BLOCK) - 1))).alias("_d")
+    rows = placed.select(*cell, F.col("_n").cast("long"), F.col("_pos").cast("long"), *[F.col(v).cast("double") for v in values], F.floor(F.col("_pos") / PLACE_BLOCK).alias("_p"), blocks)
+    kind = StructType([placed.schema[c] for c in cell] + [StructField("_draw", LongType()), StructField("_n", LongType())] + [StructField(v, DoubleType()) for v in values])
+
+    def run(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        n, low, mine = table["_n"][0].as_py(), keys[-1].as_py() * PLACE_BLOCK, table.num_rows
+        order = np.argsort(table["_pos"].to_numpy())
+        value = [np.append(table[v].to_numpy()[order], 0.0) for v in values]
+        value = [np.where(np.isnan(v), 0.0, v) for v in value]
+        draws = np.arange(keys[-2].as_py() * DRAW_BLOCK, min(resamples, (keys[-2].as_py() + 1) * DRAW_BLOCK))
+        sums = np.zeros((len(values), len(draws)))
+        wide = max(1, AT_A_TIME // n)
+        for a in range(0, len(draws), wide):
+            for k in range(0, n, AT_A_TIME):
+                at = drawn_places(seed, draws[a : a + wide], np.arange(k, min(n, k + AT_A_TIME)), n).astype(np.int64)
+                if mine < n:
+                    at = np.where((at >= low) & (at < low + mine), at - low, mine)
+                for j, v in enumerate(value):
+                    sums[j, a : a + wide] += v[at].sum(axis=1)
+        fixed = [pa.array([k.as_py()] * len(draws), f.type) for k, f in zip(keys, to_arrow_schema(kind), strict=False)][: len(cell)]
+        return pa.Table.from_arrays([*fixed, pa.array(draws), pa.array(np.full(len(draws), n)), *map(pa.array, sums)], names=kind.names)
+
+    made = rows.repartition(tasks, *key).groupBy(*key).applyInArrow(run, kind)
+    return made.groupBy(*cell, "_draw").agg(F.max("_n").alias("_n"), *[F.sum(v).alias(v) for v in values])
+
+
+def _columns_of(statistic: Statistic) -> list[str]:
+    """The columns that a statistic sums, in order of name."""
+    asked: set[str] = set()
+    statistic(lambda c: asked.add(c) or F.lit(1.0), F.lit(1))
+    return sorted(asked)
+
+
+def bootstrap(pairs: DataFrame, cell: list[str], statistic: str | Statistic | Column, order: str = "question_id", resamples: int = RESAMPLES, seed: int = SEED, draws: DataFrame | None = None) -> DataFrame:
+    """Percentile 95 % interval of a statistic per cell: estimate, ci_low, ci_high, n_questions, resamples, seed.
+
+    All cells and draws in one job. A named statistic, or a function of sums, is summed by blocks of draws (`_summed`).
+    Any other aggregate, and draws given as index lists (`draws`: n, draw, idx), go as one row a draw and place, met
+    with the values by an equi-join: for cells of report size.
+    """
+    summed = STATISTICS[statistic] if isinstance(statistic, str) else None if isinstance(statistic, Column) else statistic
+    made = statistic if summed is None else aggregate(summed)
+    by = Window.partitionBy(*cell)
+    placed = pairs.withColumns({"_pos": F.row_number().over(by.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(by)})
+    if summed is not None and draws is None:
+        sums = _summed(placed, cell, _columns_of(summed), resamples, seed)
+        drawn = sums.select(*cell, "_draw", summed(lambda c: F.col(c), F.col("_n")).alias("_v"))
     else:
+        sizes = placed.select(*cell, F.col("_n").cast("int").alias("_n")).distinct()
+        if draws is None:
+            counts = [r[0] for r in sizes.select("_n").distinct().collect()]
+            draws = draws_hashed(pairs.sparkSession, counts, resamples, seed)
         rows = sizes.join(draws, F.col("_n") == F.col("n")).select(*cell, F.col("draw").alias("_draw"), F.explode("idx").alias("_pos"))
         drawn = rows.join(placed, [*cell, "_pos"]).groupBy(*cell, "_draw").agg(made.alias("_v"))
     ends = drawn.groupBy(*cell).agg(F.percentile("_v", F.lit(0.025)).alias("ci_low"), F.percentile("_v", F.lit(0.975)).alias("ci_high"))
@@ -132,8 +221,8 @@ def bootstrap(pairs: DataFrame, cell: list[str], statistic: str | Column, order:
 
 
 def mean_interval(values: DataFrame, cell: list[str], **how) -> DataFrame:
-    """Interval of the mean of question values in column a."""
-    return bootstrap(values, cell, "mean", **how)
+    """Interval of the mean of question values in column a; nulls are no values."""
+    return bootstrap(values.where("a IS NOT NULL"), cell, "mean", **how)
 
 
 def ratio_interval(values: DataFrame, cell: list[str], **how) -> DataFrame:
@@ -149,8 +238,12 @@ def family_interaction(runs: DataFrame, first: str, second: str, cell: list[str]
     cell = cell or []
     sums = runs.where(F.col(family).isin(first, second)).groupBy(*cell, question).agg(*[F.sum(F.when(F.col(family) == f, F.col(v))).alias(f"{v}{i}") for i, f in enumerate((first, second)) for v in ("x", "y")], *[F.count_if(F.col(family) == f).alias(f"n{i}") for i, f in enumerate((first, second))])
     shared = sums.where("n0 > 0 AND n1 > 0").withColumn("_one", F.lit(1))
-    gap = lambda v: F.sum(f"{v}0") / F.sum("n0") - F.sum(f"{v}1") / F.sum("n1")
-    out = bootstrap(shared, [*cell, "_one"], gap("x") - gap("y"), question, resamples, seed, draws).drop("_one")
+
+    def gaps(total, n):
+        by = lambda v: total(f"{v}0") / total("n0") - total(f"{v}1") / total("n1")
+        return by("x") - by("y")
+
+    out = bootstrap(shared, [*cell, "_one"], gaps, question, resamples, seed, draws).drop("_one")
     return out.withColumn("flagged", (F.col("ci_low") > 0) | (F.col("ci_high") < 0))
 
 

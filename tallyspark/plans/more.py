@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import extraction, provenance, runs, sampling, stats, validation, verdicts
 from tallyspark.sources import sinks
 
-from .registry import KEYS, RUNS, event_runs, query, r6, table
+from .registry import KEYS, RUNS, draws_sql, event_runs, query, r6, table
 
 # --- logs made of tables ------------------------------------------------------------------------------
 
@@ -78,37 +78,44 @@ def credit_balances(spark, sf_dir):
 # --- grids and plans ----------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {RUNS}, pairing(arm, baseline) AS (VALUES ('archive', 'web'), ('both', 'web'), ('both', 'archive')), v AS (SELECT *, 'tokens' AS metric, total_tokens AS x FROM runs UNION ALL SELECT *, 'accuracy', accuracy FROM runs),
- m AS (SELECT agent, stratum, metric, arm, question_id, avg(x) AS mean FROM v WHERE x IS NOT NULL GROUP BY ALL), p AS (SELECT a.agent, a.stratum, a.metric, t.arm, t.baseline, a.mean AS a, b.mean AS b FROM pairing t JOIN m a ON a.arm = t.baseline JOIN m b ON b.arm = t.arm AND a.agent = b.agent AND a.stratum = b.stratum AND a.metric = b.metric AND a.question_id = b.question_id)
- SELECT agent, stratum, metric, arm, baseline, round(CASE metric WHEN 'tokens' THEN sum(a) / sum(b) ELSE avg(b - a) END, 6) AS estimate, count(*) AS n_questions FROM p GROUP BY agent, stratum, metric, arm, baseline""")
-def comparison_grid(spark, sf_dir):
-    rows = event_runs(spark, sf_dir).withColumn("question_id", F.col("question_id").cast("string"))
-    grid = stats.comparison_grid(rows, metrics={"tokens": ("total_tokens", "ratio"), "accuracy": ("accuracy", "mean_difference")}, resamples=50)
-    return grid.where("estimate IS NOT NULL").select("agent", "stratum", "metric", "arm", "baseline", r6("estimate").alias("estimate"), "n_questions")
+METRIC = """CASE any_value(p.metric) WHEN 'token_ratio_baseline_over_arm' THEN CASE WHEN sum(p.b) = 0 THEN CAST('inf' AS DOUBLE) ELSE sum(p.a) / sum(p.b) END ELSE avg(p.b - p.a) END"""
 
 
-@query(f"""WITH {RUNS}, j AS (SELECT agent, 'A' AS judge, question_id, arm, accuracy AS x FROM runs UNION ALL SELECT agent, 'B', question_id, arm, completion FROM runs), m AS (SELECT agent, judge, arm, question_id, avg(x) AS mean FROM j WHERE x IS NOT NULL AND arm IN ('web', 'archive') GROUP BY ALL)
- SELECT a.agent, a.judge, round(avg(b.mean - a.mean), 6) AS estimate, count(*) AS n_questions FROM m a JOIN m b USING (agent, judge, question_id) WHERE a.arm = 'web' AND b.arm = 'archive' GROUP BY ALL""")
-def single_judge_grid(spark, sf_dir):
-    rows = event_runs(spark, sf_dir).withColumns({"question_id": F.col("question_id").cast("string"), "stratum": F.lit("all")})
-    grid = stats.single_judge_grid(rows, {"A": ("accuracy", "completion"), "B": ("completion", "accuracy")}, pairs=(("archive", "web"),), metrics={"accuracy": ("accuracy", "mean_difference")}, resamples=50)
-    return grid.where("estimate IS NOT NULL").select("agent", "judge", r6("estimate").alias("estimate"), "n_questions")
+def _grid_sql(rows: str, *keys: str) -> str:
+    """SQL of the whole grid over `rows` (keys, stratum, arm, question_id, total_tokens, accuracy, completion)."""
+    key = ", ".join(keys)
+    own = ", ".join(f"a.{k}" for k in keys)
+    cell = f"{key}, metric, arm, baseline"
+    draws = draws_sql("pairs", cell, METRIC)
+    return f"""{rows}, pairing(arm, baseline) AS (VALUES ('archive', 'web'), ('both', 'web'), ('both', 'archive')),
+ v AS (SELECT *, 'token_ratio_baseline_over_arm' AS metric, CAST(total_tokens AS DOUBLE) AS x FROM judged UNION ALL SELECT *, 'accuracy_diff_arm_minus_baseline', accuracy FROM judged UNION ALL SELECT *, 'completion_diff_arm_minus_baseline', completion FROM judged),
+ m AS (SELECT {key}, metric, arm, question_id, avg(x) AS mean FROM v WHERE x IS NOT NULL GROUP BY ALL),
+ pairs AS (SELECT {own}, a.metric, t.arm, t.baseline, a.question_id, a.mean AS a, b.mean AS b FROM pairing t JOIN m a ON a.arm = t.baseline JOIN m b ON b.arm = t.arm AND a.metric = b.metric AND a.question_id = b.question_id AND {" AND ".join(f"a.{k} = b.{k}" for k in keys)}),
+ {draws}, seen AS (SELECT DISTINCT {key}, metric, question_id FROM v),
+ gone AS (SELECT {key}, metric, t.arm, t.baseline, array_to_string(list_sort(list(question_id)), ',') AS dropped FROM seen, pairing t WHERE NOT EXISTS (SELECT 1 FROM pairs p WHERE {" AND ".join(f"p.{k} = seen.{k}" for k in keys)} AND p.metric = seen.metric AND p.question_id = seen.question_id AND p.arm = t.arm AND p.baseline = t.baseline) GROUP BY ALL),
+ told AS (SELECT {cell}, estimate, low, high, n_questions FROM whole JOIN ends USING ({cell}) WHERE estimate IS NOT NULL)
+ SELECT {cell}, round(estimate, 6) AS estimate, round(low, 6) AS ci_low, round(high, 6) AS ci_high, n_questions, dropped FROM told FULL JOIN gone USING ({cell})"""
 
 
 def _grid(grid: DataFrame, *keys: str) -> DataFrame:
-    return grid.select(*keys, *[r6(c).alias(c) for c in ("estimate", "ci_low", "ci_high")], "n_questions", F.array_join("dropped_questions", ",").alias("dropped"))
+    return grid.select(*keys, "metric", "arm", "baseline", *[r6(c).alias(c) for c in ("estimate", "ci_low", "ci_high")], "n_questions", F.array_join("dropped_questions", ",").alias("dropped"))
 
 
-@query()
-def comparison_grid_whole(spark, sf_dir):
+JUDGED = "judged AS (SELECT agent, stratum, arm, CAST(question_id AS VARCHAR) AS question_id, total_tokens, accuracy, completion FROM runs)"
+TWO_JUDGES = """judged AS (SELECT agent, 'A' AS judge, stratum, arm, CAST(question_id AS VARCHAR) AS question_id, total_tokens, accuracy, completion FROM runs
+ UNION ALL SELECT agent, 'B', stratum, arm, CAST(question_id AS VARCHAR), total_tokens, completion, accuracy FROM runs)"""
+
+
+@query(f"WITH {RUNS}, " + _grid_sql(JUDGED, "agent", "stratum"))
+def comparison_grid(spark, sf_dir):
     rows = event_runs(spark, sf_dir).withColumn("question_id", F.col("question_id").cast("string"))
-    return _grid(stats.comparison_grid(rows), "agent", "stratum", "metric", "arm", "baseline")
+    return _grid(stats.comparison_grid(rows), "agent", "stratum")
 
 
-@query()
-def single_judge_grid_whole(spark, sf_dir):
+@query(f"WITH {RUNS}, " + _grid_sql(TWO_JUDGES, "agent", "judge", "stratum"))
+def single_judge_grid(spark, sf_dir):
     rows = event_runs(spark, sf_dir).withColumn("question_id", F.col("question_id").cast("string"))
-    return _grid(stats.single_judge_grid(rows, {"A": ("accuracy", "completion"), "B": ("completion", "accuracy")}), "agent", "judge", "stratum", "metric", "arm", "baseline")
+    return _grid(stats.single_judge_grid(rows, {"A": ("accuracy", "completion"), "B": ("completion", "accuracy")}), "agent", "judge", "stratum")
 
 
 @query("SELECT n_nationkey AS q_ord, arm, repetition FROM nation, (VALUES ('web'), ('archive'), ('both')) a(arm), (VALUES (1), (2), (3)) r(repetition)")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions import numbers, secrets, text
-from tallyspark.operators import extraction, provenance, runs, sampling, stats, validation, verdicts
+from tallyspark.operators import extraction, provenance, runs, sampling, shards, stats, validation, verdicts
 from tallyspark.sources import readers
 from tallyspark.streaming import runs as streaming
 
@@ -88,19 +88,33 @@ def dropped_questions(spark, sf_dir):
     return stats.dropped(rows, _pairs(rows, "total_tokens").where("a < 1.05 * b")).select(*KEYS, F.array_join("dropped_questions", ",").alias("dropped"))
 
 
-#: Draws of the queries whose SQL is given; those named `_whole` make stats.RESAMPLES.
-DRAWS = 200
+def mixed(x: str, out: str) -> str:
+    """SQL of the 32-bit hash of column x as a chain of select items that ends in `out`."""
+    return f"""xor({x}, {x} >> 16) AS {out}1, ({out}1 * 2246822507) % 4294967296 AS {out}2, xor({out}2, {out}2 >> 13) AS {out}3,
+ ({out}3 * 3266489909) % 4294967296 AS {out}4, xor({out}4, {out}4 >> 16) AS {out}"""
 
 
-def _draws(cells: str, keys: str, value: str, order: str = "question_id") -> str:
-    """SQL of the hashed bootstrap over `cells` with `keys`."""
-    on = " AND ".join(f"d.{k.strip()} = p.{k.strip()}" for k in keys.split(","))
-    dk = ", ".join(f"d.{k.strip()}" for k in keys.split(","))
-    return f"""placed AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS pos FROM {cells}), sizes AS (SELECT {keys}, count(*) AS n FROM placed GROUP BY ALL),
- drawn AS (SELECT {keys}, draw, CAST('0x' || substr(md5('8105:' || draw || ':' || k), 1, 8) AS BIGINT) % n AS pos FROM sizes, range({DRAWS}) t(draw), LATERAL (SELECT unnest(range(n)) AS k)),
+#: SQL of all numbers drawn (draw, k, h), for as many places as the largest of `sizes` has.
+HASHES = f"""seeds AS (SELECT draw, h0 FROM (SELECT draw, CAST((8105 * 2654435769 + draw) % 4294967296 AS UBIGINT) AS x, {mixed("x", "h0")} FROM range({stats.RESAMPLES}) t(draw))),
+ steps AS (SELECT unnest(range(CAST((SELECT max(n) FROM sizes) AS BIGINT))) AS k),
+ hashes AS (SELECT draw, k, h FROM (SELECT draw, k, CAST((h0 + CAST(k * 2654435769 % 4294967296 AS UBIGINT)) % 4294967296 AS UBIGINT) AS y, {mixed("y", "h")} FROM seeds, steps))"""
+
+
+def draws_sql(cells: str, keys: str, value: str, order: str = "question_id") -> str:
+    """SQL of the hashed bootstrap over `cells` with `keys`, as CTEs that end in `ends` and `whole`."""
+    names = [k.strip() for k in keys.split(",")]
+    on = " AND ".join(f"d.{k} = p.{k}" for k in names)
+    dk = ", ".join(f"d.{k}" for k in names)
+    return f"""placed AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS pos FROM {cells}), sizes AS (SELECT {keys}, count(*) AS n FROM placed GROUP BY ALL), {HASHES},
+ drawn AS (SELECT {keys}, draw, CAST(h % CAST(n AS UBIGINT) AS BIGINT) AS pos FROM sizes JOIN hashes ON k < n),
  vals AS (SELECT {dk}, d.draw, {value} AS v FROM drawn d JOIN placed p ON {on} AND d.pos = p.pos GROUP BY {dk}, d.draw),
  ends AS (SELECT {keys}, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM vals WHERE v IS NOT NULL GROUP BY ALL),
- whole AS (SELECT {keys}, {value} AS estimate, count(*) AS n_questions FROM placed p GROUP BY ALL)
+ whole AS (SELECT {keys}, {value} AS estimate, count(*) AS n_questions FROM placed p GROUP BY ALL)"""
+
+
+def _draws(cells: str, keys: str, value: str, order: str = "question_id") -> str:
+    """SQL of every cell's estimate and interval of stats.RESAMPLES draws."""
+    return draws_sql(cells, keys, value, order) + f"""
  SELECT {keys}, round(estimate, 6) AS estimate, round(low, 6) AS ci_low, round(high, 6) AS ci_high, n_questions FROM whole JOIN ends USING ({keys}) WHERE estimate IS NOT NULL"""
 
 
@@ -108,54 +122,29 @@ def _interval(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, r6("estimate").alias("estimate"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_questions")
 
 
-def _all_draws(name: str) -> str:
-    """SQL of a query of DRAWS draws, with the operator's own number."""
-    return SQL[name].replace(f"range({DRAWS}) t(draw)", f"range({stats.RESAMPLES}) t(draw)")
-
-
 @query(f"WITH {PAIRED}, " + _draws("pairs", "agent, stratum, arm, baseline", "sum(a) / sum(b)"))
-def token_ratio_interval(spark, sf_dir, resamples=DRAWS):
-    return _interval(stats.bootstrap(_pairs(event_runs(spark, sf_dir), "total_tokens"), KEYS, "ratio", resamples=resamples), KEYS)
+def token_ratio_interval(spark, sf_dir):
+    return _interval(stats.bootstrap(_pairs(event_runs(spark, sf_dir), "total_tokens"), KEYS, "ratio"), KEYS)
 
 
 @query(f"WITH {RUNS}, q AS (SELECT agent, arm, question_id, avg(accuracy) AS a FROM runs WHERE accuracy IS NOT NULL GROUP BY ALL), " + _draws("q", "agent, arm", "avg(p.a)").replace("avg(p.a) AS estimate", "avg(a) AS estimate"))
-def accuracy_interval(spark, sf_dir, resamples=DRAWS):
+def accuracy_interval(spark, sf_dir):
     rows = event_runs(spark, sf_dir).where("accuracy IS NOT NULL").groupBy("agent", "arm", "question_id").agg(F.avg("accuracy").alias("a"))
-    return _interval(stats.mean_interval(rows, ["agent", "arm"], resamples=resamples), ["agent", "arm"])
+    return _interval(stats.mean_interval(rows, ["agent", "arm"]), ["agent", "arm"])
 
 
 @query(f"WITH {RUNS}, q AS (SELECT agent, arm, question_id, CAST(count(*) FILTER (WHERE status = 'timeout') AS DOUBLE) AS a, CAST(count(*) FILTER (WHERE status IN ('timeout', 'turn_limit')) AS DOUBLE) AS b FROM runs GROUP BY ALL), " + _draws("q", "agent, arm", "sum(a) / nullif(sum(b), 0)"))
-def timeout_share_interval(spark, sf_dir, resamples=DRAWS):
+def timeout_share_interval(spark, sf_dir):
     s = F.col("status")
     rows = event_runs(spark, sf_dir).groupBy("agent", "arm", "question_id").agg(F.count_if(s == "timeout").cast("double").alias("a"), F.count_if(s.isin("timeout", "turn_limit")).cast("double").alias("b"))
-    return _interval(stats.ratio_interval(rows, ["agent", "arm"], resamples=resamples), ["agent", "arm"])
+    return _interval(stats.ratio_interval(rows, ["agent", "arm"]), ["agent", "arm"])
 
 
 @query(f"""WITH {RUNS}, q AS (SELECT agent, question_id, sum(accuracy) FILTER (WHERE arm = 'web') AS x0, sum(total_tokens) FILTER (WHERE arm = 'web') AS y0, count(*) FILTER (WHERE arm = 'web') AS n0, sum(accuracy) FILTER (WHERE arm = 'archive') AS x1, sum(total_tokens) FILTER (WHERE arm = 'archive') AS y1, count(*) FILTER (WHERE arm = 'archive') AS n1
  FROM runs WHERE accuracy IS NOT NULL AND total_tokens IS NOT NULL GROUP BY ALL HAVING n0 > 0 AND n1 > 0), """ + _draws("q", "agent", "sum(x0) / sum(n0) - sum(x1) / sum(n1) - (sum(y0) / sum(n0) - sum(y1) / sum(n1))"))
-def family_interaction(spark, sf_dir, resamples=DRAWS):
+def family_interaction(spark, sf_dir):
     rows = event_runs(spark, sf_dir).where("accuracy IS NOT NULL AND total_tokens IS NOT NULL").withColumns({"x": F.col("accuracy"), "y": F.col("total_tokens")})
-    return _interval(stats.family_interaction(rows, "web", "archive", ["agent"], "arm", resamples=resamples), ["agent"])
-
-
-@query(_all_draws("token_ratio_interval"))
-def token_ratio_interval_whole(spark, sf_dir):
-    return token_ratio_interval(spark, sf_dir, stats.RESAMPLES)
-
-
-@query(_all_draws("accuracy_interval"))
-def accuracy_interval_whole(spark, sf_dir):
-    return accuracy_interval(spark, sf_dir, stats.RESAMPLES)
-
-
-@query(_all_draws("timeout_share_interval"))
-def timeout_share_interval_whole(spark, sf_dir):
-    return timeout_share_interval(spark, sf_dir, stats.RESAMPLES)
-
-
-@query(_all_draws("family_interaction"))
-def family_interaction_whole(spark, sf_dir):
-    return family_interaction(spark, sf_dir, stats.RESAMPLES)
+    return _interval(stats.family_interaction(rows, "web", "archive", ["agent"], "arm"), ["agent"])
 
 
 @query(f"""WITH {RUNS} SELECT agent, stratum, arm, count(*) AS runs, count(*) FILTER (WHERE completion IS NULL) AS unjudged, round(avg(completion), 6) AS completion_rate, count(*) FILTER (WHERE status = 'timeout') AS timeouts, count(*) FILTER (WHERE status = 'turn_limit') AS turn_limits,
@@ -489,7 +478,7 @@ def shuffled_labels(spark, sf_dir):
 @query()
 def shard_pack(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").alias("size"))
-    return sampling.shard_rows(c, "conv_id", ["turn"], "size", 4000).select("conv_id", "turn", "size", "shard")
+    return shards.shard_rows(c, "conv_id", ["turn"], "size", 4000).select("conv_id", "turn", "size", "shard")
 
 
 # --- ordered folds ---------------------------------------------------------------------------------------------
@@ -559,9 +548,9 @@ def validate_constraints(spark, sf_dir):
     return found.groupBy("rule").agg(F.count(F.lit(1)).alias("violations"))
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'view' AND value > 480), b AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'click' AND value > 480) SELECT 'both' AS side, count(*) AS users FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""")
+@query("""WITH a AS (SELECT DISTINCT event_id % 997 AS user_id FROM events WHERE event_type = 'view'), b AS (SELECT DISTINCT event_id % 997 AS user_id FROM events WHERE event_type = 'click') SELECT 'both' AS side, count(*) AS users FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""")
 def set_operations(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("value > 480")
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 997).alias("user_id"))
     a, b = (e.where(F.col("event_type") == t).select("user_id").distinct() for t in ("view", "click"))
     parts = [("both", a.intersect(b)), ("first only", readers.missing(a, b, "user_id")), ("either", a.union(b).distinct())]
     out = None

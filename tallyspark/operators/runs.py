@@ -16,8 +16,9 @@ def latest_records(*feeds: DataFrame, key: str = "run_id") -> DataFrame:
     for rank, f in enumerate(feeds):
         part = f.withColumn("_rank", F.lit(rank))
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
-    best = Window.partitionBy(key).orderBy(F.col("_rank").desc())
-    return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n", "_rank")
+    columns = [c for c in rows.columns if c not in (key, "_rank")]
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.col("_rank")).alias("_row"))
+    return last.select(key, "_row.*").select(*[c for c in rows.columns if c != "_rank"])
 
 
 def interrupted(meta: DataFrame, records: DataFrame, key: str = "run_id") -> DataFrame:

@@ -146,25 +146,3 @@ def dedupe_claims(claims: DataFrame) -> DataFrame:
     """Claims (text_id, claim_ord, company, metric, value, period, ...) by their normal form, with an id from its hash."""
     got = dedupe(claims, claim_key(F.col("company"), F.col("metric"), F.col("value"), F.col("period")), ["text_id", "claim_ord"], "claim_key")
     return got.withColumn("claim_id", F.concat(F.lit("C"), digest(F.col("claim_key")))).drop("claim_key")
-
-
-def greedy_shards(sizes: Column, limit: int) -> Column:
-    """Shard number of each size in order: a new shard where the next would pass the limit; a larger one stands alone.
-
-    A fold with a reset, which no window frame says; over the array of one group.
-    """
-    start = F.struct(F.lit(0).alias("shard"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<int>").alias("out"))
-
-    def add(a, s):
-        opens = (a["used"] > 0) & (a["used"] + s > limit)
-        shard = F.when(opens, a["shard"] + 1).otherwise(a["shard"])
-        return F.struct(shard.alias("shard"), F.when(opens, s).otherwise(a["used"] + s).cast("bigint").alias("used"), F.concat(a["out"], F.array(shard)).alias("out"))
-
-    return F.aggregate(sizes, start, add)["out"]
-
-
-def shard_rows(rows: DataFrame, group: str, order: list[str], size: str, limit: int) -> DataFrame:
-    """Greedy size-bounded shards of each group's rows in order. Only (order, size) of a group is gathered; groups are reports."""
-    lists = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("bigint").alias("_s")))).alias("l"))
-    cut = lists.select(group, F.explode(F.arrays_zip("l", greedy_shards(F.transform("l", lambda x: x["_s"]), limit).alias("shard"))).alias("z"))
-    return rows.join(cut.select(group, *[F.col(f"z.l.{c}").alias(c) for c in order], F.col("z.shard").alias("shard")), [group, *order])

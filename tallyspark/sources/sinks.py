@@ -1,7 +1,8 @@
 """Deterministic writers: the same rows give the same bytes.
 
-Reports are small; they are formatted column-wise on the executors and put together on the driver. Logs are scrubbed in
-parallel, a file a row.
+Rows are formatted, put in order and cut into shards on the executors, and logs are scrubbed there, a file a row; files
+are written by tasks. `csv_text` and `markdown_table` put a table together on the driver: they are for report tables that
+a person reads, `write_csv` and `markdown_lines` are the forms for tables of any size.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ import json
 import os
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, MapType, StringType, StructType
 
-from tallyspark.functions.secrets import open_secrets, quick_findings, scrub_free_text, scrub_value, secret_paths
+from tallyspark.functions.secrets import quick_findings, scrub_free_text, scrub_value, secret_paths
 from tallyspark.functions.text import redact_links
-from tallyspark.operators.sampling import greedy_shards
+from tallyspark.operators.shards import greedy_shards
 
 
 def cell(df: DataFrame, name: str, links: bool = False) -> Column:
@@ -56,7 +58,7 @@ def tidy(text: str) -> str:
 
 
 def csv_text(df: DataFrame, columns: list[str], order: list[str], link_columns: tuple[str, ...] = ("permalink",)) -> str:
-    """A report table as CSV in a given order."""
+    """A report table as CSV in a given order, on the driver."""
     rows = df.orderBy(*order).select(*[cell(df, c, c in link_columns).alias(c) for c in columns]).collect()
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\n")
@@ -66,40 +68,46 @@ def csv_text(df: DataFrame, columns: list[str], order: list[str], link_columns:
 
 
 def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds `line` and its `size` in bytes, for packing into shards without collecting."""
-    quoted = [F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in (cell(df, x) for x in columns)]
-    return df.withColumn("line", F.concat_ws(",", *quoted)).withColumn("size", F.octet_length("line") + 1)
+    """Adds `line` and its `size` in bytes with the line end."""
+    quote = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    line = F.concat_ws(",", *[quote(cell(df, c)) for c in columns])
+    return df.withColumn("line", line).withColumn("size", F.octet_length("line") + 1)
+
+
+def write_csv(df: DataFrame, columns: list[str], order: list[str], path: str, files: int = 1) -> None:
+    """CSV files in order, each with the head line, written by tasks: file names in order hold rows in order."""
+    lines = csv_lines(df, columns).repartitionByRange(max(1, files), *order).sortWithinPartitions(*order).select("line")
+    head = ",".join(columns)
+
+    def headed(batches):
+        begun = False
+        for b in batches:
+            if b.num_rows and not begun:
+                begun = True
+                yield pa.RecordBatch.from_arrays([pa.array([head])], ["line"])
+            yield b
+
+    lines.mapInArrow(headed, "line string").write.text(path)
 
 
 def run_shards(rows: DataFrame, limit: int, run: str = "run_id", csv_size: str = "size", text_size: str = "text_size") -> DataFrame:
     """Shards of whole runs on two byte counters: a shard is full when either would pass the limit. run, shard."""
     per = rows.groupBy(run).agg(F.sum(csv_size).cast("bigint").alias("a"), F.sum(text_size).cast("bigint").alias("b"))
-    lists = per.agg(F.array_sort(F.collect_list(F.struct(run, "a", "b"))).alias("l"))  # a row a run
-    zero = F.lit(0).cast("bigint")
-    start = F.struct(F.lit(0).alias("shard"), zero.alias("a"), zero.alias("b"), F.array().cast("array<int>").alias("out"))
-
-    def add(s, x):
-        opens = (s["a"] > 0) & ((s["a"] + x["a"] > limit) | (s["b"] + x["b"] > limit))
-        shard = F.when(opens, s["shard"] + 1).otherwise(s["shard"])
-        return F.struct(shard.alias("shard"), F.when(opens, x["a"]).otherwise(s["a"] + x["a"]).alias("a"), F.when(opens, x["b"]).otherwise(s["b"] + x["b"]).alias("b"), F.concat(s["out"], F.array(shard)).alias("out"))
+    return greedy_shards(per, [], [run], ["a", "b"], limit)
 
-    cut = lists.select(F.explode(F.arrays_zip("l", F.aggregate("l", start, add)["out"].alias("shard"))).alias("z"))
-    return cut.select(F.col(f"z.l.{run}").alias(run), F.col("z.shard").alias("shard"))
 
+def csv_shards(df: DataFrame, columns: list[str], order: list[str], limit: int) -> DataFrame:
+    """(shard, text): CSV shards in order, each with the head line and at most `limit` bytes unless one row is larger.
 
-def shard_csv(df: DataFrame, columns: list[str], order: list[str], limit: int) -> list[str]:
-    """CSV shards in order, each at most `limit` bytes unless one row is larger."""
-    lines = csv_lines(df, columns).orderBy(*order).select("line", "size").collect()
+    `order` tells rows apart. A shard is put together in one task; the limit bounds it.
+    """
     head = ",".join(columns)
-    room = limit - len(head.encode()) - 1
-    out, used = [], 0
-    for r in lines:
-        if not out or (used and used + r["size"] > room):
-            out.append([head])
-            used = 0
-        out[-1].append(r.line)
-        used += r["size"]
-    return ["\n".join(x) + "\n" for x in out] or [head + "\n"]
+    lines = csv_lines(df, columns)
+    shards = greedy_shards(lines, [], order, ["size"], limit - len(head.encode()) - 1)
+    by_place = F.array_sort(F.collect_list(F.struct(*order, "line")))
+    per = lines.select(*order, "line").join(shards, order).groupBy("shard").agg(by_place.alias("lines"))
+    text = F.concat(F.lit(head + "\n"), F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\n"))), ""))
+    return per.select("shard", text.alias("text"))
 
 
 def json_document(value, path: str) -> None:
@@ -143,9 +151,15 @@ def canonical_answers(answers: DataFrame) -> DataFrame:
     return answers.select("run_id", scrub_free_text(redact_links(F.col("text"))).alias("text"), (F.col("pointer") != F.col("canonical")).alias("mismatch"))
 
 
+def markdown_lines(df: DataFrame, columns: list[str]) -> Column:
+    """A row as a line of a Markdown table: bars escaped, line ends as spaces."""
+    plain = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *map(plain, columns)), F.lit(" |"))
+
+
 def markdown_table(df: DataFrame, columns: list[str], order: list[str]) -> str:
-    cells = [F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")) for c in columns]
-    rows = df.orderBy(*order).select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line")).collect()
+    """A report table as Markdown, on the driver."""
+    rows = df.orderBy(*order).select(markdown_lines(df, columns).alias("line")).collect()
     return "\n".join([f"| {' | '.join(columns)} |", f"|{'---|' * len(columns)}", *[r.line for r in rows]]) + "\n"
 
 
@@ -155,9 +169,9 @@ def flat_intervals(df: DataFrame, interval: str = "interval") -> DataFrame:
 
 def fingerprint(files: DataFrame) -> str:
     """One hash of labelled files (label, content, null where absent), whatever their order."""
-    rows = files.select("label", F.sha2("content", 256).alias("h")).distinct().orderBy("label").collect()
+    rows = files.select("label", F.sha2("content", 256).alias("h")).distinct().orderBy("label")
     total = hashlib.sha256()
-    for r in rows:
+    for r in rows.toLocalIterator():  # a row a file, one partition of them at a time
         total.update(r.label.encode() + b"\0" + (bytes.fromhex(r.h) if r.h else b"absent"))
     return total.hexdigest()
 
@@ -170,10 +184,3 @@ def check_outputs(files: DataFrame, masked_hosts: str | None = None, limit: int
         quick_findings(F.col("text")), secret_paths("text"),
     ))
     return files.select("path", F.explode(rules).alias("what"))
-
-
-def findings(text: str) -> list[str]:
-    return open_secrets(text)
-
-
-__all__ = ["append_rows", "canonical_answers", "cell", "check_outputs", "csv_lines", "csv_text", "fingerprint", "flat_intervals", "greedy_shards", "json_document", "markdown_table", "run_shards", "scrub_log", "scrubbed_logs", "shard_csv", "tidy"]

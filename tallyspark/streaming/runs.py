@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.operators.extraction import stops
 from tallyspark.operators.runs import latest_records
+from tallyspark.plans.scratch import children, delete
 
 FRESH = "30 minutes"
 
@@ -17,38 +18,62 @@ def record_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).json(path)
 
 
-def keep_latest(stream: DataFrame, table: str, checkpoint: str, key: str = "run_id"):
-    """Each batch replaces the rows of its keys in a Parquet table with versions; returns the query.
+#: Hash buckets of a table that `keep_latest` fills.
+BUCKETS = 64
 
-    The new version is written whole before the pointer moves, so a failed batch leaves the old one in place.
+
+def keep_latest(stream: DataFrame, table: str, checkpoint: str, key: str = "run_id", buckets: int = BUCKETS):
+    """Each batch replaces the rows of its keys in a table; returns the query.
+
+    The table is cut into hash buckets. A batch rewrites only the buckets that its keys fall into, as files of its own,
+    and then writes a manifest of where each bucket is: a failed batch leaves the old state in place, and one that comes
+    again finds its manifest. Files that neither this manifest nor the one before names are deleted.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        known = versions(spark, table)
-        if any(r.batch == n for r in known):  # the batch was merged, but its end was not noted
+        done = manifests(spark, table)
+        if n in done:  # the batch was merged, but its end was not noted
             return
-        now = current(spark, table)
-        rows = latest_records(now, batch, key=key) if now is not None else latest_records(batch, key=key)
-        version = max((r.version for r in known), default=-1) + 1
-        rows.write.mode("overwrite").parquet(f"{table}/v{version}")
-        spark.createDataFrame([(version, n)], "version long, batch long").coalesce(1).write.mode("append").parquet(f"{table}/versions")
+        known = manifest(spark, table, done[-1]) if done else {}
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # `buckets` numbers at most
+        old = [f"{table}/data/{known[b]}/_bucket={b}" for b in touched if b in known]
+        if old:
+            before = spark.read.schema(batch.schema).parquet(*old).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+            merged = latest_records(before, rows, key=key)
+        else:
+            merged = latest_records(rows, key=key)
+        merged.repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/data/{n}")
+        rows.unpersist()
+        now = known | dict.fromkeys(touched, n)
+        spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/{n}")
+        used = {str(v) for v in (*now.values(), *known.values())}
+        for name in children(spark, f"{table}/data"):
+            if name not in used and name.isdigit():
+                delete(spark, f"{table}/data/{name}")
+        for old_n in done[:-1]:
+            delete(spark, f"{table}/manifest/{old_n}")
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def versions(spark: SparkSession, table: str) -> list:
-    """(version, batch) of a table that `keep_latest` fills: one row a batch, few as they are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/versions")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return []
-    return spark.read.schema("version long, batch long").parquet(f"{table}/versions").collect()
+def manifests(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the batches whose manifest is complete."""
+    found = (int(n) for n in children(spark, f"{table}/manifest") if n.isdigit())
+    return sorted(n for n in found if "_SUCCESS" in children(spark, f"{table}/manifest/{n}"))
+
+
+def manifest(spark: SparkSession, table: str, n: int) -> dict[int, int]:
+    """Where each bucket is: bucket -> batch that wrote it."""
+    return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").parquet(f"{table}/manifest/{n}").collect()}
 
 
 def current(spark: SparkSession, table: str) -> DataFrame | None:
-    """The latest version of a table that `keep_latest` fills."""
-    known = versions(spark, table)
-    return spark.read.parquet(f"{table}/v{max(r.version for r in known)}") if known else None
+    """The present state of a table that `keep_latest` fills; None before the first batch."""
+    done = manifests(spark, table)
+    places = manifest(spark, table, done[-1]) if done else {}
+    return spark.read.parquet(*[f"{table}/data/{v}/_bucket={b}" for b, v in sorted(places.items())]) if places else None
 
 
 def latch(events: DataFrame, key: str = "batch") -> DataFrame:

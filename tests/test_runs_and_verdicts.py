@@ -1,10 +1,12 @@
 """Run states, costs, verdicts, samples and validators."""
 
+import random
+
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tallyspark.operators import runs, sampling, validation, verdicts
+from tallyspark.operators import runs, sampling, shards, validation, verdicts
 
 
 def test_resume_plan(spark):
@@ -81,9 +83,29 @@ def test_stratified_sample_ignores_row_order(spark, parity):
     assert len(got) == 60 and got[0][0] == "X001" and got == take(rows.orderBy(F.col("claim_id").desc()))
 
 
-def test_greedy_shards(spark):
-    rows = spark.createDataFrame([([400, 300, 400, 1500, 10],)], "s array<bigint>")
-    assert rows.select(sampling.greedy_shards(F.col("s"), 1000).alias("x")).first().x == [0, 0, 1, 2, 3]
+def folded(sizes, limit):
+    """Shards by a plain fold; the first counter tells whether one has begun."""
+    out, shard, used = [], 0, [0] * len(sizes[0])
+    for row in sizes:
+        if used[0] > 0 and any(u + x > limit for u, x in zip(used, row, strict=True)):
+            shard, used = shard + 1, [0] * len(row)
+        used = [u + x for u, x in zip(used, row, strict=True)]
+        out.append(shard)
+    return out
+
+
+@pytest.mark.parametrize("block", [100_000, 7, 1])
+def test_greedy_shards(spark, monkeypatch, block):
+    rng = random.Random(block)
+    monkeypatch.setattr(shards, "BLOCK_ROWS", block)
+    cases = {"a": ([400, 300, 400, 1500, 10], 1000), "b": ([0, 0, 2000, 0, 5, 996], 1000), "c": ([rng.choice([0, 1, 5, 400, 900, 1200]) for _ in range(90)], 1000), None: ([3, 998], 1000)}
+    rows = [(g, i, x) for g, (sizes, _) in cases.items() for i, x in enumerate(sizes)]
+    got = shards.greedy_shards(spark.createDataFrame(rows, "g string, i int, x int"), ["g"], ["i"], ["x"], 1000).collect()
+    for g, (sizes, limit) in cases.items():
+        assert [r.shard for r in sorted((r for r in got if r.g == g), key=lambda r: r.i)] == folded([[x] for x in sizes], limit), g
+    two = [(i, rng.choice([0, 10, 300]), rng.choice([0, 20, 600])) for i in range(120)]
+    got = shards.greedy_shards(spark.createDataFrame(two, "i int, x int, y int"), [], ["i"], ["x", "y"], 1000).orderBy("i").collect()
+    assert [r.shard for r in got] == folded([r[1:] for r in two], 1000)
 
 
 def test_batches(spark):

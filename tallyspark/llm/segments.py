@@ -3,6 +3,10 @@
 A byte-level BPE vocabulary whose pre-tokens start at a space (` ?\\p{L}+`, ...) never merges across a space that a
 non-space follows. So a text may be cut before each such space, and the ids of the text are the ids of the segments
 in order. Segments repeat, so most of a corpus is answered from a cache.
+
+A vocabulary file may list special tokens (`<|endoftext|>`). The tokenizer as loaded takes their strings in a text for
+these tokens and cuts the text around them before anything else; so does `SegmentEncoder`. The same vocabulary as a file
+of ranks has no special tokens: `SegmentCounts` and the counts made from it take such strings as ordinary text.
 """
 
 from __future__ import annotations
@@ -33,17 +37,27 @@ def tokenizer_file(name: str) -> str:
 
 
 def load_tokenizer(path: str):
-    """A `tokenizers` tokenizer; strings of special tokens inside a text are ordinary text."""
+    """A `tokenizers` tokenizer as its file has it."""
     if path not in _loaded:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(path)
-        loaded.encode_special_tokens = True
-        _loaded[path] = loaded
+        _loaded[path] = Tokenizer.from_file(path)
     return _loaded[path]
 
 
+def special_strings(tokenizer) -> re.Pattern | None:
+    """What finds the strings that the tokenizer cuts out of a text before all else; None if there are none.
+
+    Only tokens that stand for exactly their string can be cut out here.
+    """
+    added = list(tokenizer.get_added_tokens_decoder().values())
+    if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added):
+        raise ValueError("added tokens that reach beyond their string")
+    names = sorted((t.content for t in added), key=len, reverse=True)
+    return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+
+
 def load_ranks(path: str):
     """A `tiktoken` encoding from a file of ranks: counts what the tokenizer of the same vocabulary does, several times faster."""
     if path not in _loaded:
@@ -74,6 +88,7 @@ class SegmentEncoder:
 
     def __init__(self, path: str):
         self.path, self.chars = path, 0
+        self.special = special_strings(load_tokenizer(path))
         self.whole: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}
 
@@ -115,6 +130,8 @@ class SegmentEncoder:
             for x in texts[k : k + 256]:
                 if not x:
                     cut.append(((), ()))
+                elif self.special and self.special.search(x):
+                    cut.append(([y for part in self.special.split(x) for y in self._around(part)], ()))
                 elif ODD.search(x):
                     cut.append((segments(x), ()))
                 else:
@@ -123,6 +140,10 @@ class SegmentEncoder:
             self.learn(set().union(*(c[0] for c in cut)), set().union(*(c[1] for c in cut)))
             yield cut
 
+    def _around(self, part: str) -> list[str]:
+        """A special string as it is, and the text between two of them in segments."""
+        return [part] if self.special.fullmatch(part) else segments(part) if part else []
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text."""
         out = []

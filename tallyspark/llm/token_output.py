@@ -1,6 +1,7 @@
 """Token ids in Arrow files of fixed-size-list batches, and reading them back.
 
-Documents are dealt out by ranges of their id, so that files in order hold documents in order. Each file is an Arrow
+Documents are dealt out by ranges of their id (rows of one id, or without one, by a hash of the text and by their place
+in the input, so that any number of them are many tasks), so that files in order hold documents in order. Each file is an Arrow
 IPC file (a stream of record batches with a footer) of sequences: `ids` (fixed-size list of SEQUENCE ids; 16 bits where
 the vocabulary allows) and `mask` (fixed-size list of booleans, false where the last sequence is padded). Batches hold
 BATCH sequences each, so sequence i is row i % BATCH of batch i // BATCH; from a memory-mapped file it is a view, not a
@@ -9,8 +10,12 @@ copy. Beside it an index file holds (doc_id, start, n_tokens), one row a documen
 Each task writes under a name of its own and returns it, so a repeated or speculative task does no harm: only the names
 of the tasks that counted are read. One row per file reaches the driver.
 
-Cases: null and empty texts are one end id; null ids come first; repeated rows are documents of their own, ordered by
-text; other columns are ignored; an empty table gives no files and no rows.
+The crc32 of a document is taken over 32-bit ids, so reading them back for it widens the stored 16-bit ones; only
+`sequence_at` is free of copies.
+
+Cases: null and empty texts are one end id; null ids come first; repeated rows are documents of their own, in the order
+of a hash of their text; strings of special tokens are the tokens that the vocabulary file has for them; ids are whole
+numbers; other columns are ignored; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_folder, small_batches
+from .common import new_folder, open_store, slices
 from .segments import encoder_for, load_tokenizer, tokenizer_file
 
 SEQUENCE = 2048
@@ -33,13 +38,6 @@ END_ID = 2
 FILE_FIELDS = "part int, ids_file string, index_file string, n_ids long, n_docs long"
 
 
-def open_store(uri: str):
-    """File system and path of a folder or file, local or remote."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{uri}")
-
-
 def _uri(path: str) -> str:
     return path.replace("file:///", "file:/").replace("file:/", "file:///") if path.startswith("file:") else path
 
@@ -83,10 +81,11 @@ class SequenceWriter:
 def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, sequence: int = SEQUENCE, files: int | None = None) -> DataFrame:
     """Encode whole texts and write the files; one row a file (FILE_FIELDS and `before`: ids in the files before it)."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = tokenizer or tokenizer_file("byte_bpe_50k.json")
     files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("place"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "place"]
+    dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     folder = _uri(folder)
 
     def run(batches):
@@ -101,21 +100,18 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, id_c
         kind = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         writer = index = None
         outs, n_docs = [], 0
-        for b in batches:
+        for b in slices(batches):
             keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            if not keys:
-                continue
             if writer is None:
                 outs = [store.open_output_stream(open_store(n)[1]) for n in names]
                 writer, index = SequenceWriter(outs[0], sequence, width), pa.ipc.new_file(outs[1], kind)
-            for k in range(0, len(keys), 512):
-                starts, sizes = [], []
-                for raw in encoder.encode(texts[k : k + 512]):
-                    ids = np.append(np.frombuffer(raw, np.uint32), np.uint32(end_id))
-                    starts.append(writer.n)
-                    sizes.append(len(ids))
-                    writer.add(ids)
-                index.write_batch(pa.RecordBatch.from_arrays([pa.array(keys[k : k + 512], pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=kind))
+            starts, sizes = [], []
+            for raw in encoder.encode(texts):
+                ids = np.append(np.frombuffer(raw, np.uint32), np.uint32(end_id))
+                starts.append(writer.n)
+                sizes.append(len(ids))
+                writer.add(ids)
+            index.write_batch(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, sizes)], schema=kind))
             n_docs += len(keys)
         if writer is not None:
             writer.close()

@@ -1,147 +1,236 @@
-"""Edit-aware token counts: a segment tree per document, re-encoded only around its edits.
+"""Edit-aware token counts: a segment tree per document that is kept, and re-encoding only around edits.
 
 A text is cut into segments at its spaces (see `segments`), whose ids add up to those of the text. The tree's leaves are
-runs of LEAF segments; every node holds the characters and tokens below it. An edit (at a character, remove so many,
-insert a string) finds its leaf from the root by characters. The segments that it touches, and one on either side as
-context (an edit may join or part them), are cut and encoded anew; the sums above the leaves touched are updated.
+runs of about LEAF segments, of which the characters and tokens are kept; every node above holds the characters and
+tokens below it. `build_trees` encodes whole texts once and gives their trees as columns (TREE), to be written as a
+table. `apply_edits` takes such a table, applies the edits of each document and gives the table anew: nothing is encoded
+but what an edit touches. An edit (at a character, remove so many, insert a string) finds its leaf from the root by
+characters. The segments that it touches, and one on either side as context (an edit may join or part them), are cut and
+encoded anew; the sums above the leaves touched are updated.
 
 Each text is worked out whole in one row, so memory is bounded by the longest text. Cases: null texts count as empty;
 null edits as none; a position beyond the end means the end, a removal beyond the end stops there, negative numbers
-count as 0; null ids are kept; repeated rows get equal results; other columns are kept (a column that has the name of a
-result is replaced).
+count as 0; null ids are kept; repeated rows get equal results; strings of special tokens are counted as ordinary text;
+other columns are kept (a column that has the name of a result is replaced).
 """
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import small_batches
+from .common import slices, stash
 from .segments import SegmentCounts, counts_for, segments, tokenizer_file
 
 LEAF = 32
+#: Columns of a kept tree: the text, segments of each leaf, characters and tokens of each segment, and of each node
+#: (node 1 is the root, 2 k and 2 k + 1 are below k, the leaves are the last half).
+TREE = ("tree_text", "leaf_segments", "segment_chars", "segment_tokens", "node_chars", "node_tokens")
+COUNTS = ("n_before", "n_after", "n_segments", "n_encoded")
+_INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
+_KINDS = dict(zip(TREE, (pa.string(), _INTS, _INTS, _INTS, _LONGS, _LONGS), strict=True)) | dict.fromkeys(COUNTS[:2], pa.int64()) | dict.fromkeys(COUNTS[2:], pa.int32())
+_TYPES = {pa.string(): StringType(), pa.int64(): LongType(), pa.int32(): IntegerType(), _INTS: ArrayType(IntegerType()), _LONGS: ArrayType(LongType())}
 
 
 class CountTree:
-    """Token and character sums over the segments of one text."""
-
-    def __init__(self, parts: list[str], known: SegmentCounts):
-        self.known = known
-        self.encoded = 0
-        self._build(parts, list(map(known.__getitem__, parts)))
-
-    def _build(self, parts: list[str], counts: list[int]) -> None:
-        self.parts = [parts[k : k + LEAF] for k in range(0, len(parts), LEAF)] or [[]]
-        self.counts = [counts[k : k + LEAF] for k in range(0, len(counts), LEAF)] or [[]]
-        size = 1
-        while size < len(self.parts):
-            size *= 2
-        self.size = size
-        self.chars, self.tokens = [0] * (2 * size), [0] * (2 * size)
-        for k, (p, c) in enumerate(zip(self.parts, self.counts, strict=True)):
-            self.chars[size + k], self.tokens[size + k] = sum(map(len, p)), sum(c)
-        for k in range(size - 1, 0, -1):
-            self.chars[k] = self.chars[2 * k] + self.chars[2 * k + 1]
-            self.tokens[k] = self.tokens[2 * k] + self.tokens[2 * k + 1]
+    """Token and character sums over the segments of one text. Leaves are read when they are needed."""
+
+    def __init__(self, known: SegmentCounts):
+        self.known, self.encoded = known, 0
+
+    @classmethod
+    def of(cls, text: str, known: SegmentCounts) -> CountTree:
+        tree = cls(known)
+        parts = segments(text)
+        tree._build(text, list(map(len, parts)), list(map(known.__getitem__, parts)))
+        return tree
+
+    @classmethod
+    def kept(cls, text: str, leaf_segments, chars, tokens, node_chars, node_tokens, known: SegmentCounts) -> CountTree:
+        """The tree whose `state` this is; nothing is encoded."""
+        tree = cls(known)
+        tree.node_chars, tree.node_tokens = node_chars.tolist(), node_tokens.tolist()
+        tree._deal(text, leaf_segments, chars, tokens)
+        return tree
+
+    def state(self) -> tuple:
+        """(text, leaf_segments, segment_chars, segment_tokens, node_chars, node_tokens)."""
+        return "".join(self.texts), list(map(len, self.chars)), np.concatenate(self.chars), np.concatenate(self.tokens), self.node_chars, self.node_tokens
+
+    def _build(self, text: str, chars: list[int], tokens: list[int]) -> None:
+        leaves = max(1, -(-len(chars) // LEAF))
+        size = 1 << (leaves - 1).bit_length()
+        edges = np.arange(0, max(1, len(chars)), LEAF)
+        self.node_chars, self.node_tokens = ([0] * (2 * size) for _ in range(2))
+        for nodes, values in ((self.node_chars, chars), (self.node_tokens, tokens)):
+            if values:
+                nodes[size : size + leaves] = np.add.reduceat(np.array(values, np.int64), edges).tolist()
+            for k in range(size - 1, 0, -1):
+                nodes[k] = nodes[2 * k] + nodes[2 * k + 1]
+        sizes = np.full(leaves, LEAF)
+        sizes[-1] = len(chars) - LEAF * (leaves - 1)
+        self._deal(text, sizes, np.array(chars, np.int32), np.array(tokens, np.int32))
+
+    def _deal(self, text: str, leaf_segments, chars: np.ndarray, tokens: np.ndarray) -> None:
+        self.size = len(self.node_chars) // 2
+        edges = np.cumsum(leaf_segments)[:-1].tolist()
+        self.chars, self.tokens = np.split(chars, edges), np.split(tokens, edges)
+        cuts = [0, *np.cumsum(self.node_chars[self.size : self.size + len(self.chars)]).tolist()]
+        self.texts = [text[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
     @property
     def total(self) -> int:
-        return self.tokens[1]
+        return self.node_tokens[1]
+
+    @property
+    def segments(self) -> int:
+        return sum(map(len, self.chars))
 
     def text(self) -> str:
-        return "".join(x for p in self.parts for x in p)
+        return "".join(self.texts)
 
     def _find(self, at: int) -> tuple[int, int, int]:
-        """Leaf, segment and offset of the character `at`; the end of the text if it is there."""
+        """Leaf, segment and offset in it of the character `at`; the end of the last segment if the text ends there."""
         node = 1
         while node < self.size:
             node *= 2
-            if at >= self.chars[node] and self.chars[node + 1]:
-                at -= self.chars[node]
+            if at >= self.node_chars[node] and self.node_chars[node + 1]:
+                at -= self.node_chars[node]
                 node += 1
         leaf = node - self.size
-        for k, x in enumerate(self.parts[leaf]):
-            if at < len(x):
+        for k, many in enumerate(self.chars[leaf].tolist()):
+            if at < many:
                 return leaf, k, at
-            at -= len(x)
-        last = max(0, len(self.parts[leaf]) - 1)
-        return leaf, last, (len(self.parts[leaf][last]) if self.parts[leaf] else 0)
+            at -= many
+        last = max(0, len(self.chars[leaf]) - 1)
+        return leaf, last, int(self.chars[leaf][last]) if len(self.chars[leaf]) else 0
 
-    def _step(self, leaf: int, k: int, by: int) -> tuple[int, int]:
+    def _beside(self, leaf: int, k: int, by: int) -> tuple[int, int]:
         """The segment before or after, across leaves; the same one at either end of the text."""
-        j = k + by
-        if 0 <= j < len(self.parts[leaf]):
-            return leaf, j
+        if 0 <= k + by < len(self.chars[leaf]):
+            return leaf, k + by
         other = leaf + by
-        while 0 <= other < len(self.parts) and not self.parts[other]:
+        while 0 <= other < len(self.chars) and not len(self.chars[other]):
             other += by
-        if not 0 <= other < len(self.parts):
+        if not 0 <= other < len(self.chars):
             return leaf, k
-        return other, (0 if by > 0 else len(self.parts[other]) - 1)
+        return other, (0 if by > 0 else len(self.chars[other]) - 1)
 
     def edit(self, start: int, remove: int, insert: str) -> None:
-        start = min(max(0, start), self.chars[1])
-        remove = min(max(0, remove), self.chars[1] - start)
-        la, ka, offset = self._find(start)
+        start = min(max(0, start), self.node_chars[1])
+        remove = min(max(0, remove), self.node_chars[1] - start)
+        la, ka, before = self._find(start)
         lb, kb, _ = self._find(start + remove)
-        before = offset
-        if self.parts[la]:
-            l, k = self._step(la, ka, -1)
+        if len(self.chars[la]):
+            l, k = self._beside(la, ka, -1)
             if (l, k) != (la, ka):
-                before += len(self.parts[l][k])
+                before += int(self.chars[l][k])
             la, ka = l, k
-        if self.parts[lb]:
-            lb, kb = self._step(lb, kb, 1)
-        old = [x for leaf in range(la, lb + 1) for x in self.parts[leaf][ka if leaf == la else 0 : kb + 1 if leaf == lb else None]]
-        whole = "".join(old)
-        new = segments(whole[:before] + insert + whole[before + remove :])
+        if len(self.chars[lb]):
+            lb, kb = self._beside(lb, kb, 1)
+        head, tail = int(self.chars[la][:ka].sum()), int(self.chars[lb][kb + 1 :].sum())
+        whole = "".join(self.texts[la : lb + 1])
+        touched = whole[head : len(whole) - tail]
+        new = segments(touched[:before] + insert + touched[before + remove :])
         self.encoded += len(new)
-        counts = list(map(self.known.__getitem__, new))
-        tail, tail_counts = self.parts[lb][kb + 1 :], self.counts[lb][kb + 1 :]
-        self.parts[la] = self.parts[la][:ka] + new
-        self.counts[la] = self.counts[la][:ka] + counts
+        chars, tokens = (np.fromiter(map(f, new), np.int32, len(new)) for f in (len, self.known.__getitem__))
+        front = whole[:head] + "".join(new)
+        rest = [(whole[len(whole) - tail :], self.chars[lb][kb + 1 :], self.tokens[lb][kb + 1 :])]
+        ahead = (self.chars[la][:ka], self.tokens[la][:ka])
         if la == lb:
-            self.parts[la] += tail
-            self.counts[la] += tail_counts
+            (text, c, t), rest = rest[0], []
+            self.texts[la], self.chars[la], self.tokens[la] = front + text, np.concatenate([ahead[0], chars, c]), np.concatenate([ahead[1], tokens, t])
         else:
-            for leaf in range(la + 1, lb):
-                self.parts[leaf], self.counts[leaf] = [], []
-            self.parts[lb], self.counts[lb] = tail, tail_counts
-        if len(self.parts[la]) > 4 * LEAF:
-            self._build([x for p in self.parts for x in p], [x for c in self.counts for x in c])
+            self.texts[la], self.chars[la], self.tokens[la] = front, np.concatenate([ahead[0], chars]), np.concatenate([ahead[1], tokens])
+            none = np.zeros(0, np.int32)
+            rest = [("", none, none)] * (lb - la - 1) + rest
+        for k, (text, c, t) in enumerate(rest):
+            self.texts[la + 1 + k], self.chars[la + 1 + k], self.tokens[la + 1 + k] = text, c, t
+        if len(self.chars[la]) > 4 * LEAF:
+            self._build(self.text(), np.concatenate(self.chars).tolist(), np.concatenate(self.tokens).tolist())
             return
         for leaf in range(la, lb + 1):
-            node = self.size + leaf
-            chars, count = sum(map(len, self.parts[leaf])), sum(self.counts[leaf])
-            more_chars, more = chars - self.chars[node], count - self.tokens[node]
-            while node:
-                self.chars[node] += more_chars
-                self.tokens[node] += more
-                node //= 2
+            self._settle(leaf)
 
+    def _settle(self, leaf: int) -> None:
+        """Carry the sums of a leaf up to the root."""
+        node = self.size + leaf
+        more_chars, more = int(self.chars[leaf].sum()) - self.node_chars[node], int(self.tokens[leaf].sum()) - self.node_tokens[node]
+        while node and (more_chars or more):
+            self.node_chars[node] += more_chars
+            self.node_tokens[node] += more
+            node //= 2
 
-def recount(docs: DataFrame, edits: str = "edits", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """Apply `edits` (array of struct start, remove, insert, in order) to each text; adds n_before, n_after, n_segments, n_encoded."""
-    small_batches(docs.sparkSession)
+
+def _column(values: list, kind: pa.DataType) -> pa.Array:
+    if not pa.types.is_list(kind):
+        return pa.array(values, kind)
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])]).astype(np.int32)
+    flat = np.concatenate([np.asarray(v) for v in values]) if values else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(kind.value_type.to_pandas_dtype())))
+
+
+def _with(batch: pa.RecordBatch, names: tuple[str, ...], rows: list[tuple]) -> pa.RecordBatch:
+    """The batch with columns replaced or added, in the order of `_schema`."""
+    made = {n: _column([r[k] for r in rows], _KINDS[n]) for k, n in enumerate(names)}
+    kept = [(n, batch.column(i)) for i, n in enumerate(batch.schema.names) if n not in made]
+    return pa.RecordBatch.from_arrays([*(c for _, c in kept), *made.values()], [*(n for n, _ in kept), *made])
+
+
+def _schema(df: DataFrame, names: tuple[str, ...]) -> StructType:
+    return StructType([f for f in df.schema if f.name not in names] + [StructField(n, _TYPES[_KINDS[n]]) for n in names])
+
+
+def build_trees(docs: DataFrame, text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """All columns of docs but the text, and the tree of each whole text (TREE)."""
+    path = tokenizer or tokenizer_file("byte_bpe_50k.tiktoken")
+    at = docs.columns.index(text)
+    kind = StructType([f for f in _schema(docs, TREE) if f.name != text])
+
+    def run(batches):
+        known = counts_for(path)
+        for b in slices(batches, 256):
+            rows = [CountTree.of(x or "", known).state() for x in b.column(at).to_pylist()]
+            yield _with(b.drop_columns([text]), TREE, rows)
+
+    return docs.mapInArrow(run, kind)
+
+
+def apply_edits(trees: DataFrame, edits: str = "edits", tokenizer: str | None = None) -> DataFrame:
+    """The trees after `edits` (array of struct start, remove, insert, in order), with COUNTS: tokens before and after,
+    segments before, segments encoded. All other columns are kept."""
     path = tokenizer or tokenizer_file("byte_bpe_50k.tiktoken")
-    kind = StructType().add("n_before", LongType()).add("n_after", LongType()).add("n_segments", IntegerType()).add("n_encoded", IntegerType())
+    places = {n: trees.columns.index(n) for n in (*TREE, edits)}
 
-    def run(texts: pd.Series, changes: pd.Series) -> pd.DataFrame:
+    def run(batches):
         known = counts_for(path)
-        rows = []
-        for x, todo in zip(texts, changes, strict=True):
-            parts = segments("" if pd.isna(x) else x)
-            tree = CountTree(parts, known)
-            before = tree.total
-            for e in [] if todo is None else todo:
-                tree.edit(int(e["start"] or 0), int(e["remove"] or 0), e["insert"] or "")
-            rows.append((before, tree.total, len(parts), tree.encoded))
-        return pd.DataFrame(rows, columns=[f.name for f in kind])
+        for b in slices(batches, 256):
+            texts, todo = b.column(places["tree_text"]).to_pylist(), b.column(places[edits]).to_pylist()
+            lists = []
+            for n in TREE[1:]:
+                column = b.column(places[n])
+                values, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+                lists.append([values[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)])
+            rows = []
+            for x, changes, *kept in zip(texts, todo, *lists, strict=True):
+                tree = CountTree.kept(x, *kept, known)
+                before, many = tree.total, tree.segments
+                for e in changes or []:
+                    tree.edit(int(e["start"] or 0), int(e["remove"] or 0), e["insert"] or "")
+                rows.append((*tree.state(), before, tree.total, many, tree.encoded))
+            yield _with(b, (*TREE, *COUNTS), rows)
 
-    out = docs.drop(*[f.name for f in kind if f.name in docs.columns]).withColumn("_count", F.pandas_udf(run, kind)(F.col(text), F.col(edits)))
-    return out.select("*", "_count.*").drop("_count")
+    return trees.mapInArrow(run, _schema(trees, (*TREE, *COUNTS)))
+
+
+def recount(docs: DataFrame, edits: str = "edits", text: str = "text", tokenizer: str | None = None) -> DataFrame:
+    """All columns of docs and COUNTS, for texts of which no tree is kept."""
+    held = docs.withColumn("_text", F.col(text))
+    out = apply_edits(build_trees(held, "_text", tokenizer), edits, tokenizer)
+    return out.select(*[c for c in docs.columns if c not in COUNTS], *COUNTS)
 
 
 #: What the query's edits insert, by turns.
@@ -160,6 +249,8 @@ def derived_edits(id_col: str, text: str, many: int = 3):
 
 
 def op8_edit_counts(spark, sf_dir: str) -> DataFrame:
-    """Token counts of all documents before and after three edits each."""
+    """Trees of all documents, written; three edits to each, from the table; the table after them, written again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("edits", derived_edits("doc_id", "text"))
-    return recount(docs).select("doc_id", "n_before", "n_after", "n_segments", "n_encoded")
+    trees = stash(build_trees(docs), "trees", compression="zstd")
+    edited = stash(apply_edits(trees).drop("edits"), "trees", compression="zstd")
+    return edited.select("doc_id", *COUNTS)

@@ -4,11 +4,12 @@ A payload (UTF-8 bytes of a text, zero bytes up to a positive multiple of BLOCK)
 written by the wave module and stored as a binary column in the shared folder. From the stored bytes, read back by the
 wave module, come the samples again, a windowed Fourier transform of frames of FRAME samples every HOP, the strongest
 PEAKS bins of each frame that exceed both neighbours, and for each peak its pairs with the peaks of the next SPAN frames.
-A fingerprint is the array of (time, code) of all pairs, in order: code = first bin, second bin and distance packed.
+A fingerprint is the array of (time, code) of all pairs, in order: code = first bin, second bin and distance packed. The
+arrays are stored as two columns, `times` and `codes`, of the table of features.
 
 All frames of a sound are used. A row is worked out alone, so memory is bounded by the longest text. Cases: null and
 empty texts are one block of zeros, whose array is empty; repeated rows and equal texts get equal values; a null doc_id
-is kept; other columns are ignored.
+is kept; ids are whole numbers; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash
+from .common import slices, stash
 
 BLOCK = 64
 RATE = 8000
@@ -89,14 +90,12 @@ def fingerprint(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media binary): the WAVs of all rows, written to the shared folder and read back."""
-    small_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
-            keys, texts = b.column(0), b.column(1).to_pylist()
-            for k in range(0, len(texts), 256):
-                raw = [(x or "").encode("utf-8", "replace") for x in texts[k : k + 256]]
-                yield pa.RecordBatch.from_arrays([keys.slice(k, 256), pa.array([len(x) for x in raw], pa.int64()), pa.array([to_wav(payload_of(x)) for x in raw], pa.binary())], ["doc_id", "n_bytes", "media"])
+        for b in slices(batches, 256):
+            raw = [(x or "").encode("utf-8", "replace") for x in b.column(1).to_pylist()]
+            media = pa.array([to_wav(payload_of(x)) for x in raw], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), media], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return stash(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", compression="zstd")
@@ -108,27 +107,34 @@ FIELDS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 def media_features(media: DataFrame) -> DataFrame:
     """Payload digests and time-coded fingerprints from the stored bytes (FIELDS)."""
+    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()]
 
     def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 256):
-                part = b.slice(k, 256)
-                rows = []
-                for m in part.column(2).to_pylist():
-                    p = from_wav(m)
-                    t, c = fingerprint(p)
-                    rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), max(1, -(-(len(p) - FRAME) // HOP) + 1), t, c))
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())]
-                made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], [x.split()[0] for x in FIELDS.split(", ")])
+        for b in slices(batches, 256):
+            rows, times, codes = [], [], []
+            for m in b.column(2).to_pylist():
+                p = from_wav(m)
+                t, c = fingerprint(p)
+                frames = max(1, -(-(len(p) - FRAME) // HOP) + 1)
+                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), frames))
+                times.append(t)
+                codes.append(c)
+            made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
+            ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in times])]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (times, codes)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *lists], [x.split()[0] for x in FIELDS.split(", ")])
 
     return media.mapInArrow(run, FIELDS)
 
 
+def store_features(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """FIELDS of all rows: the WAVs are stored and read back, and what comes from them is stored, arrays and all."""
+    return stash(media_features(store_media(docs, id_col, text)), "fingerprints", compression="zstd")
+
+
 def op9_wav_fingerprints(spark, sf_dir: str) -> DataFrame:
-    """All documents as WAVs; the feature is a digest of the frames, the number of pairs and the time-coded array."""
-    rows = media_features(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet")))
-    pairs = F.size("times")
+    """All documents as WAVs; the feature is a digest of the frames, the number of pairs and the stored time-coded arrays."""
+    rows = store_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     digest = F.sha2(F.concat_ws(",", F.col("times").cast("array<string>"), F.col("codes").cast("array<string>")), 256)
-    feature = F.concat_ws(":", F.col("frames").cast("string"), pairs.cast("string"), F.substring(digest, 1, 32))
+    feature = F.concat_ws(":", F.col("frames").cast("string"), F.size("times").cast("string"), F.substring(digest, 1, 32))
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))

@@ -3,33 +3,39 @@
 The items are indexed; every training passage is a query. A passage is a window of the text of twice the longest item
 (plus a quarter), windows overlap by half, so any copy of an item lies whole in one of them; all windows of all texts
 are asked. An item's score is the BM25 sum over the passage's words, as a share of the item's score for itself; all
-items at THRESHOLD or more are retrieved. WAND's bounds are taken in three steps, each of which drops only what cannot
-reach the threshold: the greatest impact of each word over all items; the greatest impact of each word in each block of
-BLOCK items; then the posting cursors of the blocks left, moved to pivots.
+items at THRESHOLD or more are retrieved. WAND's bounds are taken step by step, each of which drops only what cannot
+reach the threshold: the greatest impact of each word over all items; then, for the words without which nothing reaches
+the threshold, the blocks of BLOCK items that they occur in, with the greatest impact of each word in each block (the
+posting lists of the other, commonest, words are only looked up in blocks that are left); then the posting cursors of
+these blocks, moved to pivots. Windows are taken a few at a time, so that at most POSTINGS block entries (or those of one
+window) are held.
 
 A retrieved pair is kept if the passage holds the item's question (all sentences but the last: share of its word
 5-shingles, or the question but for one word) and its answer (the last sentence: share of its words), or the whole item
 but for one word. "But for one word" is a stretch with one word replaced, left out or put in, and is asked of questions
 and items of SHINGLE words or more. Words are compared without case and without punctuation at their ends.
 
-Items are sent to every worker, CHUNK_BYTES of them at a time; a larger benchmark takes as many passes as it needs. Item
-count, document frequencies and mean length are those of all items (counted on the driver), so scores are the same at
-any number of passes.
-Cases: null and empty texts match nothing; items without words are ignored; equal items are found each; one row per
-document row and item at most (repeated rows give repeated results); null ids are kept; other columns are ignored.
+Indexes of about CHUNK_BYTES of items each are made by tasks and written to the shared folder; item count, document
+frequencies and mean length are those of all items, so scores are the same at any number of indexes. One pass over the
+documents asks all of them: a task holds HELD_BYTES of texts and one index at a time.
+
+Cases: null and empty texts match nothing; items without words are ignored, and repeated item rows count once; items
+with equal texts are found each; one row per document row and item at most (repeated documents give repeated results);
+null ids are kept; ids are whole numbers; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections import Counter
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import bounded, new_folder, open_store, slices
 
 THRESHOLD = 0.6
 QUESTION = 0.8
@@ -39,6 +45,12 @@ CHUNK_BYTES = 8_000_000
 K1, B = 1.2, 0.75
 SHINGLE = 5
 KEPT_WORDS = 300_000
+#: Block entries that a worker holds, and (window, block, word) triples that it looks up at once.
+POSTINGS = 1_000_000
+#: Bytes of texts that a task holds while it asks one index after the other.
+HELD_BYTES = 32_000_000
+#: Items that an index keeps in parsed form.
+PARSED = 20_000
 
 
 def form(word: str) -> str:
@@ -91,79 +103,118 @@ def nearly(words: list[str], passage: list[str]) -> bool:
 class ItemIndex:
     """Inverted index of items: impacts by word and item, greatest impacts by word and by word and block."""
 
-    def __init__(self, items: list[tuple[int, str]], whole: tuple[int, float, dict[str, int]] | None = None):
-        """`whole` is (count, mean length, items by word) of all items, where these are a part of them."""
+    def __init__(self, items: list[tuple[int, str]], count: int | None = None, mean: float | None = None, holders: dict[str, int] | None = None):
+        """Count, mean length and items by word are those of all items, where these are a part of them."""
         read = [(i, forms(t or ""), t) for i, t in items]
         read = [x for x in read if x[1]]
-        self.ids = [x[0] for x in read]
-        self.parts, self.words = [], []
-        for _, _, t in read:
-            q, a = split_item(t)
-            self.parts.append((q, grams(q), set(a)))
-            self.words.append(forms(t))
+        self.ids, self.texts = [x[0] for x in read], [x[2] for x in read]
+        self.parsed: dict[int, tuple] = {}
         n = len(read)
         self.longest = max((len(x[1]) for x in read), default=1)
-        count, mean, holders = whole or (n, sum(len(x[1]) for x in read) / max(1, n), {})
+        count = n if count is None else count
+        mean = sum(len(x[1]) for x in read) / max(1, n) if mean is None else mean
         where: dict[str, dict[int, int]] = {}
         for i, (_, words, _) in enumerate(read):
             for w in words:
-                where.setdefault(w, {}).setdefault(i, 0)
-                where[w][i] += 1
-        self.terms = {w: k for k, w in enumerate(sorted(where))}
-        items_, weights, starts = [], [], [0]
-        own = np.zeros(max(1, n))
-        for w in sorted(where):
-            found = sorted(where[w].items())
-            df = holders.get(w, len(found))
-            idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
-            for i, tf in found:
-                v = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(read[i][1]) / mean))
-                items_.append(i)
-                weights.append(v)
-                own[i] += v
-            starts.append(len(items_))
-        self.items = np.array(items_, np.int64)
-        self.weights = np.array(weights, float)
+                found = where.setdefault(w, {})
+                found[i] = found.get(i, 0) + 1
+        names = sorted(where)
+        self.terms = {w: k for k, w in enumerate(names)}
+        sizes = np.array([len(where[w]) for w in names], np.int64)
+        df = sizes if holders is None else np.array([holders[w] for w in names], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        self.items = np.array([i for w in names for i in sorted(where[w])], np.int64)
+        tf = np.array([where[w][i] for w in names for i in sorted(where[w])], float)
+        length = np.array([len(x[1]) for x in read], float)
+        idf = np.repeat(np.log(1 + (count - df + 0.5) / (df + 0.5)), sizes)
+        self.weights = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.items] / max(mean, 1e-9))) if n else np.zeros(0)
         if n:
-            self.weights /= own[self.items]
-        self.starts = np.array(starts, np.int64)
-        terms = len(self.terms)
+            self.weights /= np.bincount(self.items, self.weights, n)[self.items]
+        terms = len(names)
         self.most = np.maximum.reduceat(self.weights, self.starts[:-1]) if terms else np.zeros(0)
-        self.blocks = -(-n // BLOCK)
-        owner = np.repeat(np.arange(terms), np.diff(self.starts))
-        pair = owner * max(1, self.blocks) + self.items // BLOCK
-        keys, first = np.unique(pair, return_index=True)  # postings are in order of word and item
-        self.block_at = keys % max(1, self.blocks)
+        self.blocks = max(1, -(-n // BLOCK))
+        owner = np.repeat(np.arange(terms), sizes)
+        self.block_keys, first = np.unique(owner * self.blocks + self.items // BLOCK, return_index=True)  # word, then block
         self.block_most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.block_first = np.append(first, len(self.items))
-        self.block_starts = np.searchsorted(keys // max(1, self.blocks), np.arange(terms + 1))
+        self.block_starts = np.searchsorted(self.block_keys, np.arange(terms + 1) * self.blocks)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"parsed": {}}
+
+    def item(self, k: int) -> tuple[list[str], list[str], set, set]:
+        """Words of the item and of its question, the question's shingles, the answer's words."""
+        if k not in self.parsed:
+            if len(self.parsed) >= PARSED:
+                self.parsed.clear()
+            question, answer = split_item(self.texts[k])
+            self.parsed[k] = forms(self.texts[k]), question, grams(question), set(answer)
+        return self.parsed[k]
+
+    def in_blocks(self, term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For pairs of word and block: whether the word occurs in the block, and where its entry is."""
+        wanted = term * self.blocks + block
+        at = np.minimum(np.searchsorted(self.block_keys, wanted), max(0, len(self.block_keys) - 1))
+        return self.block_keys[at] == wanted if len(self.block_keys) else np.zeros(len(term), bool), at
 
     def survivors(self, window: np.ndarray, term: np.ndarray, windows: int, least: float) -> np.ndarray:
         """(window, block) pairs whose bound reaches `least`; window and term are distinct pairs."""
+        able = np.bincount(window, self.most[term], windows) >= least if len(term) else np.zeros(windows, bool)
+        window, term = window[able[window]], term[able[window]]
         if not len(term):
             return np.zeros((0, 2), np.int64)
-        able = np.bincount(window, self.most[term], windows) >= least
-        keep = able[window]
-        window, term = window[keep], term[keep]
-        if not len(term):
-            return np.zeros((0, 2), np.int64)
-        low = self.block_starts[term]
-        many = self.block_starts[term + 1] - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        bounds = np.bincount(np.repeat(window, many) * self.blocks + self.block_at[at], self.block_most[at], windows * self.blocks)
-        found = np.flatnonzero(bounds >= least)
+        order = np.lexsort((self.most[term], window))
+        window, term = window[order], term[order]
+        top = self.most[term]
+        starts = np.flatnonzero(np.append(True, window[1:] != window[:-1]))
+        run = np.cumsum(top)
+        own = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(term))))
+        within = run - (run[starts] - top[starts])[own]
+        needed = within >= least  # the commonest words of a window fall short together: a block needs one of the others
+        many = np.where(needed, self.block_starts[term + 1] - self.block_starts[term], 0)
+        load = np.add.reduceat(many, starts)
+        out, edges, a = [], np.append(starts, len(term)), 0
+        while a < len(starts):
+            b = a + max(1, int(np.searchsorted(np.cumsum(load[a:]), POSTINGS, side="right")))
+            part = slice(edges[a], edges[b] if b < len(edges) else len(term))
+            out.append(self._bounded(window[part], term[part], needed[part], many[part], least))
+            a = b
+        return np.concatenate(out)
+
+    def _bounded(self, window: np.ndarray, term: np.ndarray, needed: np.ndarray, many: np.ndarray, least: float) -> np.ndarray:
+        w, t, m = window[needed], term[needed], many[needed]
+        low = self.block_starts[t]
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+        keys, place = np.unique(np.repeat(w, m) * self.blocks + self.block_keys[at] % self.blocks, return_inverse=True)
+        bound = np.bincount(place, self.block_most[at], len(keys))
+        first = int(window[0])
+        w, t = window[~needed], term[~needed]
+        spare = np.bincount(w - first, self.most[t], int(window[-1]) - first + 1)  # what the common words can add at most
+        live = bound + spare[keys // self.blocks - first] >= least
+        keys, bound = keys[live], bound[live]
+        begin = np.searchsorted(w, np.arange(first, int(window[-1]) + 2))
+        size = np.diff(begin)
+        kept, k = [], 0
+        per = size[keys // self.blocks - first]
+        while k < len(keys):
+            e = k + max(1, int(np.searchsorted(np.cumsum(per[k:]), POSTINGS, side="right")))
+            own = np.repeat(np.arange(k, min(e, len(keys))), per[k:e])
+            offset = np.arange(len(own)) - np.repeat(np.cumsum(per[k:e]) - per[k:e], per[k:e])
+            words = t[begin[keys[own] // self.blocks - first] + offset]
+            there, entry = self.in_blocks(words, keys[own] % self.blocks)
+            more = np.bincount(own - k, np.where(there, self.block_most[entry], 0.0), min(e, len(keys)) - k) if len(own) else 0.0
+            kept.append(keys[k:e][bound[k:e] + more >= least])
+            k = e
+        found = np.concatenate(kept) if kept else np.zeros(0, np.int64)
         return np.stack([found // self.blocks, found % self.blocks], axis=1)
 
     def search(self, terms: np.ndarray, block: int, least: float) -> list[tuple[int, float]]:
         """WAND over the postings of one block: (item, score) of all items that reach `least`."""
+        there, entry = self.in_blocks(terms, np.full(len(terms), block))
         cursors = []  # next item, position, end, greatest impact
-        for t in terms:
-            low, high = self.block_starts[t], self.block_starts[t + 1]
-            k = low + int(np.searchsorted(self.block_at[low:high], block))
-            if k < high and self.block_at[k] == block:
-                p, e = int(self.block_first[k]), int(self.block_first[k + 1])
-                e = min(e, int(self.starts[t + 1]))
-                cursors.append([int(self.items[p]), p, e, float(self.block_most[k])])
+        for k in entry[there].tolist():
+            p, e = int(self.block_first[k]), int(self.block_first[k + 1])
+            cursors.append([int(self.items[p]), p, e, float(self.block_most[k])])
         out = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
@@ -196,13 +247,14 @@ class ItemIndex:
 
     def holds(self, item: int, passage: list[str], got: tuple[float, float], question: float, answer: float) -> bool:
         """Whether the shares `got` or a copy but for one word make the passage hold the item."""
-        if got[1] >= answer and (got[0] >= question or nearly(self.parts[item][0], passage)):
+        words, asked, _, _ = self.item(item)
+        if got[1] >= answer and (got[0] >= question or nearly(asked, passage)):
             return True
-        return nearly(self.words[item], passage)
+        return nearly(words, passage)
 
     def verify(self, item: int, passage: list[str]) -> tuple[float, float]:
         """Shares of the question's shingles and of the answer's words that the passage holds."""
-        _, asked, answer = self.parts[item]
+        _, _, asked, answer = self.item(item)
         k = len(next(iter(asked))) if asked else 0
         here = {tuple(passage[i : i + k]) for i in range(len(passage) - k + 1)} if k else set()
         words = set(passage)
@@ -268,80 +320,136 @@ def find_items(index: ItemIndex, texts: list[str | None], lookup: Lookup, least:
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
-def item_indexes(items: DataFrame, item_id: str = "item_id", item_text: str = "text"):
-    """Indexes of the items, one at a time, each of CHUNK_BYTES of text or about that."""
-    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t"))
-    total = int(rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0])
-    passes = 1 if total <= CHUNK_BYTES else -(-total * 3 // (2 * CHUNK_BYTES))
-    parts = [rows if passes == 1 else rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k) for k in range(passes)]
-    whole = None if passes == 1 else whole_counts(parts)
-    for part in parts:
-        yield ItemIndex(sorted(((r.i, r.t) for r in part.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1])), whole)
+# --- indexes in the shared folder -----------------------------------------------------------------
 
 
-def whole_counts(parts: list[DataFrame]) -> tuple[int, float, dict[str, int]]:
-    """Number of items with words, their mean length and the number of them that hold each word, one part at a time."""
-    count = length = 0
-    holders: Counter[str] = Counter()
-    for part in parts:
-        for r in part.collect():
-            words = forms(r.t)
-            count += bool(words)
-            length += len(words)
-            holders.update(set(words))
-    return count, length / max(1, count), holders
+def write_indexes(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> list[str]:
+    """Files of indexes of all items; none if no item has a word. A task makes one index; only file names reach the driver."""
+    spark = items.sparkSession
+    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
+    size = int(rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0])
+    many = 1 if size <= CHUNK_BYTES else -(-size * 3 // (2 * CHUNK_BYTES))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("i", "t"), F.lit(many)).cast("int"))
+
+    def words_of(batches):
+        for b in slices(batches):
+            chunks, words, lengths = [], [], []
+            for text, chunk in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                found = forms(text)
+                kinds = set(found)
+                words += [None, *kinds]
+                chunks += [chunk] * (1 + len(kinds))
+                lengths += [len(found), *[0] * len(kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(words, pa.string()), pa.array(lengths, pa.int64())], ["chunk", "word", "length"])
+
+    told = rows.select("t", "chunk").mapInArrow(words_of, "chunk int, word string, length long")
+    count, length = told.where("word IS NULL AND length > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    if not count:
+        return []
+    uses = told.where("word IS NOT NULL").groupBy("chunk", "word").agg(F.count(F.lit(1)).alias("n"))
+    holders = uses.groupBy("word").agg(F.sum("n").alias("df"))
+    none = F.lit(None)
+    known = uses.join(holders, "word").select("chunk", F.lit(0).alias("kind"), none.cast("long").alias("i"), F.col("word").alias("t"), "df")
+    every = known.unionByName(rows.select("chunk", F.lit(1).alias("kind"), "i", "t", none.cast("long").alias("df")))
+    folder = new_folder(spark, "indexes")
+
+    def build(batches):
+        now, df, items_ = None, {}, []
+
+        def done():
+            index = ItemIndex(items_, count, length / count, df)
+            store, base = open_store(folder)
+            store.create_dir(base, recursive=True)
+            name = f"{folder}/{now}-{uuid.uuid4().hex}.pickle"
+            with store.open_output_stream(open_store(name)[1]) as f:
+                f.write(pickle.dumps(index, protocol=5))
+            return pa.RecordBatch.from_arrays([pa.array([name])], ["file"])
+
+        for b in batches:
+            for chunk, kind, i, t, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if chunk != now:
+                    if items_:
+                        yield done()
+                    now, df, items_ = chunk, {}, []
+                if kind:
+                    items_.append((i, t))
+                else:
+                    df[t] = n
+        if items_:
+            yield done()
+
+    dealt = every.repartition(many, "chunk").sortWithinPartitions("chunk", "kind", F.col("i").asc_nulls_first(), "t")
+    return sorted(r.file for r in dealt.mapInArrow(build, "file string").collect())
+
+
+_held: dict[str, tuple[ItemIndex, Lookup]] = {}
+
+
+def index_of(file: str) -> tuple[ItemIndex, Lookup]:
+    """The index of a file and its words; a worker holds one at a time."""
+    if file not in _held:
+        _held.clear()
+        store, path = open_store(file)
+        with store.open_input_stream(path) as f:
+            index = pickle.loads(f.read())
+        _held[file] = index, Lookup(index.terms)
+    return _held[file]
+
+
+def _asked(batches, files: list[str], text: int, least: float):
+    """(batch, found) for each small batch: `find_items` rows of all indexes, with the index in front."""
+    group, held = [], 0
+
+    def ask():
+        found = [[] for _ in group]
+        for file in files:
+            index, lookup = index_of(file)
+            for k, b in enumerate(group):
+                texts = b.column(text).to_pylist()
+                for low, high in bounded(texts):
+                    found[k] += [(index.ids[i], low + d, *rest) for d, i, *rest in find_items(index, texts[low:high], lookup, least)]
+        yield from zip(group, found, strict=True)
+
+    for b in slices(batches):
+        group.append(b)
+        held += b.column(text).nbytes
+        if held >= HELD_BYTES or len(files) == 1:
+            yield from ask()
+            group, held = [], 0
+    if group:
+        yield from ask()
+
+
+RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for every document and item that it contains."""
-    small_batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    out = None
-    for index in item_indexes(items, item_id, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-        found = source.mapInArrow(_finder(sent, least), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-        out = found if out is None else out.unionByName(found)
-    return out
+    files = write_indexes(items, item_id, item_text)
 
+    def run(batches):
+        for b, found in _asked(batches, files, 1, least):
+            if found:
+                keys = b.column(0).to_pylist()
+                i, d, s, q, a = zip(*found, strict=True)
+                columns = [pa.array([keys[x] for x in d], pa.int64()), pa.array(i, pa.int64()), pa.array(s), pa.array(q), pa.array(a)]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RESULT.split(", ")])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, RESULT)
 
-def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that contain no item. No shuffle."""
-    small_batches(docs.sparkSession)
-    for index in item_indexes(items, item_id, item_text):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.mapInArrow(_dropper(sent, least, docs.columns.index(text)), docs.schema)
-    return docs
 
+def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that contain no item. One pass, no shuffle."""
+    files = write_indexes(items, item_id, item_text)
+    at = docs.columns.index(text)
 
-def _dropper(sent, least: float, at: int):
     def run(batches):
-        index = sent.value
-        lookup = Lookup(index.terms)
-        for b in batches:
+        for b, found in _asked(batches, files, at, least):
             clean = np.ones(b.num_rows, bool)
-            texts = b.column(at)
-            for k in range(0, b.num_rows, 64):
-                for found in find_items(index, texts.slice(k, 64).to_pylist(), lookup, least):
-                    clean[k + found[0]] = False
+            clean[[x[1] for x in found]] = False
             yield b.filter(pa.array(clean))
 
-    return run
-
-
-def _finder(sent, least: float):
-    def run(batches):
-        index = sent.value
-        lookup = Lookup(index.terms)
-        for b in batches:
-            for k in range(0, b.num_rows, 64):
-                part = b.slice(k, 64)
-                keys = part.column(0).to_pylist()
-                found = find_items(index, part.column(1).to_pylist(), lookup, least)
-                if found:
-                    d, i, s, q, a = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[x] for x in d], pa.int64()), pa.array([index.ids[x] for x in i], pa.int64()), pa.array(s), pa.array(q), pa.array(a)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-    return run
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op10_blockmax_wand(spark, sf_dir: str) -> DataFrame:

@@ -6,7 +6,9 @@
    Documents with one and the same set stand as one node from here on. For each shingle that is in several prefixes,
    its nodes are walked in order of set size; where the sizes of neighbours differ by more than the threshold allows,
    the walk is cut. Each node is tied to the first of its stretch: a star, so a shingle with n nodes makes n rows, not
-   n * n pairs. Every link lies inside one connected part of these ties.
+   n * n pairs. Every link lies inside one connected part of these ties. A shingle that the sketch counts more than HOT
+   times is walked in as many hash shares as it takes; the stretches of the shares (first node, least and greatest
+   size) are then walked themselves, and tied where they touch.
 3. Each part is joined by an R-tree. A set is the point of its shingle counts in GROUPS hash groups; a node of the tree
    keeps the largest count in each group and the smallest set size below it; the sum over groups of the smaller count
    bounds the overlap from above, for a point as for a whole node. Pairs that survive are verified on the shingles.
@@ -20,7 +22,7 @@
 Shingles are 64-bit hashes; sets are told apart by 128 bits more. Cases: a text with fewer than five words is one
 shingle of all its words; without words or text a document has no shingle and links with nothing; repeated rows and
 equal sets are linked; rows with a null doc_id get n_shingles and a null component_id and join nothing; other columns
-are ignored.
+are ignored. Ids are whole numbers; a text that is none stops the job.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, stash, tokens
+from .common import components, join_rows, slices, stash, tokens
 
 WORDS = 5
 SLOTS = 1 << 22
@@ -41,8 +43,8 @@ LEAF = 32
 PART = 1000
 #: Sets that a task remembers having told.
 TOLD = 200_000
-#: At most so many sets can be held by so large a share of the rows that they are joined by broadcast.
-COMMON = 1024
+#: Uses of a shingle that one task walks.
+HOT = 20_000
 #: Bits of the filter that keeps texts without a tie from being cut into shingles again.
 FILTER_BITS = 1 << 23
 
@@ -101,12 +103,12 @@ def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
 
     A task tells at most 65,535 of a slot: the numbers only order shingles, and any order that all share is exact.
     """
-    slices = 64
-    size = SLOTS // slices
+    many = 64
+    size = SLOTS // many
 
     def count(batches):
         hashes, loads, held, n = WordHashes(), np.zeros(SLOTS, np.int64), [], 0
-        for b in batches:
+        for b in slices(batches):
             for x in b.column(0).to_pylist():
                 held.append(slots_of(shingles(x, hashes, words)))
                 n += len(held[-1])
@@ -115,8 +117,8 @@ def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
                     held, n = [], 0
         if held:
             loads += np.bincount(np.concatenate(held), minlength=SLOTS)
-        parts = [zlib.compress(np.minimum(loads[i * size : (i + 1) * size], 65_535).astype(np.uint16).tobytes(), 1) for i in range(slices)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(parts, pa.binary())], ["slice", "loads"])
+        parts = [zlib.compress(np.minimum(loads[i * size : (i + 1) * size], 65_535).astype(np.uint16).tobytes(), 1) for i in range(many)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(many), pa.int32()), pa.array(parts, pa.binary())], ["slice", "loads"])
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -126,7 +128,7 @@ def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
                 total[k] = total[k] + got if k in total else got
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["slice", "loads"])
 
-    rows = docs.select("text").mapInArrow(count, "slice int, loads binary").repartition(slices, "slice").mapInArrow(add, "slice int, loads binary").collect()
+    rows = docs.select("text").mapInArrow(count, "slice int, loads binary").repartition(many, "slice").mapInArrow(add, "slice int, loads binary").collect()
     loads = np.zeros(SLOTS, np.uint32)
     for r in rows:
         loads[r.slice * size : (r.slice + 1) * size] = np.minimum(np.frombuffer(zlib.decompress(r.loads), np.int64), 2**32 - 1)
@@ -134,16 +136,18 @@ def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, loads: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix): set size, two fingerprints of the set, and the prefix shingles in the common order.
+    """(doc_id, n, f1, f2, prefix, hot, shares): set size, two fingerprints of the set, the prefix shingles in the common
+    order, and those among them that are walked in several shares.
 
     A task gives the prefix of a set once, so that a group of copies makes a row a task, not a row a copy.
     """
     sent = docs.sparkSession.sparkContext.broadcast(loads)
+    none = np.zeros(0, np.int64)
 
     def run(batches):
         hashes, order, told = WordHashes(), sent.value, set()
-        for b in batches:
-            sizes, f1, f2, prefixes = [], [], [], []
+        for b in slices(batches):
+            sizes, f1, f2, prefixes, hot, shares = [], [], [], [], [], []
             for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(x, hashes, words)
                 sizes.append(len(s))
@@ -151,7 +155,8 @@ def sketches(docs: DataFrame, loads: np.ndarray, words: int, percent: int) -> Da
                 f2.append(int(_scramble(s * _MIX ^ _MIX3).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
                 mark = (f1[-1], f2[-1])
                 if key is None or not len(s) or mark in told:
-                    prefixes.append(np.zeros(0, np.int64))
+                    for column in (prefixes, hot, shares):
+                        column.append(none)
                     continue
                 if len(told) < TOLD:
                     told.add(mark)
@@ -161,13 +166,48 @@ def sketches(docs: DataFrame, loads: np.ndarray, words: int, percent: int) -> Da
                     last = np.partition(load, p - 1)[p - 1]
                     take = np.flatnonzero(load < last)
                     take = np.concatenate([take, np.flatnonzero(load == last)[: p - len(take)]])
-                    s = s[take]
-                prefixes.append(s.view(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-            flat = np.concatenate(prefixes) if prefixes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["doc_id", "n", "f1", "f2", "prefix"])
+                    s, load = s[take], load[take]
+                many = load > HOT
+                prefixes.append(s[~many].view(np.int64))
+                hot.append(s[many].view(np.int64))
+                shares.append(-(-load[many].astype(np.int64) // HOT))
+            fixed = [b.column(0), *(pa.array(x, pa.int64()) for x in (sizes, f1, f2))]
+            lists = [_lists(x) for x in (prefixes, hot, shares)]
+            yield pa.RecordBatch.from_arrays([*fixed, *lists], ["doc_id", "n", "f1", "f2", "prefix", "hot", "shares"])
+
+    kind = "doc_id long, n long, f1 long, f2 long, prefix array<long>, hot array<long>, shares array<long>"
+    return docs.select("doc_id", "text").mapInArrow(run, kind)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
+def ties(real: DataFrame, percent: int) -> DataFrame:
+    """(a, b): fingerprints of nodes that share a prefix shingle and of the first node of their stretch.
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, f1 long, f2 long, prefix array<long>")
+    Ties are between first fingerprints: should two sets share one, they are tied too, which only makes a part larger.
+    """
+    uses = real.select("n", "f1", F.explode("prefix").alias("shingle"), F.lit(0).cast("long").alias("share"))
+    spread = real.select("n", "f1", F.explode(F.arrays_zip("hot", "shares")).alias("z"))
+    spread = spread.select("n", "f1", F.col("z.hot").alias("shingle"), F.pmod(F.xxhash64("f1"), F.col("z.shares")).alias("share"))
+    plain = _stretches(uses, ["shingle"], "n", "n", percent)
+    shared = _stretches(spread, ["shingle", "share"], "n", "n", percent)
+    heads = shared.groupBy("shingle", "share", "first").agg(F.min("n").alias("n"), F.max("n").alias("high")).withColumnRenamed("first", "f1")
+    joined = _stretches(heads, ["shingle"], "n", "high", percent)
+    found = [x.where("first <> f1").select(F.col("f1").alias("a"), F.col("first").alias("b")) for x in (plain, shared, joined)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
+
+
+def _stretches(rows: DataFrame, keys: list[str], low: str, high: str, percent: int) -> DataFrame:
+    """Rows with `first`, the first f1 of their stretch: rows of a key in order of size, cut where the sizes before are
+    too small for the next."""
+    walk = Window.partitionBy(*keys).orderBy(low, "f1")
+    before = F.max(high).over(walk.rowsBetween(Window.unboundedPreceding, -1))
+    cut = before.isNull() | (100 * before < percent * F.col(low))
+    first = F.last(F.when(F.col("cut"), F.col("f1")), ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("cut", cut).withColumn("first", first).drop("cut")
 
 
 class CountVectorTree:
@@ -252,7 +292,7 @@ def join_parts(rows: DataFrame, key: list[str], percent: int, words: int) -> Dat
         def done():
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(join_part(ids, sets, percent), pa.int64())], ["id", "root"])
 
-        for b in batches:
+        for b in slices(batches):
             for k, i, x in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
                 if k != now:
                     if ids:
@@ -279,7 +319,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         marked = sent.value
-        for b in batches:
+        for b in slices(batches):
             at = np.array(b.column(2), np.int64)
             part = b.filter(pa.array(((marked[at >> 6] >> (at & 63)) & 1).astype(bool)))
             packed = [zlib.compress(x.encode("utf-8", "replace"), 1) for x in part.column(1).to_pylist()]
@@ -291,20 +331,13 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, words: int = WORDS, part: int = PART) -> DataFrame:
     """One row per row of the input: doc_id, n_shingles, component_id (smallest id reachable by links)."""
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     loads = shingle_loads(docs, words)
     sketch = stash(sketches(docs, loads, words, percent), "sketch")
     real = sketch.where("n > 0 AND doc_id IS NOT NULL")
     same = ["n", "f1", "f2"]
     nodes = real.groupBy(*same).agg(F.min("doc_id").alias("id"))
-    # ties are between first fingerprints: should two sets share one, they are tied too, which only makes a part larger
-    uses = real.select("n", "f1", F.explode("prefix").alias("shingle"))
-    walk = Window.partitionBy("shingle").orderBy("n", "f1")
-    cut = F.lag("n").over(walk).isNull() | (100 * F.lag("n").over(walk) < percent * F.col("n"))
-    first = F.last(F.when(F.col("cut"), F.col("f1")), ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, 0))
-    ties = uses.withColumn("cut", cut).withColumn("first", first).where("first <> f1").select(F.col("f1").alias("a"), F.col("first").alias("b")).distinct()
-    tied = components(ties).select(F.col("id").alias("f1"), "root")
+    tied = components(ties(real, percent)).select(F.col("id").alias("f1"), "root")
     parts = stash(nodes.select("f1", "id", "n").join(tied, "f1").select("id", "root", "n").distinct(), "parts")
     repeats = _repeats(sketch)
     tasks, split = _tasks(parts, percent, part)
@@ -319,22 +352,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         joined = joined.join(wide, "id", "left").select("id", F.coalesce("wide", "root").alias("root"))
     named = stash(nodes.select(*same, "id").join(joined, "id", "left").select(*same, F.coalesce("root", "id").alias("component")), "named")
     keys = ["doc_id", *same]
-    out = _by_set(real.select(*keys), named, same)
+    out = join_rows(real.select(*keys), named, same)
     rest = sketch.where("n = 0 OR doc_id IS NULL").select(*keys, F.when(F.col("n") == 0, F.col("doc_id")).alias("component"))
     out = out.unionByName(rest)
     return _settled(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), repeats)
 
 
-def _by_set(rows: DataFrame, named: DataFrame, same: list[str]) -> DataFrame:
-    """Rows with the component of their set. Sets with at least 1/COMMON of all rows, so COMMON of them at most, are sent
-    to the rows; the others are met by a shuffle, in which no key is large then."""
-    least = max(2, -(-rows.count() // COMMON))
-    common = rows.groupBy(*same).count().where(F.col("count") >= least).select(*same)
-    sent = F.broadcast(named.join(F.broadcast(common), same))
-    hot = rows.join(sent, same)
-    return hot.unionByName(rows.join(F.broadcast(common), same, "left_anti").join(named, same).select(hot.columns))
-
-
 def _repeats(sketch: DataFrame) -> bool:
     """Whether an id stands on several rows."""
     return bool(sketch.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count())

@@ -3,7 +3,12 @@
 Features: density, count and variety of words of a lexicon (plain, and weighted by their log odds), lexicon words near
 second-person words, capitals, punctuation, digits, symbols, obfuscated words, and length. The lexicon, the trees and
 the calibration are learnt from a bounded sample of labelled rows: the FIT_ROWS first by a hash of the id. The lexicon
-are words that stand in clearly more toxic than other documents of the sample. Scoring is one pass over the corpus.
+are words that stand in clearly more toxic than other documents of the sample. Words are counted and features made where
+the texts are: what reaches the driver are lexicons of LEXICON words and the sample's features. Scoring is one pass over
+the corpus.
+
+The score is the isotonic fit of the labels on margins of rows that the trees and their lexicon had not seen (three
+folds), with straight lines between the centres of its steps.
 
 Words are compared without case, accents of look-alike characters (0 for o, @ for a, ...), inner separators and
 repeated letters, so `1d10t`, `i.d.i.o.t` and `idiooot` meet `idiot`.
@@ -15,16 +20,17 @@ held out; labels that contradict each other for one id are each used; other colu
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, small_batches
+from .common import remainder, slices, stash
 
 FIT_ROWS = 6000
+LEXICON = 500
+FOLDS = 3
 #: Look-alike characters, and second-person words of the languages at hand.
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e", "|": "l"})
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -103,29 +109,42 @@ def features(text: str | None, words: Words) -> list[float]:
     ]
 
 
-def learn_lexicon(texts: list[str | None], y: np.ndarray, least: int = 4, most: int = 500) -> dict[str, float]:
-    """Words with much greater odds in toxic documents; the smoothed log odds are their weights.
+def kinds_of(text: str | None) -> set[str]:
+    """The forms of a text's words."""
+    return {bare(w)[0] for w in set((text or "").lower().split())} - {""}
+
+
+def count_forms(sample: DataFrame) -> DataFrame:
+    """form, and in how many toxic and other documents of each fold it stands: t0, n0, t1, n1, ..."""
+
+    def run(batches):
+        for b in slices(batches, 64):
+            found = [sorted(kinds_of(x)) for x in b.column(0).to_pylist()]
+            owner = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
+            columns = [pa.array([f for x in found for f in x], pa.string()), *(b.column(k).take(pa.array(owner)) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, ["form", "y", "fold"])
+
+    rows = sample.select("t", "y", "fold").mapInArrow(run, "form string, y int, fold int")
+    in_ = lambda k, y: F.count_if((F.col("fold") == k) & (F.col("y") == y))
+    return rows.groupBy("form").agg(*[in_(k, y).alias(f"{'nt'[y]}{k}") for k in range(FOLDS) for y in (1, 0)])
 
-    A word must stand in 1.5 % of the toxic documents, so that a family of copies with a wrong label teaches nothing.
+
+def learn_lexicon(forms: DataFrame, sizes: dict[int, tuple[int, int]], without: int | None, least: int = 4, most: int = LEXICON) -> dict[str, float]:
+    """Words with much greater odds in toxic documents of all folds but one; the smoothed log odds are their weights.
+
+    `sizes` is (documents, toxic ones) by fold. A word must stand in 1.5 % of the toxic documents, so that a family of
+    copies with a wrong label teaches nothing.
     """
-    inside, outside, forms = Counter(), Counter(), {}
-    for x, t in zip(texts, y, strict=True):
-        kinds = set()
-        for w in set((x or "").lower().split()):
-            if w not in forms:
-                forms[w] = bare(w)[0]
-            kinds.add(forms[w])
-        (inside if t else outside).update(kinds - {""})
-    a, b = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    least = max(least, int(np.ceil(0.015 * a)))
-    scored = {}
-    for w, k in inside.items():
-        if k >= least and len(w) > 2:
-            odds = float(np.log((k + 0.5) / (a + 1)) - np.log((outside[w] + 0.5) / (b + 1)))
-            z = odds / np.sqrt(1 / (k + 0.5) + 1 / (outside[w] + 0.5))
-            if odds > 1.2 and z > 3.0:
-                scored[w] = (z, odds)
-    return {w: scored[w][1] for w in sorted(scored, key=lambda w: (-scored[w][0], w))[:most]}
+    folds = [k for k in range(FOLDS) if k != without]
+    toxic = max(1, sum(sizes.get(k, (0, 0))[1] for k in folds))
+    other = max(1, sum(sizes.get(k, (0, 0))[0] - sizes.get(k, (0, 0))[1] for k in folds))
+    least = max(least, int(np.ceil(0.015 * toxic)))
+    inside, outside = (sum((F.col(f"{c}{k}") for k in folds[1:]), F.col(f"{c}{folds[0]}")) for c in "tn")
+    odds = F.log((inside + 0.5) / (toxic + 1)) - F.log((outside + 0.5) / (other + 1))
+    z = odds / F.sqrt(1 / (inside + 0.5) + 1 / (outside + 0.5))
+    rows = forms.where((inside >= least) & (F.length("form") > 2)).select("form", odds.alias("odds"), z.alias("z"))
+    top = rows.where("odds > 1.2 AND z > 3").orderBy(F.col("z").desc(), "form").limit(most)
+    return {r.form: r.odds for r in top.collect()}
 
 
 class BoostedTrees:
@@ -152,27 +171,24 @@ class BoostedTrees:
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-f))
             g, h = y - p, p * (1 - p)
+            wide_g, wide_h = np.repeat(g, k), np.repeat(h, k)
             size = 2**self.depth - 1
             feature, cut, value = np.zeros(size, int), np.full(size, wide), np.zeros(2 ** (self.depth + 1) - 1)
             node = np.zeros(n, int)
             for level in range(self.depth):
-                low = 2**level - 1
-                for m in range(low, 2 ** (level + 1) - 1):
-                    some = np.flatnonzero(node == m)
-                    if len(some) < 20:
-                        continue
-                    gs = np.bincount(flat[some].ravel(), np.repeat(g[some], k), k * wide).reshape(k, wide).cumsum(axis=1)
-                    hs = np.bincount(flat[some].ravel(), np.repeat(h[some], k), k * wide).reshape(k, wide).cumsum(axis=1)
-                    gt, ht = gs[:, -1:], hs[:, -1:]
-                    gain = gs**2 / (hs + self.ridge) + (gt - gs) ** 2 / (ht - hs + self.ridge) - gt**2 / (ht + self.ridge)
-                    gain[(hs < 1.0) | (ht - hs < 1.0)] = 0
-                    best = int(gain.argmax())
-                    if gain.flat[best] > 1e-6:
-                        feature[m], cut[m] = best // wide, best % wide
+                low, many = 2**level - 1, 2**level
+                at = ((node - low)[:, None] * (k * wide) + flat).ravel()
+                gs, hs = (np.bincount(at, x, many * k * wide).reshape(many, k, wide).cumsum(axis=2) for x in (wide_g, wide_h))
+                gt, ht = gs[:, :, -1:], hs[:, :, -1:]
+                gain = gs**2 / (hs + self.ridge) + (gt - gs) ** 2 / (ht - hs + self.ridge) - gt**2 / (ht + self.ridge)
+                gain[(hs < 1.0) | (ht - hs < 1.0)] = 0
+                gain[np.bincount(node - low, minlength=many) < 20] = 0
+                best = gain.reshape(many, -1).argmax(axis=1)
+                some = np.flatnonzero(gain.reshape(many, -1)[np.arange(many), best] > 1e-6)
+                feature[low + some], cut[low + some] = best[some] // wide, best[some] % wide
                 node = 2 * node + 1 + (b[np.arange(n), feature[node]] > cut[node])
-            for leaf in range(size, len(value)):
-                some = node == leaf
-                value[leaf] = self.rate * g[some].sum() / (h[some].sum() + self.ridge)
+            leaves = np.bincount(node, g, len(value)), np.bincount(node, h, len(value))
+            value[size:] = self.rate * leaves[0][size:] / (leaves[1][size:] + self.ridge)
             f += value[node]
             self.trees.append((feature, cut, value))
         return self
@@ -188,53 +204,41 @@ class BoostedTrees:
         return f
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators: knots of the non-decreasing least-squares fit of y on x."""
+def isotonic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Pool adjacent violators: steps (least x, greatest x, centre, value) of the non-decreasing least-squares fit."""
     order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []  # sum, count, least x, greatest x
+    blocks: list[list[float]] = []  # sum of y, count, least x, greatest x, sum of x
     for v, t in zip(x[order], y[order], strict=True):
         if blocks and blocks[-1][3] == v:  # ties share a block
-            blocks[-1][0] += t
-            blocks[-1][1] += 1
+            last = blocks[-1]
+            last[0], last[1], last[4] = last[0] + t, last[1] + 1, last[4] + v
         else:
-            blocks.append([float(t), 1.0, float(v), float(v)])
+            blocks.append([float(t), 1.0, float(v), float(v), float(v)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
-            s, c, _, high = blocks.pop()
-            blocks[-1][0] += s
-            blocks[-1][1] += c
-            blocks[-1][3] = high
-    xs = np.array([v for b in blocks for v in ((b[2], b[3]) if b[2] < b[3] else (b[2],))])
-    ys = np.array([b[0] / b[1] for b in blocks for _ in range(2 if b[2] < b[3] else 1)])
-    return xs, ys
+            s, c, _, high, total = blocks.pop()
+            last = blocks[-1]
+            last[0], last[1], last[3], last[4] = last[0] + s, last[1] + c, high, last[4] + total
+    return np.array([(low, high, total / c, s / c) for s, c, low, high, total in blocks])
 
 
 class ToxicityModel:
-    """Lexicon, trees and calibration; calibrated on margins of rows that the trees had not seen (two folds)."""
-
-    def __init__(self, texts: list[str | None], y: np.ndarray):
-        self.share = float(y.mean()) if len(y) else 0.0
-        self.lexicon: dict[str, float] = {}
-        self.trees: BoostedTrees | None = None
-        if len(y) < 10 or not 0 < y.sum() < len(y):
-            return
+    """Lexicon, trees and calibration."""
+
+    def __init__(self, share: float, lexicon: dict[str, float] | None = None, trees: BoostedTrees | None = None, steps: np.ndarray | None = None):
+        self.share, self.lexicon, self.trees, self.steps = share, lexicon or {}, trees, steps
+
+    @classmethod
+    def fitted(cls, lexicons: list[dict[str, float]], tables: np.ndarray, y: np.ndarray, fold: np.ndarray) -> ToxicityModel:
+        """`lexicons` without each fold and of all rows; `tables` the features under each of them: (row, lexicon, name)."""
         unseen = np.zeros(len(y))
-        fold = np.arange(len(y)) % 3
-        for k in range(3):
-            rest = np.flatnonzero(fold != k)
-            if not 0 < y[rest].sum() < len(rest):
-                continue
-            lexicon = learn_lexicon([texts[i] for i in rest], y[rest])
-            # features of the rows that taught the lexicon flatter it, so the trees learn from it as it is here too
-            x = self.table(texts, lexicon)
-            unseen[fold == k] = BoostedTrees().fit(x[rest], y[rest]).margin(x[fold == k])
-        self.lexicon = learn_lexicon(texts, y)
-        self.trees = BoostedTrees().fit(self.table(texts, self.lexicon), y)
-        self.knots = isotonic(unseen, y)
-
-    @staticmethod
-    def table(texts: list[str | None], lexicon: dict[str, float]) -> np.ndarray:
-        words = Words(lexicon)
-        return np.array([features(x, words) for x in texts], float).reshape(len(texts), len(NAMES))
+        for k in range(FOLDS):
+            rest = fold != k
+            if 0 < y[rest].sum() < rest.sum():
+                unseen[~rest] = BoostedTrees().fit(tables[rest, k], y[rest]).margin(tables[~rest, k])
+        return cls(float(y.mean()), lexicons[-1], BoostedTrees().fit(tables[:, -1], y), isotonic(unseen, y))
+
+    def calibrated(self, margin: np.ndarray) -> np.ndarray:
+        return np.clip(np.interp(margin, self.steps[:, 2], self.steps[:, 3]), 0.0, 1.0)
 
     def score(self, texts: list[str | None], words: Words | None = None) -> np.ndarray:
         if self.trees is None:
@@ -242,23 +246,36 @@ class ToxicityModel:
         words = Words(self.lexicon) if words is None else words
         if not texts:
             return np.zeros(0)
-        margin = self.trees.margin(np.array([features(x, words) for x in texts], float))
-        value = np.interp(margin, *self.knots)
-        # calibrated steps are flat; the margin orders rows within a step
-        return np.clip(value * 0.98 + 0.02 / (1 + np.exp(-margin)), 0, 1)
+        return self.calibrated(self.trees.margin(np.array([features(x, words) for x in texts], float)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> ToxicityModel:
     """Fit on the first `fit_rows` labelled rows by hash of id."""
-    sample = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).distinct().orderBy(F.xxhash64("i"), "i", "y").limit(fit_rows)
-    found = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(sample), "i")
-    rows = sorted(found.groupBy(F.xxhash64("i", "t", "y").alias("h")).agg(F.min("t").alias("t"), F.min("y").alias("y")).orderBy("h").limit(2 * fit_rows).collect(), key=lambda r: r.h)
-    return ToxicityModel([r.t for r in rows], np.array([r.y for r in rows], float))
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).distinct()
+    chosen = known.orderBy(F.xxhash64("i"), "i", "y").limit(fit_rows)
+    found = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i")
+    once = found.groupBy(F.xxhash64("i", "t", "y").alias("h")).agg(F.min("t").alias("t"), F.min("y").alias("y")).orderBy("h").limit(2 * fit_rows)
+    sample = stash(once.withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    sizes = {r.fold: (r.n, r.y) for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()}
+    n, toxic = sum(a for a, _ in sizes.values()), sum(b for _, b in sizes.values())
+    if n < 10 or not 0 < toxic < n:
+        return ToxicityModel(toxic / n if n else 0.0)
+    forms = stash(count_forms(sample), "toxicity-forms")
+    lexicons = [learn_lexicon(forms, sizes, k) for k in (*range(FOLDS), None)]
+
+    def run(batches):
+        words = [Words(x) for x in lexicons]
+        for b in slices(batches):
+            rows = [np.array([features(x, w) for w in words]).tobytes() for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(rows, pa.binary())], ["h", "y", "fold", "x"])
+
+    rows = sorted(sample.select("h", "t", "y", "fold").mapInArrow(run, "h long, y int, fold int, x binary").collect(), key=lambda r: r.h)
+    tables = np.stack([np.frombuffer(bytes(r.x)).reshape(FOLDS + 1, len(NAMES)) for r in rows])
+    return ToxicityModel.fitted(lexicons, tables, np.array([r.y for r in rows], float), np.array([r.fold for r in rows]))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
     """Adds score and predicted to all columns of docs."""
-    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept: dict[str, Words] = {}
 

@@ -3,8 +3,9 @@
 A text is cut into windows of WINDOW bytes (all of it, none left out). In each window one recurrent layer runs forwards
 and one backwards; every position gets a distribution over the languages from both states; a document's distribution is
 the mean over all its positions. Training is backpropagation through time with Adam on a bounded sample: the FIT_DOCS
-labelled documents that come first by a hash of their row, and up to FIT_WINDOWS windows of each. The sample and the
-weights are of fixed size; labelling is one pass over the corpus without a shuffle.
+labelled documents that come first by a hash of their row, and up to FIT_WINDOWS windows of each, picked where the
+documents are, so that FIT_DOCS * FIT_WINDOWS * WINDOW bytes reach the driver at most. The sample and the weights are of
+fixed size; labelling is one pass over the corpus without a shuffle.
 
 Cases: a null text or one without a letter is `und` with score 0; fewer than two learnt languages give that language
 (or `und` if none) with score 1; a null doc_id is kept and counts as not held out; repeated rows get equal results;
@@ -15,10 +16,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, small_batches
+from .common import remainder, slices
 
 WINDOW = 64
 HIDDEN = 8
@@ -153,14 +155,17 @@ class ByteGRU:
 
 def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All windows of whole texts, as rows of int16 (256: padding), and for each window the index of its text."""
-    raw = [x.encode("utf-8", "replace") for x in texts]
+    return windows_of_bytes([x.encode("utf-8", "replace") for x in texts])
+
+
+def windows_of_bytes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     many = [-(-len(x) // WINDOW) for x in raw]
     out = np.full((sum(many), WINDOW), 256, np.int16)
     flat, at = out.reshape(-1), 0
     for x, n in zip(raw, many, strict=True):
         flat[at : at + len(x)] = np.frombuffer(x, np.uint8)
         at += n * WINDOW
-    return out, np.repeat(np.arange(len(texts)), many)
+    return out, np.repeat(np.arange(len(raw)), many)
 
 
 def label_texts(model: ByteGRU | None, classes: list[str], texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -192,21 +197,32 @@ def label_texts(model: ByteGRU | None, classes: list[str], texts: list[str | Non
     return names, np.clip(probs.max(axis=1), 0, 1), probs
 
 
+def sample_windows(text: str, seed: int) -> np.ndarray:
+    """Up to FIT_WINDOWS windows of a text, as `windows_of` has them, in the order that the seed draws."""
+    raw = text.encode("utf-8", "replace")
+    many = -(-len(raw) // WINDOW)
+    pick = range(many) if many <= FIT_WINDOWS else np.random.default_rng(seed).choice(many, FIT_WINDOWS, replace=False)
+    return np.concatenate([windows_of_bytes([raw[k * WINDOW : (k + 1) * WINDOW]])[0] for k in pick])
+
+
+def _picked(batches):
+    for b in slices(batches):
+        keys, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
+        windows = [sample_windows(x, k % 2**32).tobytes() for k, x in zip(keys, texts, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(windows, pa.binary())], ["h", "l", "w"])
+
+
 def fit_language(docs: DataFrame, learn: str, id_col: str = "doc_id", text: str = "text", label: str = "lang", fit_docs: int = FIT_DOCS) -> tuple[ByteGRU | None, list[str]]:
     """Train on the first `fit_docs` distinct labelled rows by hash, among those where `learn` is true."""
     able = docs.where(F.col(learn) & F.col(label).isNotNull() & (F.length(text) > 0)).select(F.xxhash64(id_col, text, label).alias("h"), F.col(text).alias("t"), F.col(label).alias("l"))
     first = able.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("same")).orderBy("h").limit(fit_docs).select("h")  # hashes only: no texts
-    rows = sorted(able.join(F.broadcast(first), "h").groupBy("h").agg(F.min("t").alias("t"), F.min("l").alias("l")).collect())
+    found = able.join(F.broadcast(first), "h").select("h", "l", "t").mapInArrow(_picked, f"h long, l {docs.schema[label].dataType.simpleString()}, w binary")
+    rows = sorted(found.groupBy("h").agg(F.min("l").alias("l"), F.min("w").alias("w")).collect())
     classes = sorted({r.l for r in rows})
     if len(classes) < 2:
         return None, classes
-    rng = np.random.default_rng(5)
-    xs, ys = [], []
-    for r in rows:
-        w, _ = windows_of([r.t])
-        pick = w if len(w) <= FIT_WINDOWS else w[rng.choice(len(w), FIT_WINDOWS, replace=False)]
-        xs.append(pick)
-        ys += [classes.index(r.l)] * len(pick)
+    xs = [np.frombuffer(bytes(r.w), np.int16).reshape(-1, WINDOW) for r in rows]
+    ys = [classes.index(r.l) for r, x in zip(rows, xs, strict=True) for _ in x]
     model = ByteGRU(classes)
     model.fit(np.concatenate(xs), np.array(ys))
     return model, classes
@@ -214,7 +230,6 @@ def fit_language(docs: DataFrame, learn: str, id_col: str = "doc_id", text: str
 
 def identify(docs: DataFrame, model: ByteGRU | None, classes: list[str], text: str = "text") -> DataFrame:
     """Adds lang_pred and score to all columns of docs."""
-    small_batches(docs.sparkSession)
     from pyspark.sql.types import StructType
 
     def run(texts: pd.Series) -> pd.DataFrame:

@@ -7,7 +7,8 @@ holds floor(BUDGET / boundary) sequences, so that its padded tokens stay within
 Places in a bucket come from hash blocks, so a bucket with most of the rows is still many tasks.
 
 Cases: a null or empty text is one sequence of one token (the end); fewer lengths than buckets give a bucket a length
-and no padding; null ids are kept; repeated rows are sequences of their own; other columns are ignored.
+and no padding; null ids are kept; repeated rows are sequences of their own; strings of special tokens are counted as
+ordinary text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, small_batches, stash
+from .common import gapless, stash
 from .segments import load_ranks, tokenizer_file
 
 MAX_LENGTH = 2048
@@ -54,7 +55,6 @@ def optimal_boundaries(lengths: list[int], counts: list[int], buckets: int) -> l
 
 def token_lengths(docs: DataFrame, text: str, out: str, tokenizer: str | None = None) -> DataFrame:
     """Adds the number of tokens of each whole text, its end included."""
-    small_batches(docs.sparkSession)
     path = tokenizer or tokenizer_file("byte_bpe_50k.tiktoken")
 
     def run(texts: pd.Series) -> pd.Series:
@@ -69,7 +69,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_length
     rows = token_lengths(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", "n", tokenizer).select("doc_id", "n")
     whole = F.floor((F.col("n") - 1) / max_length)
     cut = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), whole)).alias("part"))
-    cut = stash(cut.select("doc_id", F.col("part").cast("int").alias("part"), F.least(F.lit(max_length).cast("long"), F.col("n") - F.col("part") * max_length).cast("int").alias("length")), "sequences")
+    length = F.least(F.lit(max_length).cast("long"), F.col("n") - F.col("part") * max_length).cast("int").alias("length")
+    place = F.monotonically_increasing_id().alias("_place")  # tells equal rows apart
+    cut = stash(cut.select("doc_id", F.col("part").cast("int").alias("part"), length, place), "sequences")
     histogram = cut.groupBy("length").count().collect()  # max_length rows at most
     bounds = optimal_boundaries([r.length for r in histogram], [r["count"] for r in histogram], buckets)
     if not bounds:
@@ -79,7 +81,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_length
     for k in range(len(bounds) - 2, -1, -1):
         number = F.when(F.col("length") <= bounds[k], F.lit(k)).otherwise(number)
     placed = cut.withColumn("bucket", number)
-    placed = gapless(placed, "bucket", ["doc_id", "part", "length"], "at", sum(r["count"] for r in histogram))
+    placed = gapless(placed, "bucket", ["doc_id", "part", "_place"], "at", sum(r["count"] for r in histogram))
     length = F.element_at(F.array(*[F.lit(b) for b in bounds]), F.col("bucket") + 1)
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / length))
     return placed.select("doc_id", "part", "length", "bucket", length.alias("bucket_length"), F.floor(F.col("at") / room).cast("long").alias("batch"), (F.col("at") % room).cast("int").alias("slot"))

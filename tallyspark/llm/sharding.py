@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless, stash
+from .common import gapless, join_rows, stash
 
 BLOCK = 20_000
 FAN = 512
@@ -140,12 +140,13 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
 def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: doc_id, size, text_crc32, shard, slot (0, 1, ... within the shard)."""
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = stash(docs.select(F.col(id_col).alias("doc_id"), (F.length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("key")), "sizes")
+    size = (F.length(raw) + OVERHEAD).cast("long").alias("size")
+    place = F.monotonically_increasing_id().alias("_place")  # tells equal rows apart
+    rows = stash(docs.select(F.col(id_col).alias("doc_id"), size, F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("key"), place), "sizes")
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
     shard = assign_groups(groups, shards)
-    # salted by nothing: the group side has one row a key, and the row side of a large key is split by adaptive execution
-    placed = stash(rows.join(shard, "key").select("doc_id", "size", "text_crc32", "shard"), "placed")
-    return gapless(placed, "shard", ["doc_id", "text_crc32", "size"], "slot")
+    placed = stash(join_rows(rows, shard, ["key"]).select("doc_id", "size", "text_crc32", "shard", "_place"), "placed")
+    return gapless(placed, "shard", ["doc_id", "text_crc32", "_place"], "slot").drop("_place")
 
 
 def op4_differencing_shards(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,9 @@ TEXTS = [
     (8, "THE CAT\x0bSAT\x1con\x85it"),
     (9, "12345 !!! ???"),
     (1, "The cat sat on the mat and looked at the dog."),
+    (10, "unbroken" * 2_500),
+    (11, "stop <|endoftext|> go<|endoftext|>"),
+    *[(None, "no id here")] * 5,
 ]
 
 

@@ -1,13 +1,16 @@
 """Near duplicates and benchmark passages against brute force."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tallyspark.llm import decontam, jaccard
+from pyspark.sql import functions as F
+
+from tallyspark.llm import common, decontam, jaccard
 from tallyspark.llm.common import components, tokens
 
 
@@ -66,7 +69,7 @@ def test_odd_rows(odd, empty):
     assert len(rows) == odd.count()
     by = {r.doc_id: r for r in rows}
     assert by[2].component_id == 1 and by[3].n_shingles == by[4].n_shingles == by[5].n_shingles == 0 and by[3].component_id == 3
-    assert by[6].n_shingles == 1 and by[None].component_id is None and by[None].n_shingles == 1
+    assert by[6].n_shingles == 1 and by[None].component_id is None and by[None].n_shingles == 1 and by[10].n_shingles == 1
     assert jaccard.near_duplicates(empty).count() == 0
 
 
@@ -87,12 +90,68 @@ def test_tree_bound_loses_no_link(raw):
         assert {j for j, t in enumerate(sets) if jaccard.links(s, t, 80)} <= found
 
 
+@pytest.mark.parametrize("hot", [3, 1])
+def test_hot_shingles_lose_no_link(spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    docs = family(seed=hot, many=90)
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string")
+    loads = jaccard.shingle_loads(rows, 5)
+    assert jaccard.sketches(rows, loads, 5, 80).where("size(hot) > 0").count()
+    # workers are processes of their own: the setting travels with the function that reads it
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows).collect()} == brute(docs)
+
+
+def test_shares_of_a_shingle_are_tied_where_they_touch(spark):
+    rng = random.Random(2)
+    sizes = sorted(rng.sample(range(1, 400), 60))
+    rows = spark.createDataFrame([(n, i, [7], [4]) for i, n in enumerate(sizes)], "n bigint, f1 bigint, hot array<bigint>, shares array<bigint>").withColumn("prefix", F.array().cast("array<bigint>"))
+    got = {r.id: r.root for r in components(jaccard.ties(rows, 80)).collect()}
+    want, head = {}, 0
+    for i, n in enumerate(sizes):
+        head = i if i == 0 or 100 * sizes[i - 1] < 80 * n else head
+        want[i] = head
+    assert {i: got.get(i, i) for i in want} == want
+
+
+def test_hubs_meet_their_least_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "FEW", 2)
+    edges = [(0, k) for k in range(1, 150)] + [(k, 500 + k) for k in range(1, 150, 7)] + [(900, 901), (901, 902)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == {**{x: 0 for e in edges[:-2] for x in e}, 900: 900, 901: 900, 902: 900}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a bigint, b bigint")
     got = {r.id: r.root for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100}
 
 
+def plain_contamination(docs, items):
+    """(doc, item) by scoring every item against every window, without bounds or an index of blocks."""
+    index = decontam.ItemIndex(items)
+    step = index.longest + index.longest // 4 + 1
+    out = set()
+    for d, text in docs:
+        words = decontam.forms(text or "")
+        for k in range(max(1, -(-len(words) // step) - 1)):
+            passage = words[k * step : (k + 2) * step]
+            full = np.zeros(len(index.ids))
+            for t in {index.terms[w] for w in passage if w in index.terms}:
+                part = slice(index.starts[t], index.starts[t + 1])
+                full[index.items[part]] += index.weights[part]
+            for item in np.flatnonzero(full >= decontam.THRESHOLD - 1e-9).tolist():
+                if index.holds(item, passage, index.verify(item, passage), decontam.QUESTION, decontam.ANSWER):
+                    out.add((d, index.ids[item]))
+    return out
+
+
+def test_whole_table_equals_plain_scoring(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id) for r in decontam.op10_blockmax_wand(spark, sf_dir).collect()}
+    assert got and got == plain_contamination(docs, items)
+
+
 ITEMS = [(1, "What is the tallest mountain on the whole earth today? It is Mount Everest in Nepal."), (2, "Name the river that flows through the old city of Cairo. The river is the Nile."), (3, ""), (4, "short"), (5, "What is the tallest mountain on the whole earth today? It is Mount Everest in Nepal.")]
 
 
@@ -115,19 +174,36 @@ def test_every_cut_of_a_passage_is_found():
     assert {x[0] for x in decontam.find_items(index, texts, lookup)} == set(range(len(texts)))
 
 
-@pytest.mark.parametrize("least", [0.05, 0.15, 0.3])
-def test_wand_equals_full_scores(spark, sf_dir, least):
+@pytest.mark.parametrize("least, postings", [(0.05, 1_000_000), (0.15, 1), (0.3, 50)])
+def test_wand_equals_full_scores(spark, sf_dir, monkeypatch, least, postings):
+    monkeypatch.setattr(decontam, "POSTINGS", postings)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     index = decontam.ItemIndex(items)
-    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect():
-        t = np.unique([index.terms[w] for w in decontam.forms(r.text)[:120] if w in index.terms]).astype(np.int64)
+    texts = [decontam.forms(r.text)[:120] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
+    asked = [np.unique([index.terms[w] for w in x if w in index.terms]).astype(np.int64) for x in texts]
+    window, term = np.repeat(np.arange(len(asked)), list(map(len, asked))), np.concatenate(asked)
+    found = {}
+    for w, b in index.survivors(window, term, len(asked), least).tolist():
+        found.setdefault(w, set()).update(i for i, _ in index.search(asked[w], b, least))
+    for w, t in enumerate(asked):
         full = np.zeros(len(index.ids))
         for k in t:
             part = slice(index.starts[k], index.starts[k + 1])
             full[index.items[part]] += index.weights[part]
-        pairs = index.survivors(np.zeros(len(t), np.int64), t, 1, least)
-        got = {i for _, b in pairs for i, _ in index.search(t, b, least)}
-        assert got == set(np.flatnonzero(full >= least).tolist())
+        assert found.get(w, set()) == set(np.flatnonzero(full >= least).tolist())
+
+
+def test_memory_of_bounds_follows_the_postings():
+    rng = np.random.default_rng(9)
+    words = np.array([f"w{k}" for k in range(6000)])
+    index = decontam.ItemIndex([(k, " ".join(rng.choice(words, 20))) for k in range(8000)])
+    texts = [" ".join(rng.choice(words, 20_000)) for _ in range(2)]
+    lookup = decontam.Lookup(index.terms)
+    tracemalloc.start()
+    assert decontam.find_items(index, texts, lookup) == []
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150_000_000
 
 
 def test_whole_table_finds_all_exact_copies(spark, sf_dir):

@@ -1,5 +1,6 @@
 """Packing, shards, token files, edit-aware counts, media and the pipeline."""
 
+import hashlib
 import itertools
 import random
 import zlib
@@ -10,30 +11,47 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-import corpus_pipeline
 from tallyspark.llm import media, packing, segments, sharding, token_counts, token_output
 from tallyspark.llm.common import gapless, new_folder
 
 TOKENIZER = segments.tokenizer_file("byte_bpe_50k.json")
 RANKS = segments.tokenizer_file("byte_bpe_50k.tiktoken")
+_plain = Tokenizer.from_file(TOKENIZER)
+
+
+def plain_ids(text):
+    """What the tokenizers library gives for a text with the file as it is."""
+    return _plain.encode(text or "", add_special_tokens=False).ids
+
+
 WEIRD = ["", " ", " a", "a  b", "a\n b", " \n a  ", "x <|endoftext|> y", "a \x1cb", "a\x85 b", "tab\t x", "don't  'll we're", "ñ é", "  x", "日本 語 😀", "x\ty z\n", "a\xa0b \xa0c"]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=" \t\n\x1c\x85\xa0aé.,'1$日", max_size=40))
+@given(st.lists(st.sampled_from([*" \t\n\x1c\x85\xa0aé.,'1$日<|", "<|endoftext|>", "endoftext|>"]), max_size=40).map("".join))
 def test_segments_keep_the_ids(text):
-    whole = segments.load_tokenizer(TOKENIZER).encode(text, add_special_tokens=False).ids
+    whole = plain_ids(text)
     assert np.frombuffer(segments.SegmentEncoder(TOKENIZER).encode([text])[0], np.uint32).tolist() == whole
-    assert "".join(segments.segments(text)) == text and len(segments.load_ranks(RANKS).encode_ordinary(text)) == len(whole)
+    assert "".join(segments.segments(text)) == text
+    if "<|endoftext|>" not in text:
+        assert len(segments.load_ranks(RANKS).encode_ordinary(text)) == len(whole)
+
+
+def test_special_strings_are_their_tokens():
+    encoder = segments.SegmentEncoder(TOKENIZER)
+    texts = ["<|endoftext|>", "a <|endoftext|> b", "x<|endoftext|><|endoftext|>", " <|endoftext|>  y z", "<|endoftext"]
+    for text, raw in zip(texts, encoder.encode(texts), strict=True):
+        ids = np.frombuffer(raw, np.uint32).tolist()
+        assert ids == plain_ids(text) and ids.count(50256) == text.count("<|endoftext|>")
 
 
 def test_cache_may_be_emptied(monkeypatch):
     monkeypatch.setattr(segments, "CACHE_CHARS", 20)
     encoder = segments.SegmentEncoder(TOKENIZER)
     texts = ["some words here"] * 300 + ["other words there"] * 300 + WEIRD
-    tk = segments.load_tokenizer(TOKENIZER)
-    assert [np.frombuffer(x, np.uint32).tolist() for x in encoder.encode(texts)] == [tk.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in encoder.encode(texts)] == [plain_ids(x) for x in texts]
 
 
 def test_boundaries_are_optimal():
@@ -63,8 +81,7 @@ def check_packing(rows, budget):
 
 def test_packing_whole_table(spark, sf_dir):
     rows = packing.op2_length_buckets(spark, sf_dir).collect()
-    tk = segments.load_tokenizer(TOKENIZER)
-    want = {r.doc_id: len(tk.encode(r.text, add_special_tokens=False).ids) + 1 for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    want = {r.doc_id: len(plain_ids(r.text)) + 1 for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     got = {}
     for r in rows:
         got[r.doc_id] = got.get(r.doc_id, 0) + r.length
@@ -75,6 +92,7 @@ def test_packing_whole_table(spark, sf_dir):
 def test_packing_odd_rows(odd, empty):
     rows = packing.pack(odd, max_length=64, budget=256).collect()
     check_packing(rows, 256)
+    assert sum(r.doc_id is None and r.part == 0 for r in rows) == 6
     assert {r.length for r in rows if r.doc_id in (3, 4)} == {1} and max(r.part for r in rows if r.doc_id == 6) > 100
     assert packing.pack(empty).count() == 0
 
@@ -107,6 +125,30 @@ def test_differencing_beats_greedy_spread():
     assert np.array_equal(check, sums) and sums[0] - sums[-1] < 50
 
 
+def plain_differencing(rows):
+    """Largest differencing on lists: the two partial partitions of largest spread, oppositely ordered, until one is left."""
+    left = [(sorted(r, reverse=True), i) for i, r in enumerate(rows)]
+    new = len(left)
+    while len(left) > 1:
+        left.sort(key=lambda p: (-(p[0][0] - p[0][-1]), p[1]))
+        (a, _), (b, _) = left[:2]
+        left = [*left[2:], (sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True), new)]
+        new += 1
+    return left[0][0]
+
+
+def test_differencing_equals_a_plain_replay():
+    rng = np.random.default_rng(4)
+    for n, k in ((1, 3), (2, 3), (7, 2), (60, 5), (90, 8)):
+        parts = rng.integers(0, 500, (n, k)) if n % 2 else np.concatenate([rng.integers(1, 500, (n, 1)), np.zeros((n, k - 1), int)], axis=1)
+        sums, place = sharding.difference(parts.astype(np.int64))
+        assert sums.tolist() == plain_differencing(parts.tolist())
+        check = np.zeros(k, int)
+        for i in range(n):
+            check[place[i]] += parts[i]
+        assert check.tolist() == sums.tolist()
+
+
 @pytest.mark.parametrize("block, fan", [(20_000, 512), (9, 3)])
 def test_shards(spark, sf_dir, monkeypatch, block, fan):
     monkeypatch.setattr(sharding, "BLOCK", block)
@@ -130,6 +172,7 @@ def test_shards(spark, sf_dir, monkeypatch, block, fan):
 def test_shard_odd_rows(odd, empty):
     rows = sharding.shard_documents(odd).collect()
     assert len(rows) == odd.count() and len({r.shard for r in rows if r.doc_id in (1, 2)}) == 1
+    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in {r.shard for r in rows})
     assert {(r["size"], r.text_crc32) for r in rows if r.doc_id in (3, 4)} == {(16, 0)}
     assert sharding.shard_documents(empty).count() == 0
 
@@ -138,9 +181,9 @@ def test_token_files(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     files = token_output.write_files(docs, new_folder(spark, "test"), sequence=128, files=3)
     got = {r.doc_id: r for r in token_output.read_files(files).collect()}
-    tk, start, stream = segments.load_tokenizer(TOKENIZER), 0, []
+    start, stream = 0, []
     for r in docs.orderBy("doc_id").collect():
-        ids = np.array([*tk.encode(r.text, add_special_tokens=False).ids, 2], "<u4")
+        ids = np.array([*plain_ids(r.text), 2], "<u4")
         assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
         stream.append(ids)
@@ -155,8 +198,14 @@ def test_token_files(spark, sf_dir):
 
 
 def test_token_file_odd_rows(spark, odd, empty):
-    rows = token_output.read_files(token_output.write_files(odd, new_folder(spark, "test"), files=2)).orderBy("start").collect()
+    files = token_output.write_files(odd, new_folder(spark, "test"), files=4)
+    rows = token_output.read_files(files).orderBy("start").collect()
     assert len(rows) == odd.count() and rows[0].doc_id is None and rows[0].start == 0
+    assert max(r.n_docs for r in files.collect()) < odd.count() / 2  # rows without an id are in several files
+    texts = {}
+    for r in odd.collect():
+        texts.setdefault(r.doc_id, []).append(zlib.crc32(np.array([*plain_ids(r.text), 2], "<u4").tobytes()))
+    assert {k: sorted(v) for k, v in texts.items()} == {k: sorted(r.ids_crc32 for r in rows if r.doc_id == k) for k in texts}
     assert all(b.start == a.start + a.n_tokens for a, b in itertools.pairwise(rows))
     assert [r.n_tokens for r in rows if r.doc_id in (3, 4)] == [1, 1]
     assert token_output.read_files(token_output.write_files(empty, new_folder(spark, "test"), files=2)).count() == 0
@@ -166,22 +215,44 @@ def test_edits_equal_full_encoding():
     rng = random.Random(3)
     known, read = segments.SegmentCounts(RANKS), segments.load_ranks(RANKS).encode_ordinary
     for text in [*WEIRD, "the quick brown fox " * 60, "word\nline  two " * 50]:
-        tree = token_counts.CountTree(segments.segments(text), known)
-        for _ in range(25):
+        tree = token_counts.CountTree.of(text, known)
+        for step in range(25):
             at, gone, new = rng.randint(0, len(text) + 2), rng.choice([0, 0, 1, 3, 9, 80]), rng.choice([" added words", "x", "", " ", "\n", "  two", "end. ", "w " * 90])
             tree.edit(at, gone, new)
             at = min(at, len(text))
             text = text[:at] + new + text[at + gone :]
             assert tree.text() == text and tree.total == len(read(text))
+            assert tree.node_chars[1] == len(text) and all(tree.node_tokens[k] == tree.node_tokens[2 * k] + tree.node_tokens[2 * k + 1] for k in range(1, tree.size))
+            if step % 5 == 0:  # from what is kept
+                whole, *kept = tree.state()
+                tree = token_counts.CountTree.kept(whole, *(np.asarray(x) for x in kept), known)
 
 
 def test_edits_touch_little():
     known = segments.SegmentCounts(RANKS)
-    tree = token_counts.CountTree(segments.segments("some words of text " * 5000), known)
+    tree = token_counts.CountTree.of("some words of text " * 5000, known)
     tree.edit(40_000, 3, "new")
     assert tree.encoded <= 6
 
 
+def test_kept_trees_are_edited_again(spark):
+    read = segments.load_ranks(RANKS).encode_ordinary
+    texts = {1: "some words of text " * 300, 2: "", 3: None, 4: "a <|endoftext|> b"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
+    edit = lambda at, gone, new: F.array(F.struct(F.lit(at).alias("start"), F.lit(gone).alias("remove"), F.lit(new).alias("insert")))
+    folder = new_folder(spark, "test")
+    token_counts.build_trees(docs).write.parquet(f"{folder}/0")
+    want = {k: v or "" for k, v in texts.items()}
+    for k, (at, gone, new) in enumerate([(7, 3, " other words"), (4000, 0, "end"), (0, 2, "")]):
+        made = token_counts.apply_edits(spark.read.parquet(f"{folder}/{k}").withColumn("edits", edit(at, gone, new))).drop("edits")
+        made.write.parquet(f"{folder}/{k + 1}")
+        for r in spark.read.parquet(f"{folder}/{k + 1}").collect():
+            old, p = want[r.doc_id], min(at, len(want[r.doc_id]))
+            want[r.doc_id] = old[:p] + new + old[p + gone :]
+            assert (r.n_before, r.n_after, r.tree_text) == (len(read(old)), len(read(want[r.doc_id])), want[r.doc_id])
+            assert r.n_encoded <= 8 and sum(r.segment_tokens) == r.n_after and sum(r.leaf_segments) == len(r.segment_chars)
+
+
 def test_edit_query(spark, sf_dir):
     read = segments.load_ranks(RANKS).encode_ordinary
     docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("e", token_counts.derived_edits("doc_id", "text")).collect()}
@@ -234,30 +305,37 @@ def test_media_odd_rows(odd, empty):
         by.setdefault(r.doc_id, []).append(r)
     assert len(rows) == odd.count() and by[3][0].payload_bytes == 64 and by[3][0].payload_sha256 == by[4][0].payload_sha256 and by[3][0].n_bytes == 0
     assert {(x.media_sha256, tuple(x.codes)) for i in (1, 2) for x in by[i]} == {(by[1][0].media_sha256, tuple(by[1][0].codes))}
-    assert media.media_features(media.store_media(empty)).count() == 0
-
-
-def test_pipeline_stages_equal_brute_force(spark, sf_dir):
-    from test_sets_and_passages import brute
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
-    stages = dict(corpus_pipeline.STAGES)
-    kept = stages["n-gram Jaccard join"](spark, docs, sf_dir)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.collect()} == {i for i, (_, c) in brute([(r.doc_id, r.text) for r in docs.collect()]).items() if c == i}
-    assert stages["language ID"](spark, docs, sf_dir).count() == docs.count()  # clean documents stay
-    out = corpus_pipeline.run(spark, sf_dir)
-    assert 0 < out.select("doc_id").distinct().count() <= docs.count()
-
-
-def test_pipeline_odd_rows(spark, odd, sf_dir):
-    docs = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
-    names = []
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        made = stage(spark, docs, sf_dir)
-        assert made.columns == docs.columns
-        names.append({r.doc_id for r in made.collect()})
-    assert names[0].isdisjoint({3, 4, 5, 9}) and None in names[2] and 2 not in names[2]
-    assert corpus_pipeline.STAGES[4][1](spark, docs, sf_dir).count() >= odd.count()
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs.where("doc_id = -1"), sf_dir).count() == 0
+    assert media.store_features(empty).count() == 0
+
+
+def plain_pairs(payload):
+    """Peaks of each frame and their pairs, one by one."""
+    m = media.spectrogram(payload)
+    peaks = []
+    for row in m:
+        found = [k for k in range(2, len(row) - 1) if row[k] > row[k - 1] and row[k] >= row[k + 1] and row[k] > 1.0]
+        peaks.append(sorted(sorted(found, key=lambda k: -row[k])[: media.PEAKS]))
+    return sorted((t, (a << 16) | (b << 8) | step) for t, first in enumerate(peaks) for step in range(1, media.SPAN + 1) if t + step < len(peaks) for a in first for b in peaks[t + step])
+
+
+def test_pairs_equal_plain_enumeration():
+    rng = np.random.default_rng(5)
+    for size in (64, 128, 640, 4096):
+        p = media.payload_of(rng.integers(32, 127, size - 7).astype(np.uint8).tobytes())
+        t, c = media.fingerprint(p)
+        assert list(zip(t.tolist(), c.tolist(), strict=True)) == plain_pairs(p)
+
+
+def test_media_columns_of_the_query(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = media.op9_wav_fingerprints(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        raw = docs[r.doc_id].encode()
+        p = raw + b"\0" * (-len(raw) % 64 if raw else 64)
+        wav = media.to_wav(p)
+        pairs = plain_pairs(p)
+        told = ",".join(map(str, [*(t for t, _ in pairs), *(c for _, c in pairs)]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest())
+        assert r.feature == f"{len(media.spectrogram(p))}:{len(pairs)}:{hashlib.sha256(told.encode()).hexdigest()[:32]}"

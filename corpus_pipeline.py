@@ -4,14 +4,18 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the one before
 columns of documents; the last returns one row per token sequence. Stages hold no state besides their input, so a stage
 can be run again from the Parquet that the one before it left.
 
-What goes: texts that are null or have no letter (language; the network's choice among languages removes nothing), texts scored toxic (toxicity), all but the smallest doc_id
-of each group of near duplicates (and all but one of rows that share a doc_id), texts that hold a benchmark item.
-Rows with a null doc_id are in no group and stay there.
+What goes: texts that are null or have no letter (language; the network's choice among languages removes nothing), texts
+scored toxic (toxicity), all but one row of each group of near duplicates (the one with the smallest doc_id stays), texts
+that hold a benchmark item.
+
+Cases: null and empty texts go in the first stage; a null doc_id counts as greater than any other and is otherwise a row
+like all; rows that share a doc_id are told apart; texts of any length are read whole; an empty table passes through all
+stages; columns of any name are kept as they are, whatever a stage calls its own.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm.common import new_folder, remainder
@@ -22,31 +26,38 @@ from tallyspark.llm.packing import pack
 from tallyspark.llm.toxicity import fit_toxicity, score_toxicity
 
 
+def _apart(docs: DataFrame) -> DataFrame:
+    """The whole row as one column, and the text beside it, so that no column name meets another."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with a letter stay. Only `und` is rejected: no prediction or score removes a text in any language."""
-    model, classes = fit_language(docs.withColumn("_learn", ~remainder("doc_id", 5, 0)), "_learn")
+    learn = docs.select("doc_id", "text", "lang", (~remainder("doc_id", 5, 0)).alias("learn"))
+    model, classes = fit_language(learn, "learn")
     if not classes:  # no language to learn: all texts would be `und`
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    labelled = identify(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text")), model, classes, "_text")
-    return labelled.where("lang_pred <> 'und'").select("row.*")
+    return identify(_apart(docs), model, classes).where("lang_pred <> 'und'").select("row.*")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are not scored toxic stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~remainder("doc_id", 5, 0))
     model = fit_toxicity(docs, labels)
-    scored = score_toxicity(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("_text")), model, "_text")
-    return scored.where("predicted = 0").select("row.*")
+    return score_toxicity(_apart(docs), model).where("predicted = 0").select("row.*")
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    first = near_duplicates(docs).where("component_id = doc_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi")
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        one = Window.partitionBy("doc_id").orderBy("text")
-        kept = kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group stays: the smallest doc_id, and of rows that share it the first.
+
+    Rows go by their place in the input, which a scan of the same files gives alike each time, so that rows that share a
+    doc_id, or have none, are rows of their own.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "doc_id", F.monotonically_increasing_id().alias("place"))
+    groups = near_duplicates(rows.select("place", "text"), id_col="place").select(F.col("doc_id").alias("place"), "component_id")
+    by_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
+    first = rows.select("place", "doc_id").join(groups, "place").groupBy("component_id").agg(F.min(by_id).alias("best")).select("best.place")
+    return rows.join(first, "place", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +70,13 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs)
 
 
-STAGES = [("language ID", language), ("toxicity", toxicity), ("n-gram Jaccard join", near_duplicate), ("benchmark decontamination", decontamination), ("packing", packing)]
+STAGES = [
+    ("language ID", language),
+    ("toxicity", toxicity),
+    ("n-gram Jaccard join", near_duplicate),
+    ("benchmark decontamination", decontamination),
+    ("packing", packing),
+]
 
 #: Two stages learn models and one finds components: SQL can't express them; tests compare with brute force.
 ORACLE_SQL = None

@@ -475,7 +475,9 @@ def shuffled_labels(spark, sf_dir):
     return sampling.shuffled_labels(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn", "F")
 
 
-@query()
+@query("""WITH RECURSIVE z AS (SELECT conv_id, turn, octet_length(encode(text)) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+ f AS (SELECT conv_id, turn, size, rn, 0 AS shard, size AS used FROM z WHERE rn = 1 UNION ALL SELECT z.conv_id, z.turn, z.size, z.rn, CASE WHEN f.used > 0 AND f.used + z.size > 4000 THEN f.shard + 1 ELSE f.shard END, CASE WHEN f.used > 0 AND f.used + z.size > 4000 THEN z.size ELSE f.used + z.size END FROM f JOIN z ON z.conv_id = f.conv_id AND z.rn = f.rn + 1)
+ SELECT conv_id, turn, size, shard FROM f""")
 def shard_pack(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.octet_length("text").alias("size"))
     return shards.shard_rows(c, "conv_id", ["turn"], "size", 4000).select("conv_id", "turn", "size", "shard")
@@ -580,7 +582,7 @@ def fresh_readings(spark, sf_dir):
     return streaming.fresh(e, now, at="ts").select("user_id", "event_id")
 
 
-@query()
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOURS THEN 0 ELSE 1 END AS opens FROM events), s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOURS AS "end", count(*) AS events FROM s GROUP BY user_id, n""")
 def user_sessions(spark, sf_dir):
     s = streaming.sessions(table(spark, sf_dir, "events"), "user_id", "ts", "2 hours")
     return s.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "events")
@@ -593,4 +595,4 @@ def billing_warnings(spark, sf_dir):
     return runs.billing_warnings({"first": first, "second": e.where("value > 480").withColumn("reasons", F.array(F.lit("c")))})
 
 
-from . import more  # noqa: E402, F401
+from . import files, logs, more  # noqa: E402, F401

@@ -13,6 +13,7 @@ import hashlib
 import io
 import json
 import os
+import uuid
 
 import pandas as pd
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, Int
 from tallyspark.functions.secrets import quick_findings, scrub_free_text, scrub_value, secret_paths
 from tallyspark.functions.text import redact_links
 from tallyspark.operators.shards import greedy_shards
+from tallyspark.plans.scratch import stash
 
 
 def cell(df: DataFrame, name: str, links: bool = False) -> Column:
@@ -84,7 +86,7 @@ def write_csv(df: DataFrame, columns: list[str], order: list[str], path: str, fi
         for b in batches:
             if b.num_rows and not begun:
                 begun = True
-                yield pa.RecordBatch.from_arrays([pa.array([head])], ["line"])
+                yield pa.RecordBatch.from_arrays([pa.array([head], b.schema.field(0).type)], schema=b.schema)
             yield b
 
     lines.mapInArrow(headed, "line string").write.text(path)
@@ -119,6 +121,36 @@ def json_document(value, path: str) -> None:
     os.replace(f"{path}.tmp", path)
 
 
+MANIFEST = "path string, bytes long, sha256 string"
+
+
+def write_texts(files: DataFrame, folder: str) -> DataFrame:
+    """(path, text) rows as one file each below a folder; returns their manifest: path, bytes, sha256.
+
+    Tasks write beside the place and move, so a repeated task leaves the same file. The manifest is written too, so that
+    reading it twice writes nothing twice.
+    """
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
+        for b in batches:
+            paths, sizes, sums = b.column(0).to_pylist(), [], []
+            for path, text in zip(paths, b.column(1).to_pylist(), strict=True):
+                raw, place = (text or "").encode(), f"{base}/{path}"
+                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
+                beside = f"{place}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(beside) as out:
+                    out.write(raw)
+                store.move(beside, place)
+                sizes.append(len(raw))
+                sums.append(hashlib.sha256(raw).hexdigest())
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], ["path", "bytes", "sha256"])
+
+    return stash(files.select("path", "text").mapInArrow(run, MANIFEST), "manifest")
+
+
 def append_rows(df: DataFrame, path: str) -> None:
     """Rows added to a JSON-lines ledger; each writer adds files of its own, so no lock is needed."""
     df.write.mode("append").json(path)

@@ -46,7 +46,7 @@ K1, B = 1.2, 0.75
 SHINGLE = 5
 KEPT_WORDS = 300_000
 #: Block entries that a worker holds, and (window, block, word) triples that it looks up at once.
-POSTINGS = 1_000_000
+POSTINGS = 2_000_000
 #: Bytes of texts that a task holds while it asks one index after the other.
 HELD_BYTES = 32_000_000
 #: Items that an index keeps in parsed form.
@@ -163,6 +163,8 @@ class ItemIndex:
         window, term = window[able[window]], term[able[window]]
         if not len(term):
             return np.zeros((0, 2), np.int64)
+        if windows * self.blocks <= POSTINGS and (self.block_starts[term + 1] - self.block_starts[term]).sum() <= POSTINGS:
+            return self._dense(window, term, windows, least)  # few enough to add them all up
         order = np.lexsort((self.most[term], window))
         window, term = window[order], term[order]
         top = self.most[term]
@@ -181,6 +183,15 @@ class ItemIndex:
             a = b
         return np.concatenate(out)
 
+    def _dense(self, window: np.ndarray, term: np.ndarray, windows: int, least: float) -> np.ndarray:
+        """The bounds of all blocks in all windows, for a few of both."""
+        low = self.block_starts[term]
+        many = self.block_starts[term + 1] - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        bounds = np.bincount(np.repeat(window, many) * self.blocks + self.block_keys[at] % self.blocks, self.block_most[at], windows * self.blocks)
+        found = np.flatnonzero(bounds >= least)
+        return np.stack([found // self.blocks, found % self.blocks], axis=1)
+
     def _bounded(self, window: np.ndarray, term: np.ndarray, needed: np.ndarray, many: np.ndarray, least: float) -> np.ndarray:
         w, t, m = window[needed], term[needed], many[needed]
         low = self.block_starts[t]

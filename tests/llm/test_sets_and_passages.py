@@ -174,7 +174,7 @@ def test_every_cut_of_a_passage_is_found():
     assert {x[0] for x in decontam.find_items(index, texts, lookup)} == set(range(len(texts)))
 
 
-@pytest.mark.parametrize("least, postings", [(0.05, 1_000_000), (0.15, 1), (0.3, 50)])
+@pytest.mark.parametrize("least, postings", [(0.05, 2_000_000), (0.15, 1), (0.3, 50)])
 def test_wand_equals_full_scores(spark, sf_dir, monkeypatch, least, postings):
     monkeypatch.setattr(decontam, "POSTINGS", postings)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]

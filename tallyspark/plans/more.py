@@ -234,13 +234,3 @@ def window_percents(spark, sf_dir):
 def output_gate(spark, sf_dir):
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     return sinks.check_outputs(files, r"example\.org").groupBy("what").agg(F.count(F.lit(1)).alias("files"))
-
-
-@query()
-def attribution(spark, sf_dir):
-    """Claims about part prices, sources that list line items of the part: number bands, categories, order of sight."""
-    claims = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("run_id"), F.lit(1).alias("claim_index"), F.array(F.format_string("%.1f", F.col("p_retailprice"))).alias("values"), F.array(F.lit("news")).alias("cited"))
-    line = F.concat_ws(" ", F.format_string("%.2f", F.col("l_extendedprice")), F.format_string("%.2f", F.col("l_extendedprice") / F.col("l_quantity")))
-    kind = F.when(F.col("l_linenumber") % 2 == 0, "archive").otherwise("shown")
-    src = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("run_id"), kind.alias("kind"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("key"), F.when(kind == "archive", "filing").otherwise("aggregator").alias("category"), F.lit("").alias("title"), F.lit("").alias("snippet"), F.col("l_orderkey").alias("order"), F.array(F.struct(F.col("l_orderkey").alias("ord"), line.alias("text"))).alias("segments"))
-    return provenance.attribute_claims(claims, src).select("run_id", "label", "category", "primary_read", "values_in_nonfiling_source", "verified_by_archive")

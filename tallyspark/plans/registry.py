@@ -95,9 +95,9 @@ def mixed(x: str, out: str) -> str:
 
 
 #: SQL of all numbers drawn (draw, k, h), for as many places as the largest of `sizes` has.
-HASHES = f"""seeds AS (SELECT draw, h0 FROM (SELECT draw, CAST((8105 * 2654435769 + draw) % 4294967296 AS UBIGINT) AS x, {mixed("x", "h0")} FROM range({stats.RESAMPLES}) t(draw))),
+HASHES = f"""draw_seeds AS (SELECT draw, h0 FROM (SELECT draw, CAST((8105 * 2654435769 + draw) % 4294967296 AS UBIGINT) AS x, {mixed("x", "h0")} FROM range({stats.RESAMPLES}) t(draw))),
  steps AS (SELECT unnest(range(CAST((SELECT max(n) FROM sizes) AS BIGINT))) AS k),
- hashes AS (SELECT draw, k, h FROM (SELECT draw, k, CAST((h0 + CAST(k * 2654435769 % 4294967296 AS UBIGINT)) % 4294967296 AS UBIGINT) AS y, {mixed("y", "h")} FROM seeds, steps))"""
+ hashes AS (SELECT draw, k, h FROM (SELECT draw, k, CAST((h0 + CAST(k * 2654435769 % 4294967296 AS UBIGINT)) % 4294967296 AS UBIGINT) AS y, {mixed("y", "h")} FROM draw_seeds, steps))"""
 
 
 def draws_sql(cells: str, keys: str, value: str, order: str = "question_id") -> str:
@@ -439,13 +439,6 @@ def folded_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.content_words(text.fold("text"))).alias("content_words"), F.size(numbers.numbers_in("text")).alias("numbers"))
 
 
-@query()
-def number_matches(spark, sf_dir):
-    """Retail prices as claims, prices of line items of the same part as mentions: a band join on the mantissa."""
-    claims = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), (F.col("p_retailprice") / 100).cast("decimal(38,18)").alias("v")).withColumn("value", F.round("v", 1).cast("decimal(38,18)")).withColumn("decimals", F.lit(1)).drop("v")
-    mentions = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("part"), F.col("l_extendedprice").cast("decimal(38,18)").alias("m"), F.col("l_orderkey").alias("order"))
-    return numbers.number_matches(claims, ["part"], "value", "decimals", mentions, "m", ["part"]).select("part", "order", F.col("m").cast("double").alias("price"))
-
 
 @query("SELECT conv_id, turn, (CAST(contains(lower(text), 'the') AS INT) + CAST(contains(lower(text), 'de') AS INT)) / 2 AS share FROM conversations")
 def control_scores(spark, sf_dir):
@@ -460,10 +453,6 @@ def hash_topk_sample(spark, sf_dir):
     return sampling.hash_top_k(table(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 5).select("lang", "doc_id", F.col("rank").cast("bigint").alias("rank"))
 
 
-@query()
-def stratified_sample(spark, sf_dir):
-    return sampling.stratified_sample(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), ["source", "lang"], "doc_id", 400).select("row_id", "doc_id", "source", "lang")
-
 
 @query("""WITH n AS (SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 15 AS b FROM events) SELECT user_id, 'h-' || substr(sha256(string_agg(CAST(event_id AS VARCHAR), chr(10) ORDER BY CAST(event_id AS VARCHAR))), 1, 12) AS batch, count(*) AS items FROM n GROUP BY user_id, b""")
 def batches(spark, sf_dir):
@@ -595,4 +584,4 @@ def billing_warnings(spark, sf_dir):
     return runs.billing_warnings({"first": first, "second": e.where("value > 480").withColumn("reasons", F.array(F.lit("c")))})
 
 
-from . import files, logs, more  # noqa: E402, F401
+from . import files, logs, more, records  # noqa: E402, F401

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.operators import extraction, provenance, runs, sampling, stats, validation, verdicts
-from tallyspark.sources import sinks
 
 from .registry import KEYS, RUNS, draws_sql, event_runs, query, r6, table
 
@@ -228,9 +227,3 @@ def window_percents(spark, sf_dir):
     w = F.struct(F.struct(F.when(i % 2 == 0, v).alias("used_percent")).alias("primary"), F.struct(F.lit(None).cast("double").alias("used_percent")).alias("secondary"), F.when(i % 2 == 1, F.create_map(F.lit("five_hour"), v / 10)).alias("windows"))
     rows = table(spark, sf_dir, "events").select(i.alias("run_id"), w.alias("w"))
     return rows.select("run_id", F.explode(extraction.window_percents(F.col("w"))).alias("x")).select("run_id", "x.*")
-
-
-@query()
-def output_gate(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
-    return sinks.check_outputs(files, r"example\.org").groupBy("what").agg(F.count(F.lit(1)).alias("files"))

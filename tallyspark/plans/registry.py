@@ -38,6 +38,9 @@ def r6(c) -> F.Column:
     return F.round(c if not isinstance(c, str) else F.col(c), 6)
 
 
+#: SQL of `text.fold` for the characters at hand.
+_FOLDED = r"trim(regexp_replace(replace(lower(strip_accents({c})), 'ß', 'ss'), '\s+', ' ', 'g'))"
+
 # --- runs ---------------------------------------------------------------------------------------
 
 RUNS = """runs AS (SELECT event_id AS run_id, CASE event_type WHEN 'view' THEN 'web' WHEN 'click' THEN 'archive' WHEN 'purchase' THEN 'both' ELSE event_type END AS arm,
@@ -370,13 +373,31 @@ def exposure(spark, sf_dir):
     return provenance.run_exposure(s).select("run_id", "shown_issuer", "shown_news", "opened_forum", "archive_sources", "forum_shown_only", "forum_touched")
 
 
-@query("""WITH c AS (SELECT source, lang AS arm, doc_id % 40 AS question_id, CASE WHEN doc_id % 4 = 0 THEN 'evaluative' ELSE 'fact' END AS type, CASE WHEN quality = 1 THEN 'filing' WHEN toxic = 1 THEN 'secondary' ELSE 'unattributed' END AS label FROM documents JOIN labels USING (doc_id)), q AS (SELECT DISTINCT lang AS arm, doc_id % 40 AS question_id FROM documents),
- n AS (SELECT arm, question_id, count(*) FILTER (WHERE type = 'fact' AND label = 'filing') AS f, count(*) FILTER (WHERE type = 'fact' AND label = 'secondary') AS s, count(*) FILTER (WHERE type = 'fact') AS d FROM c GROUP BY ALL)
- SELECT arm, 'fact_label_filing' AS measure, CAST(sum(coalesce(f, 0)) AS DOUBLE) AS claims, CAST(sum(coalesce(d, 0)) AS DOUBLE) AS of_claims, count(*) AS questions FROM q LEFT JOIN n USING (arm, question_id) GROUP BY ALL UNION ALL SELECT arm, 'fact_label_secondary', CAST(sum(coalesce(s, 0)) AS DOUBLE), CAST(sum(coalesce(d, 0)) AS DOUBLE), count(*) FROM q LEFT JOIN n USING (arm, question_id) GROUP BY ALL""")
+#: SQL of each reliance measure: what is counted, of what.
+_MEASURES = {
+    "fact_label_filing": ("label = 'filing'", "type = 'fact'"),
+    "fact_label_secondary": ("label = 'secondary'", "type = 'fact'"),
+    **{f"fact_label_secondary_{c}": (f"label = 'secondary' AND category = '{c}'", "type = 'fact'") for c in text.PRECEDENCE if c != "filing"},
+    "fact_label_unattributed": ("label = 'unattributed'", "type = 'fact'"),
+    "fact_citation_only": ("doc_id % 5 = 0", "type = 'fact'"),
+    "fact_secondary_use": ("doc_id % 2 = 0", "type = 'fact'"),
+    "primary_read_behind_secondary_use": ("doc_id % 3 = 0", "type = 'fact' AND doc_id % 2 = 0"),
+    "verified_of_web_valued_claims": ("doc_id % 7 = 0", "type = 'fact' AND doc_id % 3 = 1"),
+    "evaluative_absent_from_filing": ("doc_id % 11 = 0", "type = 'evaluative' AND doc_id % 8 <> 0"),
+}
+
+
+@query("""WITH c AS (SELECT doc_id, lang AS arm, doc_id % 40 AS question_id, CASE WHEN doc_id % 4 = 0 THEN 'evaluative' ELSE 'fact' END AS type, CASE WHEN quality = 1 THEN 'filing' WHEN toxic = 1 OR doc_id % 3 = 0 THEN 'secondary' ELSE 'unattributed' END AS label, CASE WHEN doc_id % 2 = 0 THEN 'forum' ELSE 'news' END AS category FROM documents JOIN labels USING (doc_id)),
+ q AS (SELECT lang AS arm, count(DISTINCT doc_id % 40) AS questions FROM documents GROUP BY ALL), m AS (""" + " UNION ALL ".join(f"SELECT arm, '{n}' AS measure, count(*) FILTER (WHERE ({den}) AND ({num})) AS a, count(*) FILTER (WHERE {den}) AS b FROM c GROUP BY arm" for n, (num, den) in _MEASURES.items()) + """), all_ AS (SELECT arm, measure, questions FROM q, (SELECT DISTINCT measure FROM m))
+ SELECT arm, measure, CAST(coalesce(a, 0) AS DOUBLE) AS claims, CAST(coalesce(b, 0) AS DOUBLE) AS of_claims, questions FROM all_ LEFT JOIN m USING (arm, measure)""")
 def reliance_shares(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("arm"), (F.col("doc_id") % 40).alias("question_id"))
-    c = d.join(table(spark, sf_dir, "labels"), "doc_id").withColumns({"type": F.when(F.col("doc_id") % 4 == 0, "evaluative").otherwise("fact"), "label": F.when(F.col("quality") == 1, "filing").when(F.col("toxic") == 1, "secondary").otherwise("unattributed"), "category": F.lit(None).cast("string"), "citation_only": F.lit(False), "secondary_use": F.lit(False), "primary_read": F.lit(False), "verified_by_archive": F.lit(False), "values_in_nonfiling_source": F.lit(False), "absent_from_filing": F.lit(False), "attributed_to": F.lit("")})
-    rows = provenance.reliance_counts(d, c, ["arm"], measures=provenance.reliance_measures()[:2])
+    i = F.col("doc_id")
+    label = F.when(F.col("quality") == 1, "filing").when((F.col("toxic") == 1) | (i % 3 == 0), "secondary").otherwise("unattributed")
+    flags = {"citation_only": i % 5 == 0, "secondary_use": i % 2 == 0, "primary_read": i % 3 == 0, "verified_by_archive": i % 7 == 0, "values_in_nonfiling_source": i % 3 == 1, "absent_from_filing": i % 11 == 0}
+    kinds = {"type": F.when(i % 4 == 0, "evaluative").otherwise("fact"), "label": label, "category": F.when(i % 2 == 0, "forum").otherwise("news"), "attributed_to": F.when(i % 8 == 0, "filer")}
+    c = d.join(table(spark, sf_dir, "labels"), "doc_id").withColumns(kinds | flags)
+    rows = provenance.reliance_counts(d, c, ["arm"], measures=provenance.reliance_measures())
     return rows.groupBy("arm", "measure").agg(F.sum("a").alias("claims"), F.sum("b").alias("of_claims"), F.count(F.lit(1)).alias("questions"))
 
 
@@ -388,12 +409,6 @@ def strip_links(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(text.strip_links(F.col("html")).cast("binary")).alias("digest"))
 
 
-@query()
-def redacted_and_blind(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.md5(text.redact_links(F.col("html"), r"example\.org").cast("binary")).alias("redacted"), F.md5(text.blind(F.col("html")).cast("binary")).alias("blind"))
-
-
 @query(r"""SELECT doc_id, array_to_string(list_filter(['bearer', 'jwt', 'sk key', 'ak key', 'mst key', 'token query'], lambda k: CASE k WHEN 'bearer' THEN regexp_matches(text, '(?i)\bBearer\s+[A-Za-z0-9._~+/=-]{8,}') WHEN 'jwt' THEN regexp_matches(text, '\beyJ[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]+') WHEN 'sk key' THEN regexp_matches(text, '\bsk-[A-Za-z0-9_-]{8,}')
  WHEN 'ak key' THEN regexp_matches(text, '\bak_[A-Za-z0-9_-]{8,}') WHEN 'mst key' THEN regexp_matches(text, '\bmst_[A-Za-z0-9_-]{8,}') ELSE regexp_matches(text, '(?i)\b(access_token|refresh_token|id_token)=[^&\s"''<>]+') END), ',') AS kinds FROM documents""")
 def secret_findings(spark, sf_dir):
@@ -428,15 +443,17 @@ def text_dedup(spark, sf_dir):
     return sampling.dedupe(d, F.col("h"), ["doc_id"], keep=["doc_id"]).select("key", "doc_id", "occurrences")
 
 
-@query()
+@query("WITH w AS (SELECT doc_id, source, lang, text, unnest(range(0, greatest(length(text) - 1001, 0) + 1, 7000)) AS pos FROM documents), f AS (SELECT *, " + _FOLDED.format(c="substr(text, pos + 1, 8000)") + " AS t, " + _FOLDED.format(c="text") + """ AS whole FROM w)
+ SELECT 'T' || substr(sha256(t), 1, 12) AS text_id, 'T' || substr(sha256(arg_min(whole, (source, doc_id, pos))), 1, 12) AS parent_text_id, CAST(arg_min(pos, (source, doc_id, pos)) // 7000 AS INTEGER) AS "window", count(DISTINCT source) AS runs FROM f WHERE t <> '' GROUP BY t""")
 def text_pool(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.col("doc_id").alias("ord"), F.col("lang").alias("question_id"), F.array("source").alias("companies"), F.lit("forum").alias("category"), F.lit("h").alias("host"), F.lit("shown").alias("kind"), F.col("lang").alias("stratum"), "text")
-    return sampling.text_pool(d).select("text_id", "parent_text_id", "window", F.size("run_ids").alias("runs"))
+    return sampling.text_pool(d).select("text_id", "parent_text_id", "window", F.size("run_ids").cast("bigint").alias("runs"))
 
 
-@query()
+@query("WITH f AS (SELECT doc_id, " + _FOLDED.format(c="text") + " AS t FROM documents) SELECT doc_id, md5(t) AS folded, len(list_filter(regexp_extract_all(t, '[\\p{L}\\p{M}\\p{N}]+'), lambda w: length(w) >= 3 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "], w))) AS content_words FROM f")
 def folded_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.content_words(text.fold("text"))).alias("content_words"), F.size(numbers.numbers_in("text")).alias("numbers"))
+    folded = text.fold("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(folded.cast("binary")).alias("folded"), F.size(text.content_words(folded)).alias("content_words"))
 
 
 
@@ -584,4 +601,4 @@ def billing_warnings(spark, sf_dir):
     return runs.billing_warnings({"first": first, "second": e.where("value > 480").withColumn("reasons", F.array(F.lit("c")))})
 
 
-from . import files, logs, more, records  # noqa: E402, F401
+from . import checks, files, logs, more, records  # noqa: E402, F401

@@ -13,7 +13,19 @@ from pyspark.sql import functions as F
 
 from tallyspark.plans.scratch import drop_stash, new_folder, stash
 
-__all__ = ["bounded", "components", "drop_stash", "gapless", "join_rows", "new_folder", "open_store", "remainder", "slices", "stash", "tokens"]
+__all__ = [
+    "bounded",
+    "components",
+    "drop_stash",
+    "gapless",
+    "join_rows",
+    "new_folder",
+    "open_store",
+    "remainder",
+    "slices",
+    "stash",
+    "tokens",
+]
 
 ROWS_PER_BLOCK = 50_000
 #: A key with at least one in so many rows is met by a broadcast, so that there are never more than so many such keys.
@@ -64,7 +76,9 @@ def remainder(key: str, divisor: int, equals: int) -> Column:
 
 def common_keys(rows: DataFrame, key: list[str], total: int) -> DataFrame:
     """The keys of at least FEW rows and of one in COMMON of all rows, which are COMMON keys at most."""
-    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") >= max(FEW, -(-total // COMMON))).select(*key)
+    return rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_rows")).where(
+        F.col("_rows") >= max(FEW, -(-total // COMMON))
+    ).select(*key)
 
 
 def join_rows(rows: DataFrame, keyed: DataFrame, key: list[str], total: int | None = None) -> DataFrame:
@@ -91,7 +105,11 @@ def gapless(df: DataFrame, group: str, order: list[str], out: str, rows: int | N
     cut = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
     sizes = cut.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    shift = sizes.select(F.col(group).alias("_g"), F.col("_block").alias("_b"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    shift = sizes.select(
+        F.col(group).alias("_g"),
+        F.col("_block").alias("_b"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"),
+    )
     within = Window.partitionBy(group, "_block").orderBy(*order)
     numbered = cut.withColumn("_r", F.row_number().over(within) - 1)
     met = numbered.join(shift, (F.col(group) == F.col("_g")) & (F.col("_block") == F.col("_b")))
@@ -111,20 +129,30 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges. A node with many edges meets its least neighbour by a broadcast (`join_rows`). Ids without an edge do not
     appear.
     """
-    now = stash(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    now = stash(
+        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+    )
     for _ in range(most_rounds):
         total = now.count()
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         met = _with_least(both, 2 * total).where("v > u")  # large star: larger neighbours to the least of all
-        large = stash(met.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct(), "edges")
+        large = stash(
+            met.select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct(), "edges"
+        )
         drop_stash(now)
         met = _with_least(large, total)  # small star: smaller neighbours and the node itself to the least
-        small = met.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        small = met.select(
+            F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")
+        )
         now = stash(small.where("u <> v").distinct(), "edges")
         drop_stash(large)
         # settled: every node points at one root, and no root points on
-        ends = now.select(F.col("u").alias("k"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(now.select(F.col("v").alias("k"), F.lit(0).alias("out"), F.lit(1).alias("into")))
-        if not ends.groupBy("k").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR (out = 1 AND into = 1)").limit(1).count():
+        ends = now.select(F.col("u").alias("k"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+            now.select(F.col("v").alias("k"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+        )
+        if not ends.groupBy("k").agg(
+            F.sum("out").alias("out"), F.max("into").alias("into")
+        ).where("out > 1 OR (out = 1 AND into = 1)").limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")

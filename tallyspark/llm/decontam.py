@@ -103,7 +103,13 @@ def nearly(words: list[str], passage: list[str]) -> bool:
 class ItemIndex:
     """Inverted index of items: impacts by word and item, greatest impacts by word and by word and block."""
 
-    def __init__(self, items: list[tuple[int, str]], count: int | None = None, mean: float | None = None, holders: dict[str, int] | None = None):
+    def __init__(
+        self,
+        items: list[tuple[int, str]],
+        count: int | None = None,
+        mean: float | None = None,
+        holders: dict[str, int] | None = None,
+    ):
         """Count, mean length and items by word are those of all items, where these are a part of them."""
         read = [(i, forms(t or ""), t) for i, t in items]
         read = [x for x in read if x[1]]
@@ -127,14 +133,18 @@ class ItemIndex:
         tf = np.array([where[w][i] for w in names for i in sorted(where[w])], float)
         length = np.array([len(x[1]) for x in read], float)
         idf = np.repeat(np.log(1 + (count - df + 0.5) / (df + 0.5)), sizes)
-        self.weights = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[self.items] / max(mean, 1e-9))) if n else np.zeros(0)
+        self.weights = idf * tf * (K1 + 1) / (
+            tf + K1 * (1 - B + B * length[self.items] / max(mean, 1e-9))
+        ) if n else np.zeros(0)
         if n:
             self.weights /= np.bincount(self.items, self.weights, n)[self.items]
         terms = len(names)
         self.most = np.maximum.reduceat(self.weights, self.starts[:-1]) if terms else np.zeros(0)
         self.blocks = max(1, -(-n // BLOCK))
         owner = np.repeat(np.arange(terms), sizes)
-        self.block_keys, first = np.unique(owner * self.blocks + self.items // BLOCK, return_index=True)  # word, then block
+        self.block_keys, first = np.unique(  # word, then block
+            owner * self.blocks + self.items // BLOCK, return_index=True
+        )
         self.block_most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
         self.block_first = np.append(first, len(self.items))
         self.block_starts = np.searchsorted(self.block_keys, np.arange(terms + 1) * self.blocks)
@@ -163,7 +173,9 @@ class ItemIndex:
         window, term = window[able[window]], term[able[window]]
         if not len(term):
             return np.zeros((0, 2), np.int64)
-        if windows * self.blocks <= POSTINGS and (self.block_starts[term + 1] - self.block_starts[term]).sum() <= POSTINGS:
+        if windows * self.blocks <= POSTINGS and (
+            self.block_starts[term + 1] - self.block_starts[term]
+        ).sum() <= POSTINGS:
             return self._dense(window, term, windows, least)  # few enough to add them all up
         order = np.lexsort((self.most[term], window))
         window, term = window[order], term[order]
@@ -188,11 +200,17 @@ class ItemIndex:
         low = self.block_starts[term]
         many = self.block_starts[term + 1] - low
         at = np.repeat(low - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        bounds = np.bincount(np.repeat(window, many) * self.blocks + self.block_keys[at] % self.blocks, self.block_most[at], windows * self.blocks)
+        bounds = np.bincount(
+            np.repeat(window, many) * self.blocks + self.block_keys[at] % self.blocks,
+            self.block_most[at],
+            windows * self.blocks,
+        )
         found = np.flatnonzero(bounds >= least)
         return np.stack([found // self.blocks, found % self.blocks], axis=1)
 
-    def _bounded(self, window: np.ndarray, term: np.ndarray, needed: np.ndarray, many: np.ndarray, least: float) -> np.ndarray:
+    def _bounded(
+        self, window: np.ndarray, term: np.ndarray, needed: np.ndarray, many: np.ndarray, least: float
+    ) -> np.ndarray:
         w, t, m = window[needed], term[needed], many[needed]
         low = self.block_starts[t]
         at = np.repeat(low - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
@@ -200,7 +218,9 @@ class ItemIndex:
         bound = np.bincount(place, self.block_most[at], len(keys))
         first = int(window[0])
         w, t = window[~needed], term[~needed]
-        spare = np.bincount(w - first, self.most[t], int(window[-1]) - first + 1)  # what the common words can add at most
+        spare = np.bincount(  # what the common words can add at most
+            w - first, self.most[t], int(window[-1]) - first + 1
+        )
         live = bound + spare[keys // self.blocks - first] >= least
         keys, bound = keys[live], bound[live]
         begin = np.searchsorted(w, np.arange(first, int(window[-1]) + 2))
@@ -213,7 +233,9 @@ class ItemIndex:
             offset = np.arange(len(own)) - np.repeat(np.cumsum(per[k:e]) - per[k:e], per[k:e])
             words = t[begin[keys[own] // self.blocks - first] + offset]
             there, entry = self.in_blocks(words, keys[own] % self.blocks)
-            more = np.bincount(own - k, np.where(there, self.block_most[entry], 0.0), min(e, len(keys)) - k) if len(own) else 0.0
+            more = np.bincount(
+                own - k, np.where(there, self.block_most[entry], 0.0), min(e, len(keys)) - k
+            ) if len(own) else 0.0
             kept.append(keys[k:e][bound[k:e] + more >= least])
             k = e
         found = np.concatenate(kept) if kept else np.zeros(0, np.int64)
@@ -269,7 +291,9 @@ class ItemIndex:
         k = len(next(iter(asked))) if asked else 0
         here = {tuple(passage[i : i + k]) for i in range(len(passage) - k + 1)} if k else set()
         words = set(passage)
-        return (len(asked & here) / len(asked) if asked else 1.0), (len(answer & words) / len(answer) if answer else 1.0)
+        return (len(asked & here) / len(asked) if asked else 1.0), (
+            len(answer & words) / len(answer) if answer else 1.0
+        )
 
 
 class Lookup(dict):
@@ -287,7 +311,14 @@ class Lookup(dict):
         return got
 
 
-def find_items(index: ItemIndex, texts: list[str | None], lookup: Lookup, least: float = THRESHOLD, question: float = QUESTION, answer: float = ANSWER) -> list[tuple[int, int, float, float, float]]:
+def find_items(
+    index: ItemIndex,
+    texts: list[str | None],
+    lookup: Lookup,
+    least: float = THRESHOLD,
+    question: float = QUESTION,
+    answer: float = ANSWER,
+) -> list[tuple[int, int, float, float, float]]:
     """(text number, item number, score, question share, answer share) of all verified pairs."""
     if not index.ids:
         return []
@@ -337,7 +368,9 @@ def find_items(index: ItemIndex, texts: list[str | None], lookup: Lookup, least:
 def write_indexes(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> list[str]:
     """Files of indexes of all items; none if no item has a word. A task makes one index; only file names reach the driver."""
     spark = items.sparkSession
-    rows = items.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).distinct()
+    rows = items.where(F.col(item_text).isNotNull()).select(
+        F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")
+    ).distinct()
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0])
     many = 1 if size <= CHUNK_BYTES else -(-size * 3 // (2 * CHUNK_BYTES))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("i", "t"), F.lit(many)).cast("int"))
@@ -351,16 +384,23 @@ def write_indexes(items: DataFrame, item_id: str = "item_id", item_text: str = "
                 words += [None, *kinds]
                 chunks += [chunk] * (1 + len(kinds))
                 lengths += [len(found), *[0] * len(kinds)]
-            yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array(words, pa.string()), pa.array(lengths, pa.int64())], ["chunk", "word", "length"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(chunks, pa.int32()), pa.array(words, pa.string()), pa.array(lengths, pa.int64())],
+                ["chunk", "word", "length"],
+            )
 
     told = rows.select("t", "chunk").mapInArrow(words_of, "chunk int, word string, length long")
-    count, length = told.where("word IS NULL AND length > 0").agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    count, length = told.where("word IS NULL AND length > 0").agg(
+        F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))
+    ).first()
     if not count:
         return []
     uses = told.where("word IS NOT NULL").groupBy("chunk", "word").agg(F.count(F.lit(1)).alias("n"))
     holders = uses.groupBy("word").agg(F.sum("n").alias("df"))
     none = F.lit(None)
-    known = uses.join(holders, "word").select("chunk", F.lit(0).alias("kind"), none.cast("long").alias("i"), F.col("word").alias("t"), "df")
+    known = uses.join(holders, "word").select(
+        "chunk", F.lit(0).alias("kind"), none.cast("long").alias("i"), F.col("word").alias("t"), "df"
+    )
     every = known.unionByName(rows.select("chunk", F.lit(1).alias("kind"), "i", "t", none.cast("long").alias("df")))
     folder = new_folder(spark, "indexes")
 
@@ -418,7 +458,11 @@ def _asked(batches, files: list[str], text: int, least: float):
             for k, b in enumerate(group):
                 texts = b.column(text).to_pylist()
                 for low, high in bounded(texts):
-                    found[k] += [(index.ids[i], low + d, *rest) for d, i, *rest in find_items(index, texts[low:high], lookup, least)]
+                    found[k] += [
+                        (index.ids[i], low + d, *rest) for d, i, *rest in find_items(
+                            index, texts[low:high], lookup, least
+                        )
+                    ]
         yield from zip(group, found, strict=True)
 
     for b in slices(batches):
@@ -434,7 +478,15 @@ def _asked(batches, files: list[str], text: int, least: float):
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = THRESHOLD) -> DataFrame:
+def contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    least: float = THRESHOLD,
+) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for every document and item that it contains."""
     files = write_indexes(items, item_id, item_text)
 
@@ -443,13 +495,26 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
             if found:
                 keys = b.column(0).to_pylist()
                 i, d, s, q, a = zip(*found, strict=True)
-                columns = [pa.array([keys[x] for x in d], pa.int64()), pa.array(i, pa.int64()), pa.array(s), pa.array(q), pa.array(a)]
+                columns = [
+                    pa.array([keys[x] for x in d], pa.int64()),
+                    pa.array(i, pa.int64()),
+                    pa.array(s),
+                    pa.array(q),
+                    pa.array(a),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in RESULT.split(", ")])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, RESULT)
 
 
-def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: float = THRESHOLD) -> DataFrame:
+def without_items(
+    docs: DataFrame,
+    items: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    least: float = THRESHOLD,
+) -> DataFrame:
     """The rows of docs, all columns, that contain no item. One pass, no shuffle."""
     files = write_indexes(items, item_id, item_text)
     at = docs.columns.index(text)
@@ -465,4 +530,6 @@ def without_items(docs: DataFrame, items: DataFrame, text: str = "text", item_id
 
 def op10_blockmax_wand(spark, sf_dir: str) -> DataFrame:
     """Benchmark items found in all documents."""
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(
+        spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )

@@ -117,8 +117,14 @@ def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
                     held, n = [], 0
         if held:
             loads += np.bincount(np.concatenate(held), minlength=SLOTS)
-        parts = [zlib.compress(np.minimum(loads[i * size : (i + 1) * size], 65_535).astype(np.uint16).tobytes(), 1) for i in range(many)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(many), pa.int32()), pa.array(parts, pa.binary())], ["slice", "loads"])
+        parts = [
+            zlib.compress(
+                np.minimum(loads[i * size : (i + 1) * size], 65_535).astype(np.uint16).tobytes(), 1
+            ) for i in range(many)
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(many), pa.int32()), pa.array(parts, pa.binary())], ["slice", "loads"]
+        )
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
@@ -126,12 +132,22 @@ def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 got = np.frombuffer(zlib.decompress(x), np.uint16).astype(np.int64)
                 total[k] = total[k] + got if k in total else got
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], ["slice", "loads"])
-
-    rows = docs.select("text").mapInArrow(count, "slice int, loads binary").repartition(many, "slice").mapInArrow(add, "slice int, loads binary").collect()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(list(total), pa.int32()),
+                pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary()),
+            ],
+            ["slice", "loads"],
+        )
+
+    rows = docs.select("text").mapInArrow(
+        count, "slice int, loads binary"
+    ).repartition(many, "slice").mapInArrow(add, "slice int, loads binary").collect()
     loads = np.zeros(SLOTS, np.uint32)
     for r in rows:
-        loads[r.slice * size : (r.slice + 1) * size] = np.minimum(np.frombuffer(zlib.decompress(r.loads), np.int64), 2**32 - 1)
+        loads[r.slice * size : (r.slice + 1) * size] = np.minimum(
+            np.frombuffer(zlib.decompress(r.loads), np.int64), 2**32 - 1
+        )
     return loads
 
 
@@ -191,12 +207,20 @@ def ties(real: DataFrame, percent: int) -> DataFrame:
     """
     uses = real.select("n", "f1", F.explode("prefix").alias("shingle"), F.lit(0).cast("long").alias("share"))
     spread = real.select("n", "f1", F.explode(F.arrays_zip("hot", "shares")).alias("z"))
-    spread = spread.select("n", "f1", F.col("z.hot").alias("shingle"), F.pmod(F.xxhash64("f1"), F.col("z.shares")).alias("share"))
+    spread = spread.select(
+        "n", "f1", F.col("z.hot").alias("shingle"), F.pmod(F.xxhash64("f1"), F.col("z.shares")).alias("share")
+    )
     plain = _stretches(uses, ["shingle"], "n", "n", percent)
     shared = _stretches(spread, ["shingle", "share"], "n", "n", percent)
-    heads = shared.groupBy("shingle", "share", "first").agg(F.min("n").alias("n"), F.max("n").alias("high")).withColumnRenamed("first", "f1")
+    heads = shared.groupBy("shingle", "share", "first").agg(
+        F.min("n").alias("n"), F.max("n").alias("high")
+    ).withColumnRenamed("first", "f1")
     joined = _stretches(heads, ["shingle"], "n", "high", percent)
-    found = [x.where("first <> f1").select(F.col("f1").alias("a"), F.col("first").alias("b")) for x in (plain, shared, joined)]
+    found = [
+        x.where("first <> f1").select(
+            F.col("f1").alias("a"), F.col("first").alias("b")
+        ) for x in (plain, shared, joined)
+    ]
     return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
@@ -206,7 +230,9 @@ def _stretches(rows: DataFrame, keys: list[str], low: str, high: str, percent: i
     walk = Window.partitionBy(*keys).orderBy(low, "f1")
     before = F.max(high).over(walk.rowsBetween(Window.unboundedPreceding, -1))
     cut = before.isNull() | (100 * before < percent * F.col(low))
-    first = F.last(F.when(F.col("cut"), F.col("f1")), ignorenulls=True).over(walk.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.last(
+        F.when(F.col("cut"), F.col("f1")), ignorenulls=True
+    ).over(walk.rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("cut", cut).withColumn("first", first).drop("cut")
 
 
@@ -215,11 +241,15 @@ class CountVectorTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray):
         order = np.lexsort((points.argmax(axis=1), sizes))
-        self.levels = [(order, points[order], sizes[order], sizes[order])]  # members, largest counts, least and most size
+        self.levels = [  # members, largest counts, least and most size
+            (order, points[order], sizes[order], sizes[order])
+        ]
         while len(self.levels[-1][0]) > LEAF:
             _, top, low, high = self.levels[-1]
             at = np.arange(0, len(top), LEAF)
-            self.levels.append((at, np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at)))
+            self.levels.append(
+                (at, np.maximum.reduceat(top, at), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at))
+            )
 
     def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
         """Members whose bound on the overlap allows a link with this point."""
@@ -283,14 +313,18 @@ def join_parts(rows: DataFrame, key: list[str], percent: int, words: int) -> Dat
     Texts travel, not sets, and packed: they are much smaller.
     """
     many = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.select(F.struct(*key).alias("key"), "id", "text").repartition(many, "key").sortWithinPartitions("key", "id")
+    dealt = rows.select(
+        F.struct(*key).alias("key"), "id", "text"
+    ).repartition(many, "key").sortWithinPartitions("key", "id")
 
     def run(batches):
         hashes = WordHashes()
         now, ids, sets = None, [], []
 
         def done():
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(join_part(ids, sets, percent), pa.int64())], ["id", "root"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(join_part(ids, sets, percent), pa.int64())], ["id", "root"]
+            )
 
         for b in slices(batches):
             for k, i, x in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
@@ -311,7 +345,10 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     A bit filter of fixed size, sent to all workers, spares most other texts the shuffle.
     """
-    marks = wanted.select(F.expr(f"cast(pmod(xxhash64(id), {FILTER_BITS}) >> 6 as int)").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).collect()
+    marks = wanted.select(
+        F.expr(f"cast(pmod(xxhash64(id), {FILTER_BITS}) >> 6 as int)").alias("w"),
+        F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) & 63 as int))").alias("m"),
+    ).groupBy("w").agg(F.bit_or("m").alias("m")).collect()
     bits = np.zeros(FILTER_BITS >> 6, np.int64)
     for r in marks:
         bits[r.w] = r.m
@@ -325,11 +362,15 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             packed = [zlib.compress(x.encode("utf-8", "replace"), 1) for x in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], ["id", "text"])
 
-    source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot"))
+    source = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(
+        F.col("doc_id").alias("id"), "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("slot")
+    )
     return source.mapInArrow(run, "id long, text binary")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, words: int = WORDS, part: int = PART) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80, words: int = WORDS, part: int = PART
+) -> DataFrame:
     """One row per row of the input: doc_id, n_shingles, component_id (smallest id reachable by links)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     loads = shingle_loads(docs, words)
@@ -347,15 +388,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     met = stash(join_parts(found, ["root", "task"], percent, words), "joined")
     joined = met.groupBy("id").agg(F.min("root").alias("root"))
     if split is not None:
-        links = met.join(split, "id", "left_semi").where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+        links = met.join(split, "id", "left_semi").where("id <> root").select(
+            F.col("id").alias("a"), F.col("root").alias("b")
+        )
         wide = components(links).select("id", F.col("root").alias("wide"))
         joined = joined.join(wide, "id", "left").select("id", F.coalesce("wide", "root").alias("root"))
-    named = stash(nodes.select(*same, "id").join(joined, "id", "left").select(*same, F.coalesce("root", "id").alias("component")), "named")
+    named = stash(
+        nodes.select(*same, "id").join(joined, "id", "left").select(*same, F.coalesce("root", "id").alias("component")),
+        "named",
+    )
     keys = ["doc_id", *same]
     out = join_rows(real.select(*keys), named, same)
-    rest = sketch.where("n = 0 OR doc_id IS NULL").select(*keys, F.when(F.col("n") == 0, F.col("doc_id")).alias("component"))
+    rest = sketch.where("n = 0 OR doc_id IS NULL").select(
+        *keys, F.when(F.col("n") == 0, F.col("doc_id")).alias("component")
+    )
     out = out.unionByName(rest)
-    return _settled(out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), repeats)
+    return _settled(
+        out.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")), repeats
+    )
 
 
 def _repeats(sketch: DataFrame) -> bool:
@@ -370,7 +420,11 @@ def _settled(out: DataFrame, repeats: bool) -> DataFrame:
     kept = stash(out, "settled")
     ties = kept.where("component_id <> doc_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
     roots = components(ties).select(F.col("id").alias("doc_id"), "root")
-    return kept.join(roots, "doc_id", "left").select("doc_id", "n_shingles", F.when(F.col("component_id").isNotNull(), F.coalesce("root", "component_id")).alias("component_id"))
+    return kept.join(roots, "doc_id", "left").select(
+        "doc_id",
+        "n_shingles",
+        F.when(F.col("component_id").isNotNull(), F.coalesce("root", "component_id")).alias("component_id"),
+    )
 
 
 TASK = "struct<band:int,step:int,a:int,b:int>"
@@ -387,19 +441,35 @@ def _tasks(parts: DataFrame, percent: int, part: int) -> tuple[DataFrame, DataFr
     if not large.limit(1).count():
         return whole, None
     width = float(np.log(100 / percent)) * 1.0000001
-    banded = parts.join(large, "root").select("root", "id", F.floor(F.log("n") / F.lit(width)).cast("int").alias("band"))
-    tiles = banded.groupBy("root", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(max(1, part // 2))).cast("int").alias("tiles"))
+    banded = parts.join(large, "root").select(
+        "root", "id", F.floor(F.log("n") / F.lit(width)).cast("int").alias("band")
+    )
+    tiles = banded.groupBy("root", "band").agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(max(1, part // 2))).cast("int").alias("tiles")
+    )
     lower = tiles.select("root", (F.col("band") + 1).alias("band"), F.col("tiles").alias("below"))
     upper = tiles.select("root", (F.col("band") - 1).alias("band"), F.col("tiles").alias("above"))
-    known = banded.join(tiles, ["root", "band"]).join(lower, ["root", "band"], "left").join(upper, ["root", "band"], "left").withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    pair = lambda band, step, a, b: F.struct(band.alias("band"), F.lit(step).alias("step"), a.alias("a"), b.alias("b"))
+    known = banded.join(tiles, ["root", "band"]).join(lower, ["root", "band"], "left").join(upper, ["root", "band"], "left").withColumn(
+        "tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
+    )
+    pair = lambda band, step, a, b: F.struct(
+        band.alias("band"), F.lit(step).alias("step"), a.alias("a"), b.alias("b")
+    )
     band, tile, none = F.col("band"), F.col("tile"), F.array().cast(f"array<{TASK}>")
-    own = F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: pair(band, 0, F.least(t, tile), F.greatest(t, tile)))
-    up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda t: pair(band, 1, tile, t)))
-    down = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda t: pair(band - 1, 1, t, tile)))
+    own = F.transform(
+        F.sequence(F.lit(0), F.col("tiles") - 1), lambda t: pair(band, 0, F.least(t, tile), F.greatest(t, tile))
+    )
+    up = F.when(
+        F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda t: pair(band, 1, tile, t))
+    )
+    down = F.when(
+        F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda t: pair(band - 1, 1, t, tile))
+    )
     tasks = F.concat(own.cast(f"array<{TASK}>"), *[F.coalesce(x.cast(f"array<{TASK}>"), none) for x in (up, down)])
     split = stash(known.select("id", "root", F.explode(tasks).alias("task")).distinct(), "tasks")
-    return whole.join(large, "root", "left_anti").select("id", "root", "task").unionByName(split), split.select("id").distinct()
+    return whole.join(
+        large, "root", "left_anti"
+    ).select("id", "root", "task").unionByName(split), split.select("id").distinct()
 
 
 def op5_jaccard_rtree(spark, sf_dir: str) -> DataFrame:

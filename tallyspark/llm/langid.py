@@ -30,7 +30,10 @@ CHUNK = 4096
 
 
 def _gates(rng: np.random.Generator) -> dict[str, np.ndarray]:
-    return {"x": rng.normal(0, 0.3, (3 * HIDDEN, 257)).astype(np.float32), "u": (rng.normal(0, 1, (3 * HIDDEN, HIDDEN)) / HIDDEN**0.5).astype(np.float32)}
+    return {
+        "x": rng.normal(0, 0.3, (3 * HIDDEN, 257)).astype(np.float32),
+        "u": (rng.normal(0, 1, (3 * HIDDEN, HIDDEN)) / HIDDEN**0.5).astype(np.float32),
+    }
 
 
 def _hard(a: np.ndarray) -> np.ndarray:
@@ -131,9 +134,24 @@ class ByteGRU:
         return loss, grads
 
     def weights(self) -> dict[str, np.ndarray]:
-        return {"fwdx": self.fwd["x"], "fwdu": self.fwd["u"], "bwdx": self.bwd["x"], "bwdu": self.bwd["u"], "out": self.out, "bias": self.bias}
-
-    def fit(self, windows: np.ndarray, labels: np.ndarray, rounds: int = 260, batch: int = 192, rate: float = 0.02, seed: int = 11) -> float:
+        return {
+            "fwdx": self.fwd["x"],
+            "fwdu": self.fwd["u"],
+            "bwdx": self.bwd["x"],
+            "bwdu": self.bwd["u"],
+            "out": self.out,
+            "bias": self.bias,
+        }
+
+    def fit(
+        self,
+        windows: np.ndarray,
+        labels: np.ndarray,
+        rounds: int = 260,
+        batch: int = 192,
+        rate: float = 0.02,
+        seed: int = 11,
+    ) -> float:
         """Adam over random batches of windows (rows of bytes); returns the last loss."""
         rng = np.random.default_rng(seed)
         w = self.weights()
@@ -168,7 +186,9 @@ def windows_of_bytes(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, np.repeat(np.arange(len(raw)), many)
 
 
-def label_texts(model: ByteGRU | None, classes: list[str], texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+def label_texts(
+    model: ByteGRU | None, classes: list[str], texts: list[str | None]
+) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and full distribution of each text."""
     import regex
 
@@ -185,7 +205,9 @@ def label_texts(model: ByteGRU | None, classes: list[str], texts: list[str | Non
                 size += len(texts[real[end]])
                 end += 1
             rows, owner = windows_of([texts[i] for i in real[k:end]])
-            sums = np.concatenate([model.window_sums(np.ascontiguousarray(rows[j : j + CHUNK].T)) for j in range(0, len(rows), CHUNK)]).astype(float)
+            sums = np.concatenate(
+                [model.window_sums(np.ascontiguousarray(rows[j : j + CHUNK].T)) for j in range(0, len(rows), CHUNK)]
+            ).astype(float)
             for c in range(len(classes)):
                 probs[real[k:end], c] = np.bincount(owner, sums[:, c], end - k)
             probs[real[k:end]] /= probs[real[k:end]].sum(axis=1, keepdims=True)
@@ -212,11 +234,24 @@ def _picked(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(windows, pa.binary())], ["h", "l", "w"])
 
 
-def fit_language(docs: DataFrame, learn: str, id_col: str = "doc_id", text: str = "text", label: str = "lang", fit_docs: int = FIT_DOCS) -> tuple[ByteGRU | None, list[str]]:
+def fit_language(
+    docs: DataFrame,
+    learn: str,
+    id_col: str = "doc_id",
+    text: str = "text",
+    label: str = "lang",
+    fit_docs: int = FIT_DOCS,
+) -> tuple[ByteGRU | None, list[str]]:
     """Train on the first `fit_docs` distinct labelled rows by hash, among those where `learn` is true."""
-    able = docs.where(F.col(learn) & F.col(label).isNotNull() & (F.length(text) > 0)).select(F.xxhash64(id_col, text, label).alias("h"), F.col(text).alias("t"), F.col(label).alias("l"))
-    first = able.select("h").groupBy("h").agg(F.count(F.lit(1)).alias("same")).orderBy("h").limit(fit_docs).select("h")  # hashes only: no texts
-    found = able.join(F.broadcast(first), "h").select("h", "l", "t").mapInArrow(_picked, f"h long, l {docs.schema[label].dataType.simpleString()}, w binary")
+    able = docs.where(F.col(learn) & F.col(label).isNotNull() & (F.length(text) > 0)).select(
+        F.xxhash64(id_col, text, label).alias("h"), F.col(text).alias("t"), F.col(label).alias("l")
+    )
+    first = able.select("h").groupBy("h").agg(  # hashes only: no texts
+        F.count(F.lit(1)).alias("same")
+    ).orderBy("h").limit(fit_docs).select("h")
+    found = able.join(F.broadcast(first), "h").select("h", "l", "t").mapInArrow(
+        _picked, f"h long, l {docs.schema[label].dataType.simpleString()}, w binary"
+    )
     rows = sorted(found.groupBy("h").agg(F.min("l").alias("l"), F.min("w").alias("w")).collect())
     classes = sorted({r.l for r in rows})
     if len(classes) < 2:
@@ -246,4 +281,6 @@ def op3_byte_gru(spark, sf_dir: str) -> DataFrame:
     """Language of all documents; those whose crc32(doc_id) mod 5 is 0 are held out of training."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("_held", remainder("doc_id", 5, 0))
     model, classes = fit_language(docs.withColumn("_learn", ~F.col("_held")), "_learn")
-    return identify(docs.select("doc_id", "text", "_held"), model, classes).select("doc_id", F.col("_held").alias("held_out"), "lang_pred", "score")
+    return identify(docs.select("doc_id", "text", "_held"), model, classes).select(
+        "doc_id", F.col("_held").alias("held_out"), "lang_pred", "score"
+    )

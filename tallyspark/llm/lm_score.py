@@ -59,7 +59,9 @@ class Pieces:
         self.first = np.array([x[:1] == b" " for x in self.names])
         weight = 1.0 / (10.0 + np.array([ranks[x] for x in self.names], float))
         #: Weights of the first pieces, which add up to one, and of the further ones, which do too.
-        self.prior = np.where(self.first, weight / weight[self.first].sum(), weight / max(weight[~self.first].sum(), 1e-300))
+        self.prior = np.where(
+            self.first, weight / weight[self.first].sum(), weight / max(weight[~self.first].sum(), 1e-300)
+        )
         used = sorted({b for x in self.names for b in x})
         self.classes = np.full(256, len(used), np.int32)
         self.classes[used] = np.arange(len(used))
@@ -95,7 +97,9 @@ class Pieces:
             raw = text.encode()
             if " " in text[1:] or raw != raw.lower() or len(raw) > MAX_PIECE or raw.strip() == b"" and raw != b" ":
                 continue
-            found.setdefault(raw, max(0, int(-model.get_score(i))) if model.get_score(i) > -1e8 else model.get_piece_size())
+            found.setdefault(
+                raw, max(0, int(-model.get_score(i))) if model.get_score(i) > -1e8 else model.get_piece_size()
+            )
         for b in range(256):
             found.setdefault(bytes([b]), model.get_piece_size())
         return cls(found)
@@ -121,7 +125,13 @@ def _log_sum(x: np.ndarray) -> np.ndarray:
         return safe + np.log(np.exp(x - safe[:, None]).sum(axis=1))
 
 
-def lattice(texts: list[bytes], trie: Pieces, logs: np.ndarray, counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
+def lattice(
+    texts: list[bytes],
+    trie: Pieces,
+    logs: np.ndarray,
+    counts: np.ndarray | None = None,
+    expected: np.ndarray | None = None,
+) -> np.ndarray:
     """Natural log of the summed weight of all segmentations of each text (a chunk of a word) into pieces.
 
     With counts, adds the expected uses of each piece to `expected` (forward and backward recursion).
@@ -226,7 +236,9 @@ def count_words(docs: DataFrame, text: str, train: str, most: int = 300_000, cha
             found = [*counts, *(x for x in other if x not in counts)]
             for k in range(0, len(found), 50_000):
                 part = found[k : k + 50_000]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([counts.get(x, 0) for x in part], pa.int64())], ["word", "c"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(part, pa.binary()), pa.array([counts.get(x, 0) for x in part], pa.int64())], ["word", "c"]
+                )
             counts.clear()
             other.clear()
 
@@ -270,7 +282,9 @@ def fit_pieces(words: DataFrame, path: str, rounds: int = 2, prior: float = 500.
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], ["piece", "uses"])
 
         real = words.where((F.col("c") > 0) & (F.length("word") > 0)).select("word")
-        got = real.mapInArrow(expect, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
+        got = real.mapInArrow(
+            expect, "piece int, uses double"
+        ).groupBy("piece").agg(F.sum("uses").alias("uses")).collect()
         uses = np.zeros(size + 1)
         for r in got:
             uses[r.piece] = r.uses
@@ -282,7 +296,14 @@ def fit_pieces(words: DataFrame, path: str, rounds: int = 2, prior: float = 500.
     return logs, log_stop
 
 
-def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text: str = "text", vocabulary: str | None = None, rounds: int = 2) -> DataFrame:
+def score_documents(
+    docs: DataFrame,
+    train: str,
+    id_col: str = "doc_id",
+    text: str = "text",
+    vocabulary: str | None = None,
+    rounds: int = 2,
+) -> DataFrame:
     """Log10 likelihood of every whole text under the lattice model learnt from the rows where `train` is true.
 
     Returns id, train, n_tokens, n_known, train_tokens, base_score (add-one word unigram), score, spelled_score.
@@ -313,7 +334,9 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text: s
             at = [i for i, w in enumerate(found) if w]
             below = np.zeros(len(found))
             below[at] = spell([found[i] for i in at], pieces(path), logs) + log_stop
-            yield pa.RecordBatch.from_arrays([pa.array(keys_of(found), pa.binary()), b.column(1), pa.array(below)], ["key", "c", "below"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys_of(found), pa.binary()), b.column(1), pa.array(below)], ["key", "c", "below"]
+            )
 
     lattices = stash(words.mapInArrow(price, "key binary, c long, below double"), "lattices")
     is_end, ten = F.length("key") == 0, float(np.log10(np.e))
@@ -322,7 +345,9 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text: s
         "key",
         "c",
         F.log10((F.col("c") + 1) / F.lit(n + v + 1.0)).alias("base"),
-        F.when(is_end, F.lit(log_end * ten)).when(F.col("c") > 0, whole).otherwise((F.col("below") + F.lit(log_new)) * ten).alias("score"),
+        F.when(is_end, F.lit(log_end * ten)).when(F.col("c") > 0, whole).otherwise(
+            (F.col("below") + F.lit(log_new)) * ten
+        ).alias("score"),
         F.when(is_end, F.lit(log_end * ten)).otherwise((F.col("below") + F.lit(log_word)) * ten).alias("spelled"),
     )
     least = max(1, -(-n // HEAVY))
@@ -349,7 +374,20 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text: s
                 found = keys_of(tokens(x))
                 at = np.array([get(w, -1) for w in found] + [end_at], np.int64)
                 seen = at[at >= 0]
-                rows.append((uid, key, learn, b" %d" % uid, len(at), int(known_[seen].sum()), float(bases[seen].sum()), float(scores[seen].sum()), float(spelt[seen].sum()), 1))
+                rows.append(
+                    (
+                        uid,
+                        key,
+                        learn,
+                        b" %d" % uid,
+                        len(at),
+                        int(known_[seen].sum()),
+                        float(bases[seen].sum()),
+                        float(scores[seen].sum()),
+                        float(spelt[seen].sum()),
+                        1,
+                    )
+                )
                 rare = Counter([found[i] for i in np.flatnonzero(at[:-1] < 0)])
                 word_rows += [(uid, key, learn, w, 0, 0, 0.0, 0.0, 0.0, k) for w, k in rare.items()]
                 if len(word_rows) > 50_000:
@@ -358,21 +396,52 @@ def score_documents(docs: DataFrame, train: str, id_col: str = "doc_id", text: s
             if rows or word_rows:
                 yield as_batch(rows + word_rows)
 
-    kinds = [pa.int64(), docs_type(docs), pa.bool_(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64()]
+    kinds = [
+        pa.int64(),
+        docs_type(docs),
+        pa.bool_(),
+        pa.binary(),
+        pa.int64(),
+        pa.int64(),
+        pa.float64(),
+        pa.float64(),
+        pa.float64(),
+        pa.int64(),
+    ]
     names = ["uid", "id", "train", "w", "n_tokens", "known", "b", "s", "z", "k"]
 
     def as_batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names
+        )
 
     # a row for each document (its key, a space and digits, meets no word) and one for each rarer word in it
-    uses = docs.mapInArrow(look_up, f"uid long, id {docs.schema['id'].dataType.simpleString()}, train boolean, w binary, n_tokens long, known long, b double, s double, z double, k long")
+    uses = docs.mapInArrow(
+        look_up,
+        f"uid long, id {docs.schema['id'].dataType.simpleString()}, train boolean, w binary, n_tokens long, known long, b double, s double, z double, k long",
+    )
     met = uses.join(priced.where((F.col("c") < least) & (F.length("key") > 0)), uses.w == priced.key, "left")
     plus = lambda mine, other: (F.col(mine) + F.coalesce(other, F.lit(0.0)) * F.col("k")).alias(mine)
     known_now = (F.col("known") + F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("known")
-    rare = met.select("uid", "id", "train", "n_tokens", known_now, plus("b", "base"), plus("s", "score"), plus("z", "spelled"))
-    sums = [F.sum(a).alias(out) for a, out in (("n_tokens", "n_tokens"), ("known", "n_known"), ("b", "base_score"), ("s", "score"), ("z", "spelled_score"))]
+    rare = met.select(
+        "uid", "id", "train", "n_tokens", known_now, plus("b", "base"), plus("s", "score"), plus("z", "spelled")
+    )
+    sums = [
+        F.sum(a).alias(out) for a, out in (
+            ("n_tokens", "n_tokens"), ("known", "n_known"), ("b", "base_score"), ("s", "score"), ("z", "spelled_score")
+        )
+    ]
     out = rare.groupBy("uid", "id", "train").agg(*sums)
-    return out.select(F.col("id").alias(id_col), "train", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", "spelled_score")
+    return out.select(
+        F.col("id").alias(id_col),
+        "train",
+        "n_tokens",
+        "n_known",
+        F.lit(int(n)).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+        "spelled_score",
+    )
 
 
 def docs_type(docs: DataFrame) -> pa.DataType:
@@ -383,6 +452,8 @@ def docs_type(docs: DataFrame) -> pa.DataType:
 
 def op1_lattice_lm(spark, sf_dir: str) -> DataFrame:
     """Score all documents; those whose crc32(doc_id) mod 7 is 2 are held out of the counts and the fit."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn("_train", ~remainder("doc_id", 7, 2))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumn(
+        "_train", ~remainder("doc_id", 7, 2)
+    )
     columns = ["n_tokens", "n_known", "train_tokens", "base_score", "score", "spelled_score"]
     return score_documents(docs, "_train").select("doc_id", (~F.col("train")).alias("held_out"), *columns)

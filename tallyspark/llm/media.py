@@ -58,7 +58,9 @@ def spectrogram(payload: bytes) -> np.ndarray:
     """Magnitudes: a row for each frame, a column for each frequency; the last frame is padded with silence."""
     x = np.frombuffer(payload, np.uint8).astype(np.float32) - 128.0
     n = max(1, -(-(len(x) - FRAME) // HOP) + 1)
-    x = np.concatenate([x, np.zeros((n - 1) * HOP + FRAME - len(x), np.float32)]) if (n - 1) * HOP + FRAME > len(x) else x
+    x = np.concatenate(
+        [x, np.zeros((n - 1) * HOP + FRAME - len(x), np.float32)]
+    ) if (n - 1) * HOP + FRAME > len(x) else x
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[:: HOP][:n]
     return np.abs(np.fft.rfft(frames * _WINDOW, axis=1)).astype(np.float32)
 
@@ -95,7 +97,9 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
         for b in slices(batches, 256):
             raw = [(x or "").encode("utf-8", "replace") for x in b.column(1).to_pylist()]
             media = pa.array([to_wav(payload_of(x)) for x in raw], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), media], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([len(x) for x in raw], pa.int64()), media], ["doc_id", "n_bytes", "media"]
+            )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return stash(rows.mapInArrow(run, "doc_id long, n_bytes long, media binary"), "media", compression="zstd")
@@ -116,13 +120,24 @@ def media_features(media: DataFrame) -> DataFrame:
                 p = from_wav(m)
                 t, c = fingerprint(p)
                 frames = max(1, -(-(len(p) - FRAME) // HOP) + 1)
-                rows.append((len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), frames))
+                rows.append(
+                    (
+                        len(p),
+                        hashlib.sha256(p).hexdigest(),
+                        zlib.crc32(p[-BLOCK:]),
+                        len(m),
+                        hashlib.sha256(m).hexdigest(),
+                        frames,
+                    )
+                )
                 times.append(t)
                 codes.append(c)
             made = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
             ends = pa.array(np.concatenate([[0], np.cumsum([len(t) for t in times])]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x))) for x in (times, codes)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, *lists], [x.split()[0] for x in FIELDS.split(", ")])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), *made, *lists], [x.split()[0] for x in FIELDS.split(", ")]
+            )
 
     return media.mapInArrow(run, FIELDS)
 
@@ -136,5 +151,16 @@ def op9_wav_fingerprints(spark, sf_dir: str) -> DataFrame:
     """All documents as WAVs; the feature is a digest of the frames, the number of pairs and the stored time-coded arrays."""
     rows = store_features(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     digest = F.sha2(F.concat_ws(",", F.col("times").cast("array<string>"), F.col("codes").cast("array<string>")), 256)
-    feature = F.concat_ws(":", F.col("frames").cast("string"), F.size("times").cast("string"), F.substring(digest, 1, 32))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    feature = F.concat_ws(
+        ":", F.col("frames").cast("string"), F.size("times").cast("string"), F.substring(digest, 1, 32)
+    )
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        "payload_bytes",
+        "payload_sha256",
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        feature.alias("feature"),
+    )

@@ -64,12 +64,24 @@ def token_lengths(docs: DataFrame, text: str, out: str, tokenizer: str | None =
     return docs.withColumn(out, F.pandas_udf(run, "long")(F.col(text)))
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_length: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = BUDGET, tokenizer: str | None = None) -> DataFrame:
+def pack(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    max_length: int = MAX_LENGTH,
+    buckets: int = BUCKETS,
+    budget: int = BUDGET,
+    tokenizer: str | None = None,
+) -> DataFrame:
     """One row per sequence: doc_id, part, length, bucket, bucket_length, batch, slot."""
-    rows = token_lengths(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", "n", tokenizer).select("doc_id", "n")
+    rows = token_lengths(
+        docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "text", "n", tokenizer
+    ).select("doc_id", "n")
     whole = F.floor((F.col("n") - 1) / max_length)
     cut = rows.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), whole)).alias("part"))
-    length = F.least(F.lit(max_length).cast("long"), F.col("n") - F.col("part") * max_length).cast("int").alias("length")
+    length = F.least(
+        F.lit(max_length).cast("long"), F.col("n") - F.col("part") * max_length
+    ).cast("int").alias("length")
     place = F.monotonically_increasing_id().alias("_place")  # tells equal rows apart
     cut = stash(cut.select("doc_id", F.col("part").cast("int").alias("part"), length, place), "sequences")
     histogram = cut.groupBy("length").count().collect()  # max_length rows at most
@@ -84,7 +96,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_length
     placed = gapless(placed, "bucket", ["doc_id", "part", "_place"], "at", sum(r["count"] for r in histogram))
     length = F.element_at(F.array(*[F.lit(b) for b in bounds]), F.col("bucket") + 1)
     room = F.greatest(F.lit(1), F.floor(F.lit(budget) / length))
-    return placed.select("doc_id", "part", "length", "bucket", length.alias("bucket_length"), F.floor(F.col("at") / room).cast("long").alias("batch"), (F.col("at") % room).cast("int").alias("slot"))
+    return placed.select(
+        "doc_id",
+        "part",
+        "length",
+        "bucket",
+        length.alias("bucket_length"),
+        F.floor(F.col("at") / room).cast("long").alias("batch"),
+        (F.col("at") % room).cast("int").alias("slot"),
+    )
 
 
 def op2_length_buckets(spark, sf_dir: str) -> DataFrame:

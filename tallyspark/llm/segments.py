@@ -68,7 +68,9 @@ def load_ranks(path: str):
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _loaded[path] = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        _loaded[path] = tiktoken.Encoding(
+            "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
+        )
     return _loaded[path]
 
 
@@ -100,7 +102,9 @@ class SegmentEncoder:
         plain = [x for x in missing if x and not SPACE.search(x)] if len(line) == 1 and lead else []
         for k in range(0, len(plain), PACKED * 8):
             parts = [plain[j : j + PACKED] for j in range(k, min(k + PACKED * 8, len(plain)), PACKED)]
-            for part, got in zip(parts, read([lead + ("\n" + lead).join(p) for p in parts], add_special_tokens=False), strict=True):
+            for part, got in zip(
+                parts, read([lead + ("\n" + lead).join(p) for p in parts], add_special_tokens=False), strict=True
+            ):
                 ids = np.array(got.ids, np.uint32)
                 cuts = np.flatnonzero(ids == line[0])
                 starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]

@@ -77,7 +77,15 @@ def _difference_groups(groups: DataFrame, shards: int) -> DataFrame:
             first[:, 0] = sizes
             sums, place = difference(first)
             n = len(keys)
-            return pa.RecordBatch.from_arrays([pa.array([now] * (n + 1), pa.int64()), pa.array([*keys, None], pa.binary()), pa.array([*place[:, 0].tolist(), None], pa.int32()), pa.array([*[None] * n, sums.tolist()], pa.list_(pa.int64()))], ["block", "key", "place", "sums"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([now] * (n + 1), pa.int64()),
+                    pa.array([*keys, None], pa.binary()),
+                    pa.array([*place[:, 0].tolist(), None], pa.int32()),
+                    pa.array([*[None] * n, sums.tolist()], pa.list_(pa.int64())),
+                ],
+                ["block", "key", "place", "sums"],
+            )
 
         for b in batches:
             for k, key, size in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -101,7 +109,14 @@ def _difference_blocks(rows: DataFrame, shards: int) -> DataFrame:
 
         def done():
             total, place = difference(np.array(sums, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array([now] * (len(blocks) + 1), pa.int64()), pa.array([*blocks, None], pa.int64()), pa.array([*place.tolist(), total.tolist()], pa.list_(pa.int64()))], ["up", "block", "values"])
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([now] * (len(blocks) + 1), pa.int64()),
+                    pa.array([*blocks, None], pa.int64()),
+                    pa.array([*place.tolist(), total.tolist()], pa.list_(pa.int64())),
+                ],
+                ["up", "block", "values"],
+            )
 
         for b in batches:
             for u, k, s in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
@@ -122,16 +137,24 @@ def assign_groups(groups: DataFrame, shards: int) -> DataFrame:
     count = groups.count()
     parts = max(1, int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = max(1, -(-count // BLOCK))
-    dealt = groups.select(F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "key", "bytes").repartition(min(parts, blocks), "block").sortWithinPartitions("block", "key")
+    dealt = groups.select(
+        F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), "key", "bytes"
+    ).repartition(min(parts, blocks), "block").sortWithinPartitions("block", "key")
     done = stash(_difference_groups(dealt, shards), "blocks")
     out = done.where("key IS NOT NULL").select("key", "block", F.col("place").alias("shard"))
     level = done.where("key IS NULL").select("block", "sums")
     while blocks > 1:
         ups = -(-blocks // FAN)
-        rows = level.select(F.pmod(F.col("block"), F.lit(ups)).alias("up"), "block", "sums").repartition(min(parts, ups), "up").sortWithinPartitions("up", "block")
+        rows = level.select(
+            F.pmod(F.col("block"), F.lit(ups)).alias("up"), "block", "sums"
+        ).repartition(min(parts, ups), "up").sortWithinPartitions("up", "block")
         step = stash(_difference_blocks(rows, shards), "blocks")
-        places = step.where("block IS NOT NULL").select(F.col("block").alias("b"), F.col("up").alias("u"), F.col("values").alias("places"))
-        out = out.join(places, F.col("block") == F.col("b")).select("key", F.col("u").alias("block"), F.element_at("places", F.col("shard") + 1).cast("int").alias("shard"))
+        places = step.where("block IS NOT NULL").select(
+            F.col("block").alias("b"), F.col("up").alias("u"), F.col("values").alias("places")
+        )
+        out = out.join(places, F.col("block") == F.col("b")).select(
+            "key", F.col("u").alias("block"), F.element_at("places", F.col("shard") + 1).cast("int").alias("shard")
+        )
         level = step.where("block IS NULL").select(F.col("up").alias("block"), F.col("values").alias("sums"))
         blocks = ups
     return out.select("key", "shard")
@@ -142,7 +165,16 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
     raw = F.coalesce(F.col(text), F.lit("")).cast("binary")
     size = (F.length(raw) + OVERHEAD).cast("long").alias("size")
     place = F.monotonically_increasing_id().alias("_place")  # tells equal rows apart
-    rows = stash(docs.select(F.col(id_col).alias("doc_id"), size, F.crc32(raw).alias("text_crc32"), F.unhex(F.sha2(raw, 256)).alias("key"), place), "sizes")
+    rows = stash(
+        docs.select(
+            F.col(id_col).alias("doc_id"),
+            size,
+            F.crc32(raw).alias("text_crc32"),
+            F.unhex(F.sha2(raw, 256)).alias("key"),
+            place,
+        ),
+        "sizes",
+    )
     groups = rows.groupBy("key").agg(F.sum("size").alias("bytes"))
     shard = assign_groups(groups, shards)
     placed = stash(join_rows(rows, shard, ["key"]).select("doc_id", "size", "text_crc32", "shard", "_place"), "placed")
@@ -152,4 +184,12 @@ def shard_documents(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", t
 def op4_differencing_shards(spark, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near-equal bytes, equal texts together."""
     out = shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )

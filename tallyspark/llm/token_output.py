@@ -46,7 +46,9 @@ class SequenceWriter:
     """Writes a stream of ids as equal-length sequences."""
 
     def __init__(self, out, sequence: int, width: np.dtype):
-        self.kind = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(width), sequence)), ("mask", pa.list_(pa.bool_(), sequence))])
+        self.kind = pa.schema(
+            [("ids", pa.list_(pa.from_numpy_dtype(width), sequence)), ("mask", pa.list_(pa.bool_(), sequence))]
+        )
         self.sequence, self.width = sequence, width
         self.writer = pa.ipc.new_file(out, self.kind)
         self.held: list[np.ndarray] = []
@@ -67,7 +69,10 @@ class SequenceWriter:
 
     def _write(self, flat: np.ndarray, real: int) -> None:
         mask = pa.array(np.arange(len(flat)) < real)
-        columns = [pa.FixedSizeListArray.from_arrays(pa.array(flat), self.sequence), pa.FixedSizeListArray.from_arrays(mask, self.sequence)]
+        columns = [
+            pa.FixedSizeListArray.from_arrays(pa.array(flat), self.sequence),
+            pa.FixedSizeListArray.from_arrays(mask, self.sequence),
+        ]
         self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=self.kind))
 
     def close(self) -> None:
@@ -78,12 +83,25 @@ class SequenceWriter:
         self.writer.close()
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: str = "doc_id", text: str = "text", end_id: int = END_ID, sequence: int = SEQUENCE, files: int | None = None) -> DataFrame:
+def write_files(
+    docs: DataFrame,
+    folder: str,
+    tokenizer: str | None = None,
+    id_col: str = "doc_id",
+    text: str = "text",
+    end_id: int = END_ID,
+    sequence: int = SEQUENCE,
+    files: int | None = None,
+) -> DataFrame:
     """Encode whole texts and write the files; one row a file (FILE_FIELDS and `before`: ids in the files before it)."""
     spark = docs.sparkSession
     path = tokenizer or tokenizer_file("byte_bpe_50k.json")
     files = files or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("place"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+        F.monotonically_increasing_id().alias("place"),
+    )
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), "place"]
     dealt = rows.repartitionByRange(files, *order).sortWithinPartitions(*order).select("doc_id", "text")
     folder = _uri(folder)
@@ -111,14 +129,25 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str | None = None, id_c
                 starts.append(writer.n)
                 sizes.append(len(ids))
                 writer.add(ids)
-            index.write_batch(pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, sizes)], schema=kind))
+            index.write_batch(
+                pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, sizes)], schema=kind)
+            )
             n_docs += len(keys)
         if writer is not None:
             writer.close()
             index.close()
             for o in outs:
                 o.close()
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([names[0]]), pa.array([names[1]]), pa.array([writer.n], pa.int64()), pa.array([n_docs], pa.int64())], ["part", "ids_file", "index_file", "n_ids", "n_docs"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([part], pa.int32()),
+                    pa.array([names[0]]),
+                    pa.array([names[1]]),
+                    pa.array([writer.n], pa.int64()),
+                    pa.array([n_docs], pa.int64()),
+                ],
+                ["part", "ids_file", "index_file", "n_ids", "n_docs"],
+            )
 
     rows = sorted(dealt.mapInArrow(run, FILE_FIELDS).collect(), key=lambda r: r.part)
     before, table = 0, []
@@ -178,11 +207,15 @@ def read_files(files: DataFrame) -> DataFrame:
                 if rows:
                     yield _rows(rows)
 
-    return files.select("ids_file", "index_file", "before").repartition(parts).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.select("ids_file", "index_file", "before").repartition(parts).mapInArrow(
+        run, "doc_id long, start long, n_tokens long, ids_crc32 long"
+    )
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32"]
+    )
 
 
 def op6_arrow_sequences(spark, sf_dir: str) -> DataFrame:

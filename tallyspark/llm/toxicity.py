@@ -32,11 +32,34 @@ FIT_ROWS = 6000
 LEXICON = 500
 FOLDS = 3
 #: Look-alike characters, and second-person words of the languages at hand.
-LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e", "|": "l"})
-SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
+LOOKALIKES = str.maketrans(
+    {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e", "|": "l"}
+)
+SECOND_PERSON = frozenset(
+    "you your yours yourself u ur du dich dir dein deine euch ihr tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split()
+)
 NEAR = 4
 EDGES = ".,;:!?\"'()[]{}<>*#%&$-_|/\\+=~`“”„‘’«»…"
-NAMES = ("hits_per_word", "hits", "kinds", "weight", "weight_per_word", "weight_max", "near_you", "you_per_word", "capitals", "shouting", "punctuation", "bangs", "digits", "symbols", "disguised_per_word", "disguised_hits", "log_words", "word_length")
+NAMES = (
+    "hits_per_word",
+    "hits",
+    "kinds",
+    "weight",
+    "weight_per_word",
+    "weight_max",
+    "near_you",
+    "you_per_word",
+    "capitals",
+    "shouting",
+    "punctuation",
+    "bangs",
+    "digits",
+    "symbols",
+    "disguised_per_word",
+    "disguised_hits",
+    "log_words",
+    "word_length",
+)
 KEPT_WORDS = 300_000
 
 
@@ -99,13 +122,21 @@ def features(text: str | None, words: Words) -> list[float]:
     if hits and you:
         spots = np.array(you)
         at = np.searchsorted(spots, hits)
-        near = sum(min(abs(spots[min(k, len(spots) - 1)] - i), abs(spots[max(k - 1, 0)] - i)) <= NEAR for i, k in zip(hits, at, strict=True))
+        near = sum(
+            min(
+                abs(spots[min(k, len(spots) - 1)] - i), abs(spots[max(k - 1, 0)] - i)
+            ) <= NEAR for i, k in zip(hits, at, strict=True)
+        )
     upper = int(counts[_UPPER].sum())
     letters = max(1, upper + int(counts[97:123].sum()))
     return [
-        len(hits) / n, float(len(hits)), float(len({found[i] for i in hits})), float(sum(weights)), sum(weights) / n, max(weights, default=0.0),
+        len(hits) / n, float(len(hits)), float(
+            len({found[i] for i in hits})
+        ), float(sum(weights)), sum(weights) / n, max(weights, default=0.0),
         near / n, len(you) / n, upper / letters, float(upper / letters > 0.5), counts[_PUNCT].sum() / size, counts[33] / size,
-        counts[_DIGIT].sum() / size, counts[_SYMBOL].sum() / size, hidden / n, float(sum(got[i][2] for i in hits)), float(np.log1p(len(found))), size / n,
+        counts[_DIGIT].sum() / size, counts[_SYMBOL].sum() / size, hidden / n, float(
+            sum(got[i][2] for i in hits)
+        ), float(np.log1p(len(found))), size / n,
     ]
 
 
@@ -121,7 +152,10 @@ def count_forms(sample: DataFrame) -> DataFrame:
         for b in slices(batches, 64):
             found = [sorted(kinds_of(x)) for x in b.column(0).to_pylist()]
             owner = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
-            columns = [pa.array([f for x in found for f in x], pa.string()), *(b.column(k).take(pa.array(owner)) for k in (1, 2))]
+            columns = [
+                pa.array([f for x in found for f in x], pa.string()),
+                *(b.column(k).take(pa.array(owner)) for k in (1, 2)),
+            ]
             yield pa.RecordBatch.from_arrays(columns, ["form", "y", "fold"])
 
     rows = sample.select("t", "y", "fold").mapInArrow(run, "form string, y int, fold int")
@@ -129,7 +163,9 @@ def count_forms(sample: DataFrame) -> DataFrame:
     return rows.groupBy("form").agg(*[in_(k, y).alias(f"{'nt'[y]}{k}") for k in range(FOLDS) for y in (1, 0)])
 
 
-def learn_lexicon(forms: DataFrame, sizes: dict[int, tuple[int, int]], without: int | None, least: int = 4, most: int = LEXICON) -> dict[str, float]:
+def learn_lexicon(
+    forms: DataFrame, sizes: dict[int, tuple[int, int]], without: int | None, least: int = 4, most: int = LEXICON
+) -> dict[str, float]:
     """Words with much greater odds in toxic documents of all folds but one; the smoothed log odds are their weights.
 
     `sizes` is (documents, toxic ones) by fold. A word must stand in 1.5 % of the toxic documents, so that a family of
@@ -160,7 +196,9 @@ class BoostedTrees:
         return np.stack([np.searchsorted(c, x[:, j], side="right") for j, c in enumerate(self.cuts)], axis=1)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> "BoostedTrees":
-        self.cuts = [np.unique(np.quantile(c[c != 0] if np.any(c != 0) else c, np.linspace(0, 1, self.bins - 1))) for c in x.T]
+        self.cuts = [
+            np.unique(np.quantile(c[c != 0] if np.any(c != 0) else c, np.linspace(0, 1, self.bins - 1))) for c in x.T
+        ]
         b = self._bin(x)
         n, k = x.shape
         p0 = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
@@ -178,7 +216,9 @@ class BoostedTrees:
             for level in range(self.depth):
                 low, many = 2**level - 1, 2**level
                 at = ((node - low)[:, None] * (k * wide) + flat).ravel()
-                gs, hs = (np.bincount(at, x, many * k * wide).reshape(many, k, wide).cumsum(axis=2) for x in (wide_g, wide_h))
+                gs, hs = (
+                    np.bincount(at, x, many * k * wide).reshape(many, k, wide).cumsum(axis=2) for x in (wide_g, wide_h)
+                )
                 gt, ht = gs[:, :, -1:], hs[:, :, -1:]
                 gain = gs**2 / (hs + self.ridge) + (gt - gs) ** 2 / (ht - hs + self.ridge) - gt**2 / (ht + self.ridge)
                 gain[(hs < 1.0) | (ht - hs < 1.0)] = 0
@@ -224,11 +264,19 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class ToxicityModel:
     """Lexicon, trees and calibration."""
 
-    def __init__(self, share: float, lexicon: dict[str, float] | None = None, trees: BoostedTrees | None = None, steps: np.ndarray | None = None):
+    def __init__(
+        self,
+        share: float,
+        lexicon: dict[str, float] | None = None,
+        trees: BoostedTrees | None = None,
+        steps: np.ndarray | None = None,
+    ):
         self.share, self.lexicon, self.trees, self.steps = share, lexicon or {}, trees, steps
 
     @classmethod
-    def fitted(cls, lexicons: list[dict[str, float]], tables: np.ndarray, y: np.ndarray, fold: np.ndarray) -> ToxicityModel:
+    def fitted(
+        cls, lexicons: list[dict[str, float]], tables: np.ndarray, y: np.ndarray, fold: np.ndarray
+    ) -> ToxicityModel:
         """`lexicons` without each fold and of all rows; `tables` the features under each of them: (row, lexicon, name)."""
         unseen = np.zeros(len(y))
         for k in range(FOLDS):
@@ -249,14 +297,29 @@ class ToxicityModel:
         return self.calibrated(self.trees.margin(np.array([features(x, words) for x in texts], float)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", fit_rows: int = FIT_ROWS) -> ToxicityModel:
+def fit_toxicity(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    fit_rows: int = FIT_ROWS,
+) -> ToxicityModel:
     """Fit on the first `fit_rows` labelled rows by hash of id."""
-    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")).distinct()
+    known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("i"), F.col(label).cast("int").alias("y")
+    ).distinct()
     chosen = known.orderBy(F.xxhash64("i"), "i", "y").limit(fit_rows)
     found = docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).join(F.broadcast(chosen), "i")
-    once = found.groupBy(F.xxhash64("i", "t", "y").alias("h")).agg(F.min("t").alias("t"), F.min("y").alias("y")).orderBy("h").limit(2 * fit_rows)
+    once = found.groupBy(F.xxhash64("i", "t", "y").alias("h")).agg(
+        F.min("t").alias("t"), F.min("y").alias("y")
+    ).orderBy("h").limit(2 * fit_rows)
     sample = stash(once.withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int")), "toxicity-sample")
-    sizes = {r.fold: (r.n, r.y) for r in sample.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")).collect()}
+    sizes = {
+        r.fold: (r.n, r.y) for r in sample.groupBy("fold").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")
+        ).collect()
+    }
     n, toxic = sum(a for a, _ in sizes.values()), sum(b for _, b in sizes.values())
     if n < 10 or not 0 < toxic < n:
         return ToxicityModel(toxic / n if n else 0.0)
@@ -267,11 +330,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         words = [Words(x) for x in lexicons]
         for b in slices(batches):
             rows = [np.array([features(x, w) for w in words]).tobytes() for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(rows, pa.binary())], ["h", "y", "fold", "x"])
-
-    rows = sorted(sample.select("h", "t", "y", "fold").mapInArrow(run, "h long, y int, fold int, x binary").collect(), key=lambda r: r.h)
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), b.column(3), pa.array(rows, pa.binary())], ["h", "y", "fold", "x"]
+            )
+
+    rows = sorted(
+        sample.select("h", "t", "y", "fold").mapInArrow(run, "h long, y int, fold int, x binary").collect(),
+        key=lambda r: r.h,
+    )
     tables = np.stack([np.frombuffer(bytes(r.x)).reshape(FOLDS + 1, len(NAMES)) for r in rows])
-    return ToxicityModel.fitted(lexicons, tables, np.array([r.y for r in rows], float), np.array([r.fold for r in rows]))
+    return ToxicityModel.fitted(
+        lexicons, tables, np.array([r.y for r in rows], float), np.array([r.fold for r in rows])
+    )
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") -> DataFrame:
@@ -285,7 +355,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text") ->
         return pd.Series(got.score([None if pd.isna(x) else x for x in texts], words), dtype=float)
 
     clash = [c for c in ("score", "predicted") if c in docs.columns]
-    return docs.drop(*clash).withColumn("score", F.pandas_udf(run, "double")(F.col(text))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.drop(*clash).withColumn(
+        "score", F.pandas_udf(run, "double")(F.col(text))
+    ).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op7_boosted_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,9 @@ TEXTS = [
 def odd(spark):
     """Nulls in any column, empty and very long texts, ties, a repeated row, and columns with clashing names."""
     rows = [(i, t, "en" if (i or 0) % 2 else None, None, 0.5, 7, "x") for i, t in TEXTS]
-    return spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, score double, shard int, id string")
+    return spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, score double, shard int, id string"
+    )
 
 
 @pytest.fixture(scope="session")

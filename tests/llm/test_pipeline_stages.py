@@ -17,7 +17,10 @@ STAGES = dict(corpus_pipeline.STAGES)
 
 
 def test_language_without_labels_keeps_texts_with_letters(spark):
-    docs = spark.createDataFrame([(1, "plain words", None), (2, None, None), (3, "12 !?", None), (4, "日本", None), (None, "ä", None)], "doc_id bigint, text string, lang string")
+    docs = spark.createDataFrame(
+        [(1, "plain words", None), (2, None, None), (3, "12 !?", None), (4, "日本", None), (None, "ä", None)],
+        "doc_id bigint, text string, lang string",
+    )
     got = corpus_pipeline.language(spark, docs, "")
     assert got.columns == docs.columns
     assert {(r.doc_id, r.text) for r in got.collect()} == {(1, "plain words"), (4, "日本"), (None, "ä")}
@@ -53,7 +56,17 @@ def test_whole_pipeline_equals_plain_loops(spark, sf_dir):
 
 
 def test_odd_rows_pass_each_stage(spark, odd, sf_dir):
-    docs = odd.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"), F.lit("mine").alias("row"), F.lit(1.5).alias("score"), F.lit(7).alias("_n"), F.lit(True).alias("_learn"))
+    docs = odd.select(
+        "doc_id",
+        "text",
+        "lang",
+        "source",
+        F.length("text").cast("long").alias("n_chars"),
+        F.lit("mine").alias("row"),
+        F.lit(1.5).alias("score"),
+        F.lit(7).alias("_n"),
+        F.lit(True).alias("_learn"),
+    )
     names = {}
     for name, stage in corpus_pipeline.STAGES[:4]:
         made = stage(spark, docs, sf_dir)
@@ -71,7 +84,9 @@ def test_odd_rows_pass_each_stage(spark, odd, sf_dir):
 
 def test_rows_that_share_an_id_stay_if_their_texts_differ(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
-    docs = spark.createDataFrame([(5, a), (5, b), (3, b), (9, a + " end"), (7, c), (None, c), (7, c)], "doc_id bigint, text string")
+    docs = spark.createDataFrame(
+        [(5, a), (5, b), (3, b), (9, a + " end"), (7, c), (None, c), (7, c)], "doc_id bigint, text string"
+    )
     got = sorted((r.doc_id, r.text) for r in corpus_pipeline.near_duplicate(spark, docs, "").collect())
     assert got == [(3, b), (5, a), (7, c)]
 

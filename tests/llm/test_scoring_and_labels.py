@@ -114,7 +114,9 @@ def plain_model(texts, train, rounds=2, prior=500.0):
 def test_whole_documents_equal_enumeration(spark):
     texts = ["the cat sat", "the dog sat on the cat", "a new dog", "", None, "zzq Cat", "the the the xyzzy"]
     train = [True, True, True, True, False, False, False]
-    rows = spark.createDataFrame([(i, x, t) for i, (x, t) in enumerate(zip(texts, train, strict=True))], "doc_id int, text string, t boolean")
+    rows = spark.createDataFrame(
+        [(i, x, t) for i, (x, t) in enumerate(zip(texts, train, strict=True))], "doc_id int, text string, t boolean"
+    )
     got = {r.doc_id: r.score for r in lm_score.score_documents(rows, "t").collect()}
     assert [got[i] for i in range(len(texts))] == pytest.approx(plain_model(texts, train), rel=1e-4)
 
@@ -123,7 +125,10 @@ def test_gibberish_scores_far_below_text(spark):
     rng = np.random.default_rng(1)
     lines = ["the quick brown fox jumps over the lazy dog near the river bank today"] * 30
     junk = " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 9)) for _ in range(14))
-    rows = spark.createDataFrame([(i, x, True) for i, x in enumerate(lines)] + [(100, lines[0], False), (101, junk, False)], "doc_id int, text string, t boolean")
+    rows = spark.createDataFrame(
+        [(i, x, True) for i, x in enumerate(lines)] + [(100, lines[0], False), (101, junk, False)],
+        "doc_id int, text string, t boolean",
+    )
     got = {r.doc_id: r.score / r.n_tokens for r in lm_score.score_documents(rows, "t").collect()}
     assert got[101] < got[100] - 5
 
@@ -141,7 +146,9 @@ def test_counts_and_base_match_plain_python(spark, sf_dir):
         assert r.held_out == held[r.doc_id] and r.train_tokens == n and r.n_tokens == len(t) and r.n_known == sum(counts[w] > 0 for w in t)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
         assert r.score < 0
-    per_token = lambda held_out: sum(r.score for r in rows if r.held_out == held_out) / sum(r.n_tokens for r in rows if r.held_out == held_out)
+    per_token = lambda held_out: sum(r.score for r in rows if r.held_out == held_out) / sum(
+        r.n_tokens for r in rows if r.held_out == held_out
+    )
     assert per_token(True) < per_token(False)  # what it learnt from is likelier
 
 
@@ -198,7 +205,13 @@ def naive_language(model, text):
         window = [*real, *[256] * (langid.WINDOW - len(real))]
         f, b = states(model.fwd, window), states(model.bwd, window[::-1])[::-1]
         for t in range(len(real)):
-            y = np.array([float(model.out[k] @ np.array([*f[t], *b[t]])) + float(model.bias[k, 0]) for k in range(len(model.classes))])
+            y = np.array(
+                [
+                    float(
+                        model.out[k] @ np.array([*f[t], *b[t]])
+                    ) + float(model.bias[k, 0]) for k in range(len(model.classes))
+                ]
+            )
             p = np.exp(y - y.max())
             total += p / p.sum()
             n += 1
@@ -210,14 +223,18 @@ def test_forward_pass_and_pooling_equal_plain_loops():
     texts = ["short", "a longer text of more than sixty-four bytes, so that it has two windows", "é日本"]
     _, score, probs = langid.label_texts(model, model.classes, texts)
     for k, x in enumerate(texts):
-        assert probs[k] == pytest.approx(naive_language(model, x), abs=1e-4) and score[k] == pytest.approx(probs[k].max())
+        assert probs[k] == pytest.approx(
+            naive_language(model, x), abs=1e-4
+        ) and score[k] == pytest.approx(probs[k].max())
 
 
 def test_sampled_windows_are_windows_of_the_text():
     text = "".join(map(str, range(300)))
     whole = {w.tobytes() for w in langid.windows_of([text])[0]}
     got = langid.sample_windows(text, 3)
-    assert got.shape == (langid.FIT_WINDOWS, langid.WINDOW) and {w.tobytes() for w in got} <= whole and len({w.tobytes() for w in got}) == langid.FIT_WINDOWS
+    assert got.shape == (
+        langid.FIT_WINDOWS, langid.WINDOW
+    ) and {w.tobytes() for w in got} <= whole and len({w.tobytes() for w in got}) == langid.FIT_WINDOWS
     assert langid.sample_windows("ab", 3).shape == (1, langid.WINDOW)
 
 
@@ -240,7 +257,9 @@ def test_language_odd_rows(odd, empty):
     assert model is None and classes == ["en"]
     got = langid.identify(odd, model, classes)
     rows = {(r.doc_id, r.text): r for r in got.collect()}
-    assert got.columns.count("score") == 1 and all(rows[k].lang_pred == "und" and rows[k].score == 0 for k in ((3, None), (4, ""), (9, "12345 !!! ???")))
+    assert got.columns.count("score") == 1 and all(
+        rows[k].lang_pred == "und" and rows[k].score == 0 for k in ((3, None), (4, ""), (9, "12345 !!! ???"))
+    )
     two = langid.ByteGRU(["a", "b"])
     assert {r.lang_pred for r in langid.identify(odd, two, ["a", "b"]).collect()} <= {"a", "b", "und"}
     assert langid.fit_language(empty.withColumn("_learn", F.lit(True)), "_learn") == (None, [])
@@ -287,14 +306,20 @@ def test_features_equal_plain_counts():
     assert [toxicity.bare(found[i])[0] for i in hits] == ["idiot", "scum", "idiot"]
     assert got["hits"] == 3 and got["kinds"] == 3 and got["weight"] == 5.5 and got["weight_max"] == 2.0 and got["hits_per_word"] == 3 / len(found)
     assert got["near_you"] == sum(any(abs(i - j) <= toxicity.NEAR for j in you) for i in hits) / len(found)
-    assert got["you_per_word"] == 2 / len(found) and got["disguised_hits"] == 2 and got["digits"] == sum(c.isdigit() for c in text) / len(text)
+    assert got["you_per_word"] == 2 / len(found) and got["disguised_hits"] == 2 and got["digits"] == sum(
+        c.isdigit() for c in text
+    ) / len(text)
     letters = sum(c.isalpha() for c in text)
     assert got["capitals"] == sum(c.isupper() for c in text) / letters and got["bangs"] == text.count("!") / len(text)
-    assert got["punctuation"] == sum(c in ".,;:!?'\"()-" for c in text) / len(text) and got["log_words"] == pytest.approx(math.log1p(len(found)))
+    assert got["punctuation"] == sum(
+        c in ".,;:!?'\"()-" for c in text
+    ) / len(text) and got["log_words"] == pytest.approx(math.log1p(len(found)))
 
 
 def labelled(spark):
-    rows = [(i, f"you {w} there now", 1) for i, w in enumerate(["idiot"] * 16)] + [(100 + i, "a calm and friendly day", 0) for i in range(60)]
+    rows = [
+        (i, f"you {w} there now", 1) for i, w in enumerate(["idiot"] * 16)
+    ] + [(100 + i, "a calm and friendly day", 0) for i in range(60)]
     rows = [(i, f"{t} number w{i}", y) for i, t, y in rows]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string")
     return docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
@@ -326,9 +351,17 @@ def test_toxic_documents_are_found(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     rows = {r.doc_id: r for r in toxicity.op7_boosted_toxicity(spark, big).collect()}
     texts = {r.doc_id: r.text.lower() for r in spark.read.parquet(f"{big}/documents.parquet").collect()}
-    planted = {i for i, t in texts.items() if sum(t.count(w) for w in ("idiot", "moron", "scum", "pathetic", "clown")) >= 2}
+    planted = {
+        i for i, t in texts.items() if sum(t.count(w) for w in ("idiot", "moron", "scum", "pathetic", "clown")) >= 2
+    }
     assert planted and sum(rows[i].predicted for i in planted) / len(planted) > 0.9
-    plain = [i for i, t in texts.items() if not any(w in t for w in ("idiot", "moron", "scum", "pathetic", "clown", "loser", "stupid", "trash", "worthless", "disgust"))]
+    plain = [
+        i for i, t in texts.items() if not any(
+            w in t for w in (
+                "idiot", "moron", "scum", "pathetic", "clown", "loser", "stupid", "trash", "worthless", "disgust"
+            )
+        )
+    ]
     assert sum(rows[i].predicted for i in plain) / len(plain) < 0.01
 
 

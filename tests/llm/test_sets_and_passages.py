@@ -55,13 +55,19 @@ def family(seed=0, many=70):
 @pytest.mark.parametrize("part", [1000, 3, 1])
 def test_components_equal_brute_force(spark, part):
     docs = family()
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id bigint, text string"), part=part).collect()}
+    got = {
+        r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(
+            spark.createDataFrame(docs, "doc_id bigint, text string"), part=part
+        ).collect()
+    }
     assert got == brute(docs)
 
 
 def test_whole_table_equals_brute_force(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op5_jaccard_rtree(spark, sf_dir).collect()} == brute(docs)
+    assert {
+        r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.op5_jaccard_rtree(spark, sf_dir).collect()
+    } == brute(docs)
 
 
 def test_odd_rows(odd, empty):
@@ -104,7 +110,9 @@ def test_hot_shingles_lose_no_link(spark, monkeypatch, hot):
 def test_shares_of_a_shingle_are_tied_where_they_touch(spark):
     rng = random.Random(2)
     sizes = sorted(rng.sample(range(1, 400), 60))
-    rows = spark.createDataFrame([(n, i, [7], [4]) for i, n in enumerate(sizes)], "n bigint, f1 bigint, hot array<bigint>, shares array<bigint>").withColumn("prefix", F.array().cast("array<bigint>"))
+    rows = spark.createDataFrame(
+        [(n, i, [7], [4]) for i, n in enumerate(sizes)], "n bigint, f1 bigint, hot array<bigint>, shares array<bigint>"
+    ).withColumn("prefix", F.array().cast("array<bigint>"))
     got = {r.id: r.root for r in components(jaccard.ties(rows, 80)).collect()}
     want, head = {}, 0
     for i, n in enumerate(sizes):
@@ -152,7 +160,13 @@ def test_whole_table_equals_plain_scoring(spark, sf_dir):
     assert got and got == plain_contamination(docs, items)
 
 
-ITEMS = [(1, "What is the tallest mountain on the whole earth today? It is Mount Everest in Nepal."), (2, "Name the river that flows through the old city of Cairo. The river is the Nile."), (3, ""), (4, "short"), (5, "What is the tallest mountain on the whole earth today? It is Mount Everest in Nepal.")]
+ITEMS = [
+    (1, "What is the tallest mountain on the whole earth today? It is Mount Everest in Nepal."),
+    (2, "Name the river that flows through the old city of Cairo. The river is the Nile."),
+    (3, ""),
+    (4, "short"),
+    (5, "What is the tallest mountain on the whole earth today? It is Mount Everest in Nepal."),
+]
 
 
 def filler(seed, n):
@@ -162,8 +176,17 @@ def filler(seed, n):
 
 def test_passages_are_found(spark):
     q = ITEMS[0][1]
-    docs = [(10, filler(1, 90) + " " + q + " " + filler(2, 70)), (11, filler(3, 200)), (12, q.upper().replace(" ", "&&& ")), (13, " ".join(q.split()[:8])), (14, filler(4, 33) + " " + ITEMS[1][1])]
-    rows = decontam.contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, text string")).collect()
+    docs = [
+        (10, filler(1, 90) + " " + q + " " + filler(2, 70)),
+        (11, filler(3, 200)),
+        (12, q.upper().replace(" ", "&&& ")),
+        (13, " ".join(q.split()[:8])),
+        (14, filler(4, 33) + " " + ITEMS[1][1]),
+    ]
+    rows = decontam.contaminated(
+        spark.createDataFrame(docs, "doc_id bigint, text string"),
+        spark.createDataFrame(ITEMS, "item_id bigint, text string"),
+    ).collect()
     assert {(r.doc_id, r.item_id) for r in rows} == {(10, 1), (10, 5), (12, 1), (12, 5), (14, 2)}
 
 
@@ -179,7 +202,9 @@ def test_wand_equals_full_scores(spark, sf_dir, monkeypatch, least, postings):
     monkeypatch.setattr(decontam, "POSTINGS", postings)
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     index = decontam.ItemIndex(items)
-    texts = [decontam.forms(r.text)[:120] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
+    texts = [
+        decontam.forms(r.text)[:120] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()
+    ]
     asked = [np.unique([index.terms[w] for w in x if w in index.terms]).astype(np.int64) for x in texts]
     window, term = np.repeat(np.arange(len(asked)), list(map(len, asked))), np.concatenate(asked)
     found = {}
@@ -210,7 +235,11 @@ def test_whole_table_finds_all_exact_copies(spark, sf_dir):
     big = sf_dir.replace("sf0.001", "sf0.01")
     form = lambda x: " " + " ".join(decontam.forms(x)) + " "
     items = {r.item_id: form(r.text) for r in spark.read.parquet(f"{big}/benchmark.parquet").collect()}
-    want = {(r.doc_id, i) for r in spark.read.parquet(f"{big}/documents.parquet").collect() for i, t in items.items() if t in form(r.text)}
+    want = {
+        (r.doc_id, i) for r in spark.read.parquet(
+            f"{big}/documents.parquet"
+        ).collect() for i, t in items.items() if t in form(r.text)
+    }
     got = {(r.doc_id, r.item_id) for r in decontam.op10_blockmax_wand(spark, big).collect()}
     assert want and want <= got
 
@@ -235,7 +264,11 @@ def test_decontamination_odd_rows(spark, odd, empty):
 def test_one_id_in_two_parts_joins_them(spark):
     a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
     rows = [(5, a), (5, b), (7, a + " x"), (8, b + " y"), (9, b + " y")]
-    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {
+        r.doc_id: r.component_id for r in jaccard.near_duplicates(
+            spark.createDataFrame(rows, "doc_id bigint, text string")
+        ).collect()
+    }
     assert got == {5: 5, 7: 5, 8: 5, 9: 5}
 
 
@@ -255,9 +288,17 @@ def test_copies_edited_in_one_word_are_found():
 
 
 def test_scores_do_not_depend_on_the_passes(spark, monkeypatch):
-    items = spark.createDataFrame([*ITEMS, *[(10 + k, filler(k, 12) + f". Answer word{k} here.") for k in range(20)]], "item_id bigint, text string")
-    docs = spark.createDataFrame([(1, ITEMS[0][1]), (2, ITEMS[1][1].replace("Cairo", "Kairo")), (3, filler(7, 12) + ". Answer word7 here.")], "doc_id bigint, text string")
-    rows = lambda: {(r.doc_id, r.item_id): round(r.score, 12) for r in decontam.contaminated(docs, items).collect()}
+    items = spark.createDataFrame(
+        [*ITEMS, *[(10 + k, filler(k, 12) + f". Answer word{k} here.") for k in range(20)]],
+        "item_id bigint, text string",
+    )
+    docs = spark.createDataFrame(
+        [(1, ITEMS[0][1]), (2, ITEMS[1][1].replace("Cairo", "Kairo")), (3, filler(7, 12) + ". Answer word7 here.")],
+        "doc_id bigint, text string",
+    )
+    rows = lambda: {
+        (r.doc_id, r.item_id): round(r.score, 12) for r in decontam.contaminated(docs, items).collect()
+    }
     want = rows()
     monkeypatch.setattr(decontam, "CHUNK_BYTES", 2000)
     assert {1, 2, 3} == {d for d, _ in want} and rows() == want

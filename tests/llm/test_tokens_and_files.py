@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyspark.llm import media, packing, segments, sharding, token_counts, token_output
-from tallyspark.llm.common import gapless, new_folder
+from tallyspark.llm.common import gapless, new_folder, stash
 
 TOKENIZER = segments.tokenizer_file("byte_bpe_50k.json")
 RANKS = segments.tokenizer_file("byte_bpe_50k.tiktoken")
@@ -26,11 +26,32 @@ def plain_ids(text):
     return _plain.encode(text or "", add_special_tokens=False).ids
 
 
-WEIRD = ["", " ", " a", "a  b", "a\n b", " \n a  ", "x <|endoftext|> y", "a \x1cb", "a\x85 b", "tab\t x", "don't  'll we're", "ñ é", "  x", "日本 語 😀", "x\ty z\n", "a\xa0b \xa0c"]
+WEIRD = [
+    "",
+    " ",
+    " a",
+    "a  b",
+    "a\n b",
+    " \n a  ",
+    "x <|endoftext|> y",
+    "a \x1cb",
+    "a\x85 b",
+    "tab\t x",
+    "don't  'll we're",
+    "ñ é",
+    "  x",
+    "日本 語 😀",
+    "x\ty z\n",
+    "a\xa0b \xa0c",
+]
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from([*" \t\n\x1c\x85\xa0aé.,'1$日<|", "<|endoftext|>", "endoftext|>"]), max_size=40).map("".join))
+@given(
+    st.lists(
+        st.sampled_from([*" \t\n\x1c\x85\xa0aé.,'1$日<|", "<|endoftext|>", "endoftext|>"]), max_size=40
+    ).map("".join)
+)
 def test_segments_keep_the_ids(text):
     whole = plain_ids(text)
     assert np.frombuffer(segments.SegmentEncoder(TOKENIZER).encode([text])[0], np.uint32).tolist() == whole
@@ -60,9 +81,15 @@ def test_boundaries_are_optimal():
         lengths = rng.sample(range(1, 30), rng.randint(1, 8))
         counts = [rng.randint(1, 9) for _ in lengths]
         k = rng.randint(1, 4)
-        cost = lambda bounds: sum(c * (min(b for b in bounds if b >= x) - x) for x, c in zip(lengths, counts, strict=True))
+        cost = lambda bounds: sum(
+            c * (min(b for b in bounds if b >= x) - x) for x, c in zip(lengths, counts, strict=True)
+        )
         top = max(lengths)
-        best = min(cost([*s, top]) for r in range(min(k, len(lengths))) for s in itertools.combinations([x for x in lengths if x < top], r))
+        best = min(
+            cost([*s, top]) for r in range(min(k, len(lengths))) for s in itertools.combinations(
+                [x for x in lengths if x < top], r
+            )
+        )
         assert cost(packing.optimal_boundaries(lengths, counts, k)) == best
 
 
@@ -140,7 +167,9 @@ def plain_differencing(rows):
 def test_differencing_equals_a_plain_replay():
     rng = np.random.default_rng(4)
     for n, k in ((1, 3), (2, 3), (7, 2), (60, 5), (90, 8)):
-        parts = rng.integers(0, 500, (n, k)) if n % 2 else np.concatenate([rng.integers(1, 500, (n, 1)), np.zeros((n, k - 1), int)], axis=1)
+        parts = rng.integers(0, 500, (n, k)) if n % 2 else np.concatenate(
+            [rng.integers(1, 500, (n, 1)), np.zeros((n, k - 1), int)], axis=1
+        )
         sums, place = sharding.difference(parts.astype(np.int64))
         assert sums.tolist() == plain_differencing(parts.tolist())
         check = np.zeros(k, int)
@@ -172,7 +201,11 @@ def test_shards(spark, sf_dir, monkeypatch, block, fan):
 def test_shard_odd_rows(odd, empty):
     rows = sharding.shard_documents(odd).collect()
     assert len(rows) == odd.count() and len({r.shard for r in rows if r.doc_id in (1, 2)}) == 1
-    assert all(sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows))) for s in {r.shard for r in rows})
+    assert all(
+        sorted(r.slot for r in rows if r.shard == s) == list(
+            range(sum(r.shard == s for r in rows))
+        ) for s in {r.shard for r in rows}
+    )
     assert {(r["size"], r.text_crc32) for r in rows if r.doc_id in (3, 4)} == {(16, 0)}
     assert sharding.shard_documents(empty).count() == 0
 
@@ -184,7 +217,9 @@ def test_token_files(spark, sf_dir):
     start, stream = 0, []
     for r in docs.orderBy("doc_id").collect():
         ids = np.array([*plain_ids(r.text), 2], "<u4")
-        assert (got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        assert (
+            got[r.doc_id].start, got[r.doc_id].n_tokens, got[r.doc_id].ids_crc32
+        ) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
         stream.append(ids)
     whole = np.concatenate(stream)
@@ -205,7 +240,9 @@ def test_token_file_odd_rows(spark, odd, empty):
     texts = {}
     for r in odd.collect():
         texts.setdefault(r.doc_id, []).append(zlib.crc32(np.array([*plain_ids(r.text), 2], "<u4").tobytes()))
-    assert {k: sorted(v) for k, v in texts.items()} == {k: sorted(r.ids_crc32 for r in rows if r.doc_id == k) for k in texts}
+    assert {k: sorted(v) for k, v in texts.items()} == {
+        k: sorted(r.ids_crc32 for r in rows if r.doc_id == k) for k in texts
+    }
     assert all(b.start == a.start + a.n_tokens for a, b in itertools.pairwise(rows))
     assert [r.n_tokens for r in rows if r.doc_id in (3, 4)] == [1, 1]
     assert token_output.read_files(token_output.write_files(empty, new_folder(spark, "test"), files=2)).count() == 0
@@ -217,15 +254,28 @@ def test_edits_equal_full_encoding():
     for text in [*WEIRD, "the quick brown fox " * 60, "word\nline  two " * 50]:
         tree = token_counts.CountTree.of(text, known)
         for step in range(25):
-            at, gone, new = rng.randint(0, len(text) + 2), rng.choice([0, 0, 1, 3, 9, 80]), rng.choice([" added words", "x", "", " ", "\n", "  two", "end. ", "w " * 90])
+            at, gone, new = rng.randint(0, len(text) + 2), rng.choice([0, 0, 1, 3, 9, 80]), rng.choice(
+                [" added words", "x", "", " ", "\n", "  two", "end. ", "w " * 90]
+            )
             tree.edit(at, gone, new)
             at = min(at, len(text))
             text = text[:at] + new + text[at + gone :]
             assert tree.text() == text and tree.total == len(read(text))
-            assert tree.node_chars[1] == len(text) and all(tree.node_tokens[k] == tree.node_tokens[2 * k] + tree.node_tokens[2 * k + 1] for k in range(1, tree.size))
+            assert tree.node_chars[1] == len(text) and all(
+                tree.node_tokens[k] == tree.node_tokens[2 * k] + tree.node_tokens[2 * k + 1] for k in range(1, tree.size)
+            )
             if step % 5 == 0:  # from what is kept
-                whole, *kept = tree.state()
-                tree = token_counts.CountTree.kept(whole, *(np.asarray(x) for x in kept), known)
+                tree = token_counts.CountTree.kept(*tree.state(), known)
+            elif step % 5 == 3:  # from a table and what changed since
+                base = token_counts.CountTree.of(text, known)
+                base.edit(2, 1, "ab c")
+                base.edit(len(text) // 2, 5, " de")
+                again = token_counts.CountTree.kept(
+                    *token_counts.CountTree.of(text, known).state(), known, base.patch()
+                )
+                assert (
+                    again.text(), again.total, again.node_chars, again.node_tokens
+                ) == (base.text(), base.total, base.node_chars, base.node_tokens)
 
 
 def test_edits_touch_little():
@@ -239,23 +289,31 @@ def test_kept_trees_are_edited_again(spark):
     read = segments.load_ranks(RANKS).encode_ordinary
     texts = {1: "some words of text " * 300, 2: "", 3: None, 4: "a <|endoftext|> b"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id int, text string")
-    edit = lambda at, gone, new: F.array(F.struct(F.lit(at).alias("start"), F.lit(gone).alias("remove"), F.lit(new).alias("insert")))
-    folder = new_folder(spark, "test")
-    token_counts.build_trees(docs).write.parquet(f"{folder}/0")
-    want = {k: v or "" for k, v in texts.items()}
-    for k, (at, gone, new) in enumerate([(7, 3, " other words"), (4000, 0, "end"), (0, 2, "")]):
-        made = token_counts.apply_edits(spark.read.parquet(f"{folder}/{k}").withColumn("edits", edit(at, gone, new))).drop("edits")
-        made.write.parquet(f"{folder}/{k + 1}")
-        for r in spark.read.parquet(f"{folder}/{k + 1}").collect():
+    edit = lambda at, gone, new: F.array(
+        F.struct(F.lit(at).alias("start"), F.lit(gone).alias("remove"), F.lit(new).alias("insert"))
+    )
+    base = stash(token_counts.build_trees(docs), "test")
+    rows, want = base, {k: v or "" for k, v in texts.items()}
+    for at, gone, new in [(7, 3, " other words"), (4000, 0, "end"), (0, 2, "")]:
+        patches = stash(token_counts.apply_edits(rows.withColumn("edits", edit(at, gone, new))), "test")
+        rows = base.join(patches.select("doc_id", "patch"), "doc_id")
+        folded = {r.doc_id: r for r in token_counts.fold_patches(rows).collect()}
+        for r in patches.collect():
             old, p = want[r.doc_id], min(at, len(want[r.doc_id]))
             want[r.doc_id] = old[:p] + new + old[p + gone :]
-            assert (r.n_before, r.n_after, r.tree_text) == (len(read(old)), len(read(want[r.doc_id])), want[r.doc_id])
-            assert r.n_encoded <= 8 and sum(r.segment_tokens) == r.n_after and sum(r.leaf_segments) == len(r.segment_chars)
+            assert (r.n_before, r.n_after) == (len(read(old)), len(read(want[r.doc_id]))) and r.n_encoded <= 8
+            f = folded[r.doc_id]
+            assert f.tree_text == want[r.doc_id] and sum(f.segment_tokens) == r.n_after and sum(f.leaf_segments) == len(f.segment_chars)
+    assert max(sum(len(x.chars) for x in r.patch) for r in patches.collect()) < 200  # of 1,200 segments
 
 
 def test_edit_query(spark, sf_dir):
     read = segments.load_ranks(RANKS).encode_ordinary
-    docs = {r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("e", token_counts.derived_edits("doc_id", "text")).collect()}
+    docs = {
+        r.doc_id: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn(
+            "e", token_counts.derived_edits("doc_id", "text")
+        ).collect()
+    }
     for r in token_counts.op8_edit_counts(spark, sf_dir).collect():
         text = docs[r.doc_id].text
         assert r.n_before == len(read(text))
@@ -266,10 +324,14 @@ def test_edit_query(spark, sf_dir):
 
 
 def test_edit_odd_rows(odd, empty):
-    edits = F.array(F.struct(F.lit(-3).alias("start"), F.lit(10**6).alias("remove"), F.lit(None).cast("string").alias("insert")))
+    edits = F.array(
+        F.struct(F.lit(-3).alias("start"), F.lit(10**6).alias("remove"), F.lit(None).cast("string").alias("insert"))
+    )
     rows = token_counts.recount(odd.withColumn("edits", edits)).collect()
     assert len(rows) == odd.count() and all(r.n_after == 0 for r in rows)
-    none = token_counts.recount(odd.withColumn("edits", F.lit(None).cast("array<struct<start:int,remove:int,insert:string>>"))).collect()
+    none = token_counts.recount(
+        odd.withColumn("edits", F.lit(None).cast("array<struct<start:int,remove:int,insert:string>>"))
+    ).collect()
     assert all(r.n_before == r.n_after for r in none)
     assert token_counts.recount(empty.withColumn("edits", edits)).count() == 0
 
@@ -304,7 +366,9 @@ def test_media_odd_rows(odd, empty):
     for r in rows:
         by.setdefault(r.doc_id, []).append(r)
     assert len(rows) == odd.count() and by[3][0].payload_bytes == 64 and by[3][0].payload_sha256 == by[4][0].payload_sha256 and by[3][0].n_bytes == 0
-    assert {(x.media_sha256, tuple(x.codes)) for i in (1, 2) for x in by[i]} == {(by[1][0].media_sha256, tuple(by[1][0].codes))}
+    assert {
+        (x.media_sha256, tuple(x.codes)) for i in (1, 2) for x in by[i]
+    } == {(by[1][0].media_sha256, tuple(by[1][0].codes))}
     assert media.store_features(empty).count() == 0
 
 
@@ -315,7 +379,11 @@ def plain_pairs(payload):
     for row in m:
         found = [k for k in range(2, len(row) - 1) if row[k] > row[k - 1] and row[k] >= row[k + 1] and row[k] > 1.0]
         peaks.append(sorted(sorted(found, key=lambda k: -row[k])[: media.PEAKS]))
-    return sorted((t, (a << 16) | (b << 8) | step) for t, first in enumerate(peaks) for step in range(1, media.SPAN + 1) if t + step < len(peaks) for a in first for b in peaks[t + step])
+    return sorted(
+        (
+            t, (a << 16) | (b << 8) | step
+        ) for t, first in enumerate(peaks) for step in range(1, media.SPAN + 1) if t + step < len(peaks) for a in first for b in peaks[t + step]
+    )
 
 
 def test_pairs_equal_plain_enumeration():
@@ -336,6 +404,8 @@ def test_media_columns_of_the_query(spark, sf_dir):
         wav = media.to_wav(p)
         pairs = plain_pairs(p)
         told = ",".join(map(str, [*(t for t, _ in pairs), *(c for _, c in pairs)]))
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (
+            len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])
+        )
         assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest())
         assert r.feature == f"{len(media.spectrogram(p))}:{len(pairs)}:{hashlib.sha256(told.encode()).hexdigest()[:32]}"

@@ -53,10 +53,16 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows go by their place in the input, which a scan of the same files gives alike each time, so that rows that share a
     doc_id, or have none, are rows of their own.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "text", "doc_id", F.monotonically_increasing_id().alias("place"))
-    groups = near_duplicates(rows.select("place", "text"), id_col="place").select(F.col("doc_id").alias("place"), "component_id")
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), "text", "doc_id", F.monotonically_increasing_id().alias("place")
+    )
+    groups = near_duplicates(rows.select("place", "text"), id_col="place").select(
+        F.col("doc_id").alias("place"), "component_id"
+    )
     by_id = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place")
-    first = rows.select("place", "doc_id").join(groups, "place").groupBy("component_id").agg(F.min(by_id).alias("best")).select("best.place")
+    first = rows.select("place", "doc_id").join(groups, "place").groupBy("component_id").agg(
+        F.min(by_id).alias("best")
+    ).select("best.place")
     return rows.join(first, "place", "left_semi").select("row.*")
 
 

@@ -38,7 +38,9 @@ class Block:
 
     def first_cut(self, carry: list[int]) -> int:
         """The first row that opens a shard where the open one holds `carry`; the number of rows if none does."""
-        full = min(int(np.searchsorted(s, self.limit - c, side="right")) - 1 for s, c in zip(self.sums, carry, strict=True))
+        full = min(
+            int(np.searchsorted(s, self.limit - c, side="right")) - 1 for s, c in zip(self.sums, carry, strict=True)
+        )
         begun = 0 if carry[0] > 0 else int(np.searchsorted(self.sums[0], 0, side="right"))
         return min(max(full, begun, 0), self.rows)
 
@@ -83,7 +85,9 @@ def _pieces(batches) -> Iterator[tuple[tuple, pa.RecordBatch]]:
 
 
 def _sizes(batch: pa.RecordBatch, many: int) -> np.ndarray:
-    return np.array([batch.column(3 + k).to_numpy(zero_copy_only=False) for k in range(many)], np.int64).reshape(many, -1)
+    return np.array(
+        [batch.column(3 + k).to_numpy(zero_copy_only=False) for k in range(many)], np.int64
+    ).reshape(many, -1)
 
 
 def _packed(rows: Iterator[tuple[list, ...]], schema: pa.Schema, at_least: int = 10_000) -> Iterator[pa.RecordBatch]:
@@ -93,10 +97,14 @@ def _packed(rows: Iterator[tuple[list, ...]], schema: pa.Schema, at_least: int =
         for into, new in zip(held, columns, strict=True):
             into += new
         if len(held[0]) >= at_least:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(held, schema, strict=True)], schema=schema
+            )
             held = [[] for _ in schema]
     if held[0]:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema, strict=True)], schema=schema)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, f.type) for c, f in zip(held, schema, strict=True)], schema=schema
+        )
 
 
 _KEY = [("_block", pa.int64()), ("_g", pa.string())]
@@ -151,13 +159,20 @@ def greedy_shards(rows: DataFrame, group: list[str], order: list[str], sizes: li
     """
     many, wide = len(sizes), max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     measures = [f"_s{k}" for k in range(many)]
-    counted = [F.coalesce(F.col(s).cast("long"), F.lit(0).cast("long")).alias(m) for s, m in zip(sizes, measures, strict=True)]
+    counted = [
+        F.coalesce(F.col(s).cast("long"), F.lit(0).cast("long")).alias(m) for s, m in zip(sizes, measures, strict=True)
+    ]
     slim = rows.select(*group, *order, *counted)
     blocks = max(1, -(-slim.count() // BLOCK_ROWS))
     sort = [*group, *order]
     dealt = slim.repartitionByRange(blocks, *sort).sortWithinPartitions(*sort)
     name = F.to_json(F.struct(*group)) if group else F.lit("")
-    keyed = dealt.select("*", F.spark_partition_id().cast("long").alias("_block"), name.alias("_g"), F.monotonically_increasing_id().alias("_at"))
+    keyed = dealt.select(
+        "*",
+        F.spark_partition_id().cast("long").alias("_block"),
+        name.alias("_g"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
     fixed = stash(keyed, "shard-rows")
     slim = fixed.select("_block", "_g", "_at", *measures)
 
@@ -166,7 +181,9 @@ def greedy_shards(rows: DataFrame, group: list[str], order: list[str], sizes: li
 
     told = by_block(slim).mapInArrow(lambda bs: _packed(_tell(bs, many, limit), _TABLE, 100), _ddl(_TABLE))
     in_turn = told.repartition(wide, "_g").sortWithinPartitions("_g", "_block")
-    carries = stash(in_turn.mapInArrow(lambda bs: _packed(_scan(bs, many, limit), _CARRY), _ddl(_CARRY)), "shard-carries")
+    carries = stash(
+        in_turn.mapInArrow(lambda bs: _packed(_scan(bs, many, limit), _CARRY), _ddl(_CARRY)), "shard-carries"
+    )
     met = by_block(slim.join(carries, ["_block", "_g"]).select("_block", "_g", "_at", *measures, "_carry", "_open"))
     numbered = met.mapInArrow(lambda bs: _packed(_number(bs, many, limit), _PLACED), _ddl(_PLACED))
     return fixed.join(numbered, "_at").select(*group, *order, F.col("_shard").cast("int").alias("shard"))

@@ -21,23 +21,38 @@ Z = 1.959964
 CELL = ["agent", "stratum"]
 #: (arm, baseline) pairs that are always compared.
 PAIRS = (("archive", "web"), ("both", "web"), ("both", "archive"))
-METRICS = {"token_ratio_baseline_over_arm": ("total_tokens", "ratio"), "accuracy_diff_arm_minus_baseline": ("accuracy", "mean_difference"), "completion_diff_arm_minus_baseline": ("completion", "mean_difference")}
+METRICS = {
+    "token_ratio_baseline_over_arm": ("total_tokens", "ratio"),
+    "accuracy_diff_arm_minus_baseline": ("accuracy", "mean_difference"),
+    "completion_diff_arm_minus_baseline": ("completion", "mean_difference"),
+}
 
 
-def question_means(rows: DataFrame, value: str, keys: list[str] | None = None, question: str = "question_id") -> DataFrame:
+def question_means(
+    rows: DataFrame, value: str, keys: list[str] | None = None, question: str = "question_id"
+) -> DataFrame:
     """Mean over the repetitions of each question; nulls are skipped, questions with nothing else are left out."""
     keys = keys or [*CELL, "arm"]
-    return rows.where(F.col(value).isNotNull()).groupBy(*keys, question).agg(F.avg(F.col(value).cast("double")).alias("mean"))
+    return rows.where(F.col(value).isNotNull()).groupBy(*keys, question).agg(
+        F.avg(F.col(value).cast("double")).alias("mean")
+    )
 
 
-def paired(means: DataFrame, arm: str, baseline: str, cell: list[str] | None = None, question: str = "question_id") -> DataFrame:
+def paired(
+    means: DataFrame, arm: str, baseline: str, cell: list[str] | None = None, question: str = "question_id"
+) -> DataFrame:
     """Questions that both arms have: a is the baseline's mean, b the arm's. One shuffle: a conditional aggregate, no self-join."""
     cell = cell or CELL
-    both = means.where(F.col("arm").isin(arm, baseline)).groupBy(*cell, question).agg(F.max(F.when(F.col("arm") == baseline, F.col("mean"))).alias("a"), F.max(F.when(F.col("arm") == arm, F.col("mean"))).alias("b"))
+    both = means.where(F.col("arm").isin(arm, baseline)).groupBy(*cell, question).agg(
+        F.max(F.when(F.col("arm") == baseline, F.col("mean"))).alias("a"),
+        F.max(F.when(F.col("arm") == arm, F.col("mean"))).alias("b"),
+    )
     return both.where("a IS NOT NULL AND b IS NOT NULL").withColumns({"arm": F.lit(arm), "baseline": F.lit(baseline)})
 
 
-def paired_all(rows: DataFrame, value: str, pairs: tuple = PAIRS, cell: list[str] | None = None, question: str = "question_id") -> DataFrame:
+def paired_all(
+    rows: DataFrame, value: str, pairs: tuple = PAIRS, cell: list[str] | None = None, question: str = "question_id"
+) -> DataFrame:
     """`paired` for several (arm, baseline) pairs from run rows, in one shuffle and one scan.
 
     The mean of each arm's repetitions is a conditional average per question, so both phases share one exchange.
@@ -45,17 +60,34 @@ def paired_all(rows: DataFrame, value: str, pairs: tuple = PAIRS, cell: list[str
     cell = cell or CELL
     arms = sorted({x for p in pairs for x in p})
     v = F.col(value).cast("double")
-    per = rows.where(F.col(value).isNotNull() & F.col("arm").isin(*arms)).groupBy(*cell, question).agg(*[F.avg(F.when(F.col("arm") == x, v)).alias(f"_m_{x}") for x in arms])
-    both = F.explode(F.array(*[F.struct(F.lit(arm).alias("arm"), F.lit(base).alias("baseline"), F.col(f"_m_{base}").alias("a"), F.col(f"_m_{arm}").alias("b")) for arm, base in pairs])).alias("p")
+    per = rows.where(F.col(value).isNotNull() & F.col("arm").isin(*arms)).groupBy(*cell, question).agg(
+        *[F.avg(F.when(F.col("arm") == x, v)).alias(f"_m_{x}") for x in arms]
+    )
+    both = F.explode(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(arm).alias("arm"),
+                    F.lit(base).alias("baseline"),
+                    F.col(f"_m_{base}").alias("a"),
+                    F.col(f"_m_{arm}").alias("b"),
+                ) for arm, base in pairs
+            ]
+        )
+    ).alias("p")
     return per.select(*cell, question, both).select(*cell, question, "p.*").where("a IS NOT NULL AND b IS NOT NULL")
 
 
-def dropped(rows: DataFrame, pairs: DataFrame, cell: list[str] | None = None, question: str = "question_id") -> DataFrame:
+def dropped(
+    rows: DataFrame, pairs: DataFrame, cell: list[str] | None = None, question: str = "question_id"
+) -> DataFrame:
     """Questions seen in a cell (any value, null too) that the pairs lack, as a sorted list per cell and pair."""
     cell = cell or CELL
     seen = rows.select(*cell, question).distinct()
     asked = seen.join(pairs.select(*cell, "arm", "baseline").distinct(), cell)
-    gone = asked.join(pairs.select(*cell, "arm", "baseline", question), [*cell, "arm", "baseline", question], "left_anti")
+    gone = asked.join(
+        pairs.select(*cell, "arm", "baseline", question), [*cell, "arm", "baseline", question], "left_anti"
+    )
     return gone.groupBy(*cell, "arm", "baseline").agg(F.array_sort(F.collect_set(question)).alias("dropped_questions"))
 
 
@@ -146,8 +178,13 @@ def draws_hashed(spark: SparkSession, sizes: list[int], resamples: int = RESAMPL
                 for k in range(0, len(draws), max(1, AT_A_TIME // n)):
                     part = draws[k : k + max(1, AT_A_TIME // n)]
                     flat = drawn_places(seed, part, np.arange(n), n).astype(np.int32)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, n, dtype=np.int32)), pa.array(flat.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array([n] * len(part), pa.int32()), pa.array(part.astype(np.int32)), lists], ["n", "draw", "idx"])
+                    lists = pa.ListArray.from_arrays(
+                        pa.array(np.arange(0, flat.size + 1, n, dtype=np.int32)), pa.array(flat.ravel())
+                    )
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([n] * len(part), pa.int32()), pa.array(part.astype(np.int32)), lists],
+                        ["n", "draw", "idx"],
+                    )
 
     return spark.range(0, resamples).mapInArrow(run, "n int, draw int, idx array<int>")
 
@@ -162,8 +199,19 @@ def _summed(placed: DataFrame, cell: list[str], values: list[str], resamples: in
     tasks = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     key = [*cell, "_d", "_p"]
     blocks = F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // DRAW_BLOCK) - 1))).alias("_d")
-    rows = placed.select(*cell, F.col("_n").cast("long"), F.col("_pos").cast("long"), *[F.col(v).cast("double") for v in values], F.floor(F.col("_pos") / PLACE_BLOCK).alias("_p"), blocks)
-    kind = StructType([placed.schema[c] for c in cell] + [StructField("_draw", LongType()), StructField("_n", LongType())] + [StructField(v, DoubleType()) for v in values])
+    rows = placed.select(
+        *cell,
+        F.col("_n").cast("long"),
+        F.col("_pos").cast("long"),
+        *[F.col(v).cast("double") for v in values],
+        F.floor(F.col("_pos") / PLACE_BLOCK).alias("_p"),
+        blocks,
+    )
+    kind = StructType(
+        [placed.schema[c] for c in cell] + [
+            StructField("_draw", LongType()), StructField("_n", LongType())
+        ] + [StructField(v, DoubleType()) for v in values]
+    )
 
     def run(keys: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         n, low, mine = table["_n"][0].as_py(), keys[-1].as_py() * PLACE_BLOCK, table.num_rows
@@ -180,8 +228,12 @@ def _summed(placed: DataFrame, cell: list[str], values: list[str], resamples: in
                     at = np.where((at >= low) & (at < low + mine), at - low, mine)
                 for j, v in enumerate(value):
                     sums[j, a : a + wide] += v[at].sum(axis=1)
-        fixed = [pa.array([k.as_py()] * len(draws), f.type) for k, f in zip(keys, to_arrow_schema(kind), strict=False)][: len(cell)]
-        return pa.Table.from_arrays([*fixed, pa.array(draws), pa.array(np.full(len(draws), n)), *map(pa.array, sums)], names=kind.names)
+        fixed = [
+            pa.array([k.as_py()] * len(draws), f.type) for k, f in zip(keys, to_arrow_schema(kind), strict=False)
+        ][: len(cell)]
+        return pa.Table.from_arrays(
+            [*fixed, pa.array(draws), pa.array(np.full(len(draws), n)), *map(pa.array, sums)], names=kind.names
+        )
 
     made = rows.repartition(tasks, *key).groupBy(*key).applyInArrow(run, kind)
     return made.groupBy(*cell, "_draw").agg(F.max("_n").alias("_n"), *[F.sum(v).alias(v) for v in values])
@@ -194,7 +246,15 @@ def _columns_of(statistic: Statistic) -> list[str]:
     return sorted(asked)
 
 
-def bootstrap(pairs: DataFrame, cell: list[str], statistic: str | Statistic | Column, order: str = "question_id", resamples: int = RESAMPLES, seed: int = SEED, draws: DataFrame | None = None) -> DataFrame:
+def bootstrap(
+    pairs: DataFrame,
+    cell: list[str],
+    statistic: str | Statistic | Column,
+    order: str = "question_id",
+    resamples: int = RESAMPLES,
+    seed: int = SEED,
+    draws: DataFrame | None = None,
+) -> DataFrame:
     """Percentile 95 % interval of a statistic per cell: estimate, ci_low, ci_high, n_questions, resamples, seed.
 
     All cells and draws in one job. A named statistic, or a function of sums, is summed by blocks of draws (`_summed`).
@@ -213,11 +273,17 @@ def bootstrap(pairs: DataFrame, cell: list[str], statistic: str | Statistic | Co
         if draws is None:
             counts = [r[0] for r in sizes.select("_n").distinct().collect()]
             draws = draws_hashed(pairs.sparkSession, counts, resamples, seed)
-        rows = sizes.join(draws, F.col("_n") == F.col("n")).select(*cell, F.col("draw").alias("_draw"), F.explode("idx").alias("_pos"))
+        rows = sizes.join(draws, F.col("_n") == F.col("n")).select(
+            *cell, F.col("draw").alias("_draw"), F.explode("idx").alias("_pos")
+        )
         drawn = rows.join(placed, [*cell, "_pos"]).groupBy(*cell, "_draw").agg(made.alias("_v"))
-    ends = drawn.groupBy(*cell).agg(F.percentile("_v", F.lit(0.025)).alias("ci_low"), F.percentile("_v", F.lit(0.975)).alias("ci_high"))
+    ends = drawn.groupBy(*cell).agg(
+        F.percentile("_v", F.lit(0.025)).alias("ci_low"), F.percentile("_v", F.lit(0.975)).alias("ci_high")
+    )
     whole = placed.groupBy(*cell).agg(made.alias("estimate"), F.count(F.lit(1)).alias("n_questions"))
-    return whole.join(ends, cell).withColumns({"resamples": F.lit(resamples), "seed": F.lit(seed)}).where("estimate IS NOT NULL")
+    return whole.join(ends, cell).withColumns(
+        {"resamples": F.lit(resamples), "seed": F.lit(seed)}
+    ).where("estimate IS NOT NULL")
 
 
 def mean_interval(values: DataFrame, cell: list[str], **how) -> DataFrame:
@@ -230,13 +296,30 @@ def ratio_interval(values: DataFrame, cell: list[str], **how) -> DataFrame:
     return bootstrap(values, cell, "share", **how)
 
 
-def family_interaction(runs: DataFrame, first: str, second: str, cell: list[str] | None = None, family: str = "family", question: str = "question_id", resamples: int = RESAMPLES, seed: int = SEED, draws: DataFrame | None = None) -> DataFrame:
+def family_interaction(
+    runs: DataFrame,
+    first: str,
+    second: str,
+    cell: list[str] | None = None,
+    family: str = "family",
+    question: str = "question_id",
+    resamples: int = RESAMPLES,
+    seed: int = SEED,
+    draws: DataFrame | None = None,
+) -> DataFrame:
     """Difference of differences of two judges (columns x, y) over two answer families, questions as clusters.
 
     Only questions that both families have; a question is drawn with all its runs. `flagged` if the interval leaves 0.
     """
     cell = cell or []
-    sums = runs.where(F.col(family).isin(first, second)).groupBy(*cell, question).agg(*[F.sum(F.when(F.col(family) == f, F.col(v))).alias(f"{v}{i}") for i, f in enumerate((first, second)) for v in ("x", "y")], *[F.count_if(F.col(family) == f).alias(f"n{i}") for i, f in enumerate((first, second))])
+    sums = runs.where(F.col(family).isin(first, second)).groupBy(*cell, question).agg(
+        *[
+            F.sum(
+                F.when(F.col(family) == f, F.col(v))
+            ).alias(f"{v}{i}") for i, f in enumerate((first, second)) for v in ("x", "y")
+        ],
+        *[F.count_if(F.col(family) == f).alias(f"n{i}") for i, f in enumerate((first, second))],
+    )
     shared = sums.where("n0 > 0 AND n1 > 0").withColumn("_one", F.lit(1))
 
     def gaps(total, n):
@@ -254,25 +337,55 @@ def wilson(k: Column, n: Column, z: float = Z) -> tuple[Column, Column]:
     mid = (share_ + z * z / (2 * n)) / base
     half = z * F.sqrt(share_ * (1 - share_) / n + z * z / (4 * n * n)) / base
     ok = n > 0
-    return F.when(ok, F.round(F.greatest(F.lit(0.0), mid - half), 4)), F.when(ok, F.round(F.least(F.lit(1.0), mid + half), 4))
-
-
-def comparison_grid(rows: DataFrame, pairs: tuple = PAIRS, metrics: dict | None = None, resamples: int = RESAMPLES, seed: int = SEED, draws: DataFrame | None = None) -> DataFrame:
+    return F.when(
+        ok, F.round(F.greatest(F.lit(0.0), mid - half), 4)
+    ), F.when(ok, F.round(F.least(F.lit(1.0), mid + half), 4))
+
+
+def comparison_grid(
+    rows: DataFrame,
+    pairs: tuple = PAIRS,
+    metrics: dict | None = None,
+    resamples: int = RESAMPLES,
+    seed: int = SEED,
+    draws: DataFrame | None = None,
+) -> DataFrame:
     """Every cell, pair of arms and metric with its interval and the questions dropped; two bootstrap jobs in all.
 
     Rows without an interval appear where questions were dropped.
     """
     metrics = metrics or METRICS
-    long = rows.select(*CELL, "arm", "question_id", F.explode(F.map_from_arrays(F.array(*map(F.lit, metrics)), F.array(*[F.col(v).cast("double") for v, _ in metrics.values()]))).alias("metric", "value"))
+    long = rows.select(
+        *CELL,
+        "arm",
+        "question_id",
+        F.explode(
+            F.map_from_arrays(
+                F.array(*map(F.lit, metrics)), F.array(*[F.col(v).cast("double") for v, _ in metrics.values()])
+            )
+        ).alias("metric", "value"),
+    )
     cell = [*CELL, "metric"]
     both = paired_all(long, "value", pairs, cell)
     keys = [*cell, "arm", "baseline"]
     out = None
     for kind in sorted({k for _, k in metrics.values()}):
-        part = bootstrap(both.where(F.col("metric").isin(*[m for m, (_, k) in metrics.items() if k == kind])), keys, kind, "question_id", resamples, seed, draws)
+        part = bootstrap(
+            both.where(F.col("metric").isin(*[m for m, (_, k) in metrics.items() if k == kind])),
+            keys,
+            kind,
+            "question_id",
+            resamples,
+            seed,
+            draws,
+        )
         out = part if out is None else out.unionByName(part)
-    seen = long.select(*cell, "question_id").distinct().withColumn("p", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(b).alias("baseline")) for a, b in pairs]))).select(*cell, "question_id", "p.*")
-    gone = seen.join(both.select(*keys, "question_id"), [*keys, "question_id"], "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_set("question_id")).alias("dropped_questions"))
+    seen = long.select(*cell, "question_id").distinct().withColumn(
+        "p", F.explode(F.array(*[F.struct(F.lit(a).alias("arm"), F.lit(b).alias("baseline")) for a, b in pairs]))
+    ).select(*cell, "question_id", "p.*")
+    gone = seen.join(
+        both.select(*keys, "question_id"), [*keys, "question_id"], "left_anti"
+    ).groupBy(*keys).agg(F.array_sort(F.collect_set("question_id")).alias("dropped_questions"))
     return out.join(gone, keys, "full")
 
 
@@ -280,10 +393,20 @@ def single_judge_grid(rows: DataFrame, passes: dict[str, tuple[str, str]], **how
     """The grid once per judge: passes maps a judge to its accuracy and completion columns; one job for all judges."""
     out = None
     for name, (accuracy, completion) in passes.items():
-        part = rows.select(F.concat_ws("|", "agent", F.lit(name)).alias("agent"), "stratum", "arm", "question_id", "total_tokens", F.col(accuracy).alias("accuracy"), F.col(completion).alias("completion"))
+        part = rows.select(
+            F.concat_ws("|", "agent", F.lit(name)).alias("agent"),
+            "stratum",
+            "arm",
+            "question_id",
+            "total_tokens",
+            F.col(accuracy).alias("accuracy"),
+            F.col(completion).alias("completion"),
+        )
         out = part if out is None else out.unionByName(part)
     grid = comparison_grid(out, **how)
-    return grid.withColumn("judge", F.split_part("agent", F.lit("|"), F.lit(-1))).withColumn("agent", F.split_part("agent", F.lit("|"), F.lit(1)))
+    return grid.withColumn(
+        "judge", F.split_part("agent", F.lit("|"), F.lit(-1))
+    ).withColumn("agent", F.split_part("agent", F.lit("|"), F.lit(1)))
 
 
 def completion_rates(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:

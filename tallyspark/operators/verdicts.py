@@ -22,7 +22,12 @@ def valid_pass(stored: Column) -> Column:
     """Fact -> verdict of a stored pass without an error, with known verdicts only and a flag for completeness; else null."""
     v = stored["fact_verdicts"]
     ok = F.coalesce(F.nullif(stored["error"], F.lit("")), F.lit("")) == ""
-    return F.when(ok & (F.size(v) > 0) & F.forall(F.map_values(v), lambda x: F.coalesce(x.isin(*VERDICTS), F.lit(False))) & stored["complete"].isNotNull(), v)
+    return F.when(
+        ok & (F.size(v) > 0) & F.forall(
+            F.map_values(v), lambda x: F.coalesce(x.isin(*VERDICTS), F.lit(False))
+        ) & stored["complete"].isNotNull(),
+        v,
+    )
 
 
 def merge_passes(first: Column, second: Column, complete_first: Column, complete_second: Column) -> Column:
@@ -38,22 +43,47 @@ def merge_passes(first: Column, second: Column, complete_first: Column, complete
     rule = F.when(two, F.lit("combined")).when(first.isNotNull(), F.lit("A")).when(second.isNotNull(), F.lit("B"))
     one = F.coalesce(F.when(first.isNotNull(), complete_first), complete_second).cast("double")
     whole = F.when(two, (complete_first.cast("double") + complete_second.cast("double")) / 2).otherwise(one)
-    return F.when(rule.isNotNull(), F.struct(verdicts.alias("fact_verdicts"), scores.alias("fact_scores"), F.array_sort(F.map_keys(F.map_filter(verdicts, lambda _, v: v == "disputed"))).alias("disputed"), mean_score(scores).alias("accuracy"), whole.alias("complete"), rule.alias("rule")))
+    return F.when(
+        rule.isNotNull(),
+        F.struct(
+            verdicts.alias("fact_verdicts"),
+            scores.alias("fact_scores"),
+            F.array_sort(F.map_keys(F.map_filter(verdicts, lambda _, v: v == "disputed"))).alias("disputed"),
+            mean_score(scores).alias("accuracy"),
+            whole.alias("complete"),
+            rule.alias("rule"),
+        ),
+    )
 
 
 def mean_score(scores: Column) -> Column:
-    return F.when(F.size(scores) > 0, F.round(F.aggregate(F.map_values(scores), F.lit(0.0), lambda a, v: a + v) / F.size(scores), 6))
+    return F.when(
+        F.size(scores) > 0,
+        F.round(F.aggregate(F.map_values(scores), F.lit(0.0), lambda a, v: a + v) / F.size(scores), 6),
+    )
 
 
 def scoring(judgements: DataFrame, primary: str = "combined") -> DataFrame:
     """run_id, verdicts, scores, accuracy and completion under a rule: both judges together, or the second alone."""
     if primary == "combined":
         ok = (F.col("status") == "ok") & (F.coalesce("rule", F.lit("combined")) == "combined")
-        return judgements.where(ok).select("run_id", F.col("fact_verdicts").alias("verdicts"), F.col("fact_scores").alias("scores"), "accuracy", "complete")
+        return judgements.where(ok).select(
+            "run_id",
+            F.col("fact_verdicts").alias("verdicts"),
+            F.col("fact_scores").alias("scores"),
+            "accuracy",
+            "complete",
+        )
     v = valid_pass(F.try_element_at("passes", F.lit(primary)))
     out = judgements.withColumn("verdicts", v).where("verdicts IS NOT NULL")
     scores = F.transform_values("verdicts", lambda _, x: score(x))
-    return out.select("run_id", "verdicts", scores.alias("scores"), mean_score(scores).alias("accuracy"), F.try_element_at("passes", F.lit(primary))["complete"].cast("double").alias("complete"))
+    return out.select(
+        "run_id",
+        "verdicts",
+        scores.alias("scores"),
+        mean_score(scores).alias("accuracy"),
+        F.try_element_at("passes", F.lit(primary))["complete"].cast("double").alias("complete"),
+    )
 
 
 def single_judge(judgements: DataFrame, name: str) -> DataFrame:
@@ -61,7 +91,11 @@ def single_judge(judgements: DataFrame, name: str) -> DataFrame:
     v = valid_pass(F.try_element_at("passes", F.lit(name)))
     out = judgements.withColumn("v", v).where("v IS NOT NULL")
     right = F.size(F.map_filter("v", lambda _, x: x == "correct"))
-    return out.select("run_id", F.round(right / F.size("v"), 6).alias("accuracy"), F.try_element_at("passes", F.lit(name))["complete"].cast("double").alias("complete"))
+    return out.select(
+        "run_id",
+        F.round(right / F.size("v"), 6).alias("accuracy"),
+        F.try_element_at("passes", F.lit(name))["complete"].cast("double").alias("complete"),
+    )
 
 
 def replace_passes(prior: Column, new: Column, requested: list[str]) -> Column:
@@ -71,9 +105,15 @@ def replace_passes(prior: Column, new: Column, requested: list[str]) -> Column:
 
 def verdict_pairs(judgements: DataFrame, first: str = "A", second: str = "B") -> DataFrame:
     """run_id, fact_id, a, b over facts that both passes judged validly."""
-    j = judgements.select("run_id", valid_pass(F.try_element_at("passes", F.lit(first))).alias("x"), valid_pass(F.try_element_at("passes", F.lit(second))).alias("y"))
+    j = judgements.select(
+        "run_id",
+        valid_pass(F.try_element_at("passes", F.lit(first))).alias("x"),
+        valid_pass(F.try_element_at("passes", F.lit(second))).alias("y"),
+    )
     rows = j.where("x IS NOT NULL AND y IS NOT NULL").select("run_id", "y", F.explode("x").alias("fact_id", "a"))
-    return rows.select("run_id", "fact_id", "a", F.try_element_at("y", F.col("fact_id")).alias("b")).where("b IS NOT NULL")
+    return rows.select(
+        "run_id", "fact_id", "a", F.try_element_at("y", F.col("fact_id")).alias("b")
+    ).where("b IS NOT NULL")
 
 
 def cross_table(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -83,12 +123,21 @@ def cross_table(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
 def pass_agreement(pairs: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Answers, facts, facts with equal verdicts and their share."""
     equal = F.col("a") == F.col("b")
-    return pairs.groupBy(*(keys or [])).agg(F.count_distinct("run_id").alias("answers"), F.count(F.lit(1)).alias("facts"), F.count_if(equal).alias("agreed_facts"), F.round(F.avg(equal.cast("int")), 4).alias("agreement_share"))
+    return pairs.groupBy(*(keys or [])).agg(
+        F.count_distinct("run_id").alias("answers"),
+        F.count(F.lit(1)).alias("facts"),
+        F.count_if(equal).alias("agreed_facts"),
+        F.round(F.avg(equal.cast("int")), 4).alias("agreement_share"),
+    )
 
 
 def verdict_rates(long: DataFrame, keys: list[str]) -> DataFrame:
     """Share of each verdict per judge and family of answers (long: keys, run_id, verdict)."""
-    return long.groupBy(*keys).agg(F.count_distinct("run_id").alias("runs"), F.count(F.lit(1)).alias("facts"), *[F.round(F.avg((F.col("verdict") == v).cast("int")), 4).alias(f"{v}_rate") for v in VERDICTS])
+    return long.groupBy(*keys).agg(
+        F.count_distinct("run_id").alias("runs"),
+        F.count(F.lit(1)).alias("facts"),
+        *[F.round(F.avg((F.col("verdict") == v).cast("int")), 4).alias(f"{v}_rate") for v in VERDICTS],
+    )
 
 
 def audited_scores(scores: Column, corrections: Column) -> Column:
@@ -103,7 +152,14 @@ def trap_adoption(verdicts: Column) -> Column:
 
 def regrade_stability(before: Column, after: Column, corrected: Column) -> Column:
     """struct(shared, stable): facts in both maps that were not corrected, and those with the same verdict."""
-    both = F.map_filter(F.map_zip_with(before, after, lambda k, a, b: F.when(a.isNotNull() & b.isNotNull() & ~F.array_contains(corrected, k), a == b)), lambda _, v: v.isNotNull())
+    both = F.map_filter(
+        F.map_zip_with(
+            before,
+            after,
+            lambda k, a, b: F.when(a.isNotNull() & b.isNotNull() & ~F.array_contains(corrected, k), a == b),
+        ),
+        lambda _, v: v.isNotNull(),
+    )
     return F.struct(F.size(both).alias("shared"), F.size(F.map_filter(both, lambda _, v: v)).alias("stable"))
 
 
@@ -113,17 +169,23 @@ def audit_queue(facts: DataFrame, seed: int = 8105, share: float = SAMPLE) -> Da
     The sample is the first by a hash of seed, run and fact: the same on any engine and order. Ranks come from a window
     over the hash's leading digit and counts of the digits before, so no task sorts all facts.
     """
-    agreed = facts.where("NOT disputed").withColumn("_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), "run_id", "fact_id"), 256))
+    agreed = facts.where("NOT disputed").withColumn(
+        "_h", F.sha2(F.concat_ws(":", F.lit(str(seed)), "run_id", "fact_id"), 256)
+    )
     wanted = int(round(agreed.count() * share))
     kept = hash_first(agreed, "_h", wanted).drop("_h")
-    return facts.where("disputed").withColumn("selection", F.lit("disputed")).unionByName(kept.withColumn("selection", F.lit("sample")))
+    return facts.where("disputed").withColumn("selection", F.lit("disputed")).unionByName(
+        kept.withColumn("selection", F.lit("sample"))
+    )
 
 
 def hash_first(rows: DataFrame, digest: str, wanted: int) -> DataFrame:
     """The `wanted` rows with the least digests: whole digest prefixes first, a window only in the prefix at the border."""
     if wanted <= 0:
         return rows.limit(0)
-    per = rows.groupBy(F.substring(digest, 1, 3).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()  # 4096 rows at most
+    per = rows.groupBy(  # 4096 rows at most
+        F.substring(digest, 1, 3).alias("p")
+    ).agg(F.count(F.lit(1)).alias("n")).collect()
     left, border, whole = wanted, None, ""
     for r in sorted(per):
         if r.n > left:
@@ -146,7 +208,9 @@ def audit_precedence(rows: DataFrame, by: tuple[str, ...] = ("owner", "key_corre
     if bad:
         raise ValueError(f"two verdicts of one source for {bad[0].run_id} {bad[0].fact_id}")
     first = Window.partitionBy("run_id", "fact_id").orderBy("_rank")
-    return ranked.dropDuplicates(["run_id", "fact_id", "_rank"]).withColumn("superseded", F.row_number().over(first) > 1).drop("_rank")
+    return ranked.dropDuplicates(["run_id", "fact_id", "_rank"]).withColumn(
+        "superseded", F.row_number().over(first) > 1
+    ).drop("_rank")
 
 
 def unknown_audits(audits: DataFrame, facts: DataFrame) -> DataFrame:
@@ -154,9 +218,13 @@ def unknown_audits(audits: DataFrame, facts: DataFrame) -> DataFrame:
     return audits.join(facts.select("run_id", "fact_id").distinct(), ["run_id", "fact_id"], "left_anti")
 
 
-def audit_table(queue: DataFrame, records: DataFrame, questions: DataFrame, facts: DataFrame, pairs: DataFrame) -> DataFrame:
+def audit_table(
+    queue: DataFrame, records: DataFrame, questions: DataFrame, facts: DataFrame, pairs: DataFrame
+) -> DataFrame:
     """Queue rows with the run, the question, the fact and both verdicts beside them."""
-    return queue.join(records.select("run_id", "question_id", "agent"), "run_id").join(questions.select(F.col("id").alias("question_id"), "question"), "question_id").join(facts.select("question_id", "fact_id", "statement", "value", "unit"), ["question_id", "fact_id"]).join(pairs, ["run_id", "fact_id"], "left")
+    return queue.join(records.select("run_id", "question_id", "agent"), "run_id").join(questions.select(F.col("id").alias("question_id"), "question"), "question_id").join(
+        facts.select("question_id", "fact_id", "statement", "value", "unit"), ["question_id", "fact_id"]
+    ).join(pairs, ["run_id", "fact_id"], "left")
 
 
 def judge_replies(extraction: DataFrame) -> DataFrame:
@@ -164,10 +232,21 @@ def judge_replies(extraction: DataFrame) -> DataFrame:
 
     A judge may call no tool and load no server; a log without an answer or with a reason of its own is no reply.
     """
-    tools = F.when(F.size("tool_calls") > 0, F.concat(F.lit("tools used: "), F.array_join(F.array_sort(F.map_keys("tool_calls")), ", ")))
-    servers = F.when(F.size("mcp_servers") > 0, F.concat(F.lit("servers loaded: "), F.array_join(F.array_sort(F.map_keys("mcp_servers")), ", ")))
+    tools = F.when(
+        F.size("tool_calls") > 0,
+        F.concat(F.lit("tools used: "), F.array_join(F.array_sort(F.map_keys("tool_calls")), ", ")),
+    )
+    servers = F.when(
+        F.size("mcp_servers") > 0,
+        F.concat(F.lit("servers loaded: "), F.array_join(F.array_sort(F.map_keys("mcp_servers")), ", ")),
+    )
     none = F.when(F.trim("answer") == "", F.lit("no answer"))
-    return extraction.select("run_id", F.col("answer").alias("reply"), "usage", F.coalesce("infra_reason", tools, servers, "incomplete_reason", none).alias("error"))
+    return extraction.select(
+        "run_id",
+        F.col("answer").alias("reply"),
+        "usage",
+        F.coalesce("infra_reason", tools, servers, "incomplete_reason", none).alias("error"),
+    )
 
 
 def checked_rows(sample: DataFrame, checks: DataFrame) -> DataFrame:
@@ -181,5 +260,9 @@ def contamination_summary(rows: DataFrame, arm: str = "arm", question: str = "qu
     Rows: one a run with adoption, accuracy, total_tokens, filings and sources (both counts).
     """
     share = F.col("filings") / F.nullif(F.col("sources"), F.lit(0))
-    per = rows.withColumn("share", share).groupBy(arm, question).agg(*[F.avg(c).alias(c) for c in ("adoption", "accuracy", "total_tokens", "share")], F.count(F.lit(1)).alias("n"))
-    return per.groupBy(arm).agg(*[F.avg(c).alias(c) for c in ("adoption", "accuracy", "total_tokens", "share")], F.sum("n").alias("runs"))
+    per = rows.withColumn("share", share).groupBy(arm, question).agg(
+        *[F.avg(c).alias(c) for c in ("adoption", "accuracy", "total_tokens", "share")], F.count(F.lit(1)).alias("n")
+    )
+    return per.groupBy(arm).agg(
+        *[F.avg(c).alias(c) for c in ("adoption", "accuracy", "total_tokens", "share")], F.sum("n").alias("runs")
+    )

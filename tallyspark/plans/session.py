@@ -16,7 +16,14 @@ _shipped: set[str] = set()
 def local_session(cores: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
     """A session on this machine, with the settings that tests and the bench use."""
     build = SparkSession.builder.master(f"local[{cores}]").appName("tallyspark")
-    settings = {"spark.sql.shuffle.partitions": str(partitions), "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.adaptive.enabled": "true", "spark.driver.memory": "8g"} | conf
+    settings = {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.session.timeZone": "UTC",
+        "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
+        "spark.sql.adaptive.enabled": "true",
+        "spark.driver.memory": "8g",
+    } | conf
     for k, v in settings.items():
         build = build.config(k, v)
     spark = build.getOrCreate()

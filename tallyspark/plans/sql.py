@@ -27,7 +27,13 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("secret_findings", secrets.SecretFindings)
 
 
-def views(spark: SparkSession, records: str | None = None, questions: str | None = None, judgements: str | None = None, logs: str | None = None) -> dict[str, DataFrame]:
+def views(
+    spark: SparkSession,
+    records: str | None = None,
+    questions: str | None = None,
+    judgements: str | None = None,
+    logs: str | None = None,
+) -> dict[str, DataFrame]:
     """Views `runs`, `questions`, `facts`, `judgements`, `passes` and `log_lines` over whichever paths are given."""
     out: dict[str, DataFrame] = {}
     if records:

@@ -41,8 +41,14 @@ def json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def kept_lines(files: DataFrame, key: str, text: str) -> DataFrame:
-    lines = files.select(F.col(key).alias("path"), F.posexplode(F.split(text, LINE_END)).alias("pos", "line")).select("path", "pos", F.trim(F.regexp_replace("line", r"^(?U)\s+|(?U)\s+$", "")).alias("raw"))
-    good = lines.where(F.col("raw").startswith("{") & F.expr("try_parse_json(raw) IS NOT NULL OR get_json_object(raw, '$') IS NOT NULL"))
+    lines = files.select(F.col(key).alias("path"), F.posexplode(F.split(text, LINE_END)).alias("pos", "line")).select(
+        "path", "pos", F.trim(F.regexp_replace("line", r"^(?U)\s+|(?U)\s+$", "")).alias("raw")
+    )
+    good = lines.where(
+        F.col("raw").startswith("{") & F.expr(
+            "try_parse_json(raw) IS NOT NULL OR get_json_object(raw, '$') IS NOT NULL"
+        )
+    )
     return good.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1).alias("ord"), "raw")
 
 
@@ -66,7 +72,9 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
 
 def with_defaults(records: DataFrame) -> DataFrame:
     """Fields that older records lack: empty lists and zero counts."""
-    empty = {"truncated_calls": "array<struct<call_id:string,tool:string,original_tokens:bigint>>", "notes": "array<string>"}
+    empty = {
+        "truncated_calls": "array<struct<call_id:string,tool:string,original_tokens:bigint>>", "notes": "array<string>"
+    }
     out = records.withColumns({c: F.coalesce(c, F.array().cast(t)) for c, t in empty.items()})
     return out.withColumn("paged_results", F.coalesce("paged_results", F.lit(0).cast("bigint")))
 
@@ -77,7 +85,9 @@ def judgements(spark: SparkSession, path: str) -> DataFrame:
 
 def judgement_passes(docs: DataFrame) -> DataFrame:
     """run_id, pass, and the fields of the stored pass."""
-    return docs.select("run_id", F.explode(F.map_entries("passes")).alias("p")).select("run_id", F.col("p.key").alias("pass"), "p.value.*")
+    return docs.select(
+        "run_id", F.explode(F.map_entries("passes")).alias("p")
+    ).select("run_id", F.col("p.key").alias("pass"), "p.value.*")
 
 
 def question_set(spark: SparkSession, path: str) -> DataFrame:
@@ -89,14 +99,20 @@ def question_set(spark: SparkSession, path: str) -> DataFrame:
 
 def facts(questions: DataFrame) -> DataFrame:
     """One row a fact: question_id, stratum, f_ord and the fields of the fact."""
-    return questions.select(F.col("id").alias("question_id"), "stratum", F.posexplode("facts").alias("f_ord", "f")).select("question_id", "stratum", "f_ord", F.col("f.id").alias("fact_id"), "f.*").drop("id")
+    return questions.select(
+        F.col("id").alias("question_id"), "stratum", F.posexplode("facts").alias("f_ord", "f")
+    ).select("question_id", "stratum", "f_ord", F.col("f.id").alias("fact_id"), "f.*").drop("id")
 
 
 def audit_rows(spark: SparkSession, paths: list[str], columns: list[str]) -> DataFrame:
     """Hand-edited CSV shards (quoted, several lines in a cell): all columns as text, and the ordinal in the file."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("pathGlobFilter", "audit-queue-*.csv")
-    rows = reader.csv(sorted(set(paths))).select("*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_at"))
+    reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option(
+        "pathGlobFilter", "audit-queue-*.csv"
+    )
+    rows = reader.csv(sorted(set(paths))).select(
+        "*", F.col("_metadata.file_path").alias("_path"), F.monotonically_increasing_id().alias("_at")
+    )
     return rows.withColumn("_row", F.row_number().over(Window.partitionBy("_path").orderBy("_at"))).drop("_at")
 
 
@@ -104,12 +120,16 @@ def pick_log(files: DataFrame, patterns: list[str], run: str = "run_id", path: s
     """The file of each run that the earliest pattern finds (the last by name among several)."""
     rank = F.coalesce(*[F.when(F.col(path).rlike(p), F.lit(i)) for i, p in enumerate(patterns)])
     best = Window.partitionBy(run).orderBy("_rank", F.col(path).desc())
-    return files.withColumn("_rank", rank).where("_rank IS NOT NULL").withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_rank", "_n")
+    return files.withColumn("_rank", rank).where("_rank IS NOT NULL").withColumn(
+        "_n", F.row_number().over(best)
+    ).where("_n = 1").drop("_rank", "_n")
 
 
 def host_table(spark: SparkSession, path: str) -> DataFrame:
     """A document host -> {category, status, reason} as a dimension: host, category, status, reason."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,struct<category:string,status:string,reason:string>>").alias("m"))
+    raw = spark.read.text(path, wholetext=True).select(
+        F.from_json("value", "map<string,struct<category:string,status:string,reason:string>>").alias("m")
+    )
     return raw.select(F.explode("m").alias("host", "v")).select("host", "v.*")
 
 
@@ -134,4 +154,6 @@ def raw_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFr
     """path, content, bytes and sha256 of whole files."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    return reader.load(path).select("path", "content", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return reader.load(path).select(
+        "path", "content", F.length("content").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    )

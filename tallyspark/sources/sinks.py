@@ -59,7 +59,9 @@ def tidy(text: str) -> str:
     return "\n".join(lines) + "\n"
 
 
-def csv_text(df: DataFrame, columns: list[str], order: list[str], link_columns: tuple[str, ...] = ("permalink",)) -> str:
+def csv_text(
+    df: DataFrame, columns: list[str], order: list[str], link_columns: tuple[str, ...] = ("permalink",)
+) -> str:
     """A report table as CSV in a given order, on the driver."""
     rows = df.orderBy(*order).select(*[cell(df, c, c in link_columns).alias(c) for c in columns]).collect()
     out = io.StringIO()
@@ -71,7 +73,9 @@ def csv_text(df: DataFrame, columns: list[str], order: list[str], link_columns:
 
 def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """Adds `line` and its `size` in bytes with the line end."""
-    quote = lambda c: F.when(c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    quote = lambda c: F.when(
+        c.rlike('[",\n\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    ).otherwise(c)
     line = F.concat_ws(",", *[quote(cell(df, c)) for c in columns])
     return df.withColumn("line", line).withColumn("size", F.octet_length("line") + 1)
 
@@ -92,7 +96,9 @@ def write_csv(df: DataFrame, columns: list[str], order: list[str], path: str, fi
     lines.mapInArrow(headed, "line string").write.text(path)
 
 
-def run_shards(rows: DataFrame, limit: int, run: str = "run_id", csv_size: str = "size", text_size: str = "text_size") -> DataFrame:
+def run_shards(
+    rows: DataFrame, limit: int, run: str = "run_id", csv_size: str = "size", text_size: str = "text_size"
+) -> DataFrame:
     """Shards of whole runs on two byte counters: a shard is full when either would pass the limit. run, shard."""
     per = rows.groupBy(run).agg(F.sum(csv_size).cast("bigint").alias("a"), F.sum(text_size).cast("bigint").alias("b"))
     return greedy_shards(per, [], [run], ["a", "b"], limit)
@@ -108,7 +114,9 @@ def csv_shards(df: DataFrame, columns: list[str], order: list[str], limit: int)
     shards = greedy_shards(lines, [], order, ["size"], limit - len(head.encode()) - 1)
     by_place = F.array_sort(F.collect_list(F.struct(*order, "line")))
     per = lines.select(*order, "line").join(shards, order).groupBy("shard").agg(by_place.alias("lines"))
-    text = F.concat(F.lit(head + "\n"), F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\n"))), ""))
+    text = F.concat(
+        F.lit(head + "\n"), F.array_join(F.transform("lines", lambda x: F.concat(x["line"], F.lit("\n"))), "")
+    )
     return per.select("shard", text.alias("text"))
 
 
@@ -146,7 +154,10 @@ def write_texts(files: DataFrame, folder: str) -> DataFrame:
                 store.move(beside, place)
                 sizes.append(len(raw))
                 sums.append(hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())], ["path", "bytes", "sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())],
+                ["path", "bytes", "sha256"],
+            )
 
     return stash(files.select("path", "text").mapInArrow(run, MANIFEST), "manifest")
 
@@ -175,17 +186,25 @@ def scrubbed_logs(files: DataFrame) -> DataFrame:
     def run(content: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([scrub_log(bytes(x)) for x in content], columns=["data", "clipped"])
 
-    return files.select("path", run("content").alias("s")).select("path", "s.data", F.length("s.data").alias("bytes"), F.sha2("s.data", 256).alias("sha256"), "s.clipped")
+    return files.select("path", run("content").alias("s")).select(
+        "path", "s.data", F.length("s.data").alias("bytes"), F.sha2("s.data", 256).alias("sha256"), "s.clipped"
+    )
 
 
 def canonical_answers(answers: DataFrame) -> DataFrame:
     """run_id, text, pointer, canonical -> masked text, and whether the record points elsewhere."""
-    return answers.select("run_id", scrub_free_text(redact_links(F.col("text"))).alias("text"), (F.col("pointer") != F.col("canonical")).alias("mismatch"))
+    return answers.select(
+        "run_id",
+        scrub_free_text(redact_links(F.col("text"))).alias("text"),
+        (F.col("pointer") != F.col("canonical")).alias("mismatch"),
+    )
 
 
 def markdown_lines(df: DataFrame, columns: list[str]) -> Column:
     """A row as a line of a Markdown table: bars escaped, line ends as spaces."""
-    plain = lambda c: F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    plain = lambda c: F.replace(
+        F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")
+    )
     return F.concat(F.lit("| "), F.concat_ws(" | ", *map(plain, columns)), F.lit(" |"))
 
 
@@ -212,7 +231,11 @@ def check_outputs(files: DataFrame, masked_hosts: str | None = None, limit: int
     """Violations in files about to be published (path, text): size, hosts, emails, credentials, unmasked JSON values."""
     hosts = F.col("text").rlike(f"(?i){masked_hosts}") if masked_hosts else F.lit(False)
     rules = F.array_compact(F.concat(
-        F.array(F.when(F.octet_length("text") > limit, F.lit("too large")), F.when(hosts, F.lit("source host")), F.when(F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit("email"))),
+        F.array(
+            F.when(F.octet_length("text") > limit, F.lit("too large")),
+            F.when(hosts, F.lit("source host")),
+            F.when(F.col("text").rlike(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"), F.lit("email")),
+        ),
         quick_findings(F.col("text")), secret_paths("text"),
     ))
     return files.select("path", F.explode(rules).alias("what"))

@@ -40,14 +40,20 @@ def keep_latest(stream: DataFrame, table: str, checkpoint: str, key: str = "run_
         touched = sorted(r[0] for r in rows.select("_bucket").distinct().collect())  # `buckets` numbers at most
         old = [f"{table}/data/{known[b]}/_bucket={b}" for b in touched if b in known]
         if old:
-            before = spark.read.schema(batch.schema).parquet(*old).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+            before = spark.read.schema(batch.schema).parquet(*old).withColumn(
+                "_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+            )
             merged = latest_records(before, rows, key=key)
         else:
             merged = latest_records(rows, key=key)
-        merged.repartition(max(1, len(touched)), "_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/data/{n}")
+        merged.repartition(
+            max(1, len(touched)), "_bucket"
+        ).write.mode("overwrite").partitionBy("_bucket").parquet(f"{table}/data/{n}")
         rows.unpersist()
         now = known | dict.fromkeys(touched, n)
-        spark.createDataFrame(sorted(now.items()), "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/{n}")
+        spark.createDataFrame(
+            sorted(now.items()), "bucket int, version long"
+        ).coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/{n}")
         used = {str(v) for v in (*now.values(), *known.values())}
         for name in children(spark, f"{table}/data"):
             if name not in used and name.isdigit():
@@ -55,7 +61,9 @@ def keep_latest(stream: DataFrame, table: str, checkpoint: str, key: str = "run_
         for old_n in done[:-1]:
             delete(spark, f"{table}/manifest/{old_n}")
 
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(merge).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()
 
 
 def manifests(spark: SparkSession, table: str) -> list[int]:
@@ -66,7 +74,11 @@ def manifests(spark: SparkSession, table: str) -> list[int]:
 
 def manifest(spark: SparkSession, table: str, n: int) -> dict[int, int]:
     """Where each bucket is: bucket -> batch that wrote it."""
-    return {r.bucket: r.version for r in spark.read.schema("bucket int, version long").parquet(f"{table}/manifest/{n}").collect()}
+    return {
+        r.bucket: r.version for r in spark.read.schema(
+            "bucket int, version long"
+        ).parquet(f"{table}/manifest/{n}").collect()
+    }
 
 
 def current(spark: SparkSession, table: str) -> DataFrame | None:
@@ -99,9 +111,13 @@ def latch(events: DataFrame, key: str = "batch") -> DataFrame:
 
 def latch_batch(events: DataFrame, key: str = "batch") -> DataFrame:
     """The same over finished data: rows after the first stopping reason are refused."""
-    first = events.where(stops(F.col("reason"))).groupBy(key).agg(F.min("at").alias("_at"), F.min_by("reason", "at").alias("_why"))
+    first = events.where(stops(F.col("reason"))).groupBy(key).agg(
+        F.min("at").alias("_at"), F.min_by("reason", "at").alias("_why")
+    )
     late = F.coalesce(F.col("at") > F.col("_at"), F.lit(False))
-    return events.join(first, key, "left").select(key, "at", F.when(late, F.col("_why")).otherwise(F.col("reason")).alias("reason"), (~late).alias("admitted"))
+    return events.join(first, key, "left").select(
+        key, "at", F.when(late, F.col("_why")).otherwise(F.col("reason")).alias("reason"), (~late).alias("admitted")
+    )
 
 
 def fresh(readings: DataFrame, now, bound: str = FRESH, at: str = "observed_at") -> DataFrame:
@@ -111,12 +127,16 @@ def fresh(readings: DataFrame, now, bound: str = FRESH, at: str = "observed_at")
 
 def latest_fresh(readings: DataFrame, at: str = "observed_at", bound: str = FRESH) -> DataFrame:
     """Stream: the newest reading per account within windows of the bound; later arrivals than the bound are dropped."""
-    return readings.withWatermark(at, bound).groupBy(F.window(at, bound), "account").agg(F.max(at).alias(at), F.max_by("reading", at).alias("reading"))
+    return readings.withWatermark(at, bound).groupBy(F.window(at, bound), "account").agg(
+        F.max(at).alias(at), F.max_by("reading", at).alias("reading")
+    )
 
 
 def budget(attempts: DataFrame, key: str, most: int) -> DataFrame:
     """Attempts numbered per item; those past the budget are refused (works on batch and, per batch, on streams)."""
-    per = attempts.groupBy(key).agg(F.count(F.lit(1)).alias("attempts"), F.bool_or(F.col("status") == "ok").alias("done"))
+    per = attempts.groupBy(key).agg(
+        F.count(F.lit(1)).alias("attempts"), F.bool_or(F.col("status") == "ok").alias("done")
+    )
     return per.withColumn("may_retry", ~F.coalesce("done", F.lit(False)) & (F.col("attempts") < most))
 
 

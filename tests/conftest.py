@@ -11,7 +11,9 @@ sys.path.insert(0, str(ROOT))
 def spark():
     from tallyspark.plans.session import local_session, ship
 
-    session = local_session(4, 4, **{"spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.driver.memory": "4g"})
+    session = local_session(
+        4, 4, **{"spark.sql.adaptive.coalescePartitions.enabled": "true", "spark.driver.memory": "4g"}
+    )
     ship(session)
     yield session
     session.stop()

@@ -5,6 +5,8 @@ from tallyspark.operators import sampling
 
 @pytest.mark.parametrize("parity", [False, True])
 def test_cells_with_nulls_are_sampled(spark, parity):
-    rows = spark.createDataFrame([(i, None if i % 2 else "a", i % 3 == 0) for i in range(60)], "id int, source string, flag boolean")
+    rows = spark.createDataFrame(
+        [(i, None if i % 2 else "a", i % 3 == 0) for i in range(60)], "id int, source string, flag boolean"
+    )
     got = sampling.stratified_sample(rows, ["source", "flag"], "id", 24, floor=2, parity=parity).collect()
     assert len(got) == 24 and sum(r.source is None for r in got) == 12

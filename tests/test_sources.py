@@ -7,7 +7,18 @@ import pytest
 from tallyspark.plans import sql
 from tallyspark.sources import readers
 
-QUESTIONS = {"set": "main", "questions": [{"id": "Q1", "stratum": "lookup", "question": "what?", "unknown": 1, "facts": [{"id": "F1", "kind": "sourced", "value": "1"}, {"id": "F2", "kind": "absence"}]}]}
+QUESTIONS = {
+    "set": "main",
+    "questions": [
+        {
+            "id": "Q1",
+            "stratum": "lookup",
+            "question": "what?",
+            "unknown": 1,
+            "facts": [{"id": "F1", "kind": "sourced", "value": "1"}, {"id": "F2", "kind": "absence"}],
+        }
+    ],
+}
 
 
 def put(folder, name, value):
@@ -28,7 +39,9 @@ def test_records_drop_unknown_fields_and_default_missing_ones(spark, tmp_path):
 
 def test_question_set(spark, tmp_path):
     q = readers.question_set(spark, put(tmp_path, "q.json", QUESTIONS))
-    assert [(r.question_id, r.fact_id, r.kind) for r in readers.facts(q).orderBy("f_ord").collect()] == [("Q1", "F1", "sourced"), ("Q1", "F2", "absence")]
+    assert [
+        (r.question_id, r.fact_id, r.kind) for r in readers.facts(q).orderBy("f_ord").collect()
+    ] == [("Q1", "F1", "sourced"), ("Q1", "F2", "absence")]
     with pytest.raises(Exception, match="list of questions"):
         readers.question_set(spark, put(tmp_path, "bad.json", {"set": "x"})).collect()
 
@@ -41,7 +54,15 @@ def test_audit_cells_may_hold_lines(spark, tmp_path):
 
 
 def test_pick_log(spark):
-    files = spark.createDataFrame([("a", "h/x.jsonl"), ("a", "h/sessions/rollout-1.jsonl"), ("a", "h/sessions/rollout-2.jsonl"), ("b", "h/y.jsonl")], "run_id string, path string")
+    files = spark.createDataFrame(
+        [
+            ("a", "h/x.jsonl"),
+            ("a", "h/sessions/rollout-1.jsonl"),
+            ("a", "h/sessions/rollout-2.jsonl"),
+            ("b", "h/y.jsonl"),
+        ],
+        "run_id string, path string",
+    )
     got = {r.run_id: r.path for r in readers.pick_log(files, [r"sessions/rollout-", r"x\.jsonl$"]).collect()}
     assert got == {"a": "h/sessions/rollout-2.jsonl"}
 
@@ -53,7 +74,9 @@ def test_host_table_and_incomplete_sources(spark, tmp_path):
     put(tmp_path, "sources/b.json", {"run_id": "b", "complete": False})
     done = readers.complete_sources(spark, str(tmp_path / "sources"))
     wanted = spark.createDataFrame([("a",), ("b",), ("c",)], "run_id string")
-    assert [r.run_id for r in done.collect()] == ["a"] and sorted(r.run_id for r in readers.missing(wanted, done).collect()) == ["b", "c"]
+    assert [r.run_id for r in done.collect()] == ["a"] and sorted(
+        r.run_id for r in readers.missing(wanted, done).collect()
+    ) == ["b", "c"]
 
 
 def test_old_analysis_has_a_default_rule(spark, tmp_path):
@@ -63,5 +86,7 @@ def test_old_analysis_has_a_default_rule(spark, tmp_path):
 def test_views_and_functions(spark, tmp_path):
     sql.register(spark)
     sql.views(spark, questions=put(tmp_path, "q.json", QUESTIONS))
-    got = spark.sql("SELECT fold('Türkiye') AS f, scrub_free_text('token = abc') AS s, (SELECT count(*) FROM facts) AS n").first()
+    got = spark.sql(
+        "SELECT fold('Türkiye') AS f, scrub_free_text('token = abc') AS s, (SELECT count(*) FROM facts) AS n"
+    ).first()
     assert (got.f, got.s, got.n) == ("turkiye", "token = <redacted>", 2)

@@ -13,21 +13,35 @@ def test_latest_wins_across_batches(spark, tmp_path):
     schema = "run_id string, v int"
     for k, rows in enumerate(([("a", 1), ("b", 1)], [("b", 2), ("c", 2)])):
         (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / f"{k}.json").write_text("\n".join(json.dumps(dict(zip(("run_id", "v"), r, strict=True))) for r in rows))
+        (tmp_path / "in" / f"{k}.json").write_text(
+            "\n".join(json.dumps(dict(zip(("run_id", "v"), r, strict=True))) for r in rows)
+        )
         S.keep_latest(S.record_stream(spark, source, schema), table, mark).awaitTermination(60)
     assert {r.run_id: r.v for r in S.current(spark, table).collect()} == {"a": 1, "b": 2, "c": 2}
 
 
 def test_latch(spark):
     t = datetime(2024, 1, 1)
-    rows = [("b", t + timedelta(minutes=i), r) for i, r in enumerate([None, "server_overloaded", "usage_limit_exceeded", None, "rate_limit_exceeded"])]
+    rows = [
+        ("b", t + timedelta(minutes=i), r) for i, r in enumerate(
+            [None, "server_overloaded", "usage_limit_exceeded", None, "rate_limit_exceeded"]
+        )
+    ]
     e = spark.createDataFrame(rows, "batch string, at timestamp, reason string")
     got = [(r.reason, r.admitted) for r in S.latch_batch(e).orderBy("at").collect()]
-    assert got == [(None, True), ("server_overloaded", True), ("usage_limit_exceeded", True), ("usage_limit_exceeded", False), ("usage_limit_exceeded", False)]
+    assert got == [
+        (None, True),
+        ("server_overloaded", True),
+        ("usage_limit_exceeded", True),
+        ("usage_limit_exceeded", False),
+        ("usage_limit_exceeded", False),
+    ]
 
 
 def test_latched_stream(spark, tmp_path):
-    (tmp_path / "0.json").write_text('{"batch": "b", "at": "2024-01-01 00:00:00", "reason": "usage_limit_exceeded"}\n{"batch": "b", "at": "2024-01-01 00:01:00", "reason": null}')
+    (tmp_path / "0.json").write_text(
+        '{"batch": "b", "at": "2024-01-01 00:00:00", "reason": "usage_limit_exceeded"}\n{"batch": "b", "at": "2024-01-01 00:01:00", "reason": null}'
+    )
     e = spark.readStream.schema("batch string, at timestamp, reason string").json(str(tmp_path))
     q = S.latch(e).writeStream.format("memory").queryName("latched").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
@@ -35,7 +49,9 @@ def test_latched_stream(spark, tmp_path):
 
 
 def test_budget_and_fresh(spark):
-    rows = spark.createDataFrame([("a", "error"), ("a", "error"), ("b", "ok"), ("c", "error")], "item string, status string")
+    rows = spark.createDataFrame(
+        [("a", "error"), ("a", "error"), ("b", "ok"), ("c", "error")], "item string, status string"
+    )
     assert {r.item: r.may_retry for r in S.budget(rows, "item", 2).collect()} == {"a": False, "b": False, "c": True}
     t = datetime(2024, 1, 1, 1)
     reads = spark.createDataFrame([(t,), (t - timedelta(minutes=31),)], "observed_at timestamp")

@@ -1,6 +1,5 @@
 """Registered intervals of all draws against brute force in plain Python."""
 
-import hashlib
 from collections import defaultdict
 from functools import cache
 
@@ -14,9 +13,25 @@ from tallyspark.plans.registry import QUERIES, event_runs
 BASES = ("token_ratio_interval", "accuracy_interval", "timeout_share_interval", "family_interaction")
 
 
+def plain_hash(x):
+    """32-bit mix of one number, in Python's whole numbers."""
+    x ^= x >> 16
+    x = x * 0x85EBCA6B % 2**32
+    x ^= x >> 13
+    x = x * 0xC2B2AE35 % 2**32
+    return x ^ (x >> 16)
+
+
 @cache
 def hashes(n):
-    return np.array([[int(hashlib.md5(f"{stats.SEED}:{d}:{k}".encode()).hexdigest()[:8], 16) for k in range(n)] for d in range(stats.RESAMPLES)])
+    golden = 0x9E3779B9
+    return np.array(
+        [
+            [plain_hash((start + k * golden) % 2**32) for k in range(n)] for start in (
+                plain_hash((stats.SEED * golden + d) % 2**32) for d in range(stats.RESAMPLES)
+            )
+        ]
+    )
 
 
 def interval(values, statistic):
@@ -44,8 +59,14 @@ def question_pairs(rows, value, question=lambda r: r["question_id"]):
 
 
 def test_entry_makes_all_draws(spark, sf_dir):
-    want = {k: interval([v for _, v in sorted(p.items())], "ratio") for k, p in question_pairs(event_runs(spark, sf_dir).collect(), "total_tokens").items()}
-    got = {(r.agent, r.stratum, r.arm, r.baseline): [r.estimate, r.ci_low, r.ci_high] for r in entry.entry(spark).collect()}
+    want = {
+        k: interval([v for _, v in sorted(p.items())], "ratio") for k, p in question_pairs(
+            event_runs(spark, sf_dir).collect(), "total_tokens"
+        ).items()
+    }
+    got = {
+        (r.agent, r.stratum, r.arm, r.baseline): [r.estimate, r.ci_low, r.ci_high] for r in entry.entry(spark).collect()
+    }
     assert set(got) == set(want)
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=2e-6)
@@ -54,8 +75,12 @@ def test_entry_makes_all_draws(spark, sf_dir):
 @pytest.mark.parametrize("name", BASES)
 def test_whole_query_makes_the_operators_draws(spark, sf_dir, name, monkeypatch):
     asked, real = [], stats.bootstrap
-    monkeypatch.setattr(stats, "bootstrap", lambda *a, **k: (lambda d: asked.extend(d.select("resamples").distinct().collect()) or d)(real(*a, **k)))
-    QUERIES[f"{name}_whole"](spark, sf_dir)
+    monkeypatch.setattr(
+        stats,
+        "bootstrap",
+        lambda *a, **k: (lambda d: asked.extend(d.select("resamples").distinct().collect()) or d)(real(*a, **k)),
+    )
+    QUERIES[name](spark, sf_dir)
     assert [r.resamples for r in asked] == [stats.RESAMPLES]
 
 
@@ -79,18 +104,45 @@ def grid(rows, columns, judge=()):
             for arm, base in stats.PAIRS:
                 have = found.get((agent, stratum, arm, base), {})
                 ends = interval([v for _, v in sorted(have.items())], statistic) if have else [None] * 3
-                out[agent, *judge, stratum, metric, arm, base] = (ends, len(have) or None, ",".join(sorted(seen - set(have))) or None)
+                out[agent, *judge, stratum, metric, arm, base] = (
+                    ends, len(have) or None, ",".join(sorted(seen - set(have))) or None
+                )
     return out
 
 
-@pytest.mark.parametrize("name", ["comparison_grid_whole", "single_judge_grid_whole"])
+@pytest.mark.parametrize("name", ["comparison_grid", "single_judge_grid"])
 def test_whole_grids_equal_brute_force(spark, few_events, name):
     rows = event_runs(spark, few_events).collect()
-    one = name == "comparison_grid_whole"
-    want = grid(rows, {}) if one else grid(rows, {}, ("A",)) | grid(rows, {"accuracy": "completion", "completion": "accuracy"}, ("B",))
+    one = name == "comparison_grid"
+    want = grid(rows, {}) if one else grid(rows, {}, ("A",)) | grid(
+        rows, {"accuracy": "completion", "completion": "accuracy"}, ("B",)
+    )
     keys = ["agent", *([] if one else ["judge"]), "stratum", "metric", "arm", "baseline"]
-    got = {tuple(r[k] for k in keys): ([r.estimate, r.ci_low, r.ci_high], r.n_questions, r.dropped) for r in QUERIES[name](spark, few_events).collect()}
+    got = {
+        tuple(r[k] for k in keys): (
+            [r.estimate, r.ci_low, r.ci_high], r.n_questions, r.dropped
+        ) for r in QUERIES[name](spark, few_events).collect()
+    }
     want = {k: v for k, v in want.items() if v[1] or v[2]}
     assert set(got) == set(want) and any(v[2] for v in want.values())
     for k, (ends, n, dropped) in want.items():
         assert got[k][0] == pytest.approx(ends, abs=2e-6) and got[k][1:] == (n, dropped), k
+
+
+def test_blocks_of_draws_and_places_add_up(spark, monkeypatch):
+    monkeypatch.setattr(stats, "PLACE_BLOCK", 7)
+    monkeypatch.setattr(stats, "DRAW_BLOCK", 30)
+    rng = np.random.default_rng(3)
+    pairs = [
+        (c, q, float(a), float(b)) for c, n in (
+            ("x", 23), ("y", 7), ("z", 1)
+        ) for q, (a, b) in enumerate(rng.integers(1, 90, (n, 2)))
+    ]
+    frame = spark.createDataFrame(pairs, "cell string, question_id int, a double, b double")
+    for statistic in ("ratio", "mean_difference"):
+        got = {r.cell: [r.estimate, r.ci_low, r.ci_high] for r in stats.bootstrap(frame, ["cell"], statistic).collect()}
+        for c in "xyz":
+            assert got[c] == pytest.approx(interval([p[2:] for p in pairs if p[0] == c], statistic), abs=1e-9)
+    rows = stats.bootstrap(frame, ["cell"], stats.aggregate("ratio")).collect()  # one row a draw and place
+    blocks = {r.cell: r.ci_low for r in stats.bootstrap(frame, ["cell"], "ratio").collect()}
+    assert {r.cell: r.ci_low for r in rows} == pytest.approx(blocks)

@@ -314,7 +314,9 @@ def fit_toxicity(
     once = found.groupBy(F.xxhash64("i", "t", "y").alias("h")).agg(
         F.min("t").alias("t"), F.min("y").alias("y")
     ).orderBy("h").limit(2 * fit_rows)
-    sample = stash(once.withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int")), "toxicity-sample")
+    parts = min(64, max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    folded = once.withColumn("fold", F.pmod("h", F.lit(FOLDS)).cast("int")).repartition(parts, "h")
+    sample = stash(folded, "toxicity-sample")
     sizes = {
         r.fold: (r.n, r.y) for r in sample.groupBy("fold").agg(
             F.count(F.lit(1)).alias("n"), F.sum("y").alias("y")

@@ -31,6 +31,8 @@ from .common import remainder, slices, stash
 FIT_ROWS = 6000
 LEXICON = 500
 FOLDS = 3
+#: Least summed second derivative on either side of a split.
+LEAST_HESSIAN = 2.0
 #: Look-alike characters, and second-person words of the languages at hand.
 LOOKALIKES = str.maketrans(
     {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "€": "e", "|": "l"}
@@ -221,7 +223,7 @@ class BoostedTrees:
                 )
                 gt, ht = gs[:, :, -1:], hs[:, :, -1:]
                 gain = gs**2 / (hs + self.ridge) + (gt - gs) ** 2 / (ht - hs + self.ridge) - gt**2 / (ht + self.ridge)
-                gain[(hs < 1.0) | (ht - hs < 1.0)] = 0
+                gain[(hs < LEAST_HESSIAN) | (ht - hs < LEAST_HESSIAN)] = 0
                 gain[np.bincount(node - low, minlength=many) < 20] = 0
                 best = gain.reshape(many, -1).argmax(axis=1)
                 some = np.flatnonzero(gain.reshape(many, -1)[np.arange(many), best] > 1e-6)

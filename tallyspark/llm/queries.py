@@ -9,6 +9,7 @@ from .lm_score import op1_lattice_lm
 from .media import op9_wav_fingerprints
 from .packing import op2_length_buckets
 from .sharding import op4_differencing_shards
+from .simhash import op13_bk_trees
 from .token_counts import op8_edit_counts
 from .token_output import op6_arrow_sequences
 from .toxicity import op7_boosted_toxicity
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_edit_counts": op8_edit_counts,
     "op9_wav_fingerprints": op9_wav_fingerprints,
     "op10_blockmax_wand": op10_blockmax_wand,
+    "op13_bk_trees": op13_bk_trees,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -8,6 +8,7 @@ from .langid import op3_byte_gru
 from .lm_score import op1_lattice_lm
 from .media import op9_wav_fingerprints
 from .packing import op2_length_buckets
+from .periodic import op12_kolpakov_kucherov
 from .sharding import op4_differencing_shards
 from .simhash import op13_bk_trees
 from .token_counts import op8_edit_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_edit_counts": op8_edit_counts,
     "op9_wav_fingerprints": op9_wav_fingerprints,
     "op10_blockmax_wand": op10_blockmax_wand,
+    "op12_kolpakov_kucherov": op12_kolpakov_kucherov,
     "op13_bk_trees": op13_bk_trees,
 }
 

@@ -7,6 +7,7 @@ from .jaccard import op5_jaccard_rtree
 from .langid import op3_byte_gru
 from .lm_score import op1_lattice_lm
 from .media import op9_wav_fingerprints
+from .negatives import op11_pca_negatives
 from .packing import op2_length_buckets
 from .periodic import op12_kolpakov_kucherov
 from .sharding import op4_differencing_shards
@@ -26,13 +27,14 @@ QUERIES = {
     "op8_edit_counts": op8_edit_counts,
     "op9_wav_fingerprints": op9_wav_fingerprints,
     "op10_blockmax_wand": op10_blockmax_wand,
+    "op11_pca_negatives": op11_pca_negatives,
     "op12_kolpakov_kucherov": op12_kolpakov_kucherov,
     "op13_bk_trees": op13_bk_trees,
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Only the near-duplicate components can be said in SQL; the other operators learn, search or write files.
+#: Components of near duplicates and hard negatives can be said in SQL; the other operators learn, search or write files.
 SQL: dict[str, str] = {
     "op5_jaccard_rtree": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS t
  FROM documents),
@@ -45,4 +47,27 @@ SQL: dict[str, str] = {
  r AS (SELECT doc_id AS id, doc_id AS root FROM documents UNION SELECT e.i, r.root FROM r JOIN e ON e.j = r.id)
  SELECT r.id AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.id GROUP BY
  r.id""",
+    "op11_pca_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS same,
+    CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id
+  WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score
+  FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+  s.id AS negative_id, p.positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+WHERE 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+""",
 }

@@ -83,15 +83,17 @@ def test_a_tree_finds_what_all_distances_find():
     prints = rng.integers(0, 1 << 10, 400).astype(np.uint64) * np.uint64(0x0101010101010101)
     shards = np.sort(rng.integers(0, 9, 400))
     forest = simhash.Forest(prints, shards)
-    roots = forest.root
-    got = {(int(a), int(b)) for w, m in forest.search(prints, roots, 4) for a, b in zip(w, m, strict=True)}
+    find = lambda before: {
+        (int(a), int(b)) for w, m in forest.search(prints, forest.root, before, 4) for a, b in zip(w, m, strict=True)
+    }
     want = {
         (i, j)
         for i in range(400)
         for j in range(400)
         if shards[i] == shards[j] and int(prints[i] ^ prints[j]).bit_count() <= 4
     }
-    assert got == want
+    assert find(np.full(400, 400)) == want
+    assert find(np.arange(400)) == {(i, j) for i, j in want if j < i}
 
 
 @pytest.mark.parametrize(("shard", "blocks"), [(2000, None), (3, 5), (2, 6), (1, 5)])

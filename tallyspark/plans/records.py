@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from tallyspark.functions import numbers, text
@@ -511,8 +513,8 @@ def number_parse(spark, sf_dir):
     told = F.when(n % 4 == 0, _text("paid ", grouped, " to two")).when(n % 4 == 1, _text("about $", grouped, ".25 then")).when(
         n % 4 == 2, _text(F.replace(grouped, F.lit(","), F.lit(".")), ",5")
     ).otherwise("in 2024")
-    rows = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", F.explode(numbers.numbers_in(told)).alias("n")
+    rows = table(spark, sf_dir, "lineitem").withColumn("told", told).select(
+        "l_orderkey", "l_linenumber", F.explode(numbers.numbers_in("told")).alias("n")
     )
     return rows.select(
         "l_orderkey",
@@ -548,18 +550,74 @@ def parsed_values(spark, sf_dir):
  AND (10 * t + 5) * 1000 OR c BETWEEN (10 * t - 5) * 1000000 AND (10 * t + 5) * 1000000 OR c * 1000 BETWEEN 10 * t - 5 AND 10 * t + 5""")
 def number_matches(spark, sf_dir):
     """Tenths of prices as claims, prices of line items of the same part as mentions: a band join on the mantissa."""
-    value = (F.floor(F.col("p_retailprice") / 10).cast("decimal(20,0)") / 10).cast("decimal(38,18)")
     claims = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("part"), value.alias("value"), F.lit(1).alias("decimals")
+        F.col("p_partkey").alias("part"),
+        F.floor(F.col("p_retailprice") / 10).cast("string").alias("digits"),
+        F.lit(1).alias("decimals"),
     )
+    price = F.col("l_extendedprice").cast("decimal(38,2)")
     mentions = table(spark, sf_dir, "lineitem").select(
-        F.col("l_partkey").alias("part"),
-        F.col("l_extendedprice").cast("decimal(38,18)").alias("m"),
-        F.col("l_orderkey").alias("order"),
+        F.col("l_partkey").alias("part"), price.alias("price"), F.col("l_orderkey").alias("order")
+    ).withColumn("n", numbers.plain_number("price")).select(
+        "part", "order", "price", F.col("n.digits").alias("m_digits"), F.col("n.decimals").alias("m_decimals")
     )
     return numbers.number_matches(
-        claims, ["part"], "value", "decimals", mentions, "m", ["part"]
-    ).select("part", "order", F.col("m").cast("double").alias("price"))
+        claims, ["part"], "digits", "decimals", mentions, "m_digits", "m_decimals", ["part"]
+    ).select("part", "order", F.col("price").cast("double").alias("price")).distinct()
+
+
+@query("""
+SELECT l_orderkey, l_linenumber,
+  CASE l_linenumber % 3
+    WHEN 0 THEN CAST(l_orderkey + 1 AS VARCHAR) || lpad(CAST(l_partkey AS VARCHAR), 24, '0')
+    WHEN 1 THEN CAST(l_partkey AS VARCHAR) || '.' || lpad(CAST(l_orderkey AS VARCHAR), 21, '0')
+    ELSE '0.' || lpad(CAST(l_partkey AS VARCHAR), 40, '0') END AS value,
+  CASE l_linenumber % 3 WHEN 0 THEN 0 WHEN 1 THEN 21 ELSE 40 END AS decimals,
+  CASE l_linenumber % 3
+    WHEN 0 THEN length(rtrim(CAST(l_orderkey + 1 AS VARCHAR) || lpad(CAST(l_partkey AS VARCHAR), 24, '0'), '0'))
+    WHEN 1 THEN length(ltrim(CAST(l_partkey AS VARCHAR) || lpad(CAST(l_orderkey AS VARCHAR), 21, '0'), '0'))
+    ELSE length(ltrim(CAST(l_partkey AS VARCHAR), '0')) END AS significant
+FROM lineitem
+""")
+def long_numbers(spark, sf_dir):
+    """Numbers of 25 and more digits, or of 21 and 40 decimals, read from prose without loss."""
+    n, order, part = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_partkey").cast("string")
+    told = F.when(n % 3 == 0, _text("paid ", (order + 1).cast("string"), F.lpad(part, 24, "0"), " kr")).when(
+        n % 3 == 1, _text("or ", part, ",", F.lpad(order.cast("string"), 21, "0"), " of it")
+    ).otherwise(_text("0.", F.lpad(part, 40, "0")))
+    rows = table(spark, sf_dir, "lineitem").withColumn("told", told)
+    found = rows.select("l_orderkey", "l_linenumber", F.explode(numbers.numbers_in("told")).alias("n"))
+    return found.select("l_orderkey", "l_linenumber", "n.value", "n.decimals", "n.significant")
+
+
+@query("""
+WITH c AS (
+  SELECT p_partkey AS part, CAST(p_partkey % 7 + 1 AS HUGEINT) * 100000000000000000000000 + p_partkey AS t FROM part),
+m AS (
+  SELECT l_partkey AS part, l_orderkey, l_linenumber,
+    (CAST(l_partkey % 7 + 1 AS HUGEINT) * 100000000000000000000000 + l_partkey) * 10
+      + (l_orderkey % 13 - 6) * CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 1000 END AS v
+  FROM lineitem)
+SELECT part, l_orderkey, l_linenumber FROM c JOIN m USING (part) WHERE v BETWEEN 10 * t - 5 AND 10 * t + 5
+""")
+def long_number_matches(spark, sf_dir):
+    """Claims of 24 digits and mentions of 25 that differ in the last ones, millions of times smaller, met exactly."""
+    huge = (F.col("part") % 7 + 1).cast("decimal(2,0)") * F.lit(Decimal(10**23))
+    of = lambda key: (huge + F.col(key)).cast("decimal(30,0)")
+    claims = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part")).select(
+        "part", of("part").cast("string").alias("digits"), F.lit(0).alias("decimals")
+    )
+    step = (F.col("l_orderkey") % 13 - 6) * F.when(F.col("l_linenumber") % 2 == 0, 1).otherwise(1000)
+    told = table(spark, sf_dir, "lineitem").withColumn("part", F.col("l_partkey"))
+    mentions = told.select(
+        "part",
+        "l_orderkey",
+        "l_linenumber",
+        (of("part") * F.lit(10) + step).cast("decimal(38,0)").cast("string").alias("m_digits"),
+        F.lit(7).alias("m_decimals"),
+    )
+    met = numbers.number_matches(claims, ["part"], "digits", "decimals", mentions, "m_digits", "m_decimals", ["part"])
+    return met.select("part", "l_orderkey", "l_linenumber")
 
 
 _MATCH = "({c} BETWEEN (t * 10 - 5) AND (t * 10 + 5) OR {c} BETWEEN (t * 10 - 5) * 1000 AND (t * 10 + 5) * 1000 OR {c} * 1000 BETWEEN (t * 10 - 5) AND (t * 10 + 5))"
@@ -607,3 +665,52 @@ def attribution(spark, sf_dir):
     return provenance.attribute_claims(claims, src).select(
         "run_id", "label", "category", "primary_read", "values_in_nonfiling_source", "verified_by_archive"
     )
+
+
+@query("""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '?') AS run_id,
+    trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g')) AS text
+  FROM documents),
+c AS (
+  SELECT doc_id, run_id, regexp_extract(text, '^(?:[a-z]+ ){2}([a-z]+ [a-z]+ [a-z]+)', 1) AS entity FROM d),
+f AS (
+  SELECT c.doc_id, bool_or(s.doc_id % 3 = 0) AS filed, min(s.doc_id) FILTER (WHERE s.doc_id % 3 <> 0) AS web,
+    max(s.doc_id) FILTER (WHERE s.doc_id % 3 = 0) AS last
+  FROM c JOIN d s ON s.run_id = c.run_id AND c.entity <> '' AND contains(s.text, c.entity)
+  GROUP BY c.doc_id)
+SELECT c.run_id, CAST(c.doc_id AS INTEGER) AS claim_index,
+  CASE WHEN entity = '' THEN 'unattributed' WHEN coalesce(filed, false) THEN 'filing' ELSE 'secondary' END AS label,
+  entity <> '' AND coalesce(filed, false) AS primary_read, web IS NOT NULL AS values_in_nonfiling_source,
+  coalesce(last > web, false) AS verified_by_archive
+FROM c LEFT JOIN f ON f.doc_id = c.doc_id
+""")
+def entity_attribution(spark, sf_dir):
+    """Three words of each document as a claim's named entity, sought in all documents of its language as sources."""
+    lower = F.lower(F.coalesce("text", F.lit("")))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.coalesce("lang", F.lit("?")).alias("run_id"),
+        F.trim(F.regexp_replace(lower, "[^a-z]+", " ")).alias("text"),
+    )
+    entity = F.regexp_extract("text", "^(?:[a-z]+ ){2}([a-z]+ [a-z]+ [a-z]+)", 1)
+    claims = docs.select(
+        "run_id",
+        F.col("doc_id").cast("int").alias("claim_index"),
+        F.array(entity).alias("values"),
+        F.array().cast("array<string>").alias("cited"),
+    )
+    filed = F.col("doc_id") % 3 == 0
+    src = docs.select(
+        "run_id",
+        F.when(filed, "archive").otherwise("shown").alias("kind"),
+        F.col("doc_id").cast("string").alias("key"),
+        F.when(filed, "filing").otherwise("aggregator").alias("category"),
+        F.lit("").alias("title"),
+        F.lit("").alias("snippet"),
+        F.col("doc_id").alias("order"),
+        F.array(F.struct(F.col("doc_id").alias("ord"), "text")).alias("segments"),
+    )
+    return provenance.attribute_claims(claims, src).select(
+        "run_id", "claim_index", "label", "primary_read", "values_in_nonfiling_source", "verified_by_archive"
+    )

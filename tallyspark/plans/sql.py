@@ -10,10 +10,6 @@ from tallyspark.sources import readers
 FUNCTIONS = {
     "fold": text.fold,
     "json_strings": text.json_strings,
-    "numbers_in": numbers.numbers_in,
-    "parse_value": numbers.parse_value,
-    "number_mantissa": numbers.mantissa,
-    "number_band": numbers.band,
     "scrub_free_text": secrets.scrub_free_text,
     "mask_secrets": secrets.mask_secrets,
     "secret_paths": secrets.secret_paths,
@@ -21,9 +17,11 @@ FUNCTIONS = {
 
 
 def register(spark: SparkSession) -> None:
-    """All UDFs, and the table function `secret_findings(text, policy)`."""
+    """All functions, and the table function `secret_findings(text, policy)`."""
     for name, f in FUNCTIONS.items():
         spark.udf.register(name, f)
+    for name, (parameters, body) in numbers.SQL_FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURN {body}")
     spark.udtf.register("secret_findings", secrets.SecretFindings)
 
 

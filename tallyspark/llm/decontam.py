@@ -1,21 +1,26 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND, then verification of question and answer.
 
-The items are indexed; every training passage is a query. A passage is a window of the text of twice the longest item
-(plus a quarter), windows overlap by half, so any copy of an item lies whole in one of them; all windows of all texts
-are asked. An item's score is the BM25 sum over the passage's words, as a share of the item's score for itself; all
-items at THRESHOLD or more are retrieved. WAND's bounds are taken step by step, each of which drops only what cannot
-reach the threshold: the greatest impact of each word over all items; then, for the words without which nothing reaches
-the threshold, the blocks of BLOCK items that they occur in, with the greatest impact of each word in each block (the
-posting lists of the other, commonest, words are only looked up in blocks that are left); then the posting cursors of
-these blocks, moved to pivots. Windows are taken a few at a time, so that at most POSTINGS block entries (or those of one
+The items are indexed; every training passage is a query. What a passage is depends on the item alone: for an item of m
+words, with w the least power of two that is no less than m, the windows of 2.5 w words that begin every 1.25 w words of
+the text, so that any copy of the item lies whole in one of them. An item's score is the BM25 sum over the words of such a
+window, as a share of the item's score for itself; all items at THRESHOLD or more are retrieved.
+
+An index holds items whose lengths differ by 2 ** SPREAD at most, and is searched with the windows of its longest items,
+which hold those of all others; so a retrieved item is scored again in its own windows, and the result is the same
+whichever items share an index. WAND's bounds are taken step by step, each of which drops only what cannot reach the
+threshold: the greatest impact of each word over all items; then, for the words without which nothing reaches the
+threshold, the blocks of BLOCK items that they occur in, with the greatest impact of each word in each block (the posting
+lists of the other, commonest, words are only looked up in blocks that are left); then the posting cursors of these
+blocks, moved to pivots. Windows are taken a few at a time, so that at most POSTINGS block entries (or those of one
 window) are held.
 
-A retrieved pair is kept if the passage holds the item's question (all sentences but the last: share of its word
-5-shingles, or the question but for one word) and its answer (the last sentence: share of its words), or the whole item
+A retrieved pair is kept if some stretch of the window of twice the item's length (so that the answer stands within an
+item's length of the question) holds the item's question (all sentences but the last: share of its word 5-shingles, or the
+question but for one word) and its answer (the last sentence: share of its words), or if the window holds the whole item
 but for one word. "But for one word" is a stretch with one word replaced, left out or put in, and is asked of questions
 and items of SHINGLE words or more. Words are compared without case and without punctuation at their ends.
 
-Indexes of about CHUNK_BYTES of items each are made by tasks and written to the shared folder; item count, document
+Indexes of about CHUNK_BYTES of items each, by length, are made by tasks and written to the shared folder; item count, document
 frequencies and mean length are those of all items, so scores are the same at any number of indexes. One pass over the
 documents asks all of them: a task holds HELD_BYTES of texts and one index at a time.
 
@@ -35,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, new_folder, open_store, slices
+from .common import bounded, new_folder, open_store, slices, stash
 
 THRESHOLD = 0.6
 QUESTION = 0.8
@@ -51,6 +56,8 @@ POSTINGS = 2_000_000
 HELD_BYTES = 32_000_000
 #: Items that an index keeps in parsed form.
 PARSED = 20_000
+#: Powers of two of lengths that share an index: up to 8 words, 128, 2,048, ...
+SPREAD = 4
 
 
 def form(word: str) -> str:
@@ -100,6 +107,11 @@ def nearly(words: list[str], passage: list[str]) -> bool:
     return False
 
 
+def step_of(words: int) -> int:
+    """How far apart the windows of an item of so many words begin; a window is twice as long."""
+    return 5 * max(4, 1 << (words - 1).bit_length()) // 4
+
+
 class ItemIndex:
     """Inverted index of items: impacts by word and item, greatest impacts by word and by word and block."""
 
@@ -116,7 +128,7 @@ class ItemIndex:
         self.ids, self.texts = [x[0] for x in read], [x[2] for x in read]
         self.parsed: dict[int, tuple] = {}
         n = len(read)
-        self.longest = max((len(x[1]) for x in read), default=1)
+        self.step = max((step_of(len(x[1])) for x in read), default=1)
         count = n if count is None else count
         mean = sum(len(x[1]) for x in read) / max(1, n) if mean is None else mean
         where: dict[str, dict[int, int]] = {}
@@ -152,13 +164,18 @@ class ItemIndex:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"parsed": {}}
 
-    def item(self, k: int) -> tuple[list[str], list[str], set, set]:
-        """Words of the item and of its question, the question's shingles, the answer's words."""
+    def item(self, k: int) -> tuple[list[str], list[str], set, set, dict[str, float]]:
+        """Words of the item and of its question, the question's shingles, the answer's words, weights of its words."""
         if k not in self.parsed:
             if len(self.parsed) >= PARSED:
                 self.parsed.clear()
             question, answer = split_item(self.texts[k])
-            self.parsed[k] = forms(self.texts[k]), question, grams(question), set(answer)
+            words, weights = forms(self.texts[k]), {}
+            for w in set(words):
+                t = self.terms[w]
+                at = self.starts[t] + np.searchsorted(self.items[self.starts[t] : self.starts[t + 1]], k)
+                weights[w] = float(self.weights[at])
+            self.parsed[k] = words, question, grams(question), set(answer), weights
         return self.parsed[k]
 
     def in_blocks(self, term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -278,22 +295,58 @@ class ItemIndex:
             cursors = [c for c in cursors if c[0] != -1]
         return out
 
-    def holds(self, item: int, passage: list[str], got: tuple[float, float], question: float, answer: float) -> bool:
-        """Whether the shares `got` or a copy but for one word make the passage hold the item."""
-        words, asked, _, _ = self.item(item)
-        if got[1] >= answer and (got[0] >= question or nearly(asked, passage)):
-            return True
-        return nearly(words, passage)
-
-    def verify(self, item: int, passage: list[str]) -> tuple[float, float]:
-        """Shares of the question's shingles and of the answer's words that the passage holds."""
-        _, _, asked, answer = self.item(item)
-        k = len(next(iter(asked))) if asked else 0
-        here = {tuple(passage[i : i + k]) for i in range(len(passage) - k + 1)} if k else set()
-        words = set(passage)
-        return (len(asked & here) / len(asked) if asked else 1.0), (
-            len(answer & words) / len(answer) if answer else 1.0
-        )
+    def own_windows(self, item: int, passage: list[str], start: int, least: float):
+        """(score, window) of the item's own windows in a passage that begins at word `start` of its text."""
+        words, *_, weights = self.item(item)
+        step = step_of(len(words))
+        for k in range(-(-start // step), max(-(-start // step), (start + len(passage) - 1) // step) + 1):
+            low = k * step - start
+            window = passage[low : low + 2 * step]
+            if k and len(window) <= step:
+                break  # no more than the end of the window before
+            score = sum(weights[w] for w in weights.keys() & set(window))
+            if score >= least:
+                yield score, window
+
+    def verify(self, item: int, passage: list[str], question: float, answer: float) -> tuple[float, float] | None:
+        """Shares of the question's shingles and of the answer's words in the stretch of the passage that holds the item
+        best; None if none holds it."""
+        words, asked, *_ = self.item(item)
+        shares = self.shares(item, passage)
+        told = [(k, got) for k, got in enumerate(shares) if got[1] >= answer]
+        held = [got for _, got in told if got[0] >= question]
+        if not held and told and nearly(asked, passage):
+            span = 2 * len(words)
+            held = [got for k, got in told if nearly(asked, passage[k : k + span])]
+        if not held and nearly(words, passage):
+            held = shares
+        return max(held, default=None)
+
+    def shares(self, item: int, passage: list[str]) -> list[tuple[float, float]]:
+        """(share of the question, share of the answer) of every stretch of twice the item's length, by its start."""
+        words, _, shingles, told, _ = self.item(item)
+        span, n = 2 * len(words), len(passage)
+        k = len(next(iter(shingles))) if shingles else 0
+        of_q = [g if (g := tuple(passage[i : i + k])) in shingles else None for i in range(n - k + 1)] if k else []
+        of_a = [w if w in told else None for w in passage]
+        seen_q: dict = {}
+        seen_a: dict = {}
+        end_q = end_a = 0
+        out = []
+        for start in range(max(1, n - span + 1)):
+            for marks, seen, end, size in ((of_q, seen_q, end_q, span - k + 1), (of_a, seen_a, end_a, span)):
+                upto = min(len(marks), start + size)
+                for i in range(end, upto):
+                    if marks[i] is not None:
+                        seen[marks[i]] = seen.get(marks[i], 0) + 1
+                if start and start <= len(marks) and (gone := marks[start - 1]) is not None:
+                    if seen[gone] == 1:
+                        del seen[gone]
+                    else:
+                        seen[gone] -= 1
+            end_q, end_a = min(len(of_q), start + span - k + 1), min(len(of_a), start + span)
+            out.append((len(seen_q) / len(shingles) if shingles else 1.0, len(seen_a) / len(told) if told else 1.0))
+        return out
 
 
 class Lookup(dict):
@@ -322,7 +375,7 @@ def find_items(
     """(text number, item number, score, question share, answer share) of all verified pairs."""
     if not index.ids:
         return []
-    step = index.longest + index.longest // 4 + 1
+    step = index.step
     words: list[list[str]] = []
     term_parts, window_parts, doc_of, start_of = [], [], [], []
     windows = 0
@@ -353,12 +406,13 @@ def find_items(
     best: dict[tuple[int, int], tuple[float, float, float]] = {}
     ends = np.searchsorted(window, np.arange(windows + 1))
     for k, block in index.survivors(window, term, windows, least - 1e-9).tolist():
-        for item, score in index.search(term[ends[k] : ends[k + 1]], block, least - 1e-9):
+        for item, _ in index.search(term[ends[k] : ends[k + 1]], block, least - 1e-9):
             d, s = doc_of[k], start_of[k]
             passage = [form(v) for v in words[d][s : s + 2 * step]]
-            got = index.verify(item, passage)
-            if index.holds(item, passage, got, question, answer):
-                best[d, item] = max(best.get((d, item), (0.0, 0.0, 0.0)), (score, *got))
+            for score, window in index.own_windows(item, passage, s, least - 1e-9):
+                got = index.verify(item, window, question, answer)
+                if got:
+                    best[d, item] = max(best.get((d, item), (0.0, 0.0, 0.0)), (score, *got))
     return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 
@@ -373,7 +427,15 @@ def write_indexes(items: DataFrame, item_id: str = "item_id", item_text: str = "
     ).distinct()
     size = int(rows.agg(F.coalesce(F.sum(F.octet_length("t") + 64), F.lit(0))).first()[0])
     many = 1 if size <= CHUNK_BYTES else -(-size * 3 // (2 * CHUNK_BYTES))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("i", "t"), F.lit(many)).cast("int"))
+
+    def classed(batches):
+        for b in slices(batches):
+            power = [((max(1, len(forms(x))) - 1).bit_length()) // SPREAD for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(power, pa.int32())], ["i", "t", "power"])
+
+    share = F.pmod(F.xxhash64("i", "t"), F.lit(many))
+    rows = rows.mapInArrow(classed, "i long, t string, power int")
+    rows = stash(rows.select("i", "t", (F.col("power") * many + share).cast("int").alias("chunk")), "items")
 
     def words_of(batches):
         for b in slices(batches):

@@ -1,7 +1,9 @@
 """Near duplicates and benchmark passages against brute force."""
 
+import math
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -135,21 +137,40 @@ def test_components_of_a_long_path(spark):
 
 
 def plain_contamination(docs, items):
-    """(doc, item) by scoring every item against every window, without bounds or an index of blocks."""
-    index = decontam.ItemIndex(items)
-    step = index.longest + index.longest // 4 + 1
+    """(doc, item) by scoring every item against each of its windows: no index, no bounds, no other item's windows."""
+    read = [(i, decontam.forms(t or ""), t) for i, t in items]
+    read = [x for x in read if x[1]]
+    df = Counter(w for _, words, _ in read for w in set(words))
+    mean = sum(len(w) for _, w, _ in read) / max(1, len(read))
     out = set()
-    for d, text in docs:
-        words = decontam.forms(text or "")
-        for k in range(max(1, -(-len(words) // step) - 1)):
-            passage = words[k * step : (k + 2) * step]
-            full = np.zeros(len(index.ids))
-            for t in {index.terms[w] for w in passage if w in index.terms}:
-                part = slice(index.starts[t], index.starts[t + 1])
-                full[index.items[part]] += index.weights[part]
-            for item in np.flatnonzero(full >= decontam.THRESHOLD - 1e-9).tolist():
-                if index.holds(item, passage, index.verify(item, passage), decontam.QUESTION, decontam.ANSWER):
-                    out.add((d, index.ids[item]))
+    for i, words, text in read:
+        m, tf = len(words), Counter(words)
+        idf = {w: math.log(1 + (len(read) - df[w] + 0.5) / (df[w] + 0.5)) for w in tf}
+        weight = {w: idf[w] * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * m / mean)) for w, n in tf.items()}
+        step = 4
+        while step < m:
+            step *= 2
+        step = step * 5 // 4
+        asked, told = decontam.split_item(text)
+        k = min(5, len(asked))
+        shingles = {tuple(asked[j : j + k]) for j in range(len(asked) - k + 1)} if k else set()
+        for d, doc in docs:
+            w = decontam.forms(doc or "")
+            for at in range(0, max(1, len(w)), step):
+                window = w[at : at + 2 * step]
+                if (at and len(window) <= step) or (d, i) in out:
+                    continue
+                here = set(window)
+                if sum(x for v, x in weight.items() if v in here) < (0.6 - 1e-9) * sum(weight.values()):
+                    continue
+                found = decontam.nearly(words, window)
+                for s in range(max(1, len(window) - 2 * m + 1)):
+                    part = window[s : s + 2 * m]
+                    grams = {tuple(part[j : j + k]) for j in range(len(part) - k + 1)} if k else set()
+                    if len(set(told) & set(part)) >= 0.8 * len(set(told)):
+                        found |= len(shingles & grams) >= 0.8 * len(shingles) or decontam.nearly(asked, part)
+                if found:
+                    out.add((d, i))
     return out
 
 
@@ -302,3 +323,73 @@ def test_scores_do_not_depend_on_the_passes(spark, monkeypatch):
     want = rows()
     monkeypatch.setattr(decontam, "CHUNK_BYTES", 2000)
     assert {1, 2, 3} == {d for d, _ in want} and rows() == want
+
+
+def mixed_items(seed=5):
+    """Items of 8 to 2,000 words."""
+    rng = random.Random(seed)
+    words = [f"v{k}" for k in range(30_000)]
+    pick = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    sizes = [8, 9, 12, 17, 33, 60, 64, 65, 128, 129, 300, 513, 2000]
+    return [(k, f"{pick(n - max(2, n // 5))}? {pick(max(2, n // 5))}.") for k, n in enumerate(sizes)]
+
+
+def mixed_docs(items, seed=6):
+    rng = random.Random(seed)
+    words = [f"v{k}" for k in range(30_000)]
+    pick = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    docs = []
+    for i, text in items:
+        question, answer = text.split("? ")
+        part = text.split()
+        part[len(part) // 3] = "zebra"
+        tail = answer.rstrip(".").split()
+        rng.shuffle(tail)
+        n = len(part)
+        docs += [
+            (10 * i, f"{pick(50)} {text} {pick(70)}"),
+            (10 * i + 1, f"{pick(31)} {' '.join(part)} {pick(3)}"),
+            (10 * i + 2, f"{question} {pick(3 * n + 9)} {' '.join(tail)}"),  # the answer's words far away
+            (10 * i + 3, f"{question} {pick(n // 5)} {' '.join(tail)} {pick(2 * n)}"),
+            (10 * i + 4, f"{pick(n)} {question}"),
+        ]
+    return docs
+
+
+@pytest.mark.parametrize(("chunk", "spread"), [(8_000_000, 4), (8_000_000, 40), (3_000, 4), (300, 2), (3_000, 40)])
+def test_results_do_not_depend_on_what_shares_an_index(spark, monkeypatch, chunk, spread):
+    items = mixed_items()
+    docs = mixed_docs(items)
+    monkeypatch.setattr(decontam, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(decontam, "SPREAD", spread)
+    found = decontam.contaminated(
+        spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4),
+        spark.createDataFrame(items, "item_id bigint, text string"),
+    ).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len(got) == len(found) and got == plain_contamination(docs, items)
+    for i, _ in items:
+        assert {(10 * i, i), (10 * i + 1, i), (10 * i + 3, i)} <= got
+        assert (10 * i + 2, i) not in got and (10 * i + 4, i) not in got
+    if chunk == 8_000_000 and spread == 4:
+        test_results_do_not_depend_on_what_shares_an_index.scores = {tuple(r) for r in found}
+    else:
+        want = test_results_do_not_depend_on_what_shares_an_index.scores
+        assert {tuple(round(x, 9) for x in r) for r in found} == {tuple(round(x, 9) for x in r) for r in want}
+
+
+def test_a_long_item_does_not_widen_a_short_one():
+    far = (1, "one two three four five six seven eight? nine ten.")
+    text = "one two three four five six seven eight " + "filler " * 60 + "ten nine"
+    long = (2, " ".join(f"w{k}" for k in range(400)) + "? yes.")
+    for items in ([far], [far, long]):
+        index = decontam.ItemIndex(items, 2, 200.0, Counter(w for _, t in [far, long] for w in set(decontam.forms(t))))
+        assert decontam.find_items(index, [text], decontam.Lookup(index.terms)) == []
+
+
+def test_long_passages():
+    item = mixed_items()[4]
+    index = decontam.ItemIndex([item])
+    lookup = decontam.Lookup(index.terms)
+    texts = ["y" * (1 << 20), "word " * 250_000 + item[1], None, item[1] + " " + "z" * (1 << 20)]
+    assert [x[0] for x in decontam.find_items(index, texts, lookup)] == [1, 3]

@@ -155,6 +155,76 @@ def output_gate(spark, sf_dir):
     return sinks.check_outputs(files, r"example\.org", limit=1000).groupBy("what").agg(F.count(F.lit(1)).alias("files"))
 
 
+#: Secrets planted in documents: (as it stands, as prose is scrubbed, with everything masked), in parts of plain text, `v`
+#: a value of 10 to 29 characters that differs by document, `b` a login in base64, and `opening` and `closing` some nesting.
+_PLANTS = (
+    (["api_key = ", "v"], ["api_key = <redacted>"], ["api_key = <redacted>"]),
+    (["Authorization: Bearer ", "v"], ["Authorization: <redacted>"], ["Authorization: <redacted>"]),
+    (["opening", '{"token": "', "v", '"}', "closing"],) + (["opening", '{"token": "<redacted>"}', "closing"],) * 2,
+    (
+        ['{"note": "{\\"password\\": \\"', "v", '\\"}"}'],
+        ['{"note": "{\\"password\\": \\"<redacted>\\"}"}'],
+        ['{"note": "{\\"password\\": \\"', "v", '\\"}"}'],
+    ),
+    (["mail ", "v", "@b.example"], ["mail ", "v", "@b.example"], ["mail <email>"]),
+    (["key sk-", "v", " was"],) + (["key <redacted-key> was"],) * 2,
+    (["jwt eyJ", "v", ".", "v", ".", "v", " was"],) + (["jwt <redacted-jwt> was"],) * 2,
+    (["use Bearer ", "v", " now"],) + (["use Bearer <redacted> now"],) * 2,
+    (["proxy-authorization = Basic ", "b"],) + (["proxy-authorization = <redacted>"],) * 2,
+    (['session = "', "v", ' and more"'], ['session = "', "v", ' and more"'], ['session = "<redacted>"']),
+    (["'client-secret' : 'a\\'", "v", "'; x"],) + (["'client-secret' : '<redacted>'; x"],) * 2,
+    (["{ open, password=", "v", "; }"],) + (["{ open, password=<redacted>; }"],) * 2,
+)
+_PARTS = ("v", "b", "opening", "closing")
+
+
+def _plant_sql(kind: str, form: int) -> str:
+    told = lambda parts: " || ".join(p if p in _PARTS else "'" + p.replace("'", "''") + "'" for p in parts)
+    cases = " ".join(f"WHEN {k} THEN {told(x[form])}" for k, x in enumerate(_PLANTS))
+    return f"CASE {kind} {cases} END"
+
+
+@query(f"""
+WITH t AS (
+  SELECT doc_id, trim(regexp_replace(lower(coalesce(text, '')), '[^a-z]+', ' ', 'g')) AS c,
+    'v1' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8 + CAST(doc_id % 20 AS INT)) AS v,
+    doc_id % {len(_PLANTS)} AS k1, doc_id // {len(_PLANTS)} % {len(_PLANTS)} AS k2,
+    repeat('{{"a": ', CAST(doc_id % 5 AS INT)) AS opening, repeat('}}', CAST(doc_id % 5 AS INT)) AS closing
+  FROM documents),
+p AS (
+  SELECT *, CAST(doc_id * 7919 % (length(c) + 1) AS INT) AS place, to_base64(CAST('user:' || v AS BLOB)) AS b FROM t)
+SELECT doc_id,
+  md5(substr(c, 1, place) || chr(10) || ({_plant_sql("k1", 1)}) || chr(10) || substr(c, place + 1) || chr(10)
+    || ({_plant_sql("k2", 1)})) AS scrubbed,
+  md5(substr(c, 1, place) || chr(10) || ({_plant_sql("k1", 2)}) || chr(10) || substr(c, place + 1) || chr(10)
+    || ({_plant_sql("k2", 2)})) AS masked
+FROM p
+""")
+def planted_secrets(spark, sf_dir):
+    """Whole documents with two secrets of twelve kinds each, at varying places, lengths and depths of nesting."""
+    many = len(_PLANTS)
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.trim(F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z]+", " ")).alias("c"),
+        F.concat(F.lit("v1"), F.expr("substr(md5(cast(doc_id AS string)), 1, 8 + cast(doc_id % 20 AS int))")).alias("v"),
+        (F.col("doc_id") % many).alias("k1"),
+        (F.floor(F.col("doc_id") / many) % many).alias("k2"),
+        F.expr("repeat('{\"a\": ', cast(doc_id % 5 AS int))").alias("opening"),
+        F.expr("repeat('}', cast(doc_id % 5 AS int))").alias("closing"),
+    )
+    docs = docs.withColumn("place", F.expr("cast(doc_id * 7919 % (length(c) + 1) AS int)")).withColumn(
+        "b", F.base64(F.concat(F.lit("user:"), "v"))
+    )
+    told = lambda parts: F.concat(*[F.col(p) if p in _PARTS else F.lit(p) for p in parts])
+    plant = lambda kind: F.coalesce(*[F.when(F.col(kind) == k, told(x[0])) for k, x in enumerate(_PLANTS)])
+    whole = F.concat_ws("\n", F.expr("substr(c, 1, place)"), plant("k1"), F.expr("substr(c, place + 1)"), plant("k2"))
+    return docs.select("doc_id", whole.alias("t")).select(
+        "doc_id",
+        F.md5(secrets.scrub_free_text("t").cast("binary")).alias("scrubbed"),
+        F.md5(secrets.mask_secrets("t").cast("binary")).alias("masked"),
+    )
+
+
 # --- validators -------------------------------------------------------------------------------------------------
 
 _UUID = "00000000-0000-0000-0000-"

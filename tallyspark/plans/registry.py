@@ -1014,4 +1014,4 @@ def billing_warnings(spark, sf_dir):
     )
 
 
-from . import checks, files, logs, more, records  # noqa: E402, F401
+from . import checks, files, logs, more, records, streams  # noqa: E402, F401

@@ -1,8 +1,7 @@
-"""Run records as a stream: latest wins, latched stops, fresh readings, retry budgets, interrupted runs."""
+"""Run records as a stream, latest wins; stops, freshness, budgets and interrupted runs over finished data (as streams: `ordered`)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,29 +87,8 @@ def current(spark: SparkSession, table: str) -> DataFrame | None:
     return spark.read.parquet(*[f"{table}/data/{v}/_bucket={b}" for b, v in sorted(places.items())]) if places else None
 
 
-def latch(events: DataFrame, key: str = "batch") -> DataFrame:
-    """Stream of (key, at, reason): once a key has a stopping reason, that reason stays and every later row is refused."""
-    marked = events.withColumn("stop", F.coalesce(stops(F.col("reason")), F.lit(False)))
-    state, out = "reason string", f"{key} string, at timestamp, reason string, admitted boolean"
-
-    def run(keys, frames, held):
-        why = held.get[0] if held.exists else None
-        for pdf in frames:
-            pdf = pdf.sort_values("at")
-            rows = []
-            for r in pdf.itertuples():
-                rows.append((keys[0], r.at, why or r.reason, why is None))
-                if why is None and r.stop:
-                    why = r.reason
-            if why is not None:
-                held.update((why,))
-            yield pd.DataFrame(rows, columns=[key, "at", "reason", "admitted"])
-
-    return marked.groupBy(key).applyInPandasWithState(run, out, state, "append", "NoTimeout")
-
-
 def latch_batch(events: DataFrame, key: str = "batch") -> DataFrame:
-    """The same over finished data: rows after the first stopping reason are refused."""
+    """`ordered.latched` over finished data: rows after the first stopping reason are refused."""
     first = events.where(stops(F.col("reason"))).groupBy(key).agg(
         F.min("at").alias("_at"), F.min_by("reason", "at").alias("_why")
     )
@@ -125,15 +103,8 @@ def fresh(readings: DataFrame, now, bound: str = FRESH, at: str = "observed_at")
     return readings.where(F.col(at) >= F.lit(now) - F.expr(f"INTERVAL {bound}"))
 
 
-def latest_fresh(readings: DataFrame, at: str = "observed_at", bound: str = FRESH) -> DataFrame:
-    """Stream: the newest reading per account within windows of the bound; later arrivals than the bound are dropped."""
-    return readings.withWatermark(at, bound).groupBy(F.window(at, bound), "account").agg(
-        F.max(at).alias(at), F.max_by("reading", at).alias("reading")
-    )
-
-
 def budget(attempts: DataFrame, key: str, most: int) -> DataFrame:
-    """Attempts numbered per item; those past the budget are refused (works on batch and, per batch, on streams)."""
+    """Attempts numbered per item; those past the budget are refused ."""
     per = attempts.groupBy(key).agg(
         F.count(F.lit(1)).alias("attempts"), F.bool_or(F.col("status") == "ok").alias("done")
     )

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from tallyspark.streaming import ordered
 from tallyspark.streaming import runs as S
 
 
@@ -38,14 +39,67 @@ def test_latch(spark):
     ]
 
 
-def test_latched_stream(spark, tmp_path):
-    (tmp_path / "0.json").write_text(
-        '{"batch": "b", "at": "2024-01-01 00:00:00", "reason": "usage_limit_exceeded"}\n{"batch": "b", "at": "2024-01-01 00:01:00", "reason": null}'
+def streamed(spark, folder, schema, batches, make):
+    """Rows that a stream tells of batches of JSON lines, each taken by a run of its own."""
+    source, out, mark = (str(folder / n) for n in ("in", "out", "mark"))
+    (folder / "in").mkdir()
+    for k, rows in enumerate(batches):
+        (folder / "in" / f"{k}.json").write_text("\n".join(map(json.dumps, rows)))
+        told = make(spark.readStream.schema(schema).json(source))
+        query = told.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark)
+        query.trigger(availableNow=True).start().awaitTermination(120)
+    return [tuple(r) for r in spark.read.schema(told.schema).parquet(out).collect()]
+
+
+def test_a_late_stop_refuses_rows_that_came_before_it(spark, tmp_path):
+    row = lambda i, at, reason=None, b="b": {"batch": b, "id": i, "at": f"2024-01-01 {at}", "reason": reason}
+    batches = [
+        [row(1, "10:00:00"), row(3, "10:20:00"), row(4, "10:25:00", "rate_limit_exceeded"), row(9, "10:00:00", b=None)],
+        [row(2, "10:10:00", "usage_limit_exceeded"), row(5, "10:10:00")],
+        [row(6, "15:00:00"), row(7, "09:00:00"), row(0, "23:00:00", b="end")],
+    ]
+    make = lambda s: ordered.latched(s, delay="30 minutes")
+    got = streamed(spark, tmp_path, "batch string, id int, at timestamp, reason string", batches, make)
+    stop = "usage_limit_exceeded"
+    assert {r for r in got if r[0] == "b"} == {
+        ("b", 1, None, True),
+        ("b", 2, stop, True),
+        ("b", 5, None, True),  # at the time of the stop
+        ("b", 3, stop, False),
+        ("b", 4, stop, False),
+        ("b", 6, stop, False),
+    }  # row 7 is later than the delay allows: dropped
+    assert (None, 9, None, True) in got and len(got) == 7
+
+
+def test_stale_readings_and_budgets(spark, tmp_path):
+    read = lambda a, at, v: {"account": a, "observed_at": f"2024-01-01 {at}", "reading": v}
+    batches = [
+        [read("x", "10:00:00", 1), read("x", "11:00:00", 3), read("y", "10:00:00", 5)],
+        [read("x", "10:35:00", 2), read("y", "10:29:59", 6)],
+        [read("end", "20:00:00", 0)],
+    ]
+    (tmp_path / "a").mkdir()
+    got = streamed(
+        spark,
+        tmp_path / "a",
+        "account string, observed_at timestamp, reading double",
+        batches,
+        lambda s: ordered.stale_readings(s, delay="2 hours"),
+    )
+    told = {(a, f"{at:%H:%M:%S}", v, f"{stale:%H:%M:%S}") for a, at, v, stale in got}
+    assert told == {("x", "10:00:00", 1.0, "10:30:00"), ("x", "11:00:00", 3.0, "11:30:00"), ("y", "10:29:59", 6.0, "10:59:59")}
+    row = lambda i, at, status: {"item": "i", "id": i, "at": f"2024-01-01 {at}", "status": status}
+    batches = [[row(1, "10:00:00", "error"), row(3, "10:20:00", "error")], [row(2, "10:10:00", "ok"), row(4, "20:00:00", None)]]
+    (tmp_path / "b").mkdir()
+    got = streamed(
+        spark,
+        tmp_path / "b",
+        "item string, id int, at timestamp, status string",
+        batches,
+        lambda s: ordered.budgeted(s, "item", 3, delay="1 hour"),
     )
-    e = spark.readStream.schema("batch string, at timestamp, reason string").json(str(tmp_path))
-    q = S.latch(e).writeStream.format("memory").queryName("latched").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    assert [r.admitted for r in spark.sql("SELECT * FROM latched ORDER BY at").collect()] == [True, False]
+    assert set(got) == {("i", 1, 1, True), ("i", 2, 2, True), ("i", 3, None, False)}
 
 
 def test_budget_and_fresh(spark):

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from tallyspark.plans.scratch import children, shared_dir, stash
+
 RESAMPLES, SEED = 10_000, 8105
 Z = 1.959964
 CELL = ["agent", "stratum"]
@@ -189,6 +192,50 @@ def draws_hashed(spark: SparkSession, sizes: list[int], resamples: int = RESAMPL
     return spark.range(0, resamples).mapInArrow(run, "n int, draw int, idx array<int>")
 
 
+def kept_draws(
+    spark: SparkSession, sizes: list[int], resamples: int = RESAMPLES, seed: int = SEED, home: str | None = None
+) -> tuple[DataFrame, list[int]]:
+    """The index matrix (n, draw, idx) of each size, from a table that is kept below `home` (by default in the shared
+    folder, for all applications), one folder for each size, number of draws and seed; and the sizes that had to be made.
+
+    A folder counts once its write is complete, and is never written again.
+    """
+    home = home or f"{shared_dir(spark)}/tallyspark-draws"
+    at = {n: f"{home}/resamples={resamples}/seed={seed}/n={n}" for n in sorted(set(sizes))}
+    made = [n for n, path in at.items() if "_SUCCESS" not in children(spark, path)]
+    for n in made:
+        draws_hashed(spark, [n], resamples, seed).select("draw", "idx").write.mode("overwrite").parquet(at[n])
+    kind = "draw int, idx array<int>, n int"
+    found = spark.read.schema(kind).option("basePath", f"{home}/resamples={resamples}/seed={seed}").parquet(*at.values())
+    return found.select("n", "draw", "idx"), made
+
+
+def positions(rows: DataFrame, cell: list[str], order: str, out: str = "_pos") -> DataFrame:
+    """Rows with their place 0, 1, ... in their cell by `order` and the cell's size `_n`; no cell stands in one task.
+
+    Rows are dealt by ranges of cell and order and written once; a place is the rank within the range of the cell plus
+    the sizes of the cell's ranges before it, a running sum over one row a range.
+    """
+    many = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = rows.repartitionByRange(many, *cell, order).withColumn("_part", F.spark_partition_id())
+    dealt = stash(dealt, "places")
+    sizes = dealt.groupBy(*cell, "_part").agg(F.count(F.lit(1)).alias("_here"))
+    ranges = Window.partitionBy(*cell)
+    before = ranges.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(cell)],
+        F.col("_part").alias("_at"),
+        F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"),
+        F.sum("_here").over(ranges).alias("_n"),
+    )
+    rank = F.row_number().over(Window.partitionBy(*cell, "_part").orderBy(order)) - 1
+    same = F.col("_part") == F.col("_at")
+    for i, c in enumerate(cell):
+        same = same & F.col(c).eqNullSafe(F.col(f"_c{i}"))
+    met = dealt.withColumn("_rank", rank).join(sizes, same)
+    return met.select(*rows.columns, (F.col("_before") + F.col("_rank")).alias(out), "_n")
+
+
 def _summed(placed: DataFrame, cell: list[str], values: list[str], resamples: int, seed: int) -> DataFrame:
     """cell, _draw, sums of the values over each draw and _n, the number of places drawn.
 
@@ -246,10 +293,161 @@ def _columns_of(statistic: Statistic) -> list[str]:
     return sorted(asked)
 
 
+class Weighted(NamedTuple):
+    """Any statistic of a cell from how often each draw takes each row: `of(values, weights)` gets a list of arrays (one
+    for each of `columns`, a number a row) and an array (draws, rows), and gives a number a draw.
+
+    For cells of PLACE_BLOCK rows at most, of which a task holds one; larger ones are refused. `Quantile` has no bound.
+    """
+
+    columns: tuple[str, ...]
+    of: Callable[[list[np.ndarray], np.ndarray], np.ndarray]
+
+
+class Quantile(NamedTuple):
+    """The quantile of a column, interpolated between neighbours; nulls are to be left out before."""
+
+    column: str
+    share: float
+
+
+class Taken:
+    """How often draws take the rows of a block: rows at places `pos` of a cell of n."""
+
+    def __init__(self, pos: np.ndarray, n: int, seed: int):
+        self.order = np.argsort(pos)
+        self.pos, self.n, self.seed = pos[self.order], n, seed
+        self.wide = max(1, AT_A_TIME // max(1, len(pos)))  # draws at a time
+
+    def __call__(self, draws: np.ndarray) -> np.ndarray:
+        mine = len(self.pos)
+        got = np.zeros(len(draws) * mine, np.int64)
+        base = np.arange(len(draws))[:, None] * mine
+        steps = max(1, AT_A_TIME // len(draws))
+        for k in range(0, self.n, steps):
+            at = drawn_places(self.seed, draws, np.arange(k, min(self.n, k + steps)), self.n).astype(np.int64)
+            place = np.minimum(np.searchsorted(self.pos, at), mine - 1)
+            here = self.pos[place] == at
+            got += np.bincount((base + self.order[place])[here], minlength=len(got))
+        return got.reshape(len(draws), mine)
+
+
+def _by_draws(placed: DataFrame, cell: list[str], values: tuple[str, ...], block: Column, resamples: int) -> DataFrame:
+    """Rows once for each block of draws (_d), with their block of rows (_p) and values _v0, _v1, ..."""
+    return placed.select(
+        *cell,
+        F.col("_n").cast("long"),
+        F.col("_pos").cast("long"),
+        *[F.col(v).cast("double").alias(f"_v{k}") for k, v in enumerate(values)],
+        block.cast("long").alias("_p"),
+        F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // DRAW_BLOCK) - 1))).alias("_d"),
+    )
+
+
+def _cell_kind(placed: DataFrame, cell: list[str], more: str) -> StructType:
+    return StructType([placed.schema[c] for c in cell] + list(StructType.fromDDL(more)))
+
+
+def _told(keys, cell: list[str], kind: StructType, columns: list[np.ndarray]) -> pa.Table:
+    """A table of the cell's keys and some columns."""
+    fields = to_arrow_schema(kind)
+    fixed = [pa.array([keys[i].as_py()] * len(columns[0]), fields[i].type) for i in range(len(cell))]
+    return pa.Table.from_arrays([*fixed, *map(pa.array, columns)], schema=fields)
+
+
+def _weighted(placed: DataFrame, cell: list[str], statistic: Weighted, resamples: int, seed: int) -> DataFrame:
+    """cell, _draw, _v of a `Weighted` statistic; a task has one cell and one block of draws."""
+    tasks = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    kind = _cell_kind(placed, cell, "_draw long, _v double")
+    values = [f"_v{k}" for k in range(len(statistic.columns))]
+
+    def run(keys, table):
+        taken = Taken(table["_pos"].to_numpy(), table.num_rows, seed)
+        draws = np.arange(keys[-1].as_py() * DRAW_BLOCK, min(resamples, (keys[-1].as_py() + 1) * DRAW_BLOCK))
+        rows = [table[v].to_numpy() for v in values]
+        parts = [draws[a : a + taken.wide] for a in range(0, len(draws), taken.wide)]
+        made = [np.asarray(statistic.of(rows, taken(p)), float) for p in parts]
+        return _told(keys, cell, kind, [draws, np.concatenate(made)])
+
+    rows = _by_draws(placed, cell, statistic.columns, F.lit(0), resamples)
+    return rows.repartition(tasks, *cell, "_d").groupBy(*cell, "_d").applyInArrow(run, kind)
+
+
+def weighted_quantile(share: float) -> Callable[[list[np.ndarray], np.ndarray], np.ndarray]:
+    """The interpolated quantile of rows that are there as often as their weights say."""
+
+    def of(values, weights):
+        order = np.argsort(values[0], kind="stable")
+        ends = np.cumsum(weights[:, order], axis=1)
+        at = (ends[:, -1] - 1) * share
+        low = np.floor(at)
+        find = lambda rank: values[0][order][(ends <= rank[:, None]).sum(axis=1)]
+        a, b = find(low), find(np.ceil(at))
+        return a + (b - a) * (at - low)
+
+    return of
+
+
+def _quantiles(placed: DataFrame, cell: list[str], statistic: Quantile, resamples: int, seed: int) -> DataFrame:
+    """cell, _draw, _v of a quantile for cells of any size: rows in blocks by value; the weight of each block in each draw
+    tells which block has the wanted ranks, and that block which values."""
+    tasks = max(1, int(placed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    named = placed.withColumnRenamed("_n", "_all")
+    ranked = positions(named, cell, statistic.column, "_by").drop("_n").withColumnRenamed("_all", "_n")
+    rows = _by_draws(ranked, cell, (statistic.column,), F.floor(F.col("_by") / PLACE_BLOCK), resamples)
+    key = [*cell, "_d", "_p"]
+    sums = _cell_kind(placed, cell, "_d int, _p long, _draw long, _n long, _weight long")
+
+    def weigh(keys, table):
+        n = table["_n"][0].as_py()
+        taken = Taken(table["_pos"].to_numpy(), n, seed)
+        draws = np.arange(keys[-2].as_py() * DRAW_BLOCK, min(resamples, (keys[-2].as_py() + 1) * DRAW_BLOCK))
+        parts = [draws[a : a + taken.wide] for a in range(0, len(draws), taken.wide)]
+        weight = np.concatenate([taken(p).sum(axis=1) for p in parts])
+        full = lambda x, t: np.full(len(draws), x, t)
+        columns = [full(keys[-2].as_py(), np.int32), full(keys[-1].as_py(), np.int64), draws, full(n, np.int64), weight]
+        return _told(keys, cell, sums, columns)
+
+    weights = rows.repartition(tasks, *key).groupBy(*key).applyInArrow(weigh, sums)
+    before = Window.partitionBy(*cell, "_draw").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    at = (F.col("_n") - 1) * F.lit(float(statistic.share))
+    asked = weights.withColumn("_before", F.coalesce(F.sum("_weight").over(before), F.lit(0))).select(
+        *key, "_draw", "_before", "_weight", F.posexplode(F.array(F.floor(at), F.ceil(at))).alias("_k", "_rank")
+    ).where("_rank >= _before AND _rank < _before + _weight").select(
+        *key, "_draw", F.col("_k").cast("long"), (F.col("_rank") - F.col("_before")).alias("_rank")
+    )
+    found = _cell_kind(placed, cell, "_draw long, _k long, _v double, _n long")
+
+    def pick(keys, table, wanted):
+        if not wanted.num_rows:
+            return found_none()
+        value = table["_v0"].to_numpy()
+        order = np.argsort(value, kind="stable")
+        taken = Taken(table["_pos"].to_numpy(), table["_n"][0].as_py(), seed)
+        draw, rank = wanted["_draw"].to_numpy(), wanted["_rank"].to_numpy()
+        out = np.empty(len(draw))
+        for a in range(0, len(draw), taken.wide):
+            ends = np.cumsum(taken(draw[a : a + taken.wide])[:, order], axis=1)
+            out[a : a + taken.wide] = value[order][(ends <= rank[a : a + taken.wide, None]).sum(axis=1)]
+        n = np.full(len(draw), table["_n"][0].as_py())
+        return _told(keys, cell, found, [draw, wanted["_k"].to_numpy(), out, n])
+
+    def found_none():
+        return pa.Table.from_pylist([], schema=to_arrow_schema(found))
+
+    met = rows.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(pick, found)
+    ends = met.groupBy(*cell, "_draw").agg(
+        F.max("_n").alias("_n"),
+        F.max(F.when(F.col("_k") == 0, F.col("_v"))).alias("_a"),
+        F.max(F.when(F.col("_k") == 1, F.col("_v"))).alias("_b"),
+    )
+    return ends.select(*cell, "_draw", (F.col("_a") + (F.col("_b") - F.col("_a")) * (at - F.floor(at))).alias("_v"))
+
+
 def bootstrap(
     pairs: DataFrame,
     cell: list[str],
-    statistic: str | Statistic | Column,
+    statistic: str | Statistic | Weighted | Quantile | Column,
     order: str = "question_id",
     resamples: int = RESAMPLES,
     seed: int = SEED,
@@ -257,18 +455,33 @@ def bootstrap(
 ) -> DataFrame:
     """Percentile 95 % interval of a statistic per cell: estimate, ci_low, ci_high, n_questions, resamples, seed.
 
-    All cells and draws in one job. A named statistic, or a function of sums, is summed by blocks of draws (`_summed`).
-    Any other aggregate, and draws given as index lists (`draws`: n, draw, idx), go as one row a draw and place, met
-    with the values by an equi-join: for cells of report size.
+    All cells and draws in one job. A named statistic, or a function of sums, is summed by blocks of draws (`_summed`);
+    a `Quantile` or `Weighted` statistic goes by how often each draw takes each row. Any other aggregate, and draws given
+    as index lists (`draws`: n, draw, idx), go as one row a draw and place, met with the values by an equi-join: for cells
+    of report size.
     """
-    summed = STATISTICS[statistic] if isinstance(statistic, str) else None if isinstance(statistic, Column) else statistic
-    made = statistic if summed is None else aggregate(summed)
-    by = Window.partitionBy(*cell)
-    placed = pairs.withColumns({"_pos": F.row_number().over(by.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(by)})
-    if summed is not None and draws is None:
+    summed = STATISTICS.get(statistic) if isinstance(statistic, str) else statistic
+    summed = None if isinstance(statistic, (Column, Weighted, Quantile)) else summed
+    placed = positions(pairs, cell, order)
+    if isinstance(statistic, (Weighted, Quantile)):
+        columns = statistic.columns if isinstance(statistic, Weighted) else (statistic.column,)
+        one = placed.agg(F.max("_n")).first()[0] or 0
+        if isinstance(statistic, Quantile):
+            made = F.percentile(statistic.column, F.lit(statistic.share))
+            plain = Weighted(columns, weighted_quantile(statistic.share))
+            how = _weighted if one <= PLACE_BLOCK else _quantiles
+            drawn = how(placed, cell, plain if how is _weighted else statistic, resamples, seed)
+        elif one > PLACE_BLOCK:
+            raise ValueError(f"a cell has {one} rows: too many for a weighted statistic")
+        else:
+            drawn = _weighted(placed, cell, statistic, resamples, seed)
+            made = None
+    elif summed is not None and draws is None:
+        made = aggregate(summed)
         sums = _summed(placed, cell, _columns_of(summed), resamples, seed)
         drawn = sums.select(*cell, "_draw", summed(lambda c: F.col(c), F.col("_n")).alias("_v"))
     else:
+        made = statistic if summed is None else aggregate(summed)
         sizes = placed.select(*cell, F.col("_n").cast("int").alias("_n")).distinct()
         if draws is None:
             counts = [r[0] for r in sizes.select("_n").distinct().collect()]
@@ -277,15 +490,30 @@ def bootstrap(
             *cell, F.col("draw").alias("_draw"), F.explode("idx").alias("_pos")
         )
         drawn = rows.join(placed, [*cell, "_pos"]).groupBy(*cell, "_draw").agg(made.alias("_v"))
-    ends = drawn.groupBy(*cell).agg(
-        F.percentile("_v", F.lit(0.025)).alias("ci_low"), F.percentile("_v", F.lit(0.975)).alias("ci_high")
+    ends = drawn.groupBy(*cell).agg(F.percentile("_v", F.array(F.lit(0.025), F.lit(0.975))).alias("_ends")).select(
+        *cell, F.col("_ends")[0].alias("ci_low"), F.col("_ends")[1].alias("ci_high")
     )
-    whole = placed.groupBy(*cell).agg(made.alias("estimate"), F.count(F.lit(1)).alias("n_questions"))
+    if made is None:
+        whole = _estimates(placed, cell, statistic)
+    else:
+        whole = placed.groupBy(*cell).agg(made.alias("estimate"), F.count(F.lit(1)).alias("n_questions"))
     return whole.join(ends, cell).withColumns(
         {"resamples": F.lit(resamples), "seed": F.lit(seed)}
     ).where("estimate IS NOT NULL")
 
 
+def _estimates(placed: DataFrame, cell: list[str], statistic: Weighted) -> DataFrame:
+    """A weighted statistic of each cell as it is: every row once."""
+    kind = _cell_kind(placed, cell, "estimate double, n_questions long")
+
+    def run(keys, table):
+        rows = [table[c].to_numpy().astype(float) for c in statistic.columns]
+        made = np.asarray(statistic.of(rows, np.ones((1, table.num_rows), np.int64)), float)
+        return _told(keys, cell, kind, [made, np.array([table.num_rows])])
+
+    return placed.groupBy(*cell).applyInArrow(run, kind)
+
+
 def mean_interval(values: DataFrame, cell: list[str], **how) -> DataFrame:
     """Interval of the mean of question values in column a; nulls are no values."""
     return bootstrap(values.where("a IS NOT NULL"), cell, "mean", **how)

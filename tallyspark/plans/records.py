@@ -11,6 +11,8 @@ from tallyspark.operators import provenance, runs, sampling, stats, validation,
 
 from .files import _text
 from .registry import HASHES, HOST_SQL, RUNS, _page_categories, draws_sql, event_runs, query, r6, table
+from .scratch import new_folder
+
 
 # --- the fact table -----------------------------------------------------------------------------------
 
@@ -464,11 +466,46 @@ def extension_sample(spark, sf_dir):
     return sampling.extension_sample(rows, first, ["source"], "doc_id", 150, "1").select("row_id", "doc_id", "source")
 
 
-@query(f"""WITH sizes AS (SELECT unnest([7, 25]) AS n), {HASHES} SELECT CAST(n AS INTEGER) AS n, CAST(draw AS INTEGER) AS draw, string_agg(CAST(h %
- CAST(n AS UBIGINT) AS VARCHAR), ',' ORDER BY k) AS places FROM sizes JOIN hashes ON k < n GROUP BY n, draw""")
+@query(f"""
+WITH {RUNS},
+sizes AS (
+  SELECT DISTINCT n FROM (SELECT count(DISTINCT question_id) AS n FROM runs GROUP BY agent, stratum, arm)),
+{HASHES}
+SELECT CAST(n AS INTEGER) AS n, CAST(draw AS INTEGER) AS draw,
+  string_agg(CAST(h % CAST(n AS UBIGINT) AS VARCHAR), ',' ORDER BY k) AS places,
+  CAST((SELECT count(*) FROM sizes) AS INTEGER) AS made_first, 0 AS made_again
+FROM sizes JOIN hashes ON k < n GROUP BY n, draw
+""")
 def bootstrap_places(spark, sf_dir):
-    """The places that every draw takes, for two numbers of questions."""
-    return stats.draws_hashed(spark, [7, 25]).select("n", "draw", F.array_join("idx", ",").alias("places"))
+    """The index matrices for the numbers of questions that the cells of the runs have, kept as a table: asked for twice,
+    made once."""
+    cells = event_runs(spark, sf_dir).groupBy("agent", "stratum", "arm").agg(F.count_distinct("question_id").alias("n"))
+    sizes = [r.n for r in cells.select("n").distinct().collect()]  # numbers of questions, not of runs
+    home = new_folder(spark, "draws")
+    _, first = stats.kept_draws(spark, sizes, home=home)
+    found, again = stats.kept_draws(spark, sizes, home=home)
+    return found.select(
+        "n",
+        "draw",
+        F.array_join("idx", ",").alias("places"),
+        F.lit(len(first)).alias("made_first"),
+        F.lit(len(again)).alias("made_again"),
+    )
+
+
+@query(f"""
+WITH {RUNS},
+q AS (
+  SELECT agent, arm, question_id, avg(total_tokens) AS a FROM runs WHERE total_tokens IS NOT NULL GROUP BY ALL),
+{draws_sql("q", "agent, arm", "quantile_cont(a, 0.5)")}
+SELECT agent, arm, round(estimate, 6) AS estimate, round(low, 6) AS ci_low, round(high, 6) AS ci_high, n_questions
+FROM whole JOIN ends USING (agent, arm)
+""")
+def median_interval(spark, sf_dir):
+    """Median of the questions' mean tokens, with the interval of all draws, from how often each draw takes a question."""
+    rows = stats.question_means(event_runs(spark, sf_dir), "total_tokens", ["agent", "arm"])
+    made = stats.bootstrap(rows.withColumnRenamed("mean", "a"), ["agent", "arm"], stats.Quantile("a", 0.5))
+    return made.select("agent", "arm", r6("estimate").alias("estimate"), r6("ci_low").alias("ci_low"), r6("ci_high").alias("ci_high"), "n_questions")
 
 
 @query("""WITH p AS (SELECT l_suppkey, list_sort(list(DISTINCT 'p' || l_partkey)) AS names FROM lineitem GROUP BY ALL) SELECT l_suppkey AS run_id,

@@ -146,3 +146,55 @@ def test_blocks_of_draws_and_places_add_up(spark, monkeypatch):
     rows = stats.bootstrap(frame, ["cell"], stats.aggregate("ratio")).collect()  # one row a draw and place
     blocks = {r.cell: r.ci_low for r in stats.bootstrap(frame, ["cell"], "ratio").collect()}
     assert {r.cell: r.ci_low for r in rows} == pytest.approx(blocks)
+
+
+@pytest.mark.parametrize("block", [1 << 21, 5])
+def test_quantiles_of_any_size(spark, monkeypatch, block):
+    monkeypatch.setattr(stats, "PLACE_BLOCK", block)
+    rng = np.random.default_rng(3)
+    cells = {c: rng.integers(0, 9, n).astype(float) for c, n in (("a", 1), ("b", 4), ("c", 23))}
+    frame = spark.createDataFrame([(c, i, float(v)) for c, x in cells.items() for i, v in enumerate(x)], "cell string, question_id int, a double")
+    for share in (0.5, 0.1):
+        got = {
+            r.cell: [r.estimate, r.ci_low, r.ci_high, r.n_questions]
+            for r in stats.bootstrap(frame, ["cell"], stats.Quantile("a", share), resamples=1500).collect()
+        }
+        for c, x in cells.items():
+            drawn = np.quantile(x[hashes(len(x))[:1500] % len(x)], share, axis=1)
+            want = [np.quantile(x, share), *np.quantile(drawn, [0.025, 0.975]), len(x)]
+            assert got[c] == pytest.approx(want, abs=1e-9)
+
+
+def test_any_weighted_statistic(spark, monkeypatch):
+    x = np.array([3.0, 1.0, 4.0, 1.0, 5.0, 9.0, 2.0, 6.0])
+    frame = spark.createDataFrame([("c", i, float(v)) for i, v in enumerate(x)], "cell string, question_id int, a double")
+    spread = stats.Weighted(("a",), lambda v, w: np.where(w > 0, v[0], -np.inf).max(1) - np.where(w > 0, v[0], np.inf).min(1))
+    r = stats.bootstrap(frame, ["cell"], spread).first()
+    drawn = x[hashes(len(x)) % len(x)]
+    want = np.quantile(drawn.max(1) - drawn.min(1), [0.025, 0.975])
+    assert [r.estimate, r.ci_low, r.ci_high] == pytest.approx([8.0, *want])
+    monkeypatch.setattr(stats, "PLACE_BLOCK", 3)
+    with pytest.raises(ValueError, match="too many"):
+        stats.bootstrap(frame, ["cell"], spread)
+
+
+def test_positions_without_a_cell_in_one_task(spark):
+    rows = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN 'x' WHEN id % 50 = 1 THEN null ELSE 'y' END AS c", "hash(id) AS k")
+    got = stats.positions(rows.repartition(5), ["c"], "k").collect()
+    want = {}
+    for r in sorted(rows.collect(), key=lambda r: r.k):
+        want.setdefault(r.c, []).append(r.k)
+    assert sorted((str(r.c), r.k, r._pos, r._n) for r in got) == sorted(
+        (str(c), k, i, len(ks)) for c, ks in want.items() for i, k in enumerate(ks)
+    )
+
+
+def test_kept_draws_are_made_once(spark, tmp_path):
+    home = str(tmp_path / "draws")
+    first, made = stats.kept_draws(spark, [3, 5, 3], 40, 7, home)
+    assert made == [3, 5] and first.count() == 80
+    again, made = stats.kept_draws(spark, [5, 4], 40, 7, home)
+    assert made == [4]
+    want = {(r.n, r.draw): list(r.idx) for r in stats.draws_hashed(spark, [4, 5], 40, 7).collect()}
+    assert {(r.n, r.draw): list(r.idx) for r in again.collect()} == want
+    assert stats.kept_draws(spark, [5], 40, 8, home)[1] == [5]

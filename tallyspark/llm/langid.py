@@ -2,10 +2,10 @@
 
 A text is cut into windows of WINDOW bytes (all of it, none left out). In each window one recurrent layer runs forwards
 and one backwards; every position gets a distribution over the languages from both states; a document's distribution is
-the mean over all its positions. Training is backpropagation through time with Adam on a bounded sample: the FIT_DOCS
-labelled documents that come first by a hash of their row, and up to FIT_WINDOWS windows of each, picked where the
-documents are, so that FIT_DOCS * FIT_WINDOWS * WINDOW bytes reach the driver at most. The sample and the weights are of
-fixed size; labelling is one pass over the corpus without a shuffle.
+the mean over all its positions. Training is backpropagation through time with Adam on a sample of bounded rows: the
+FIT_DOCS labelled documents that come first by a hash of their row, whole: all their windows reach the driver, and rounds take them in a
+shuffled order, class by class in turn. The weights are of fixed size; labelling is one pass over the corpus without a
+shuffle. A state goes over WINDOW bytes in fitting and in labelling.
 
 Cases: a null text or one without a letter is `und` with score 0; fewer than two learnt languages give that language
 (or `und` if none) with score 1; a null doc_id is kept and counts as not held out; repeated rows get equal results;
@@ -16,17 +16,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import remainder, slices
+from .common import remainder
 
-WINDOW = 64
+WINDOW = 256
 HIDDEN = 8
 FIT_DOCS = 2000
-FIT_WINDOWS = 6
-CHUNK = 4096
+#: Windows of one pass.
+CHUNK = 1024
 
 
 def _gates(rng: np.random.Generator) -> dict[str, np.ndarray]:
@@ -117,7 +116,7 @@ class ByteGRU:
         grads = {"out": np.einsum("tkb,thb->kh", d, states), "bias": d.sum(axis=(0, 2))[:, None]}
         back = np.einsum("kh,tkb->thb", self.out, d)
         for name, w, kept, part in (("fwd", self.fwd, kf, back[:, :HIDDEN]), ("bwd", self.bwd, kb, back[:, HIDDEN:])):
-            gx, gu = np.zeros_like(w["x"]), np.zeros_like(w["u"])
+            gu, das = np.zeros_like(w["u"]), np.empty((len(x), 3 * HIDDEN, x.shape[1]), np.float32)
             dh = np.zeros((HIDDEN, x.shape[1]), np.float32)
             for t, h, z, r, c, uc in reversed(kept):
                 dh = dh + part[t]
@@ -126,10 +125,10 @@ class ByteGRU:
                 dr = dc * uc * 0.25 * ((r > 0) & (r < 1))
                 du = np.concatenate([dz, dr, dc * r])
                 gu += du @ h.T
-                da = np.concatenate([dz, dr, dc])
-                for k in range(len(da)):
-                    gx[k] += np.bincount(x[t], da[k], 257).astype(np.float32)
+                das[t] = np.concatenate([dz, dr, dc])
                 dh = dh * z + w["u"].T @ du
+            flat = x.ravel()
+            gx = np.stack([np.bincount(flat, das[:, k].ravel(), 257) for k in range(3 * HIDDEN)]).astype(np.float32)
             grads[name + "x"], grads[name + "u"] = gx, gu
         return loss, grads
 
@@ -147,12 +146,13 @@ class ByteGRU:
         self,
         windows: np.ndarray,
         labels: np.ndarray,
-        rounds: int = 260,
-        batch: int = 192,
+        rounds: int = 100,
+        batch: int = 224,
         rate: float = 0.02,
         seed: int = 11,
     ) -> float:
-        """Adam over random batches of windows (rows of bytes); returns the last loss."""
+        """Adam over batches of windows (rows of bytes), each class in a shuffled order of its own that begins anew when it
+        is through; returns the last loss."""
         rng = np.random.default_rng(seed)
         w = self.weights()
         m = {k: np.zeros_like(v) for k, v in w.items()}
@@ -160,8 +160,10 @@ class ByteGRU:
         loss = 0.0
         by = [np.flatnonzero(labels == k) for k in range(len(self.classes))]
         by = [x for x in by if len(x)]
+        share = max(1, batch // max(1, len(by)))
+        turns = [np.concatenate([rng.permutation(x) for _ in range(-(-share * rounds // len(x)))]) for x in by]
         for i in range(1, rounds + 1):
-            pick = np.concatenate([rng.choice(x, max(1, batch // len(by))) for x in by])
+            pick = np.concatenate([x[(i - 1) * share : i * share] for x in turns])
             loss, grads = self.step(np.ascontiguousarray(windows[pick].T), labels[pick])
             pace = rate * min(1.0, 2 * (1 - i / (rounds + 1)))
             for k, g in grads.items():
@@ -219,21 +221,6 @@ def label_texts(
     return names, np.clip(probs.max(axis=1), 0, 1), probs
 
 
-def sample_windows(text: str, seed: int) -> np.ndarray:
-    """Up to FIT_WINDOWS windows of a text, as `windows_of` has them, in the order that the seed draws."""
-    raw = text.encode("utf-8", "replace")
-    many = -(-len(raw) // WINDOW)
-    pick = range(many) if many <= FIT_WINDOWS else np.random.default_rng(seed).choice(many, FIT_WINDOWS, replace=False)
-    return np.concatenate([windows_of_bytes([raw[k * WINDOW : (k + 1) * WINDOW]])[0] for k in pick])
-
-
-def _picked(batches):
-    for b in slices(batches):
-        keys, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
-        windows = [sample_windows(x, k % 2**32).tobytes() for k, x in zip(keys, texts, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(windows, pa.binary())], ["h", "l", "w"])
-
-
 def fit_language(
     docs: DataFrame,
     learn: str,
@@ -242,24 +229,24 @@ def fit_language(
     label: str = "lang",
     fit_docs: int = FIT_DOCS,
 ) -> tuple[ByteGRU | None, list[str]]:
-    """Train on the first `fit_docs` distinct labelled rows by hash, among those where `learn` is true."""
+    """Train on the first `fit_docs` distinct labelled rows by hash, among those where `learn` is true.
+
+    Their whole texts come to the driver; `fit_docs` bounds the rows, not the texts.
+    """
     able = docs.where(F.col(learn) & F.col(label).isNotNull() & (F.length(text) > 0)).select(
         F.xxhash64(id_col, text, label).alias("h"), F.col(text).alias("t"), F.col(label).alias("l")
     )
     first = able.select("h").groupBy("h").agg(  # hashes only: no texts
         F.count(F.lit(1)).alias("same")
     ).orderBy("h").limit(fit_docs).select("h")
-    found = able.join(F.broadcast(first), "h").select("h", "l", "t").mapInArrow(
-        _picked, f"h long, l {docs.schema[label].dataType.simpleString()}, w binary"
-    )
-    rows = sorted(found.groupBy("h").agg(F.min("l").alias("l"), F.min("w").alias("w")).collect())
+    found = able.join(F.broadcast(first), "h").select("h", "l", "t")
+    rows = sorted(found.groupBy("h").agg(F.min("l").alias("l"), F.min("t").alias("t")).collect())
     classes = sorted({r.l for r in rows})
     if len(classes) < 2:
         return None, classes
-    xs = [np.frombuffer(bytes(r.w), np.int16).reshape(-1, WINDOW) for r in rows]
-    ys = [classes.index(r.l) for r, x in zip(rows, xs, strict=True) for _ in x]
+    windows, owner = windows_of([r.t for r in rows])
     model = ByteGRU(classes)
-    model.fit(np.concatenate(xs), np.array(ys))
+    model.fit(windows, np.array([classes.index(r.l) for r in rows])[owner])
     return model, classes
 
 

@@ -13,7 +13,8 @@ of the first pieces together. That is what leaving one use out asks for: the sha
 themselves. D follows from the numbers of words seen once and twice.
 
 Words never meet in a piece (a piece holds a space only in front), so a document's likelihood is a sum over its words and
-every distinct word is worked out once. A piece has MAX_PIECE bytes at most and does not cross a multiple of CHUNK bytes
+every distinct word is worked out once. A piece has MAX_PIECE bytes at most (the few longer ones of the file are not used:
+what they spell is spelled by others) and does not cross a multiple of CHUNK bytes
 of a word: a word of any length is a row of lattices of bounded size. Counts of all words come from a shuffle over the
 whole corpus. Looking words up from documents: words with at least 1/HEAVY of all training tokens (so HEAVY of them at
 most) are sent to every worker; the others are joined. Words above LONG bytes travel as a digest.

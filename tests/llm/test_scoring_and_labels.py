@@ -220,7 +220,7 @@ def naive_language(model, text):
 
 def test_forward_pass_and_pooling_equal_plain_loops():
     model = langid.ByteGRU(["a", "b", "c"], 5)
-    texts = ["short", "a longer text of more than sixty-four bytes, so that it has two windows", "é日本"]
+    texts = ["short", "a longer text of more than one window of bytes, " * 6, "é日本"]
     _, score, probs = langid.label_texts(model, model.classes, texts)
     for k, x in enumerate(texts):
         assert probs[k] == pytest.approx(
@@ -228,19 +228,31 @@ def test_forward_pass_and_pooling_equal_plain_loops():
         ) and score[k] == pytest.approx(probs[k].max())
 
 
-def test_sampled_windows_are_windows_of_the_text():
-    text = "".join(map(str, range(300)))
-    whole = {w.tobytes() for w in langid.windows_of([text])[0]}
-    got = langid.sample_windows(text, 3)
-    assert got.shape == (
-        langid.FIT_WINDOWS, langid.WINDOW
-    ) and {w.tobytes() for w in got} <= whole and len({w.tobytes() for w in got}) == langid.FIT_WINDOWS
-    assert langid.sample_windows("ab", 3).shape == (1, langid.WINDOW)
+def test_the_fit_sees_whole_texts_in_turn(monkeypatch):
+    texts = ["".join(map(str, range(k, k + 700))) for k in range(3)] + ["abc" * 900]
+    windows, owner = langid.windows_of(texts)
+    seen = []
+
+    def step(self, x, label):
+        seen.extend(w.astype(np.int16).tobytes() for w in x.T)
+        return 0.0, {k: np.zeros_like(v) for k, v in self.weights().items()}
+
+    monkeypatch.setattr(langid.ByteGRU, "step", step)
+    langid.ByteGRU(["a", "b"]).fit(windows, np.array([0, 0, 0, 1])[owner], rounds=12, batch=6)
+    assert {w.tobytes() for w in windows} == set(seen) and len(seen) == 12 * 6
+
+
+def test_long_texts_are_labelled_whole():
+    model = langid.ByteGRU(["a", "b"], 3)
+    tail = "zyx " * 100_000
+    _, _, probs = langid.label_texts(model, model.classes, ["abc " * 64, "abc " * 64 + tail, tail, "x" * (1 << 20)])
+    n, m = 256, len(tail)
+    assert probs[1] == pytest.approx((probs[0] * n + probs[2] * m) / (n + m), abs=1e-4) and len(probs) == 4
 
 
 def test_windows_hold_whole_texts():
-    rows, owner = langid.windows_of(["a" * 130, "", "é"])
-    assert list(owner) == [0, 0, 0, 2] and int((rows < 256).sum()) == 132
+    rows, owner = langid.windows_of(["a" * (2 * langid.WINDOW + 2), "", "é"])
+    assert list(owner) == [0, 0, 0, 2] and int((rows < 256).sum()) == 2 * langid.WINDOW + 4
 
 
 def test_language_held_out(spark, sf_dir):

@@ -27,6 +27,80 @@ def _text(c, *parts) -> F.Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in (c, *parts)])
 
 
+# --- fingerprints of many files -----------------------------------------------------------------------
+
+
+@query("""
+WITH f AS (
+  SELECT sha256('doc-' || doc_id) AS key, sha256(coalesce(text, '')) AS h FROM documents),
+g AS (
+  SELECT substr(key, 1, 2) AS grp, sha256(string_agg(key || ' ' || h, chr(10) ORDER BY key, h)) AS h FROM f GROUP BY ALL)
+SELECT sha256(string_agg(grp || ' ' || h, chr(10) ORDER BY grp)) AS fingerprint FROM g
+""")
+def grouped_fingerprint(spark, sf_dir):
+    """One hash of all documents, whatever their order: by 256 groups of labels."""
+    files = table(spark, sf_dir, "documents").select(
+        _text("doc-", F.col("doc_id")).alias("label"), F.coalesce("text", F.lit("")).cast("binary").alias("content")
+    )
+    return spark.createDataFrame([(sinks.grouped_fingerprint(files),)], "fingerprint string")
+
+
+# --- logs in many splits ------------------------------------------------------------------------------
+
+
+@query("""
+SELECT user_id % 3 AS log, row_number() OVER (PARTITION BY user_id % 3 ORDER BY event_id) - 1 AS ord, event_id AS id
+FROM events WHERE event_id % 5 <> 0
+""")
+def split_logs(spark, sf_dir):
+    """Three logs of all events, read in splits of 64 KB by many tasks: blank lines, other values and broken objects are
+    skipped, and the ordinals count what is kept."""
+    i = F.col("event_id")
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("log"), "event_id", "event_type", "props")
+    broken = F.when(i % 15 == 0, "").when(i % 15 == 5, "[1, 2]").otherwise(_text('{"id": ', i, ', "broken": '))
+    good = _text('  {"id": ', i, ', "type": "', F.col("event_type"), '"}', " ")
+    # an object and a number behind it, parted by a mark that ends a line but is no line feed
+    line = F.when(i % 5 == 0, broken).when(i % 4 == 0, F.concat(good, F.lit("\u2028 17"))).otherwise(good)
+    folder = new_folder(spark, "split-logs")
+    rows = e.select("log", "event_id", line.alias("line")).repartition(3, "log").sortWithinPartitions("log", "event_id")
+    rows.select("log", "line").write.partitionBy("log").text(folder)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        found = readers.json_lines(spark, folder)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    return found.select(
+        F.regexp_extract("path", r"/log=(\d+)/", 1).cast("bigint").alias("log"),
+        F.col("ord").cast("bigint").alias("ord"),
+        F.get_json_object("raw", "$.id").cast("bigint").alias("id"),
+    )
+
+
+@query("""
+SELECT 'part-' || l_partkey || '/lines.json' AS path,
+  '{"part":' || l_partkey || ',"note":null,"lines":[' || string_agg('{"order":' || l_orderkey || ',"line":' || l_linenumber || '}',
+    ',' ORDER BY l_orderkey, l_linenumber) || ']}' || chr(10) AS text,
+  sha256('{"part":' || l_partkey || ',"note":null,"lines":[' || string_agg('{"order":' || l_orderkey || ',"line":' || l_linenumber || '}',
+    ',' ORDER BY l_orderkey, l_linenumber) || ']}' || chr(10)) AS sha256
+FROM lineitem GROUP BY l_partkey
+""")
+def json_documents(spark, sf_dir):
+    """A JSON document for each part with its lines, written by tasks under one commit and read back, with the manifest."""
+    line = F.struct(F.col("l_orderkey").alias("order"), F.col("l_linenumber").alias("line"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    rows = rows.select(
+        _text("part-", F.col("l_partkey"), "/lines.json").alias("path"),
+        F.struct(F.col("l_partkey").alias("part"), F.lit(None).cast("string").alias("note"), "lines").alias("value"),
+    )
+    folder = new_folder(spark, "documents")
+    told = sinks.json_documents(rows, "path", "value", folder)
+    files = spark.read.text(f"{folder}/part-*", wholetext=True).select(
+        F.regexp_extract("_metadata.file_path", "(part-[0-9]+/lines.json)$", 1).alias("path"), F.col("value").alias("text")
+    )
+    return files.join(told, "path").select("path", "text", "sha256")
+
+
 # --- sources ----------------------------------------------------------------------------------------
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyspark.plans.scratch import stash
+
 #: Everything that Python's line splitting takes for the end of a line.
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
@@ -34,22 +36,43 @@ def json_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, ord, raw): the objects of JSON-lines files.
 
     Blank lines, lines that do not parse and values that are no objects are skipped; ord counts the lines that are
-    kept, from 0, and stands for event time everywhere. One file is one group of the window, as a log belongs to a run.
-    """
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return kept_lines(files, "path", "value")
+    kept, from 0, and stands for event time everywhere.
 
-
-def kept_lines(files: DataFrame, key: str, text: str) -> DataFrame:
-    lines = files.select(F.col(key).alias("path"), F.posexplode(F.split(text, LINE_END)).alias("pos", "line")).select(
-        "path", "pos", F.trim(F.regexp_replace("line", r"^(?U)\s+|(?U)\s+$", "")).alias("raw")
+    Files are read in splits, a log of any size by many tasks. A line's place is the start of its split, its number in
+    the split and, where other marks than line feeds end lines, its number in that; the kept lines are written once with
+    it, and a line's ord is its rank in the split plus the kept lines of the splits before, a running sum over one row a
+    split. So this runs a job at once.
+    """
+    lines = spark.read.text(paths).select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"),
+        F.posexplode(F.split("value", LINE_END)).alias("pos", "line"),
     )
-    good = lines.where(
+    kept = stash(_objects(lines), "lines")
+    sizes = kept.groupBy("path", "_split").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("path", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("path", "_split").orderBy("_at", "pos")) - 1
+    ranked = kept.withColumn("_rank", rank).join(sizes, ["path", "_split"])
+    return ranked.select("path", (F.col("_before") + F.col("_rank")).alias("ord"), "raw")
+
+
+def _objects(lines: DataFrame) -> DataFrame:
+    """Lines without white space at their ends as `raw`, those that are JSON objects."""
+    raw = F.trim(F.regexp_replace("line", r"^(?U)\s+|(?U)\s+$", ""))
+    return lines.withColumn("raw", raw).drop("line").where(
         F.col("raw").startswith("{") & F.expr(
             "try_parse_json(raw) IS NOT NULL OR get_json_object(raw, '$') IS NOT NULL"
         )
     )
-    return good.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1).alias("ord"), "raw")
+
+
+def kept_lines(files: DataFrame, key: str, text: str) -> DataFrame:
+    """The same of logs that are values of a column; a log is one group of the window."""
+    lines = files.select(F.col(key).alias("path"), F.posexplode(F.split(text, LINE_END)).alias("pos", "line"))
+    place = F.row_number().over(Window.partitionBy("path").orderBy("pos")) - 1
+    return _objects(lines).select("path", place.alias("ord"), "raw")
 
 
 def documents(spark: SparkSession, path: str, schema: str, name: str | None = None) -> DataFrame:

@@ -13,7 +13,6 @@ import hashlib
 import io
 import json
 import os
-import uuid
 
 import pandas as pd
 import pyarrow as pa
@@ -26,6 +25,8 @@ from tallyspark.functions.text import redact_links
 from tallyspark.operators.shards import greedy_shards
 from tallyspark.plans.scratch import stash
 
+from .committed import write_files
+
 
 def cell(df: DataFrame, name: str, links: bool = False) -> Column:
     """A column as CSV text: null empty, booleans in words, six significant digits, nested values as compact JSON; links and credentials masked."""
@@ -83,17 +84,21 @@ def csv_lines(df: DataFrame, columns: list[str]) -> DataFrame:
 def write_csv(df: DataFrame, columns: list[str], order: list[str], path: str, files: int = 1) -> None:
     """CSV files in order, each with the head line, written by tasks: file names in order hold rows in order."""
     lines = csv_lines(df, columns).repartitionByRange(max(1, files), *order).sortWithinPartitions(*order).select("line")
-    head = ",".join(columns)
+    lines.mapInArrow(_headed([",".join(columns)]), "line string").write.text(path)
+
 
-    def headed(batches):
+def _headed(head: list[str]):
+    """Lines of a file that is not empty, with its head before them."""
+
+    def run(batches):
         begun = False
         for b in batches:
             if b.num_rows and not begun:
                 begun = True
-                yield pa.RecordBatch.from_arrays([pa.array([head], b.schema.field(0).type)], schema=b.schema)
+                yield pa.RecordBatch.from_arrays([pa.array(head, b.schema.field(0).type)], schema=b.schema)
             yield b
 
-    lines.mapInArrow(headed, "line string").write.text(path)
+    return run
 
 
 def run_shards(
@@ -129,37 +134,15 @@ def json_document(value, path: str) -> None:
     os.replace(f"{path}.tmp", path)
 
 
-MANIFEST = "path string, bytes long, sha256 string"
-
-
 def write_texts(files: DataFrame, folder: str) -> DataFrame:
-    """(path, text) rows as one file each below a folder; returns their manifest: path, bytes, sha256.
-
-    Tasks write beside the place and move, so a repeated task leaves the same file. The manifest is written too, so that
-    reading it twice writes nothing twice.
-    """
+    """(path, text) rows as the files of a folder, all or none (`committed`); returns their manifest: path, bytes, sha256."""
+    return write_files(files.select("path", F.col("text").cast("binary").alias("content")), folder)
 
-    def run(batches):
-        from pyarrow import fs
 
-        store, base = fs.FileSystem.from_uri(folder if ":" in folder else f"file://{folder}")
-        for b in batches:
-            paths, sizes, sums = b.column(0).to_pylist(), [], []
-            for path, text in zip(paths, b.column(1).to_pylist(), strict=True):
-                raw, place = (text or "").encode(), f"{base}/{path}"
-                store.create_dir(place.rsplit("/", 1)[0], recursive=True)
-                beside = f"{place}.{uuid.uuid4().hex}.tmp"
-                with store.open_output_stream(beside) as out:
-                    out.write(raw)
-                store.move(beside, place)
-                sizes.append(len(raw))
-                sums.append(hashlib.sha256(raw).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(paths, pa.string()), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())],
-                ["path", "bytes", "sha256"],
-            )
-
-    return stash(files.select("path", "text").mapInArrow(run, MANIFEST), "manifest")
+def json_documents(rows: DataFrame, path: str, value: str, folder: str) -> DataFrame:
+    """A JSON document for each row, compact and with its fields in order, all or none; returns their manifest."""
+    text = F.concat(F.to_json(F.col(value), {"ignoreNullFields": "false"}), F.lit("\n"))
+    return write_texts(rows.select(F.col(path).alias("path"), text.alias("text")), folder)
 
 
 def append_rows(df: DataFrame, path: str) -> None:
@@ -191,6 +174,19 @@ def scrubbed_logs(files: DataFrame) -> DataFrame:
     )
 
 
+def write_logs(files: DataFrame, folder: str) -> DataFrame:
+    """(path, content) of raw logs as scrubbed gzip files, all or none; returns path, bytes, sha256, clipped."""
+    logs = stash(scrubbed_logs(files), "logs")
+    write_files(logs.select("path", F.col("data").alias("content")), folder)
+    return logs.drop("data")
+
+
+def write_answers(answers: DataFrame, folder: str) -> DataFrame:
+    """Masked answers as one text file a run, all or none; returns their manifest."""
+    named = canonical_answers(answers).select(F.concat("run_id", F.lit(".txt")).alias("path"), "text")
+    return write_texts(named, folder)
+
+
 def canonical_answers(answers: DataFrame) -> DataFrame:
     """run_id, text, pointer, canonical -> masked text, and whether the record points elsewhere."""
     return answers.select(
@@ -209,17 +205,28 @@ def markdown_lines(df: DataFrame, columns: list[str]) -> Column:
 
 
 def markdown_table(df: DataFrame, columns: list[str], order: list[str]) -> str:
-    """A report table as Markdown, on the driver."""
+    """A report table as Markdown, on the driver. `write_markdown` is the form for tables of any size."""
     rows = df.orderBy(*order).select(markdown_lines(df, columns).alias("line")).collect()
     return "\n".join([f"| {' | '.join(columns)} |", f"|{'---|' * len(columns)}", *[r.line for r in rows]]) + "\n"
 
 
+def write_markdown(df: DataFrame, columns: list[str], order: list[str], path: str, files: int = 1) -> None:
+    """Markdown tables in order, each with the head, written by tasks: file names in order hold rows in order."""
+    lines = df.repartitionByRange(max(1, files), *order).sortWithinPartitions(*order)
+    head = [f"| {' | '.join(columns)} |", f"|{'---|' * len(columns)}"]
+    lines.select(markdown_lines(df, columns).alias("line")).mapInArrow(_headed(head), "line string").write.text(path)
+
+
 def flat_intervals(df: DataFrame, interval: str = "interval") -> DataFrame:
     return df.select(*[c for c in df.columns if c != interval], f"{interval}.*")
 
 
 def fingerprint(files: DataFrame) -> str:
-    """One hash of labelled files (label, content, null where absent), whatever their order."""
+    """One hash of labelled files (label, content, null where absent), whatever their order.
+
+    A fold over all labels in order, which earlier results were bound with: for the inputs of a report. For many files:
+    `grouped_fingerprint`.
+    """
     rows = files.select("label", F.sha2("content", 256).alias("h")).distinct().orderBy("label")
     total = hashlib.sha256()
     for r in rows.toLocalIterator():  # a row a file, one partition of them at a time
@@ -227,6 +234,21 @@ def fingerprint(files: DataFrame) -> str:
     return total.hexdigest()
 
 
+def grouped_fingerprint(files: DataFrame) -> str:
+    """One hash of any number of labelled files (label, content, null where absent), whatever their order or partitions.
+
+    The labels are dealt into 256 groups by the first byte of their sha256; a group's hash is made by Spark from its sorted
+    labels and digests, and the driver hashes the 256 in order. Repeated rows count once.
+    """
+    told = F.coalesce(F.sha2("content", 256), F.lit("absent"))
+    rows = files.select("label", told.alias("h")).distinct()
+    lines = F.array_sort(F.collect_list(F.struct(F.sha2("label", 256).alias("key"), "h")))
+    group = F.substring(F.sha2("label", 256), 1, 2).alias("group")
+    digest = F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x["key"], F.lit(" "), x["h"])), "\n"), 256)
+    found = rows.groupBy(group).agg(digest.alias("h")).orderBy("group").collect()
+    return hashlib.sha256("\n".join(f"{r.group} {r.h}" for r in found).encode()).hexdigest()
+
+
 def check_outputs(files: DataFrame, masked_hosts: str | None = None, limit: int = 1000 * 1024) -> DataFrame:
     """Violations in files about to be published (path, text): size, hosts, emails, credentials, unmasked JSON values."""
     hosts = F.col("text").rlike(f"(?i){masked_hosts}") if masked_hosts else F.lit(False)

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions import numbers, secrets, text
-from tallyspark.operators import extraction, provenance, runs, sampling, shards, stats, validation, verdicts
+from tallyspark.operators import extraction, provenance, runs, sampling, sets, shards, stats, validation, verdicts
 from tallyspark.sources import readers
 from tallyspark.streaming import runs as streaming
 
@@ -527,23 +527,31 @@ def rate_rows(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(
         table(spark, sf_dir, "labels"), "doc_id"
     )
-    sets = d.groupingSets([[F.col("source"), F.col("lang")], [F.col("source")], []], "source", "lang").agg(
-        F.grouping("source").alias("gs"),
-        F.grouping("lang").alias("gl"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(F.col("quality") == 1).alias("confirmed"),
-    )
-    low, high = stats.wilson(F.col("confirmed").cast("double"), F.col("rows").cast("double"))
-    name = lambda c, g: F.when(F.col(g) == 1, "all").otherwise(F.col(c))
-    return sets.select(
-        name("source", "gs").alias("category"),
-        name("lang", "gl").alias("stratum"),
-        "rows",
-        "confirmed",
-        F.round(F.col("confirmed") / F.col("rows"), 4).alias("rate"),
-        low.alias("low"),
-        high.alias("high"),
-    )
+    found = sets.rate_rows(d, "source", "lang", {"confirmed": F.col("quality") == 1})
+    names = {"confirmed_rate": "rate", "confirmed_low": "low", "confirmed_high": "high"}
+    return found.withColumnsRenamed(names).select("category", "stratum", "rows", "confirmed", "rate", "low", "high")
+
+
+@query("""
+WITH d AS (
+  SELECT source, lang, toxic, quality, doc_id % 4 AS merit FROM documents JOIN labels USING (doc_id)),
+g AS (
+  SELECT CASE WHEN grouping(source) = 1 THEN 'all' ELSE source END AS category,
+    CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS stratum, merit, count(*) AS n,
+    count(*) FILTER (WHERE toxic = 0) AS checkable
+  FROM d GROUP BY GROUPING SETS ((source, lang, merit), (source, merit), (merit)))
+SELECT category, stratum, sum(checkable)::BIGINT AS checkable, round(sum(checkable) / sum(n), 4) AS checkable_share,
+  string_agg(merit || ':' || n, ',' ORDER BY merit) AS merits
+FROM g GROUP BY category, stratum
+""")
+def rate_histograms(spark, sf_dir):
+    """Checkable share and a histogram of merits for each source and language, each source, and all labelled documents."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang").join(
+        table(spark, sf_dir, "labels"), "doc_id"
+    ).withColumn("merit", F.col("doc_id") % 4)
+    found = sets.rate_rows(d, "source", "lang", {}, F.col("toxic") == 0, ("merit",))
+    pairs = F.transform(F.map_entries("merit"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string")))
+    return found.select("category", "stratum", "checkable", "checkable_share", F.array_join(pairs, ",").alias("merits"))
 
 
 @query("""SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS category, count(*) FILTER (WHERE quality = 1) AS confirmed, count(*)
@@ -552,18 +560,8 @@ def rate_rows(spark, sf_dir):
 def extension_bins(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id")
     q, t = F.col("quality"), F.col("toxic")
-    out = d.rollup("lang").agg(
-        F.grouping("lang").alias("g"),
-        F.count_if(q == 1).alias("confirmed"),
-        F.count_if((q == 0) & (t == 1)).alias("contradicted"),
-        F.count_if((q == 0) & (t == 0)).alias("unchecked"),
-    )
-    return out.select(
-        F.when(F.col("g") == 1, "all").otherwise(F.col("lang")).alias("category"),
-        "confirmed",
-        "contradicted",
-        "unchecked",
-    )
+    bins = {"confirmed": q == 1, "contradicted": (q == 0) & (t == 1), "unchecked": (q == 0) & (t == 0)}
+    return sets.bin_counts(d, "lang", bins)
 
 
 # --- hosts and provenance -----------------------------------------------------------------------------
@@ -876,9 +874,8 @@ def merged_reasons(spark, sf_dir):
 @query("""SELECT user_id, event_id, coalesce(abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) > 100, false) AS moved FROM
  events""")
 def moved_readings(spark, sf_dir):
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select(
-        "user_id", "event_id", F.coalesce(F.abs(F.col("value") - before) > 100, F.lit(False)).alias("moved")
+    return sets.moved(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 100).select(
+        "user_id", "event_id", "moved"
     )
 
 
@@ -949,14 +946,55 @@ def validate_constraints(spark, sf_dir):
 def set_operations(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 997).alias("user_id"))
     a, b = (e.where(F.col("event_type") == t).select("user_id").distinct() for t in ("view", "click"))
-    parts = [
-        ("both", a.intersect(b)), ("first only", readers.missing(a, b, "user_id")), ("either", a.union(b).distinct())
-    ]
-    out = None
-    for name, df in parts:
-        p = df.agg(F.lit(name).alias("side"), F.count(F.lit(1)).alias("users"))
-        out = p if out is None else out.unionByName(p)
-    return out
+    key = ["user_id"]
+    parts = {
+        "both": sets.shared(a, b, key),
+        "first only": sets.lacking(a, b, key),
+        "either": sets.together(key, a, b),
+    }
+    counts = [df.agg(F.lit(name).alias("side"), F.count(F.lit(1)).alias("users")) for name, df in parts.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("""
+WITH a AS (SELECT DISTINCT event_id % 997 AS k FROM events WHERE event_type = 'view'),
+b AS (SELECT DISTINCT event_id % 997 AS k FROM events WHERE event_type = 'click')
+SELECT k, 'first' AS only FROM a WHERE k NOT IN (SELECT k FROM b)
+UNION ALL SELECT k, 'second' FROM b WHERE k NOT IN (SELECT k FROM a)
+""")
+def key_differences(spark, sf_dir):
+    """Keys that only views or only clicks have: where two sets are not equal."""
+    e = table(spark, sf_dir, "events").select("event_type", (F.col("event_id") % 997).alias("k"))
+    a, b = (e.where(F.col("event_type") == t) for t in ("view", "click"))
+    return sets.differences(a, b, ["k"])
+
+
+@query("""
+SELECT o_custkey, array_to_string(list_sort(list_distinct(list(rule))), ',') AS violations
+FROM (
+  SELECT o_custkey, unnest(list_filter([
+    CASE WHEN o_totalprice > 400000 THEN 'dear' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END,
+    CASE WHEN o_orderkey % 7 = 0 THEN 'a seventh' END], lambda x: x IS NOT NULL)) AS rule
+  FROM orders)
+GROUP BY o_custkey
+""")
+def sorted_violations(spark, sf_dir):
+    """The rules that any order of a customer breaks, sorted and told once."""
+    rules = {
+        "dear": F.col("o_totalprice") > 400000,
+        "pending": F.col("o_orderstatus") == "P",
+        "a seventh": F.col("o_orderkey") % 7 == 0,
+    }
+    found = sets.violations(table(spark, sf_dir, "orders"), "o_custkey", rules)
+    return found.select("o_custkey", F.array_join("violations", ",").alias("violations"))
+
+
+@query("""
+SELECT user_id, event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS times FROM events GROUP BY ALL
+""")
+def occurrence_order(spark, sf_dir):
+    """Where each kind of event of a user comes up first and last."""
+    return sets.occurrence_order(table(spark, sf_dir, "events"), ["user_id", "event_type"], "event_id")
 
 
 @query("""WITH r AS (SELECT user_id AS batch, ts AS t, event_id, CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN 'usage_limit_exceeded'

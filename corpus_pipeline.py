@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.common import new_folder, remainder
+from tallyspark.llm.common import new_folder, remainder, stash
 from tallyspark.llm.decontam import without_items
 from tallyspark.llm.jaccard import near_duplicates
 from tallyspark.llm.langid import fit_language, identify
@@ -50,11 +50,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group stays: the smallest doc_id, and of rows that share it the first.
 
-    Rows go by their place in the input, which a scan of the same files gives alike each time, so that rows that share a
-    doc_id, or have none, are rows of their own.
+    Rows go by their place in the input, written once with them, so that rows that share a doc_id, or have none, are rows
+    of their own.
     """
-    rows = docs.select(
-        F.struct(*docs.columns).alias("row"), "text", "doc_id", F.monotonically_increasing_id().alias("place")
+    place = F.monotonically_increasing_id().alias("place")
+    rows = stash(docs.select(F.struct(*docs.columns).alias("row"), place), "places").select(
+        "row", "row.text", "row.doc_id", "place"
     )
     groups = near_duplicates(rows.select("place", "text"), id_col="place").select(
         F.col("doc_id").alias("place"), "component_id"

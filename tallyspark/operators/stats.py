@@ -211,11 +211,17 @@ def kept_draws(
 
 
 def positions(rows: DataFrame, cell: list[str], order: str, out: str = "_pos") -> DataFrame:
-    """Rows with their place 0, 1, ... in their cell by `order` and the cell's size `_n`; no cell stands in one task.
+    """Rows with their place 0, 1, ... in their cell by `order` and the cell's size `_n`; no task ranks more than
+    PLACE_BLOCK rows of a cell, or one range of it.
 
-    Rows are dealt by ranges of cell and order and written once; a place is the rank within the range of the cell plus
-    the sizes of the cell's ranges before it, a running sum over one row a range.
+    The rows are written once. PLACE_BLOCK rows at most are ranked by a window over the cell. More are dealt by ranges of
+    cell and order; a place is the rank within the range of the cell plus the sizes of the cell's ranges before it, a
+    running sum over one row a range.
     """
+    rows = stash(rows, "rows")
+    if rows.count() <= PLACE_BLOCK:
+        by = Window.partitionBy(*cell)
+        return rows.withColumns({out: F.row_number().over(by.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(by)})
     many = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(many, *cell, order).withColumn("_part", F.spark_partition_id())
     dealt = stash(dealt, "places")

@@ -178,7 +178,9 @@ def test_any_weighted_statistic(spark, monkeypatch):
         stats.bootstrap(frame, ["cell"], spread)
 
 
-def test_positions_without_a_cell_in_one_task(spark):
+@pytest.mark.parametrize("block", [1 << 21, 100])
+def test_positions_without_a_cell_in_one_task(spark, monkeypatch, block):
+    monkeypatch.setattr(stats, "PLACE_BLOCK", block)
     rows = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN 'x' WHEN id % 50 = 1 THEN null ELSE 'y' END AS c", "hash(id) AS k")
     got = stats.positions(rows.repartition(5), ["c"], "k").collect()
     want = {}

@@ -387,3 +387,44 @@ def test_toxicity_odd_rows(spark, odd, empty):
     assert made.trees and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows)
     assert toxicity.score_toxicity(empty, made).count() == 0
     assert toxicity.fit_toxicity(empty, labels).share == 0.0
+
+
+def naive_trees(model, x, y):
+    """Margins of trees whose splits are found by trying every feature and cut on the rows of each node."""
+    start = math.log(y.mean() / (1 - y.mean()))
+    f = np.full(len(x), start)
+    bins = model._bin(x)
+    for _ in range(model.rounds):
+        p = 1 / (1 + np.exp(-f))
+        g, h = y - p, p * (1 - p)
+
+        def grow(rows, level):
+            best = (1e-6, None, None)
+            if level < model.depth and len(rows) >= 20:
+                score = lambda r: g[r].sum() ** 2 / (h[r].sum() + model.ridge)
+                for j in range(x.shape[1]):
+                    for c in range(model.bins + 1):
+                        a, b = rows[bins[rows, j] <= c], rows[bins[rows, j] > c]
+                        if h[a].sum() >= toxicity.LEAST_HESSIAN and h[b].sum() >= toxicity.LEAST_HESSIAN:
+                            gain = score(a) + score(b) - score(rows)
+                            if gain > best[0] + 1e-9:
+                                best = (gain, a, b)
+            if best[1] is None:
+                f[rows] += model.rate * g[rows].sum() / (h[rows].sum() + model.ridge)
+                return
+            grow(best[1], level + 1)
+            grow(best[2], level + 1)
+
+        before = f.copy()
+        grow(np.arange(len(x)), 0)
+        assert not np.array_equal(before, f)
+    return f
+
+
+def test_splits_are_those_of_a_search_over_all():
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((260, 4)), 2)
+    y = ((x[:, 0] + rng.normal(0, 0.2, 260) > 0.6) | (x[:, 2] > 0.9)).astype(float)
+    model = toxicity.BoostedTrees(rounds=4, depth=2, bins=12)
+    model.fit(x, y)
+    assert model.margin(x) == pytest.approx(naive_trees(model, x, y), abs=1e-9)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions.text import claim_key, digest, fold, text_windows
 
+from .stats import positions
+
 
 def hash_top_k(rows: DataFrame, group: str, id_col: str, k: int, seed: int = 8105) -> DataFrame:
     """Per group the k ids with the least sha256 of `seed:id`; independent of the order of rows.
@@ -122,24 +124,21 @@ def audit_sample(
 
 
 def labels(rows: DataFrame, group: str, order: list[str], prefix: str, out: str = "label") -> DataFrame:
-    """F1, F2, ... within each group."""
-    return rows.withColumn(
-        out, F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy(group).orderBy(*order)).cast("string"))
-    )
+    """F1, F2, ... within each group, whatever its size (`stats.positions`)."""
+    placed = positions(rows, [group], order, "_at")
+    return placed.withColumn(out, F.concat(F.lit(prefix), (F.col("_at") + 1).cast("string"))).drop("_at", "_n")
 
 
 def shuffled_labels(rows: DataFrame, group: str, id_col: str, prefix: str, seed: int = 8105) -> DataFrame:
     """Labels in an order that the seed, the group and the id decide."""
     mixed = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(group).cast("string"), F.col(id_col).cast("string")), 256)
-    return rows.withColumn(
-        "label", F.concat(F.lit(prefix), F.row_number().over(Window.partitionBy(group).orderBy(mixed)).cast("string"))
-    )
+    return labels(rows.withColumn("_mixed", mixed), group, ["_mixed"], prefix).drop("_mixed")
 
 
 def batches(rows: DataFrame, group: str, key: str, size: int, prefix: str) -> DataFrame:
     """Fixed-size batches of each group in order of key: group, batch (prefix and 12 hex of the keys' hash), items."""
-    at = F.floor((F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1) / size)
-    out = rows.withColumn("_b", at).groupBy(group, "_b").agg(
+    placed = positions(rows.select(group, key), [group], key, "_at")
+    out = placed.withColumn("_b", F.floor(F.col("_at") / size)).groupBy(group, "_b").agg(
         F.array_sort(F.collect_list(F.col(key).cast("string"))).alias("items")
     )
     return out.select(group, F.concat(F.lit(prefix), digest(F.array_join("items", "\n"))).alias("batch"), "items")

@@ -210,7 +210,7 @@ def kept_draws(
     return found.select("n", "draw", "idx"), made
 
 
-def positions(rows: DataFrame, cell: list[str], order: str, out: str = "_pos") -> DataFrame:
+def positions(rows: DataFrame, cell: list[str], order: str | list[str], out: str = "_pos") -> DataFrame:
     """Rows with their place 0, 1, ... in their cell by `order` and the cell's size `_n`; no task ranks more than
     PLACE_BLOCK rows of a cell, or one range of it.
 
@@ -218,12 +218,13 @@ def positions(rows: DataFrame, cell: list[str], order: str, out: str = "_pos") -
     cell and order; a place is the rank within the range of the cell plus the sizes of the cell's ranges before it, a
     running sum over one row a range.
     """
+    order = [order] if isinstance(order, str) else order
     rows = stash(rows, "rows")
     if rows.count() <= PLACE_BLOCK:
         by = Window.partitionBy(*cell)
-        return rows.withColumns({out: F.row_number().over(by.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(by)})
+        return rows.withColumns({out: F.row_number().over(by.orderBy(*order)) - 1, "_n": F.count(F.lit(1)).over(by)})
     many = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(many, *cell, order).withColumn("_part", F.spark_partition_id())
+    dealt = rows.repartitionByRange(many, *cell, *order).withColumn("_part", F.spark_partition_id())
     dealt = stash(dealt, "places")
     sizes = dealt.groupBy(*cell, "_part").agg(F.count(F.lit(1)).alias("_here"))
     ranges = Window.partitionBy(*cell)
@@ -234,7 +235,7 @@ def positions(rows: DataFrame, cell: list[str], order: str, out: str = "_pos") -
         F.coalesce(F.sum("_here").over(before), F.lit(0)).alias("_before"),
         F.sum("_here").over(ranges).alias("_n"),
     )
-    rank = F.row_number().over(Window.partitionBy(*cell, "_part").orderBy(order)) - 1
+    rank = F.row_number().over(Window.partitionBy(*cell, "_part").orderBy(*order)) - 1
     same = F.col("_part") == F.col("_at")
     for i, c in enumerate(cell):
         same = same & F.col(c).eqNullSafe(F.col(f"_c{i}"))

@@ -1,9 +1,13 @@
 """Near duplicates: exact Jaccard join of word 5-shingle sets with a count-vector R-tree.
 
-1. A first pass counts all shingles in a sketch of fixed size (SLOTS counters), which gives shingles a common order:
-   shingles of crowded slots (boilerplate, shared passages) last.
+1. A first pass counts all shingles in a sketch whose size follows the corpus (SLOTS to MOST_SLOTS counters, a byte each
+   where they are sent), which gives shingles a common order: shingles of crowded slots (boilerplate, shared passages)
+   last.
 2. Two sets that link share at least one of the first |A| - ceil(0.8 |A|) + 1 shingles of that order (prefix filter).
-   Documents with one and the same set stand as one node from here on. For each shingle that is in several prefixes,
+   Documents with one and the same set stand as one node from here on. A shingle in at most PAIRED prefixes ties its
+   nodes in pairs, and a pair is dropped if a bound on the overlap (shingle counts in hash groups, as many as the set is
+   large) rules a link out: unrelated texts share a few shingles by chance, the more the larger the corpus, and would
+   chain all texts into one part. For a shingle in more prefixes,
    its nodes are walked in order of set size; where the sizes of neighbours differ by more than the threshold allows,
    the walk is cut. Each node is tied to the first of its stretch: a star, so a shingle with n nodes makes n rows, not
    n * n pairs. Every link lies inside one connected part of these ties. A shingle that the sketch counts more than HOT
@@ -38,6 +42,11 @@ from .common import components, join_rows, slices, stash, tokens
 
 WORDS = 5
 SLOTS = 1 << 22
+MOST_SLOTS = 1 << 26
+#: Bytes of text for which the sketch has one counter: about 16 shingles.
+BYTES_A_SLOT = 112
+#: Prefixes that a shingle may be in to tie its nodes in pairs.
+PAIRED = 16
 GROUPS = 128
 LEAF = 32
 PART = 1000
@@ -90,52 +99,78 @@ def shingles(text: str | None, hashes: WordHashes, words: int = WORDS) -> np.nda
     return np.unique(_scramble(out))
 
 
-def slots_of(x: np.ndarray) -> np.ndarray:
-    return (x >> np.uint64(40)).astype(np.int64) & (SLOTS - 1)
+def slots_of(x: np.ndarray, slots: int) -> np.ndarray:
+    return (x >> np.uint64(38)).astype(np.uint32) & np.uint32(slots - 1)
+
+
+def slots_for(docs: DataFrame) -> int:
+    """Counters for the texts: a power of two that follows their bytes, between SLOTS and MOST_SLOTS."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slots = SLOTS
+    while slots < MOST_SLOTS and slots * BYTES_A_SLOT < size:
+        slots *= 2
+    return slots
+
+
+#: The greatest load of each code of a byte: exact below 128, then in steps of 15 %.
+LOADS = np.array([*range(128), *(int(128 * 1.15**k) for k in range(1, 129))], np.int64)
+
+
+def coded(loads: np.ndarray) -> np.ndarray:
+    """Loads in one byte each; a greater load never has a smaller code."""
+    return np.minimum(np.searchsorted(LOADS, loads), 255).astype(np.uint8)
 
 
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
-def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
-    """Uses of each slot over all documents (a document uses a shingle once). SLOTS numbers, whatever the input.
+def shingle_loads(docs: DataFrame, words: int, slots: int | None = None) -> np.ndarray:
+    """Uses of each slot over all documents (a document uses a shingle once), as codes (`LOADS`). A byte a slot.
 
     A task tells at most 65,535 of a slot: the numbers only order shingles, and any order that all share is exact.
     """
     many = 64
-    size = SLOTS // many
+    slots = slots or slots_for(docs)
+    size = slots // many
 
     def count(batches):
-        hashes, loads, held, n = WordHashes(), np.zeros(SLOTS, np.int64), [], 0
+        hashes, loads, held, n = WordHashes(), np.zeros(slots, np.uint16), [], 0
+
+        def put():
+            at, uses = np.unique(np.concatenate(held), return_counts=True)
+            loads[at] = np.minimum(loads[at] + uses, 65_535)
+
         for b in slices(batches):
             for x in b.column(0).to_pylist():
-                held.append(slots_of(shingles(x, hashes, words)))
+                held.append(slots_of(shingles(x, hashes, words), slots))
                 n += len(held[-1])
                 if n > SLOTS:
-                    loads += np.bincount(np.concatenate(held), minlength=SLOTS)
+                    put()
                     held, n = [], 0
         if held:
-            loads += np.bincount(np.concatenate(held), minlength=SLOTS)
-        parts = [
-            zlib.compress(
-                np.minimum(loads[i * size : (i + 1) * size], 65_535).astype(np.uint16).tobytes(), 1
-            ) for i in range(many)
-        ]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(many), pa.int32()), pa.array(parts, pa.binary())], ["slice", "loads"]
-        )
+            put()
+        # low bytes, then high bytes: the latter are nearly all zero
+        apart = lambda x: x.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+        for i in range(many):
+            part = zlib.compress(apart(loads[i * size : (i + 1) * size]), 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([part], pa.binary())], ["slice", "loads"]
+            )
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = np.frombuffer(zlib.decompress(x), np.uint16).astype(np.int64)
-                total[k] = total[k] + got if k in total else got
+                low, high = np.frombuffer(zlib.decompress(x), np.uint8).reshape(2, -1)
+                got = total.setdefault(k, np.zeros(size, np.int64))
+                got += low
+                if high.any():
+                    got += high.astype(np.int64) << 8
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(list(total), pa.int32()),
-                pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()], pa.binary()),
+                pa.array([zlib.compress(coded(x).tobytes(), 1) for x in total.values()], pa.binary()),
             ],
             ["slice", "loads"],
         )
@@ -143,17 +178,15 @@ def shingle_loads(docs: DataFrame, words: int) -> np.ndarray:
     rows = docs.select("text").mapInArrow(
         count, "slice int, loads binary"
     ).repartition(many, "slice").mapInArrow(add, "slice int, loads binary").collect()
-    loads = np.zeros(SLOTS, np.uint32)
+    loads = np.zeros(slots, np.uint8)
     for r in rows:
-        loads[r.slice * size : (r.slice + 1) * size] = np.minimum(
-            np.frombuffer(zlib.decompress(r.loads), np.int64), 2**32 - 1
-        )
+        loads[r.slice * size : (r.slice + 1) * size] = np.frombuffer(zlib.decompress(r.loads), np.uint8)
     return loads
 
 
 def sketches(docs: DataFrame, loads: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(doc_id, n, f1, f2, prefix, hot, shares): set size, two fingerprints of the set, the prefix shingles in the common
-    order, and those among them that are walked in several shares.
+    """(doc_id, n, f1, f2, prefix, hot, shares, counts): set size, two fingerprints of the set, the prefix shingles in the
+    common order, those among them that are walked in several shares, and the set's shingle counts (`group_counts`).
 
     A task gives the prefix of a set once, so that a group of copies makes a row a task, not a row a copy.
     """
@@ -163,7 +196,7 @@ def sketches(docs: DataFrame, loads: np.ndarray, words: int, percent: int) -> Da
     def run(batches):
         hashes, order, told = WordHashes(), sent.value, set()
         for b in slices(batches):
-            sizes, f1, f2, prefixes, hot, shares = [], [], [], [], [], []
+            sizes, f1, f2, prefixes, hot, shares, counts = [], [], [], [], [], [], []
             for key, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(x, hashes, words)
                 sizes.append(len(s))
@@ -173,25 +206,31 @@ def sketches(docs: DataFrame, loads: np.ndarray, words: int, percent: int) -> Da
                 if key is None or not len(s) or mark in told:
                     for column in (prefixes, hot, shares):
                         column.append(none)
+                    counts.append(None)
                     continue
                 if len(told) < TOLD:
                     told.add(mark)
+                counts.append(group_counts(s).tobytes())
                 p = prefix_length(len(s), percent)
-                load = order[slots_of(s)]
+                load = order[slots_of(s, len(order))]
                 if p < len(s):
                     last = np.partition(load, p - 1)[p - 1]
                     take = np.flatnonzero(load < last)
                     take = np.concatenate([take, np.flatnonzero(load == last)[: p - len(take)]])
                     s, load = s[take], load[take]
+                load = LOADS[load]
                 many = load > HOT
                 prefixes.append(s[~many].view(np.int64))
                 hot.append(s[many].view(np.int64))
-                shares.append(-(-load[many].astype(np.int64) // HOT))
+                shares.append(-(-load[many] // HOT))
             fixed = [b.column(0), *(pa.array(x, pa.int64()) for x in (sizes, f1, f2))]
             lists = [_lists(x) for x in (prefixes, hot, shares)]
-            yield pa.RecordBatch.from_arrays([*fixed, *lists], ["doc_id", "n", "f1", "f2", "prefix", "hot", "shares"])
+            yield pa.RecordBatch.from_arrays(
+                [*fixed, *lists, pa.array(counts, pa.binary())],
+                ["doc_id", "n", "f1", "f2", "prefix", "hot", "shares", "counts"],
+            )
 
-    kind = "doc_id long, n long, f1 long, f2 long, prefix array<long>, hot array<long>, shares array<long>"
+    kind = "doc_id long, n long, f1 long, f2 long, prefix array<long>, hot array<long>, shares array<long>, counts binary"
     return docs.select("doc_id", "text").mapInArrow(run, kind)
 
 
@@ -200,17 +239,67 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
 
 
+def group_counts(s: np.ndarray) -> np.ndarray:
+    """Shingles of a set in each of 64 or more hash groups, 4 to 8 shingles a group in larger sets; 255 at most."""
+    groups = 64
+    while 8 * groups < len(s):
+        groups *= 2
+    at = ((s >> np.uint64(16)) & np.uint64(groups - 1)).astype(np.int64)
+    return np.minimum(np.bincount(at, minlength=groups), 255).astype(np.uint8)
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """At most the number of shingles that are in one of two sets only, from their `group_counts`."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    groups = min(len(x), len(y))  # groups of more halve into those of fewer; counts above 255 stay cut
+    fold = lambda z: np.minimum(z.reshape(-1, groups).sum(axis=0, dtype=np.int64), 255)
+    return int(np.abs(fold(x) - fold(y)).sum())
+
+
+def _uses(real: DataFrame) -> DataFrame:
+    """(n, f1, shingle, uses): prefix shingles that are in several prefixes."""
+    found = real.select("n", "f1", F.explode("prefix").alias("shingle"))
+    return found.withColumn("uses", F.count(F.lit(1)).over(Window.partitionBy("shingle"))).where("uses > 1")
+
+
+def pairs(real: DataFrame, percent: int) -> DataFrame:
+    """(a, b): fingerprints of nodes that share a shingle of few prefixes, unless their counts rule a link out."""
+    groups = _uses(real).where(F.col("uses") <= PAIRED).groupBy("shingle").agg(
+        F.array_sort(F.collect_set(F.struct("n", "f1"))).alias("x")
+    )
+    met = lambda u, i: F.transform(
+        F.filter(F.slice("x", i + 2, PAIRED), lambda v: 100 * u["n"] >= percent * v["n"]),
+        lambda v: F.struct(u["n"].alias("na"), u["f1"].alias("a"), v["n"].alias("nb"), v["f1"].alias("b")),
+    )
+    found = groups.where("size(x) > 1").select(F.explode(F.flatten(F.transform("x", met))).alias("p")).select("p.*")
+    marks = real.where("counts IS NOT NULL").select("n", "f1", "f2", "counts").dropDuplicates(["n", "f1", "f2"])
+    side = lambda k: marks.select(
+        F.col("f1").alias(k), F.col("n").alias(f"n{k}"), F.col("counts").alias(f"c{k}")
+    ).hint("merge")
+    # both sides grow with the corpus: a shuffle at every size
+    both = found.distinct().hint("merge").join(side("a"), ["a", "na"]).join(side("b"), ["b", "nb"])
+
+    def run(batches):
+        for b in batches:
+            keep = [
+                (100 + percent) * apart(x, y) <= (100 - percent) * (n + m)
+                for n, m, x, y in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True)
+            ]
+            yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(run, "a long, b long").distinct()
+
+
 def ties(real: DataFrame, percent: int) -> DataFrame:
-    """(a, b): fingerprints of nodes that share a prefix shingle and of the first node of their stretch.
+    """(a, b): fingerprints of nodes that share a prefix shingle of many prefixes and of the first node of their stretch.
 
     Ties are between first fingerprints: should two sets share one, they are tied too, which only makes a part larger.
     """
-    uses = real.select("n", "f1", F.explode("prefix").alias("shingle"), F.lit(0).cast("long").alias("share"))
     spread = real.select("n", "f1", F.explode(F.arrays_zip("hot", "shares")).alias("z"))
     spread = spread.select(
         "n", "f1", F.col("z.hot").alias("shingle"), F.pmod(F.xxhash64("f1"), F.col("z.shares")).alias("share")
     )
-    plain = _stretches(uses, ["shingle"], "n", "n", percent)
+    plain = _stretches(_uses(real).where(F.col("uses") > PAIRED), ["shingle"], "n", "n", percent)
     shared = _stretches(spread, ["shingle", "share"], "n", "n", percent)
     heads = shared.groupBy("shingle", "share", "first").agg(
         F.min("n").alias("n"), F.max("n").alias("high")
@@ -378,7 +467,7 @@ def near_duplicates(
     real = sketch.where("n > 0 AND doc_id IS NOT NULL")
     same = ["n", "f1", "f2"]
     nodes = real.groupBy(*same).agg(F.min("doc_id").alias("id"))
-    tied = components(ties(real, percent)).select(F.col("id").alias("f1"), "root")
+    tied = components(ties(real, percent).unionByName(pairs(real, percent))).select(F.col("id").alias("f1"), "root")
     parts = stash(nodes.select("f1", "id", "n").join(tied, "f1").select("id", "root", "n").distinct(), "parts")
     repeats = _repeats(sketch)
     tasks, split = _tasks(parts, percent, part)

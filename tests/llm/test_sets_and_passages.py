@@ -393,3 +393,22 @@ def test_long_passages():
     lookup = decontam.Lookup(index.terms)
     texts = ["y" * (1 << 20), "word " * 250_000 + item[1], None, item[1] + " " + "z" * (1 << 20)]
     assert [x[0] for x in decontam.find_items(index, texts, lookup)] == [1, 3]
+
+
+def test_shared_passages_chain_no_texts(spark, monkeypatch):
+    passages = [" ".join(f"p{i}w{k}" for k in range(12)) for i in range(61)]
+    docs = [(i, f"{passages[i]} {passages[i + 1]}") for i in range(60)] + [(60, f"{passages[7]} {passages[8]}\n")]
+    rows, tied = spark.createDataFrame(docs, "doc_id bigint, text string"), []
+    plan = jaccard._tasks
+    monkeypatch.setattr(jaccard, "_tasks", lambda parts, *rest: tied.append(parts.count()) or plan(parts, *rest))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(rows).collect()}
+    assert got == brute(docs) and tied == [0]
+
+
+@given(st.lists(st.integers(0, 900), max_size=700, unique=True), st.integers(0, 400), st.integers(0, 900))
+@settings(max_examples=100, deadline=None)
+def test_group_counts_lose_no_link(raw, cut, more):
+    a, b = (
+        np.unique(jaccard._scramble(np.array(sorted(x), np.uint64))) for x in (set(raw), set(raw[cut:]) | set(range(more)))
+    )
+    assert jaccard.apart(*(jaccard.group_counts(x).tobytes() for x in (a, b))) <= len(np.setxor1d(a, b))

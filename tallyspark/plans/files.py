@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tallyspark.operators import verdicts
-from tallyspark.sources import readers, sinks
+from tallyspark.sources import committed, readers, sinks
 
 from .registry import query, table
 from .scratch import new_folder
@@ -94,11 +94,8 @@ def json_documents(spark, sf_dir):
         F.struct(F.col("l_partkey").alias("part"), F.lit(None).cast("string").alias("note"), "lines").alias("value"),
     )
     folder = new_folder(spark, "documents")
-    told = sinks.json_documents(rows, "path", "value", folder)
-    files = spark.read.text(f"{folder}/part-*", wholetext=True).select(
-        F.regexp_extract("_metadata.file_path", "(part-[0-9]+/lines.json)$", 1).alias("path"), F.col("value").alias("text")
-    )
-    return files.join(told, "path").select("path", "text", "sha256")
+    sinks.json_documents(rows, "path", "value", folder)
+    return committed.read_files(spark, folder).select("path", F.col("content").cast("string").alias("text"), "sha256")
 
 
 # --- sources ----------------------------------------------------------------------------------------

@@ -18,8 +18,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -115,3 +116,29 @@ def write_files(files: DataFrame, folder: str) -> DataFrame:
         raise ValueError("two rows for one path")
     rows.write.format("files").mode("overwrite").option("path", folder).save()
     return spark.read.schema(MANIFEST).json(f"{folder.rstrip('/')}/_manifest")
+
+
+def read_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder that `write_files` wrote, with their manifest: path, bytes, sha256, content.
+
+    Tasks open what the manifest names, so no folder is listed and many small files are few tasks. A file that is not as
+    the manifest has it is an error.
+    """
+    place = folder.rstrip("/")
+    many = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = spark.read.schema(MANIFEST).json(f"{place}/_manifest").repartition(many)
+
+    def run(batches):
+        store, base = _store(place)
+        for b in batches:
+            for k in range(0, b.num_rows, 64):
+                part, found = b.slice(k, 64), []
+                for path, sha in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    with store.open_input_stream(f"{base}/{path}", compression=None) as f:
+                        found.append(f.read())
+                    if hashlib.sha256(found[-1]).hexdigest() != sha:
+                        raise ValueError(f"not as the manifest has it: {path}")
+                columns = [*part.columns, pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["path", "bytes", "sha256", "content"])
+
+    return rows.mapInArrow(run, f"{MANIFEST}, content binary")

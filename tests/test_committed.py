@@ -118,3 +118,15 @@ def test_fingerprints_see_every_change(spark, hashed):
     assert of(base) == of(base[::-1], 5) == of(base + base[:3])
     others = [base[:-1], [*base, ("x", b"")], [("f0", b"other"), *base[1:]], [("g0", b"\0"), *base[1:]]]
     assert len({of(base), *map(of, others)}) == 5
+
+
+def test_files_are_read_by_their_manifest(spark, tmp_path):
+    texts = {f"d{i}/a b{i}.json": bytes([i % 7]) * i for i in range(70)} | {"x.gz": b"no gzip"}
+    rows = spark.createDataFrame([*texts.items()], "path string, content binary").repartition(4)
+    folder = f"file://{tmp_path}/out"
+    committed.write_files(rows, folder)
+    got = committed.read_files(spark, folder).collect()
+    assert {r.path: bytes(r.content) for r in got} == texts and len(got) == len(texts)
+    (tmp_path / "out" / "d5" / "a b5.json").write_bytes(b"other")
+    with pytest.raises(Exception, match="not as the manifest has it"):
+        committed.read_files(spark, folder).collect()

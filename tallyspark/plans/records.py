@@ -723,14 +723,17 @@ SELECT c.run_id, CAST(c.doc_id AS INTEGER) AS claim_index,
 FROM c LEFT JOIN f ON f.doc_id = c.doc_id
 """)
 def entity_attribution(spark, sf_dir):
-    """Three words of each document as a claim's named entity, sought in all documents of its language as sources."""
-    lower = F.lower(F.coalesce("text", F.lit("")))
+    """Three words of each document as a claim's named entity, sought in all documents of its language as sources.
+
+    The attribution folds white space, so spaces stay as they are here: only what else stands between words is replaced.
+    """
     docs = table(spark, sf_dir, "documents").select(
         "doc_id",
         F.coalesce("lang", F.lit("?")).alias("run_id"),
-        F.trim(F.regexp_replace(lower, "[^a-z]+", " ")).alias("text"),
+        F.lower(F.coalesce("text", F.lit(""))).alias("text"),
     )
-    entity = F.regexp_extract("text", "^(?:[a-z]+ ){2}([a-z]+ [a-z]+ [a-z]+)", 1)
+    words = "^[^a-z]*(?:[a-z]+[^a-z]+){2}([a-z]+[^a-z]+[a-z]+[^a-z]+[a-z]+)"
+    entity = F.regexp_replace(F.regexp_extract("text", words, 1), "[^a-z]+", " ")
     claims = docs.select(
         "run_id",
         F.col("doc_id").cast("int").alias("claim_index"),
@@ -746,7 +749,9 @@ def entity_attribution(spark, sf_dir):
         F.lit("").alias("title"),
         F.lit("").alias("snippet"),
         F.col("doc_id").alias("order"),
-        F.array(F.struct(F.col("doc_id").alias("ord"), "text")).alias("segments"),
+        F.array(
+            F.struct(F.col("doc_id").alias("ord"), F.regexp_replace("text", "[^a-z ]+", " ").alias("text"))
+        ).alias("segments"),
     )
     return provenance.attribute_claims(claims, src).select(
         "run_id", "claim_index", "label", "primary_read", "values_in_nonfiling_source", "verified_by_archive"
